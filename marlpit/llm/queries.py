@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+from .packing import op10_packing
+from .tokens import op3_token_counts
 from .url_filter import OP4_SQL, op4_url_filters
 
-QUERIES = {"op4_url_filters": op4_url_filters}
+QUERIES = {"op3_token_counts": op3_token_counts, "op4_url_filters": op4_url_filters, "op10_packing": op10_packing}
 ORACLES = {"op4_url_filters": OP4_SQL}
