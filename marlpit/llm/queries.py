@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from .cover import OP8_SQL, op8_cover_tree
+from .langid import op9_language_id
 from .mixing import OP1_SQL, op1_mixing
 from .packing import op10_packing
 from .pii import op5_pii
@@ -10,5 +12,5 @@ from .tokens import op3_token_counts
 from .url_filter import OP4_SQL, op4_url_filters
 from .warc import OP6_SQL, op6_warc
 
-QUERIES = {"op1_mixing": op1_mixing, "op3_token_counts": op3_token_counts, "op4_url_filters": op4_url_filters, "op5_pii": op5_pii, "op6_warc": op6_warc, "op7_simhash": op7_simhash, "op10_packing": op10_packing}
-ORACLES = {"op1_mixing": OP1_SQL, "op4_url_filters": OP4_SQL, "op6_warc": OP6_SQL}
+QUERIES = {"op1_mixing": op1_mixing, "op3_token_counts": op3_token_counts, "op4_url_filters": op4_url_filters, "op5_pii": op5_pii, "op6_warc": op6_warc, "op7_simhash": op7_simhash, "op8_cover_tree": op8_cover_tree, "op9_language_id": op9_language_id, "op10_packing": op10_packing}
+ORACLES = {"op1_mixing": OP1_SQL, "op8_cover_tree": OP8_SQL, "op4_url_filters": OP4_SQL, "op6_warc": OP6_SQL}
