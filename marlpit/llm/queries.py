@@ -9,8 +9,9 @@ from .packing import op10_packing
 from .pii import op5_pii
 from .simhash import op7_simhash
 from .tokens import op3_token_counts
+from .topk import OP2_SQL, op2_topk
 from .url_filter import OP4_SQL, op4_url_filters
 from .warc import OP6_SQL, op6_warc
 
-QUERIES = {"op1_mixing": op1_mixing, "op3_token_counts": op3_token_counts, "op4_url_filters": op4_url_filters, "op5_pii": op5_pii, "op6_warc": op6_warc, "op7_simhash": op7_simhash, "op8_cover_tree": op8_cover_tree, "op9_language_id": op9_language_id, "op10_packing": op10_packing}
-ORACLES = {"op1_mixing": OP1_SQL, "op8_cover_tree": OP8_SQL, "op4_url_filters": OP4_SQL, "op6_warc": OP6_SQL}
+QUERIES = {"op1_mixing": op1_mixing, "op2_topk": op2_topk, "op3_token_counts": op3_token_counts, "op4_url_filters": op4_url_filters, "op5_pii": op5_pii, "op6_warc": op6_warc, "op7_simhash": op7_simhash, "op8_cover_tree": op8_cover_tree, "op9_language_id": op9_language_id, "op10_packing": op10_packing}
+ORACLES = {"op1_mixing": OP1_SQL, "op8_cover_tree": OP8_SQL, "op2_topk": OP2_SQL, "op4_url_filters": OP4_SQL, "op6_warc": OP6_SQL}
