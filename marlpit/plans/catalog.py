@@ -1,3 +1,3 @@
 """All query modules; importing this registers them."""
 
-from . import retrieval  # noqa: F401
+from . import conversation, retrieval  # noqa: F401
