@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 
 from . import fixed
 
+_letters = {"a": "àáảãạăằắẳẵặâầấẩẫậäåā", "c": "çćč", "d": "đ", "e": "èéẻẽẹêềếểễệëē", "i": "ìíỉĩịïîī", "n": "ñń", "o": "òóỏõọôồốổỗộơờớởỡợöōø", "u": "ùúủũụưừứửữựüûū", "y": "ỳýỷỹỵÿ", "s": "š", "z": "ž"}
+ACCENTED, PLAIN = "".join(_letters.values()), "".join(k * len(v) for k, v in _letters.items())
 #: Letters, digits and underscore of any script.
 WORD = r"[\p{L}\p{N}_]+"
 
@@ -114,8 +116,7 @@ def overlap_ratio(query: Column, other: Column) -> Column:
 
 def fold_accents(text: Column) -> Column:
     """Lower case without the accents of Latin letters, and đ as d."""
-    plain = {"a": "àáảãạăằắẳẵặâầấẩẫậäåā", "c": "çćč", "d": "đ", "e": "èéẻẽẹêềếểễệëē", "i": "ìíỉĩịïîī", "n": "ñń", "o": "òóỏõọôồốổỗộơờớởỡợöōø", "u": "ùúủũụưừứửữựüûū", "y": "ỳýỷỹỵÿ", "s": "š", "z": "ž"}
-    return F.translate(F.lower(text), "".join(plain.values()), "".join(k * len(v) for k, v in plain.items()))
+    return F.translate(F.lower(text), ACCENTED, PLAIN)
 
 
 def clip(text: Column, most: int) -> Column:
