@@ -1,3 +1,3 @@
 """All query modules; importing this registers them."""
 
-from . import conversation, documents, retrieval  # noqa: F401
+from . import conversation, documents, relations, retrieval  # noqa: F401
