@@ -26,7 +26,8 @@ def canonical_value(number: Column, unit: Column) -> Column:
 
 def prose_claims(rows: DataFrame, key: str, text: str) -> DataFrame:
     """(key, claim_index, metric, value, percent, sentence) for each metric with a number after it in the same sentence."""
-    cut = F.split(F.col(text), r"(?<=[.!?])\s+(?=[\p{Lu}\p{N}])|\n+")
+    whole = F.regexp_replace(F.col(text), r"(\d)\s\.\s?(\d)", "$1.$2")  # a decimal that an extractor took apart
+    cut = F.split(whole, r"(?<=[.!?])\s+(?=[\p{Lu}\p{N}])|\n+")
     sentences = rows.select(key, F.posexplode(cut).alias("s", "sentence"))
     found = sentences.select(key, "s", "sentence", F.posexplode(F.regexp_extract_all("sentence", F.lit(_claim), F.lit(0))).alias("i", "m"))
     metric, number, unit = (F.regexp_extract("m", _claim, g) for g in (1, 2, 3))
