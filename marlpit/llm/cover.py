@@ -62,7 +62,7 @@ class CoverTree:
                 left = order[a:b]
                 start = order[c]
                 while len(left):
-                    near = np.linalg.norm(points[left] - points[start], axis=1) <= radius if len(left) > 1 else np.array([True])
+                    near = points[left] @ points[start] >= 1 - radius**2 / 2 if len(left) > 1 else np.array([True])
                     group = left[near]
                     group = np.concatenate(([start], group[group != start]))
                     new_centres.append(len(new_order))
@@ -153,10 +153,7 @@ def traverse(a: CoverTree, b: CoverTree, mult_a: np.ndarray, mult_b: np.ndarray,
         sizes = np.cumsum((ca[i + 1] - ca[i]) * (cb[j + 1] - cb[j]))
         cuts = np.searchsorted(sizes, np.arange(PAIRS_AT_ONCE, sizes[-1] if len(sizes) else 0, PAIRS_AT_ONCE))
         for block in np.split(np.arange(len(i)), np.unique(cuts)):
-            for x, y in _blocks(i[block], j[block], ca, cb):
-                if links.same:
-                    up = x <= y
-                    x, y = x[up], y[up]
+            for x, y in _near_children(a, b, level, i[block], j[block], reach):
                 gap = np.linalg.norm(a.points[a.centres[level][x]] - b.points[b.centres[level][y]], axis=1)
                 both = a.radii[level][x] + b.radii[level][y]
                 inside = gap + both <= reach - SLACK
@@ -176,6 +173,26 @@ def traverse(a: CoverTree, b: CoverTree, mult_a: np.ndarray, mult_b: np.ndarray,
     return links
 
 
+def _near_children(a: CoverTree, b: CoverTree, level: int, i: np.ndarray, j: np.ndarray, reach: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs of children of the pairs (i, j); of a pair with many, those that a matrix product already rules out are left out."""
+    ca, cb, same = a.children[level - 1], b.children[level - 1], a is b
+    many = (ca[i + 1] - ca[i]) * (cb[j + 1] - cb[j]) >= 1 << 12
+    for x, y in _blocks(i[~many], j[~many], ca, cb):
+        up = x <= y if same else slice(None)
+        yield x[up], y[up]
+    for p, q in zip(i[many].tolist(), j[many].tolist(), strict=True):
+        other = np.arange(cb[q], cb[q + 1])
+        right, far = b.points[b.centres[level][other]], b.radii[level][other]
+        step = max(1, PAIRS_AT_ONCE // len(other))
+        for at in range(ca[p], ca[p + 1], step):
+            own = np.arange(at, min(at + step, ca[p + 1]))
+            square = 2 - 2 * (a.points[a.centres[level][own]] @ right.T)
+            x, y = np.nonzero(square <= (a.radii[level][own][:, None] + far[None] + reach) ** 2 + 1e-6)
+            x, y = own[x], other[y]
+            up = x <= y if same else slice(None)
+            yield x[up], y[up]
+
+
 def _blocks(i: np.ndarray, j: np.ndarray, left: np.ndarray, right: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """_product in blocks of bounded size; a large run on the left is cut."""
     if not len(i):
