@@ -210,6 +210,7 @@ def cluster(fps: DataFrame, radius: int = RADIUS) -> DataFrame:
     groups = nodes.join(linked, nodes.fp == linked.node).groupBy("component").agg(F.min("least").alias("c"))
     labels = linked.join(groups, "component").select(F.col("node").alias("node_fp"), "c")
     named = nodes.join(labels, nodes.fp == F.col("node_fp"), "left").select(F.col("fp").alias("of"), F.coalesce("c", "least").alias("component"))
+    named = store(named, "named")  # a plain table: its exchange, and so a hot fingerprint's rows, can be split
     return known.join(named, known.fp == F.col("of")).select("key", "fp", "component")
 
 
