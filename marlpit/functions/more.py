@@ -9,6 +9,7 @@ import uuid
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def figure_label(caption: Column) -> Column:
@@ -77,18 +78,18 @@ def sensitive(value: Column) -> Column:
     return value.rlike(r"(?i)password|passcode|api[ _-]?key|secret|token\b|private key") | value.rlike(r"[0-9](?:[ -]?[0-9]){12,}")
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def stable_id(name: pd.Series) -> pd.Series:
     """UUID version 5 of a canonical name."""
     return name.map(lambda n: None if n is None else str(uuid.uuid5(uuid.NAMESPACE_URL, n)))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def nfkc_casefold(text: pd.Series) -> pd.Series:
     return text.map(lambda t: None if t is None else unicodedata.normalize("NFKC", t).casefold())
 
 
-@F.pandas_udf("struct<flat:string,positions:array<int>>")
+@F.pandas_udf(T.StructType([T.StructField("flat", T.StringType()), T.StructField("positions", T.ArrayType(T.IntegerType()))]))
 def squeeze_with_positions(text: pd.Series) -> pd.DataFrame:
     """A text with single spaces, and the place in the original of each of its characters."""
     flats, places = [], []
