@@ -22,6 +22,8 @@ from .common import small_batches, table
 WINDOW, STRIDE, WIDTHS, FILTERS, DIM = 128, 2, (2, 3, 4), 16, 6
 #: At most so many labelled rows of each language are fitted, and so many windows of each row.
 SAMPLE_ROWS, SAMPLE_WINDOWS = 1500, 4
+#: The network has a class for each language, so their number is bounded.
+MOST_LANGUAGES = 500
 UNKNOWN = "und"
 _common_letter = re.compile("[A-Za-zÀ-ÖØ-öø-ÿ]").search
 
@@ -164,10 +166,19 @@ def fit(rows: DataFrame, key: str = "doc_id", text: str = "text", label: str = "
     Languages are taken in the order of their hash-free names; there is one class for each, so their number must be small.
     """
     piece = F.expr(f"transform(sequence(0, least({most_windows}, ceil(length(`{text}`) / {WINDOW})) - 1), i -> substring(`{text}`, CAST(1 + i * greatest({WINDOW}, length(`{text}`) div {most_windows}) AS INT), {WINDOW}))")
-    order = W.partitionBy(label).orderBy(F.xxhash64(F.col(key).cast("string"), F.col(text)), F.col(key))
     known = rows.where(F.col(label).isNotNull() & (F.length(text) > 0))
-    sample = known.withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= most_rows)
-    got = sample.select(F.col(label).alias("label"), "_n", F.posexplode(piece).alias("i", "piece")).orderBy("label", "_n", "i").collect()
+    # few more rows than are kept pass a bound on the hash, so little is sorted or shuffled, and of those only pieces
+    counts = known.groupBy(label).agg(F.count("*").alias("n")).limit(MOST_LANGUAGES + 1).collect()
+    if len(counts) > MOST_LANGUAGES:
+        raise ValueError(f"more than {MOST_LANGUAGES} languages")
+    mark = F.xxhash64(F.col(key).cast("string"), F.col(text))
+    share = F.shiftrightunsigned(mark, 11) / float(1 << 53)
+    bound = F.coalesce(*[F.when(F.col(label) == r[0], F.lit((2.0 * most_rows + 64) / r.n)) for r in counts], F.lit(0.0))
+    passing = known.withColumn("_mark", mark).where(share <= bound)
+    order = W.partitionBy("label").orderBy("_mark", "_key")
+    sample = passing.select(F.col(label).alias("label"), F.col(key).alias("_key"), "_mark", piece.alias("_pieces"))
+    sample = sample.withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= most_rows)
+    got = sample.select("label", "_n", F.posexplode("_pieces").alias("i", "piece")).orderBy("label", "_n", "i").collect()
     return train([r.piece for r in got], [r.label for r in got], **options)
 
 
