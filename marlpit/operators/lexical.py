@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
@@ -23,26 +23,57 @@ def postings(docs: DataFrame, key: str, fields: dict[str, float]) -> DataFrame:
     return terms.groupBy(key, "term").agg(F.sum("w").alias("tf"))
 
 
-def bm25(docs: DataFrame, queries: DataFrame, key: str, fields: dict[str, float], query_key: str = "query_id", terms: str = "terms", scope: Column | None = None, k1: float = fixed.BM25_K1, b: float = fixed.BM25_B) -> DataFrame:
-    """(query_key, key, score) for each document with a query term; a larger score is better, rounded to 6 digits.
+def lengths(docs: DataFrame, key: str, fields: dict[str, float]) -> DataFrame:
+    """(key, dl): weighted numbers of words, summed over fields."""
+    total = sum((F.size(words_of(F.col(f))) * F.lit(float(w)) for f, w in fields.items()), F.lit(0.0))
+    return docs.select(key, total.alias("dl"))
+
 
-    Statistics cover all documents; `scope` restricts what is ranked. Only the queries' terms are exploded from the
-    documents, so postings of other words are never made. Texts are scanned once; the queries' distinct terms travel with a join.
+def write_index(docs: DataFrame, path: str, key: str, fields: dict[str, float], buckets: int = 256) -> None:
+    """Writes postings, partitioned by a hash of the term so that a query reads its terms' buckets alone, and lengths.
+
+    Texts are tokenized here once; searches then read neither them nor other terms' postings.
+    """
+    made = postings(docs, key, fields).withColumn("bucket", F.pmod(F.xxhash64("term"), F.lit(buckets)).cast("int"))
+    made.repartition("bucket").sortWithinPartitions("bucket", "term").write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/postings")
+    lengths(docs, key, fields).write.mode("overwrite").parquet(f"{path}/lengths")
+
+
+def read_index(spark: SparkSession, path: str, queries: DataFrame, terms: str = "terms", buckets: int = 256) -> tuple[DataFrame, DataFrame]:
+    """Postings of the queries' buckets (pruned when the job runs) and all lengths."""
+    wanted = queries.select(F.explode(terms).alias("term")).select(F.pmod(F.xxhash64("term"), F.lit(buckets)).cast("int").alias("bucket")).distinct()
+    found = spark.read.parquet(f"{path}/postings").join(F.broadcast(wanted), "bucket", "left_semi").drop("bucket")  # as many rows as buckets at most
+    return found, spark.read.parquet(f"{path}/lengths")
+
+
+def score(found: DataFrame, sizes: DataFrame, queries: DataFrame, key: str, query_key: str = "query_id", terms: str = "terms", ranked: DataFrame | None = None, k1: float = fixed.BM25_K1, b: float = fixed.BM25_B) -> DataFrame:
+    """(query_key, key, score) of documents with a query term from postings and lengths; larger is better, rounded to 6 digits.
+
+    Statistics cover all documents; `ranked` (keys) restricts what is scored.
     """
     wanted = queries.select(query_key, F.explode(F.array_distinct(terms)).alias("term"))
-    vocabulary = wanted.select("term").distinct()
-    length = sum((F.size(words_of(F.col(f))) * F.lit(float(w)) for f, w in fields.items()), F.lit(0.0))
-    sized = docs.withColumn("dl", length)
-    stats = docs.select(length.alias("dl")).agg(F.count("*").alias("n_docs"), F.avg("dl").alias("avgdl"))
-    tf = postings(docs, key, fields).join(vocabulary, "term", "left_semi")
+    stats = sizes.agg(F.count("*").alias("n_docs"), F.avg("dl").alias("avgdl"))
+    tf = found.join(wanted.select("term").distinct(), "term", "left_semi")
     df = tf.groupBy("term").agg(F.count("*").alias("df")).join(stats)  # stats is one row
     idf = F.greatest(F.log((F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5)), F.lit(fixed.BM25_LEAST_IDF))
-    ranked = sized.where(scope) if scope is not None else sized
-    scored = tf.join(ranked.select(key, "dl"), key).join(df.select("term", idf.alias("idf"), "avgdl"), "term")
+    kept = sizes if ranked is None else sizes.join(ranked, key, "left_semi")
+    scored = tf.join(kept, key).join(df.select("term", idf.alias("idf"), "avgdl"), "term")
     part = F.col("idf") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.col("avgdl")))
     return wanted.join(scored, "term").groupBy(query_key, key).agg(F.round(F.sum(part), 6).alias("score"))
 
 
+def bm25(docs: DataFrame, queries: DataFrame, key: str, fields: dict[str, float], query_key: str = "query_id", terms: str = "terms", scope: Column | None = None, k1: float = fixed.BM25_K1, b: float = fixed.BM25_B) -> DataFrame:
+    """score() without an index: postings are made of the queries' terms alone, before they are counted."""
+    vocabulary = queries.select(F.explode(terms).alias("term")).distinct()
+    spread = None
+    for field, weight in fields.items():
+        one = docs.select(key, F.explode(words_of(F.col(field))).alias("term"), F.lit(float(weight)).alias("w")).join(vocabulary, "term", "left_semi")
+        spread = one if spread is None else spread.unionByName(one)
+    found = spread.groupBy(key, "term").agg(F.sum("w").alias("tf"))
+    ranked = docs.where(scope).select(key) if scope is not None else None
+    return score(found, lengths(docs, key, fields), queries, key, query_key, terms, ranked, k1, b)
+
+
 def top(scored: DataFrame, k: int, key: str, by: str = "score", partition: str | None = "query_id", ascending: bool = False) -> DataFrame:
     """The k best rows (of each partition), ties to the smaller key, with their rank. Without a partition the sort keeps k rows a task."""
     order = [F.asc(by) if ascending else F.desc(by), F.asc(key)]

@@ -1,3 +1,3 @@
 """All query modules; importing this registers them."""
 
-from . import conversation, documents, further, relations, retrieval  # noqa: F401
+from . import conversation, documents, figures, further, relations, retrieval  # noqa: F401

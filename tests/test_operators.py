@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from marlpit.functions import text
-from marlpit.operators import catalog, chunking, claims, context, decisions, entities, evals, fusion, governance, graph, memory, mutations, vector
+from marlpit.operators import catalog, chunking, claims, context, decisions, entities, evals, fusion, governance, graph, lexical, memory, mutations, vector
 from marlpit.sources import files
 from marlpit.streaming import windows
 
@@ -85,6 +85,16 @@ def test_fusion_ties_and_duplicates(spark):
     assert got == [("x", 1), ("y", 2)]
 
 
+def test_index_scores_like_a_scan(spark, tmp_path):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text")
+    asked = spark.read.parquet("/root/testdata/sf0.001/benchmark.parquet").select(F.col("item_id").alias("query_id"), text.search_tokens(F.col("text"), 10).alias("terms"))
+    path = f"file://{tmp_path}/index"
+    lexical.write_index(docs, path, "doc_id", {"text": 1.0})
+    found = lexical.score(*lexical.read_index(spark, path, asked), asked, "doc_id")
+    scan = lexical.bm25(docs, asked, "doc_id", {"text": 1.0})
+    assert found.count() == scan.count() > 0 and found.join(scan, ["query_id", "doc_id", "score"], "left_anti").count() == 0
+
+
 def test_evaluation_helpers():
     assert evals.common_length("a b c d".split(), "b x d".split()) == 2 and evals.common_length([], ["a"]) == 0
     assert catalog.similarity("report", "the report") == 0.82 and catalog.similarity("abc", "abc") == 1.0
