@@ -116,13 +116,15 @@ FIELDS = "start long, length long, ids_crc32 long, doc_tokens long, loss_tokens
 
 def pack(
     rows: DataFrame, key: str = "doc_id", text: str = "text", loss: str | None = None, tokens: int = TOKENS, segments: int = SEGMENTS, loss_tokens: int | None = None,
-    cut: bool = True, with_ids: bool = False, window: int = 512, vocabulary: str | None = None,
+    cut: bool = True, with_ids: bool = False, window: int = 512, vocabulary: str | None = None, parts: str | None = None,
 ) -> DataFrame:
     """Packs the rows' texts, each with an end id after it; one row out for each piece.
 
     key, start (ids of its row before it), length, ids_crc32 (of its ids as little-endian unsigned 32-bit), doc_tokens
     (ids of its row), loss_tokens, sequence_id, offset, and with `with_ids` the ids as input_ids.
     `loss` names a boolean column: rows where it is false or null bear no loss; without it all ids do.
+    `parts` names an array of (text, loss) in place of text: an example of several parts, such as the turns of a
+    conversation, of which those with loss bear it; the end id bears loss if the last part does.
     With `cut` off, rows are never cut, and a row beyond the limits comes alone with a null sequence_id.
     Null and empty texts are an end id alone; repeated keys are packed as rows of their own; the same input
     partitions give the same sequences. An empty table gives none.
@@ -156,8 +158,15 @@ def pack(
         for batch in batches:
             key_type = batch.schema.field(0).type
             for k, t, bears in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
-                ids = np.append(coder.ids(t or ""), np.uint32(END_ID))
-                keep(packer.add(Piece(k, 0, ids, None if bears else np.zeros(len(ids), bool), len(ids))))
+                if parts is None:
+                    ids = np.append(coder.ids(t or ""), np.uint32(END_ID))
+                    mask = None if bears else np.zeros(len(ids), bool)
+                else:
+                    pieces = [(coder.ids(x["text"] or ""), bool(x["loss"])) for x in t or [] if x]
+                    last = (np.array([END_ID], np.uint32), bool(pieces) and pieces[-1][1])
+                    ids = np.concatenate([i for i, _ in (*pieces, last)])
+                    mask = np.concatenate([np.full(len(i), b) for i, b in (*pieces, last)])
+                keep(packer.add(Piece(k, 0, ids, mask, len(ids))))
             if out:
                 yield flush()
         keep(packer.drain())
@@ -166,7 +175,7 @@ def pack(
 
     bears = F.coalesce(F.col(loss), F.lit(False)) if loss else F.lit(True)
     schema = f"key {kind}, {FIELDS}" + (", input_ids array<long>" if with_ids else "")
-    return rows.select(F.col(key).alias("key"), F.col(text).alias("text"), bears.alias("bears")).mapInArrow(run, schema).withColumnRenamed("key", key)
+    return rows.select(F.col(key).alias("key"), F.col(parts or text).alias("text"), bears.alias("bears")).mapInArrow(run, schema).withColumnRenamed("key", key)
 
 
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

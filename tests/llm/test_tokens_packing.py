@@ -95,3 +95,13 @@ def test_cuts_respect_the_loss_limit():
     bins = [*packer.add(Piece(0, 0, np.arange(210, dtype=np.uint32), loss, 210)), *packer.drain()]
     assert all(sum(len(p.ids) for p in b) <= 50 and sum(p.bearing() for p in b) <= 10 for b, _ in bins)
     assert np.concatenate([p.ids for p in sorted((p for b, _ in bins for p in b), key=lambda p: p.start)]).tolist() == list(range(210))
+
+
+def test_parts_bear_loss_by_part(spark, reference):
+    rows = [(1, [("ask me", False), ("an answer", True)]), (2, [("only a question", False)]), (3, None), (4, []), (5, [(None, True), ("x " * 90, True)])]
+    frame = spark.createDataFrame(rows, "conv_id long, parts array<struct<text:string,loss:boolean>>")
+    got = pack(frame, "conv_id", parts="parts", tokens=64, loss_tokens=40).collect()
+    want = {k: (sum(len(ids(reference, t)) for t, _ in p or []) + 1, sum(len(ids(reference, t)) for t, b in p or [] if b) + bool(p and p[-1][1])) for k, p in rows}
+    assert {k: (sum(r.length for r in got if r.conv_id == k), sum(r.loss_tokens for r in got if r.conv_id == k)) for k in want} == want
+    for s in {r.sequence_id for r in got}:
+        assert sum(r.length for r in got if r.sequence_id == s) <= 64 and sum(r.loss_tokens for r in got if r.sequence_id == s) <= 40
