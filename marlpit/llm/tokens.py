@@ -9,6 +9,7 @@ bytes, the earlier one in a tie), `split` (shares in proportion to bytes).
 from __future__ import annotations
 
 import base64
+import re
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -30,6 +31,10 @@ def default_vocabulary() -> str:
     return public_tokenizers.path("byte_bpe_50k.tiktoken")
 
 
+#: Runs of Unicode white space.
+_long_space = re.compile("[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]{2000,}").finditer
+
+
 class Encoder:
     """Byte-level BPE over a file of ranks. The ids are those of the same vocabulary's JSON file in `tokenizers`, several times as fast."""
 
@@ -46,8 +51,21 @@ class Encoder:
             self.lengths[rank] = len(token)
         self.lengths[len(ranks)] = len(END_OF_TEXT)
 
+    def _plain(self, text: str) -> list[int]:
+        return self._coding.encode(text, allowed_special="all") if END_OF_TEXT in text else self._coding.encode_ordinary(text)
+
     def ids(self, text: str) -> np.ndarray:
-        return np.asarray(self._coding.encode(text, allowed_special="all") if END_OF_TEXT in text else self._coding.encode_ordinary(text), dtype=np.uint32)
+        """Ids of a whole text. Very long runs of white space are encoded apart, since the coder's pattern overflows its stack in them.
+
+        Such a run always begins a piece, which ends before its last character if another one follows the run.
+        """
+        out, at = [], 0
+        for run in _long_space(text):
+            end = run.end() - (run.end() < len(text))
+            out += self._plain(text[at : run.start()])
+            out += self._coding._encode_single_piece(text[run.start() : end])
+            at = end
+        return np.asarray([*out, *self._plain(text[at:])] if at else self._plain(text), dtype=np.uint32)
 
 
 @lru_cache(2)

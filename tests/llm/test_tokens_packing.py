@@ -27,6 +27,14 @@ def test_encoder_gives_the_ids_of_the_json_file(reference):
         assert coder.ids(t or "").tolist() == ids(reference, t)
 
 
+def test_long_runs_of_space(reference):
+    coder = Encoder(default_vocabulary())
+    for run in (" " * 2000, " \n" * 1500, "\u3000" * 2500, "\t" * 1999 + " "):
+        for t in (run, "a" + run, run + "b", "a" + run + "b " + run + "!c", run + "\x1c", "x" + run + "<|endoftext|>"):
+            assert coder.ids(t).tolist() == ids(reference, t), repr(t[:5])
+    assert len(coder.ids(" " * 3_000_000 + "end")) > 1
+
+
 def docs(spark):
     return spark.createDataFrame([(i if i < 10 else None, t, "k") for i, t in enumerate(TEXTS)], "doc_id long, text string, section string").repartition(2)
 
