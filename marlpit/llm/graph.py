@@ -8,10 +8,16 @@ from pyspark.sql import functions as F
 from .common import discard, store
 
 
-def _large_star(edges: DataFrame) -> DataFrame:
-    both = edges.union(edges.select("b", "a")).toDF("u", "v")
-    least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-    return both.where("v > u").join(least, "u").select(F.col("v").alias("a"), F.col("m").alias("b")).distinct()
+def _both_ways(edges: DataFrame) -> DataFrame:
+    return edges.union(edges.select("b", "a")).toDF("u", "v")
+
+
+def _least(edges: DataFrame) -> DataFrame:
+    return _both_ways(edges).groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+
+
+def _large_star(edges: DataFrame, least: DataFrame) -> DataFrame:
+    return _both_ways(edges).where("v > u").join(least, "u").select(F.col("v").alias("a"), F.col("m").alias("b")).distinct()
 
 
 def _small_star(edges: DataFrame) -> DataFrame:
@@ -33,8 +39,10 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     for _ in range(most_rounds):
         if not before[0]:
             break
-        new = store(_small_star(_large_star(now)), "edges")
+        least = store(_least(now), "least")  # a plain table: its exchange, and so the edges of a hot node, can be split
+        new = store(_small_star(_large_star(now, least)), "edges")
         discard(now)
+        discard(least)
         now, after = new, mark(new)
         if after == before:
             break
