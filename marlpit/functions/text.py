@@ -139,8 +139,15 @@ def head_tail(text: Column, most: int, mark: str = fixed.CLIP_MARK) -> Column:
 
 def shingles(text: Column, width: int = 5) -> Column:
     """Distinct runs of `width` lower-cased words; shorter texts give none."""
-    w = F.regexp_extract_all(F.lower(text), F.lit(WORD), F.lit(0))
-    return F.when(F.size(w) >= width, F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.size(w) - (width - 1), F.lit(1))), lambda i: F.array_join(F.slice(w, i, width), " ")))).otherwise(F.array().cast("array<string>"))
+    none = F.array().cast("array<string>")
+
+    def cut(w: Column) -> Column:
+        starts = F.sequence(F.lit(1), F.greatest(F.size(w) - (width - 1), F.lit(1)))
+        return F.when(F.size(w) >= width, F.array_distinct(F.transform(starts, lambda i: F.array_join(F.slice(w, i, width), " ")))).otherwise(none)
+
+    # the words are bound to a variable: inside the inner function they would be found again for each shingle
+    words = F.regexp_extract_all(F.lower(text), F.lit(WORD), F.lit(0))
+    return F.coalesce(F.element_at(F.transform(F.array(words), cut), 1), none)
 
 
 def first_words(text: Column, most: int) -> Column:

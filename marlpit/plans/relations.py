@@ -61,27 +61,30 @@ def j12_span_overlap(spark, sf_dir):
     return graph.overlapping(spans, parents(spark, sf_dir).select("document_id", "n", "start", "end"), "document_id").select("document_id", "start", F.col("n").cast("long").alias("n"), F.col("overlap").cast("long").alias("overlap"))
 
 
-SHINGLES = """
-w AS (SELECT doc_id, source, lang, regexp_extract_all(lower(text), '[\\p{L}\\p{N}_]+') AS w FROM documents),
-s AS (SELECT doc_id, source || lang AS g, unnest(list_distinct(list_transform(range(1, greatest(len(w) - 3, 1)), lambda i: array_to_string(w[i:i + 4], ' ')))) AS s FROM w WHERE len(w) >= 5),
-n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
-c AS (SELECT a.doc_id AS chunk, b.doc_id AS parent, count(*) AS k FROM s a JOIN s b ON a.g = b.g AND a.s = b.s AND a.doc_id % 2 = 1 AND b.doc_id % 2 = 0 GROUP BY ALL),
-r AS (SELECT chunk, parent, round(k / least(x.n, y.n), 6) AS score FROM c JOIN n x ON chunk = x.doc_id JOIN n y ON parent = y.doc_id)"""
+CUT = "list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')))"
+SHINGLES = f"""
+{PARENTS.strip()}, a AS (SELECT document_id, n AS chunk, regexp_extract_all(lower(content), '[\\p{{L}}\\p{{N}}_]+') AS w FROM l),
+b AS (SELECT document_id, n // 4 AS parent, regexp_extract_all(lower(string_agg(content, chr(10) ORDER BY n)), '[\\p{{L}}\\p{{N}}_]+') AS w FROM l GROUP BY ALL),
+x AS (SELECT document_id, chunk, len({CUT}) AS k, unnest({CUT}) AS s FROM a WHERE len(w) >= 5), y AS (SELECT document_id, parent, len({CUT}) AS k, unnest({CUT}) AS s FROM b WHERE len(w) >= 5),
+r AS (SELECT document_id, chunk, parent, round(count(*) / least(any_value(x.k), any_value(y.k)), 6) AS score FROM x JOIN y USING (document_id, s) GROUP BY document_id, chunk, parent)"""
 
 
 def _shared(spark, sf_dir):
-    d = table(spark, sf_dir, "documents").select("doc_id", F.concat("source", "lang").alias("g"), F.col("text").alias("content"))
-    return graph.containment(d.where("doc_id % 2 = 1").withColumnRenamed("doc_id", "chunk"), d.where("doc_id % 2 = 0").withColumnRenamed("doc_id", "parent"), "g", "chunk", "parent")
+    """Lines against the four-line pages of their own document, whose shingles alone they can meet."""
+    lines = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("document_id"), F.posexplode(F.split("text", "\n")).alias("chunk", "content"))
+    page = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("chunk", "content"))), lambda x: x["content"]), "\n")
+    pages = lines.groupBy("document_id", F.floor(F.col("chunk") / 4).alias("parent")).agg(page.alias("content"))
+    return graph.containment(lines.withColumn("chunk", F.col("chunk").cast("long")), pages, "document_id", "chunk", "parent")
 
 
-@query("r23_shingle_containment", f"WITH {SHINGLES} SELECT chunk, parent, score FROM r WHERE score >= 0.05")
+@query("r23_shingle_containment", f"WITH {SHINGLES} SELECT document_id, chunk, parent, score FROM r")
 def r23_shingle_containment(spark, sf_dir):
-    return _shared(spark, sf_dir).where("score >= 0.05").drop("g")
+    return _shared(spark, sf_dir)
 
 
-@query("w16_clear_winner", f"WITH {SHINGLES}, m AS (SELECT *, row_number() OVER w AS k, coalesce(lead(score) OVER w, 0) AS nx FROM r WINDOW w AS (PARTITION BY chunk ORDER BY score DESC, parent)) SELECT chunk, parent, score FROM m WHERE k = 1 AND score >= 0.55 AND round(score - nx, 6) >= 0.05")
+@query("w16_clear_winner", f"WITH {SHINGLES}, m AS (SELECT *, row_number() OVER w AS i, coalesce(lead(score) OVER w, 0) AS nx FROM r WINDOW w AS (PARTITION BY document_id, chunk ORDER BY score DESC, parent)) SELECT document_id, chunk, parent, score FROM m WHERE i = 1 AND score >= 0.55 AND round(score - nx, 6) >= 0.05")
 def w16_clear_winner(spark, sf_dir):
-    return graph.clear_winner(_shared(spark, sf_dir), ["chunk"], "parent").drop("g")
+    return graph.clear_winner(_shared(spark, sf_dir), ["document_id", "chunk"], "parent")
 
 
 @query("j23_resolve_documents", "SELECT c_custkey AS chunk_id, CASE WHEN c_custkey % 3 = 0 THEN c_custkey ELSE c_custkey % 50 + 1000 * (c_custkey % 3) END AS document_id, CASE c_custkey % 3 WHEN 0 THEN 'id' WHEN 1 THEN 'path' ELSE 'basename' END AS by FROM customer WHERE c_custkey % 3 <> 2 OR c_custkey % 50 <> 7")
