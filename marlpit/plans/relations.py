@@ -77,12 +77,12 @@ def _shared(spark, sf_dir):
     return graph.containment(lines.withColumn("chunk", F.col("chunk").cast("long")), pages, "document_id", "chunk", "parent")
 
 
-@query("r23_shingle_containment", f"WITH {SHINGLES} SELECT document_id, chunk, parent, score FROM r")
+@query("r23_shingle_containment", small_sql=f"WITH {SHINGLES} SELECT document_id, chunk, parent, score FROM r")
 def r23_shingle_containment(spark, sf_dir):
     return _shared(spark, sf_dir)
 
 
-@query("w16_clear_winner", f"WITH {SHINGLES}, m AS (SELECT *, row_number() OVER w AS i, coalesce(lead(score) OVER w, 0) AS nx FROM r WINDOW w AS (PARTITION BY document_id, chunk ORDER BY score DESC, parent)) SELECT document_id, chunk, parent, score FROM m WHERE i = 1 AND score >= 0.55 AND round(score - nx, 6) >= 0.05")
+@query("w16_clear_winner", small_sql=f"WITH {SHINGLES}, m AS (SELECT *, row_number() OVER w AS i, coalesce(lead(score) OVER w, 0) AS nx FROM r WINDOW w AS (PARTITION BY document_id, chunk ORDER BY score DESC, parent)) SELECT document_id, chunk, parent, score FROM m WHERE i = 1 AND score >= 0.55 AND round(score - nx, 6) >= 0.05")
 def w16_clear_winner(spark, sf_dir):
     return graph.clear_winner(_shared(spark, sf_dir), ["document_id", "chunk"], "parent")
 
