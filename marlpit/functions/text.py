@@ -143,7 +143,7 @@ def shingles(text: Column, width: int = 5) -> Column:
 
     def cut(w: Column) -> Column:
         starts = F.sequence(F.lit(1), F.greatest(F.size(w) - (width - 1), F.lit(1)))
-        return F.when(F.size(w) >= width, F.array_distinct(F.transform(starts, lambda i: F.array_join(F.slice(w, i, width), " ")))).otherwise(none)
+        return F.when(F.size(w) >= width, F.array_distinct(F.transform(starts, lambda i: F.concat_ws(" ", *[F.get(w, i + (k - 1)) for k in range(width)])))).otherwise(none)  # slice would copy all words each time
 
     # the words are bound to a variable: inside the inner function they would be found again for each shingle
     words = F.regexp_extract_all(F.lower(text), F.lit(WORD), F.lit(0))
