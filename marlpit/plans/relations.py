@@ -72,6 +72,7 @@ r AS (SELECT document_id, chunk, parent, round(count(*) / least(any_value(x.k),
 def _shared(spark, sf_dir):
     """Lines against the four-line pages of their own document, whose shingles alone they can meet."""
     lines = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("document_id"), F.posexplode(F.split("text", "\n")).alias("chunk", "content"))
+    lines = lines.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "document_id")  # few bytes, much work
     page = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("chunk", "content"))), lambda x: x["content"]), "\n")
     pages = lines.groupBy("document_id", F.floor(F.col("chunk") / 4).alias("parent")).agg(page.alias("content"))
     return graph.containment(lines.withColumn("chunk", F.col("chunk").cast("long")), pages, "document_id", "chunk", "parent")
