@@ -5,7 +5,11 @@ ten. Ball hashing at that radius is out of reach, so it is repeated over several
 of which a pair of similarity 0.8 lies within 4 bits about every second time. Pairs that also are near in the 64 bits
 are candidates, and their shingle sets are compared exactly. Groups are the connected components of what is similar enough.
 A node proposes few pairs at a time and components are merged between rounds, so the work on a group of n near copies grows
-with n and not with its pairs; once most are merged, the few texts that still stand apart meet all that is left.
+with n and not with its pairs.
+
+The balls only set the order of work. A last round is exact: sets of similarity t share one of the first s - ceil(t s) + 1
+of their s hashes in any common order, so all texts that meet there, are of different components and can reach t by size
+and place are compared. No pair is left out for the number of others.
 """
 
 from __future__ import annotations
@@ -29,6 +33,8 @@ TABLES, SHORT, PREFIX, CHECK = 6, 32, 10, 18
 SMALL, NEIGHBOURS, PROPOSALS = 16, 3, 3
 #: Tables that are searched together; components are merged after each.
 ROUNDS = ((0,), (1,), (2, 3, 4, 5))
+#: Hashes are counted in COUNTERS counters, so that common ones come last; the exact round is cut into SLICES by hash. Runs of more than RUN nodes of one component aren't met with themselves, AT_ONCE pairs are made at a time.
+COUNTERS, HEAVY, SLICES, RUN, AT_ONCE = 1 << 20, 1 << 16, 2, 32, 1 << 20
 
 
 def _mixed(h: np.ndarray, n: int) -> np.ndarray:
@@ -168,6 +174,138 @@ def _candidates(nodes: DataFrame, table: int) -> DataFrame:
     return dealt.mapInArrow(collide, "a long, b long")
 
 
+def _heavy(docs: DataFrame, text: str, width: int) -> np.ndarray:
+    """A weight for each counter of hashes, larger for more common ones. It only sets an order, so that light counters need not be told apart."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen = np.zeros(COUNTERS, np.int64)
+        for batch in batches:
+            for t in batch.column(0).cast(pa.binary()).to_pylist():
+                np.add.at(seen, (np.unique(shingle_hashes(t or b"", width)) % COUNTERS).astype(np.int64), 1)
+        mean = seen.mean()
+        at = np.flatnonzero(seen > mean + 4 * mean**0.5 + 4)
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(seen[at])], ["counter", "n"])
+
+    found = docs.select(text).mapInArrow(count, "counter long, n long").groupBy("counter").agg(F.sum("n").alias("n"))
+    weights = np.zeros(COUNTERS, np.int32)
+    for r in found.orderBy(F.desc("n"), "counter").limit(HEAVY).collect():
+        weights[r.counter] = min(r.n, 2**31 - 1)
+    return weights
+
+
+def _meetings(token: np.ndarray, comp: np.ndarray, size: np.ndarray, similarity: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """All pairs of rows of one token, of different components and of sizes that allow the similarity, in blocks; a pair may come with those of one component in small runs."""
+
+    def ranges(i: np.ndarray, low: np.ndarray, high: np.ndarray, of: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        n = np.maximum(high - low, 0)
+        ends = np.cumsum(n)
+        at, total = 0, int(ends[-1]) if len(ends) else 0
+        while at < total:  # places at to stop of all pairs in a row
+            stop = min(at + AT_ONCE, total)
+            place = np.arange(at, stop)
+            row = np.searchsorted(ends, place, side="right")
+            yield i[row], of[low[row] + place - (ends[row] - n[row])]
+            at = stop
+
+    order = np.lexsort((size, comp, token))
+    t, c = token[order], comp[order]
+    cut = np.flatnonzero(np.concatenate(([True], (t[1:] != t[:-1]) | (c[1:] != c[:-1]), [True])))
+    length = np.diff(cut)
+    lengths = np.repeat(length, length)
+    rest = order[lengths <= RUN]
+    # short runs: each row with those after it in the order of size
+    rest = rest[np.lexsort((size[rest], token[rest]))]
+    if len(rest):
+        edges = np.flatnonzero(np.concatenate(([True], token[rest][1:] != token[rest][:-1], [True])))
+        group = np.repeat(np.arange(len(edges) - 1), np.diff(edges))
+        wide = int(size.max()) + 2
+        high = np.searchsorted(group * wide + size[rest], group * wide + np.minimum(np.floor(size[rest] / similarity + 1e-6).astype(np.int64), wide - 1), side="right")
+        yield from ranges(rest, np.arange(len(rest)) + 1, high, rest)
+    # long runs: each with all rows of its token that aren't in an earlier long run or in it
+    bounds = np.flatnonzero(np.concatenate(([True], t[1:] != t[:-1], [True])))
+    for k in np.flatnonzero(length > RUN):
+        x, y = bounds[np.searchsorted(bounds, cut[k], side="right") - 1], bounds[np.searchsorted(bounds, cut[k], side="right")]
+        others = np.concatenate((order[x : cut[k]][lengths[x : cut[k]] <= RUN], order[cut[k + 1] : y]))
+        if not len(others):
+            continue
+        own = order[cut[k] : cut[k + 1]]
+        low = np.searchsorted(size[own], np.ceil(size[others] * similarity - 1e-6), side="left")
+        high = np.searchsorted(size[own], np.floor(size[others] / similarity + 1e-6), side="right")
+        yield from ranges(others, low, high, own)
+
+
+def _remaining(docs: DataFrame, nodes: DataFrame, text: str, width: int, similarity: float) -> list[DataFrame]:
+    """Tables (a, b): all pairs of nodes (node, comp, digest) of different components that can have the similarity."""
+    spark = docs.sparkSession
+    n, weights = parts(spark), spark.sparkContext.broadcast(_heavy(docs, text, width))
+
+    def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            tokens, sizes = [], []
+            for t in batch.column(1).cast(pa.binary()).to_pylist():
+                h = np.unique(shingle_hashes(t or b"", width))
+                order = np.lexsort((h, weights.value[(h % COUNTERS).astype(np.int64)]))
+                tokens.append(h[order[: len(h) - int(np.ceil(similarity * len(h) - 1e-6)) + 1]].tobytes() if len(h) else b"")
+                sizes.append(len(h))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(tokens, pa.binary()), pa.array(sizes, pa.int64())], ["digest", "tokens", "size"])
+
+    def emit(part: int):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                h = [np.frombuffer(x, np.uint64) for x in batch.column(3).to_pylist()]
+                keep = [np.flatnonzero((x >> np.uint64(32)) % SLICES == part) for x in h]
+                many = [len(k) for k in keep]
+                node, comp, size = (np.repeat(batch.column(i).to_numpy(zero_copy_only=False), many) for i in range(3))
+                token = np.concatenate([x[k] for x, k in zip(h, keep, strict=True)] or [np.array([], np.uint64)])
+                place = np.concatenate([*keep, np.array([], np.int64)])
+                for i in range(0, len(token), 1 << 16):
+                    s = slice(i, i + (1 << 16))
+                    yield pa.RecordBatch.from_arrays([pa.array(x[s]) for x in (token.view(np.int64), node, comp, size << 32 | place)], ["token", "node", "comp", "at"])
+
+        return run
+
+    def work(token: np.ndarray, node: np.ndarray, comp: np.ndarray, at: np.ndarray) -> Iterator[pa.RecordBatch]:
+        size, left = at >> 32, (at >> 32) - (at & (2**32 - 1))
+        for x, y in _meetings(token, comp, size, similarity):
+            # where a pair of that similarity meets first, at most the rest of the shorter tail is common
+            keep = (comp[x] != comp[y]) & (np.minimum(left[x], left[y]) * (1 + similarity) >= similarity * (size[x] + size[y]) - 1e-6)
+            x, y = x[keep], y[keep]
+            pairs = np.unique(np.stack((np.minimum(node[x], node[y]), np.maximum(node[x], node[y])), axis=1), axis=0)
+            yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["a", "b"])
+
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        waiting: list[list[np.ndarray]] = []
+        size, last = 0, None
+        for batch in batches:
+            cols = [batch.column(i).to_numpy(zero_copy_only=False) for i in range(4)]
+            if not len(cols[0]):
+                continue
+            waiting.append(cols)
+            size += len(cols[0])
+            if size >= 1 << 17 and cols[0][-1] != last:
+                last = cols[0][-1]  # this token may go on
+                rows = [np.concatenate(c) for c in zip(*waiting, strict=True)]
+                cut = int(np.flatnonzero(rows[0] != last)[-1]) + 1 if rows[0][0] != last else 0
+                if cut:
+                    yield from work(*(r[:cut] for r in rows))
+                waiting, size = [[r[cut:] for r in rows]], len(rows[0]) - cut
+        if size:
+            yield from work(*(np.concatenate(c) for c in zip(*waiting, strict=True)))
+
+    cut = store(docs.select(_digest(text).alias("digest"), text).mapInArrow(first, "digest string, tokens binary, size long"), "first")
+    once = cut.groupBy("digest").agg(F.first("tokens").alias("tokens"), F.first("size").alias("size"))
+    of = store(nodes.join(once, "digest").select("node", "comp", "size", "tokens"), "tokens")
+    discard(cut)
+    out = []
+    for part in range(SLICES):
+        small_batches(spark)
+        dealt = of.repartition(n).mapInArrow(emit(part), "token long, node long, comp long, at long")
+        dealt = dealt.repartition(n, "token").sortWithinPartitions("token")
+        out.append(store(dealt.mapInArrow(meet, "a long, b long").distinct(), f"rest{part}"))
+    discard(of)
+    return out
+
+
 def groups(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int = WIDTH, similarity: float = SIMILARITY) -> tuple[DataFrame, DataFrame]:
     """Rows (key, digest) of docs, and nodes (digest, component, least) of their distinct texts; a component's texts are a group of near duplicates.
 
@@ -214,14 +352,14 @@ def groups(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int
 
     texts = docs.select(F.col(key).alias("key"), F.col(text).alias("text"), _digest(text).alias("digest"))
     hashed, kept_sets = None, []
-    for tables in ROUNDS:
+    for tables in (*ROUNDS, None):
         comp = F.col("node").alias("comp")
         known = full.select("node", "words", comp)
         if groups_ is not None:
-            known = full.join(groups_.toDF("of", "comp"), F.col("node") == F.col("of"), "left").select("node", "words", F.coalesce("comp", "node").alias("comp"))
+            known = full.join(groups_.toDF("of", "comp"), F.col("node") == F.col("of"), "left").select("node", "words", F.coalesce("comp", "node").alias("comp"), "digest")
         known = store(known, "known")
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(1 << 16))
-        tried = [store(_candidates(known, t), f"pairs{t}") for t in tables]
+        tried = [store(_candidates(known, t), f"pairs{t}") for t in tables] if tables else _remaining(docs, known.select("node", "comp", "digest"), text, width, similarity)
         pairs = tried[0]
         for t in tried[1:]:
             pairs = pairs.union(t)

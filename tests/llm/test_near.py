@@ -1,6 +1,6 @@
 import random
 
-from marlpit.llm.near import dedup, groups
+from marlpit.llm.near import _meetings, dedup, groups
 
 
 def shingles(text):
@@ -58,3 +58,47 @@ def test_edges(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     assert sorted(map(str, dedup(docs).collect())) == sorted(map(str, [docs.collect()[i] for i in (0, 3, 5, 6)]))
     assert dedup(docs.limit(0)).count() == 0 and groups(docs)[1].count() == 4
+
+
+def kept_and_expected(spark, texts):
+    """Keys that dedup keeps, and those of an exhaustive comparison."""
+    sets, root = [shingles(t) for t in texts], list(range(len(texts)))
+
+    def top(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for i in range(len(texts)):
+        for j in range(i):
+            both = len(sets[i] & sets[j])
+            if both >= 0.8 * (len(sets[i]) + len(sets[j]) - both):
+                x, y = sorted((top(i), top(j)))
+                root[y] = x
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    return sorted(r.doc_id for r in dedup(docs).collect()), [i for i in range(len(texts)) if root[i] == i]
+
+
+def test_template(spark):
+    """Texts of one template are alike at 0.6 to 0.79; the true pairs among them reach 0.8 only just."""
+    rng = random.Random(9)
+    word = lambda: "".join(rng.choices("abcdefgh", k=5))
+    template, texts = [word() for _ in range(160)], []
+    for _ in range(150):
+        w = template + [word() for _ in range(44)]
+        texts.append(" ".join(w))
+        if len(texts) % 3 == 1:
+            texts.append(" ".join(w[:160] + w[160:182] + [word() for _ in range(22)]))
+    kept, expected = kept_and_expected(spark, texts)
+    assert kept == expected and len(expected) < len(texts)
+
+
+def test_meetings_against_all_pairs():
+    import numpy as np
+
+    rng = np.random.default_rng(1)
+    for n in (1, 2, 30, 400):
+        token, comp, size = rng.integers(0, 3, n), rng.integers(0, 5, n), rng.integers(1, 30, n)
+        got = [tuple(sorted(p)) for x, y in _meetings(token, comp, size, 0.8) for p in zip(x.tolist(), y.tolist(), strict=True) if comp[p[0]] != comp[p[1]]]
+        want = {(i, j) for i in range(n) for j in range(i + 1, n) if token[i] == token[j] and comp[i] != comp[j] and min(size[i], size[j]) >= 0.8 * max(size[i], size[j]) - 1e-9}
+        assert len(got) == len(set(got)) and set(got) == want
