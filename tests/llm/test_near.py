@@ -102,3 +102,14 @@ def test_meetings_against_all_pairs():
         got = [tuple(sorted(p)) for x, y in _meetings(token, comp, size, 0.8) for p in zip(x.tolist(), y.tolist(), strict=True) if comp[p[0]] != comp[p[1]]]
         want = {(i, j) for i in range(n) for j in range(i + 1, n) if token[i] == token[j] and comp[i] != comp[j] and min(size[i], size[j]) >= 0.8 * max(size[i], size[j]) - 1e-9}
         assert len(got) == len(set(got)) and set(got) == want
+
+
+def test_short_texts_at_the_threshold(spark):
+    """5 shingles against 4 of them: a similarity of exactly 0.8."""
+    rng = random.Random(12)
+    texts = []
+    for i in range(80):
+        w = [f"w{i}x{rng.randrange(10**6)}" for _ in range(9)]
+        texts += [" ".join(w), " ".join(w[:8])]
+    kept, expected = kept_and_expected(spark, texts)
+    assert kept == expected == list(range(0, 160, 2))
