@@ -113,3 +113,19 @@ def test_short_texts_at_the_threshold(spark):
         texts += [" ".join(w), " ".join(w[:8])]
     kept, expected = kept_and_expected(spark, texts)
     assert kept == expected == list(range(0, 160, 2))
+
+
+def test_chains(spark):
+    """Edited copies of edited copies: each reaches 0.8 with one member of a large group only."""
+    rng = random.Random(3)
+    word = lambda: "".join(rng.choices("abcdefgh", k=6))
+    base = [word() for _ in range(200)]
+    texts = [" ".join(base)]
+    for _ in range(80):
+        w = list(base)
+        for _ in range(2):
+            for i in rng.sample(range(5, 195, 10), 3):
+                w[i] = word()
+            texts.append(" ".join(w))
+    kept, expected = kept_and_expected(spark, texts)
+    assert kept == expected and len(expected) < 10
