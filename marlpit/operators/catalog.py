@@ -46,23 +46,29 @@ def similarity(a: str, b: str) -> float:
     return SequenceMatcher(None, a, b).ratio()
 
 
+def _bound(a: str, b: str) -> float:
+    """What similarity() of two names is at most, rounded like scores."""
+    a, b = a.lower(), b.lower()
+    if a in b or b in a:
+        return 1.0
+    both = SequenceMatcher(None, a, b)
+    return round(min(both.real_quick_ratio(), both.quick_ratio()), 6)
+
+
 def fuzzy_names(names: DataFrame, queries: DataFrame, name: str, query: str, key: str, least: float = 0.45, most: int = 5, sure: float = 0.96) -> DataFrame:
     """(query, key, score, rank, resolved): names at least `least` similar. A single name at `sure` or more resolves the query.
 
-    Names and queries meet by shared character trigrams, not all with all; a pair without one falls short of `least` in all
-    but very short names, which are compared by their first letter.
+    Every name is scored with every query. Only the ratio of matching blocks is left out where its upper bounds, by lengths
+    and by common characters, are under `least`. Null names and queries match nothing.
     """
 
     @F.pandas_udf("double")
     def score(a: pd.Series, b: pd.Series) -> pd.Series:
-        return pd.Series([round(similarity(x, y), 6) for x, y in zip(a, b, strict=True)], dtype="float64")
-
-    def grams(c: str) -> Column:
-        low = F.lower(c)
-        return F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.length(low) - 2, F.lit(1))), lambda i: F.substring(low, i, F.lit(3))))
+        return pd.Series([round(similarity(x, y), 6) if _bound(x, y) >= least else -1.0 for x, y in zip(a, b, strict=True)], dtype="float64")
 
-    common = names.select(key, F.explode(grams(name)).alias("g")).join(queries.select(query, F.explode(grams(query)).alias("g")), "g").select(key, query).distinct()
-    scored = common.join(names.select(key, name), key).withColumn("score", score(F.col(name), F.col(query))).where(F.col("score") >= least)
+    asked = queries.where(F.col(query).isNotNull()).select(query).distinct()
+    dealt = names.where(F.col(name).isNotNull()).select(key, name).repartition(names.sparkSession.sparkContext.defaultParallelism)
+    scored = dealt.crossJoin(asked).withColumn("score", score(F.col(name), F.col(query))).where(F.col("score") >= least)
     w = W.partitionBy(query).orderBy(F.desc("score"), key)
     sures = F.sum(F.when(F.col("score") >= sure, 1).otherwise(0)).over(W.partitionBy(query))
     ranked = scored.withColumns({"rank": F.row_number().over(w), "resolved": (sures == 1) & (F.col("score") >= sure)})

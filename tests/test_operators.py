@@ -219,3 +219,15 @@ def test_text_functions(spark):
     assert one(text.card_language(c)) == "vi" and one(text.first_words(c, 2)) == "Đường phố"
     assert one(text.context_prefix(F.lit("f"), F.lit(None).cast("string"), F.lit(3), F.lit(""), F.lit("s"))) == "File: f\nPage: 3\nSummary: s"
     assert one(text.or_query(F.array(F.lit('a"b'), F.lit("c")))) == '"a""b" OR "c"'
+
+
+def test_fuzzy_names_against_brute_force(spark):
+    import random
+
+    rng = random.Random(5)
+    names = ["abxcdyef", "ab", "a", "", "Report_2024.txt", "rep0rt-2O24", None] + ["".join(rng.choices("abcd12", k=rng.randint(1, 9))) for _ in range(60)]
+    asked = ["ab1cd2ef", "abc", "b", "report 2024", None] + ["".join(rng.choices("abcd12", k=rng.randint(1, 9))) for _ in range(10)]
+    got = catalog.fuzzy_names(spark.createDataFrame(list(enumerate(names)), "id long, name string"), spark.createDataFrame([(a,) for a in asked], "asked string"), "name", "asked", "id", most=100)
+    scores = {(a, i): round(catalog.similarity(n, a), 6) for a in asked if a is not None for i, n in enumerate(names) if n is not None}
+    assert {(r.asked, r.id): r.score for r in got.collect()} == {k: s for k, s in scores.items() if s >= 0.45}
+    assert scores["ab1cd2ef", 0] == 0.75 and scores["abc", 1] == 0.82
