@@ -1,11 +1,14 @@
-"""What the operators of this subpackage share: stored intermediate tables, Arrow batch sizes and word classes."""
+"""What the operators of this subpackage share: stored intermediate tables, pieces of Arrow batches and word classes."""
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
+from collections.abc import Iterator
 from contextlib import contextmanager
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 #: A word is a run of characters other than ASCII white space.
@@ -14,12 +17,14 @@ _OWN_DIR: dict[str, str] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir, which all machines see; a temporary one only where that setting is unset."""
-    app = spark.sparkContext.applicationId
-    root = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
+    """The folder in spark.checkpoint.dir, which all machines see. Where that setting is unset: a temporary folder in local mode, else an error."""
+    context = spark.sparkContext
+    root = context.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
+    if not root and not re.fullmatch(r"local(\[[^\[]*\])?", context.master):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
     if not root:
-        root = _OWN_DIR.setdefault(app, "file://" + tempfile.mkdtemp(prefix="marlpit-"))
-    return f"{root.rstrip('/')}/marlpit-{app}"
+        root = _OWN_DIR.setdefault(context.applicationId, "file://" + tempfile.mkdtemp(prefix="marlpit-"))
+    return f"{root.rstrip('/')}/marlpit-{context.applicationId}"
 
 
 @contextmanager
@@ -54,10 +59,11 @@ def discard(df: DataFrame) -> None:
     target.getFileSystem(df.sparkSession._jsc.sc().hadoopConfiguration()).delete(target, True)
 
 
-def small_batches(spark: SparkSession, rows: int = 512) -> None:
-    """Bounds the Arrow batches that Python workers get, for tables with very long texts."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(16 << 20))
+def slices(batches: Iterator[pa.RecordBatch], rows: int = 512) -> Iterator[pa.RecordBatch]:
+    """The batches in pieces of at most `rows`, for work whose memory grows with the rows at hand. Spark bounds a batch's bytes itself."""
+    for batch in batches:
+        for i in range(0, batch.num_rows, rows):
+            yield batch.slice(i, rows)
 
 
 def parts(spark: SparkSession) -> int:

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import parts, store, table
+from .common import parts, slices, store, table
 from .graph import components
 from .simhash import _forest
 
@@ -225,8 +225,7 @@ def near_duplicates(rows: DataFrame, key: str = "vec_id", vector: str = "embeddi
     """
     if not 0.5 <= threshold < 1:
         raise ValueError("threshold must be at least 0.5 and below 1")
-    spark, n_parts = rows.sparkSession, parts(rows.sparkSession)
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(HOME))
+    n_parts = parts(rows.sparkSession)
     reach = (2 - 2 * threshold) ** 0.5
     base = rows.select(F.col(key).alias("key"), F.col(vector).alias("v"), F.col(label).alias("label"))
     usable = F.col("label").isNotNull() & valid(F.col("v"))
@@ -249,7 +248,7 @@ def near_duplicates(rows: DataFrame, key: str = "vec_id", vector: str = "embeddi
         return gap, gap.argmin(axis=1)
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches, HOME):
             dims = batch.column(1).to_numpy(zero_copy_only=False)
             for d in np.unique(dims):
                 part = batch.filter(pa.array(dims == d))
@@ -262,7 +261,7 @@ def near_duplicates(rows: DataFrame, key: str = "vec_id", vector: str = "embeddi
     stats = store(stats.groupBy("label", "dim").agg(F.collect_list(F.struct("home", "radius", "chunks")).alias("homes")).join(sizes, ["label", "dim"]), "homes")  # CENTRES entries at most
 
     def visit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches, HOME):
             dims = batch.column(1).to_numpy(zero_copy_only=False)
             for d in np.unique(dims):
                 part = batch.filter(pa.array(dims == d))
@@ -320,7 +319,7 @@ def near_duplicates(rows: DataFrame, key: str = "vec_id", vector: str = "embeddi
                 own = []
                 yield emit(traverse(tree[0], tree[0], mult, mult, threshold), node, node)
 
-        for batch in batches:
+        for batch in slices(batches, HOME):
             keys = list(zip(*(batch.column(i).to_pylist() for i in range(5)), strict=True))
             cuts = [0, *(i for i in range(1, len(keys)) if keys[i] != keys[i - 1]), len(keys)]
             for s, e in zip(cuts[:-1], cuts[1:], strict=True):

@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from .common import small_batches, table
+from .common import slices, table
 
 WINDOW, STRIDE, WIDTHS, FILTERS, DIM = 128, 2, (2, 3, 4), 16, 6
 #: At most so many labelled rows of each language are fitted, and so many windows of each row.
@@ -184,12 +184,11 @@ def fit(rows: DataFrame, key: str = "doc_id", text: str = "text", label: str = "
 
 def identify(docs: DataFrame, net: Network | None, text: str = "text") -> DataFrame:
     """docs with lang_pred and lang_score (0 to 1) for each whole text. Columns of these names are replaced; null texts are `und`."""
-    small_batches(docs.sparkSession, 256)
     docs = docs.drop("lang_pred", "lang_score")
     at = docs.columns.index(text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches, 256):
             languages, scores = predict(net, batch.column(at).to_pylist())
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(languages, pa.string()), pa.array(scores, pa.float64())], [*batch.schema.names, "lang_pred", "lang_score"])
 

@@ -1,15 +1,16 @@
-"""Near-duplicate documents by SimHash, at a Jaccard similarity of shingle sets.
-
-Fingerprints of 64 bits within 4 bits find only very close copies: at a Jaccard similarity of 0.8 they differ in about
-ten. Ball hashing at that radius is out of reach, so it is repeated over several short fingerprints of 32 bits of their own, in each
-of which a pair of similarity 0.8 lies within 4 bits about every second time. Pairs that also are near in the 64 bits
-are candidates, and their shingle sets are compared exactly. Groups are the connected components of what is similar enough.
-A node proposes few pairs at a time and components are merged between rounds, so the work on a group of n near copies grows
-with n and not with its pairs.
-
-The balls only set the order of work. A last round is exact: sets of similarity t share one of the first s - ceil(t s) + 1
-of their s hashes in any common order, so all texts that meet there, are of different components and can reach t by size
-and place are compared. No pair is left out for the number of others.
+"""Near-duplicate documents by SimHash, at a Jaccard similarity of shingle sets; no pair at the threshold is left out.
+
+1. Ball hashing: fingerprints of 64 bits within RADIUS bits meet at a common variant; the shingle sets of what meets
+   are compared exactly, and those that are similar enough are merged into groups. These are the closest copies.
+2. At a similarity of 0.8 two fingerprints differ in about ten bits, and balls of half of ten bits have 8 million
+   variants. So a second step is complete by another bound: sets of similarity t share one of the first
+   s - ceil(t s) + 1 of their s hashes in any common order. Texts of different groups that share such a hash meet, and
+   a sketch (a bit for each hash value modulo SKETCH that occurs an odd number of times) rules a pair out where even the
+   least possible difference of the sets is too large: two sketches never differ in more bits than the sets in hashes.
+   First a spanning forest of the most similar pairs is compared exactly and merged; then all pairs that still are open.
+
+A hash that many texts share is dealt to pairs of blocks of at most BLOCK texts, so no task holds all of them, and pairs
+are made AT_ONCE at a time and leave a task only if the sketch leaves them open.
 """
 
 from __future__ import annotations
@@ -19,386 +20,311 @@ from hashlib import md5
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
-from .common import discard, parts, small_batches, store
-from .cover import _blocks
+from .common import discard, parts, slices, store
 from .graph import components
-from .simhash import CHUNK, RADIUS, masks, shingle_hashes
+from .simhash import RADIUS, _forest, fingerprint, links, shingle_hashes
 
 WIDTH, SIMILARITY = 5, 0.8
-TABLES, SHORT, PREFIX, CHECK = 6, 32, 10, 18
-#: Groups at a variant of at most SMALL nodes are compared pair by pair; in larger ones each node meets the first and its neighbours in the order of the long fingerprint.
-SMALL, NEIGHBOURS, PROPOSALS = 16, 3, 3
-#: Tables that are searched together; components are merged after each.
-ROUNDS = ((0,), (1,), (2, 3, 4, 5))
-#: Hashes are counted in COUNTERS counters, so that common ones come last; the exact round is cut into SLICES by hash. Runs of more than RUN nodes of one component aren't met with themselves, AT_ONCE pairs are made at a time.
-COUNTERS, HEAVY, SLICES, RUN, AT_ONCE = 1 << 20, 1 << 16, 2, 32, 1 << 20
-
-
-def _mixed(h: np.ndarray, n: int) -> np.ndarray:
-    """A further independent hash of each hash."""
-    x = h ^ np.uint64((0x9E3779B97F4A7C15 * n) % 2**64)
-    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return x ^ (x >> np.uint64(31))
-
-
-def signature(hashes: np.ndarray, words: int) -> np.ndarray:
-    """`words` fingerprints of 64 bits over the set of hashes."""
-    hashes = np.unique(hashes)
-    counts = np.zeros(64 * words, np.int64)
-    for i in range(0, len(hashes), CHUNK):
-        part = hashes[i : i + CHUNK]
-        mixed = np.stack([part, *(_mixed(part, n) for n in range(1, words))], axis=1)
-        counts += np.unpackbits(mixed.view(np.uint8).reshape(len(part), -1), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    return np.packbits(2 * counts > len(hashes), bitorder="little").view(np.uint64)
-
-
-def _digest(text: str):
+#: Hashes are counted in COUNTERS counters of which the HEAVY largest set the order of a text's hashes, common ones last.
+COUNTERS, HEAVY = 1 << 20, 1 << 16
+SKETCH, BLOCK, AT_ONCE, ROWS = 2048, 2048, 1 << 17, 1 << 15
+
+
+def _digest(text: str | Column) -> Column:
     return F.md5(F.encode(F.coalesce(text, F.lit("")), "UTF-8"))
 
 
-def _propose(group: np.ndarray, flips: np.ndarray, node: np.ndarray, comp: np.ndarray, main: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs (i, j) of rows of a variant's group, i unflipped: all in small groups, a number in proportion to the rows in large ones."""
-    order = np.lexsort((node, flips, comp, group))
-    # nodes of one component are alike here: two of them stand for it
-    g, c = group[order], comp[order]
-    third = np.zeros(len(order), bool)
-    third[2:] = (g[2:] == g[:-2]) & (c[2:] == c[:-2])
-    order = order[~third]
-    order = order[np.lexsort((node[order], main[order], group[order]))]
-    g = group[order]
-    bounds = np.flatnonzero(np.concatenate(([True], g[1:] != g[:-1], [True])))
-    size = np.diff(bounds)
-    small = np.flatnonzero((size > 1) & (size <= SMALL))
-    left, right = [], []
-    for x, y in _blocks(small, small, bounds, bounds):
-        left.append(x)
-        right.append(y)
-    wide = np.repeat(size > SMALL, size)
-    at = np.flatnonzero(wide)
-    if len(at):
-        first = np.repeat(np.minimum.reduceat(node[order], bounds[:-1]), size)
-        lead = np.flatnonzero(wide & (node[order] == first))
-        lead = lead[np.concatenate(([True], g[lead[1:]] != g[lead[:-1]]))]
-        left.append(at)
-        right.append(np.repeat(lead, size[size > SMALL]))
-        for step in range(1, NEIGHBOURS + 1):
-            near = at[at + step < len(g)]
-            near = near[g[near] == g[near + step]]
-            left += [near, near + step]
-            right += [near + step, near]
-    if not left:
-        return np.array([], np.int64), np.array([], np.int64)
-    x, y = order[np.concatenate(left)], order[np.concatenate(right)]
-    asks = (flips[x] == 0) & (comp[x] != comp[y])
-    return x[asks], y[asks]
-
-
-def _candidates(nodes: DataFrame, table: int) -> DataFrame:
-    """(a, b): pairs of nodes of different components that are within 4 bits in one short fingerprint and CHECK bits in the long one.
-
-    Each node asks where its prefix is unflipped, and so once: it meets all that are within 2 bits of its prefix and
-    2 bits of a common variant. It proposes the nearest node of each of the PROPOSALS nearest components, and the first node.
-    """
-    n, half, low_bits = parts(nodes.sparkSession), RADIUS // 2, SHORT - PREFIX
-    high, low = masks(range(low_bits, SHORT), half), masks(range(low_bits), half)
-    flips_of = np.concatenate([np.full(len(m), i) for i, m in enumerate(high)])
-    flat = np.concatenate(high)
-    names = ["base", "flips", "node", "comp", "long"]
-
-    def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            node, comp, main, short = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(4))
-            for i in range(0, len(node), 2048):
-                s = slice(i, i + 2048)
-                base = (short[s].view(np.uint64)[:, None] ^ flat[None, :]).ravel()
-                yield pa.RecordBatch.from_arrays([pa.array(base.view(np.int64)), pa.array(np.tile(flips_of.astype(np.int32), len(node[s]))), *(pa.array(np.repeat(x[s], len(flat))) for x in (node, comp, main))], names)
-
-    def work(base: np.ndarray, flips: np.ndarray, node: np.ndarray, comp: np.ndarray, main: np.ndarray) -> pa.RecordBatch:
-        values, owners = [], []
-        for used in range(half + 1):
-            own, mask = np.flatnonzero(flips == used), np.concatenate(low[: half - used + 1])
-            values.append((base[own].view(np.uint64)[:, None] ^ mask[None, :]).ravel())
-            owners.append(np.repeat(own, len(mask)))
-        v, own = np.concatenate(values), np.concatenate(owners)
-        ordered = np.sort(v)
-        shared = np.unique(ordered[1:][ordered[1:] == ordered[:-1]])
-        x = y = gap = np.array([], np.int64)
-        if len(shared):
-            place = np.minimum(np.searchsorted(shared, v), len(shared) - 1)
-            hit = shared[place] == v
-            own = own[hit]
-            x, y = _propose(place[hit], flips[own], node[own], comp[own], main[own].view(np.uint64))
-            x, y = own[x], own[y]
-            gap = np.bitwise_count(main[x].view(np.uint64) ^ main[y].view(np.uint64)).astype(np.int64)
-            x, y, gap = x[gap <= CHECK], y[gap <= CHECK], gap[gap <= CHECK]
-            order = np.lexsort((node[y], gap, comp[y], node[x]))  # the nearest of each component
-            x, y, gap = x[order], y[order], gap[order]
-            once = np.ones(len(x), bool)
-            once[1:] = (node[x[1:]] != node[x[:-1]]) | (comp[y[1:]] != comp[y[:-1]])
-            x, y, gap = x[once], y[once], gap[once]
-            kept = []
-            for order in (np.lexsort((node[y], gap, node[x])), np.lexsort((node[y], node[x]))):
-                who = node[x[order]]
-                start = np.maximum.accumulate(np.where(np.concatenate((np.ones(min(1, len(who)), bool), who[1:] != who[:-1])), np.arange(len(who)), 0))
-                kept.append(order[np.arange(len(who)) - start < (PROPOSALS if not kept else 1)])
-            keep = np.unique(np.concatenate(kept))
-            x, y = x[keep], y[keep]
-        pairs = np.unique(np.stack((np.minimum(node[x], node[y]), np.maximum(node[x], node[y])), axis=1), axis=0)
-        return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["a", "b"])
-
-    def collide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        waiting: list[list[np.ndarray]] = []
-        size = 0
-        for batch in batches:
-            waiting.append([batch.column(i).to_numpy(zero_copy_only=False) for i in range(5)])
-            size += batch.num_rows
-            if size >= 1 << 17:
-                rows = [np.concatenate(c) for c in zip(*waiting, strict=True)]
-                keys = rows[0] >> low_bits
-                cut = int(np.flatnonzero(keys != keys[-1])[-1]) + 1 if keys[0] != keys[-1] else 0  # the last prefix may go on
-                if cut:
-                    yield work(*(r[:cut] for r in rows))
-                waiting, size = [[r[cut:] for r in rows]], len(rows[0]) - cut
-        if size:
-            yield work(*(np.concatenate(c) for c in zip(*waiting, strict=True)))
+def sketch(hashes: np.ndarray) -> bytes:
+    """SKETCH bits: which values of the hashes' upper halves, modulo SKETCH, occur an odd number of times."""
+    counts = np.bincount(((hashes >> np.uint64(32)) % np.uint64(SKETCH)).astype(np.int64), minlength=SKETCH)
+    return np.packbits((counts & 1).astype(np.uint8)).tobytes()
 
-    short = F.shiftrightunsigned(F.element_at("words", table // 2 + 2), 32 * (table % 2)).bitwiseAND(F.lit(2**32 - 1))
-    rows = nodes.select("node", "comp", F.element_at("words", 1).alias("long"), short.alias("short")).repartition(n, "node")
-    dealt = rows.mapInArrow(emit, "base long, flips int, node long, comp long, long long")
-    key = F.shiftright("base", low_bits)
-    dealt = dealt.repartition(n, key).sortWithinPartitions(key)
-    return dealt.mapInArrow(collide, "a long, b long")
 
+def span(a: np.ndarray, b: np.ndarray, cost: np.ndarray) -> np.ndarray:
+    """Which of the pairs (a, b) make a spanning forest of the least cost, as indices; by rounds of each tree's cheapest pair."""
+    order = np.lexsort((b, a, cost))
+    nodes, both = np.unique(np.concatenate((a[order], b[order])), return_inverse=True)
+    x, y = both[: len(a)], both[len(a) :]
+    tree, live, kept = np.arange(len(nodes)), np.arange(len(a)), [np.array([], np.int64)]
+    while True:
+        live = live[tree[x[live]] != tree[y[live]]]
+        if not len(live):
+            return order[np.concatenate(kept)]
+        best = np.full(len(nodes), len(a))
+        np.minimum.at(best, tree[x[live]], live)
+        np.minimum.at(best, tree[y[live]], live)
+        kept.append(np.unique(best[best < len(a)]))
+        moved, root = _forest(tree[x[kept[-1]]], tree[y[kept[-1]]])
+        to = np.arange(len(nodes))
+        to[moved] = root
+        tree = to[tree]
 
-def _heavy(docs: DataFrame, text: str, width: int) -> np.ndarray:
-    """A weight for each counter of hashes, larger for more common ones. It only sets an order, so that light counters need not be told apart."""
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen = np.zeros(COUNTERS, np.int64)
-        for batch in batches:
-            for t in batch.column(0).cast(pa.binary()).to_pylist():
-                np.add.at(seen, (np.unique(shingle_hashes(t or b"", width)) % COUNTERS).astype(np.int64), 1)
-        mean = seen.mean()
-        at = np.flatnonzero(seen > mean + 4 * mean**0.5 + 4)
-        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(seen[at])], ["counter", "n"])
+def _fingerprint_forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    kept = span(a, b, np.bitwise_count(a ^ b))
+    return a[kept], b[kept]
 
-    found = docs.select(text).mapInArrow(count, "counter long, n long").groupBy("counter").agg(F.sum("n").alias("n"))
+
+def _weights(counted: DataFrame) -> np.ndarray:
+    """A weight for each counter of hashes, larger for more common ones. It only sets an order, so that light counters need not be told apart."""
+    found = counted.select(F.explode(F.arrays_zip("counter", "n")).alias("c")).groupBy("c.counter").agg(F.sum("c.n").alias("n"))
     weights = np.zeros(COUNTERS, np.int32)
     for r in found.orderBy(F.desc("n"), "counter").limit(HEAVY).collect():
         weights[r.counter] = min(r.n, 2**31 - 1)
     return weights
 
 
-def _meetings(token: np.ndarray, comp: np.ndarray, size: np.ndarray, similarity: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """All pairs of rows of one token, of different components and of sizes that allow the similarity, in blocks; a pair may come with those of one component in small runs."""
-
-    def ranges(i: np.ndarray, low: np.ndarray, high: np.ndarray, of: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        n = np.maximum(high - low, 0)
-        ends = np.cumsum(n)
-        at, total = 0, int(ends[-1]) if len(ends) else 0
-        while at < total:  # places at to stop of all pairs in a row
-            stop = min(at + AT_ONCE, total)
-            place = np.arange(at, stop)
-            row = np.searchsorted(ends, place, side="right")
-            yield i[row], of[low[row] + place - (ends[row] - n[row])]
-            at = stop
-
-    order = np.lexsort((size, comp, token))
-    t, c = token[order], comp[order]
-    cut = np.flatnonzero(np.concatenate(([True], (t[1:] != t[:-1]) | (c[1:] != c[:-1]), [True])))
-    length = np.diff(cut)
-    lengths = np.repeat(length, length)
-    rest = order[lengths <= RUN]
-    # short runs: each row with those after it in the order of size
-    rest = rest[np.lexsort((size[rest], token[rest]))]
-    if len(rest):
-        edges = np.flatnonzero(np.concatenate(([True], token[rest][1:] != token[rest][:-1], [True])))
-        group = np.repeat(np.arange(len(edges) - 1), np.diff(edges))
-        wide = int(size.max()) + 2
-        high = np.searchsorted(group * wide + size[rest], group * wide + np.minimum(np.floor(size[rest] / similarity + 1e-6).astype(np.int64), wide - 1), side="right")
-        yield from ranges(rest, np.arange(len(rest)) + 1, high, rest)
-    # long runs: each with all rows of its token that aren't in an earlier long run or in it
-    bounds = np.flatnonzero(np.concatenate(([True], t[1:] != t[:-1], [True])))
-    for k in np.flatnonzero(length > RUN):
-        x, y = bounds[np.searchsorted(bounds, cut[k], side="right") - 1], bounds[np.searchsorted(bounds, cut[k], side="right")]
-        others = np.concatenate((order[x : cut[k]][lengths[x : cut[k]] <= RUN], order[cut[k + 1] : y]))
-        if not len(others):
-            continue
-        own = order[cut[k] : cut[k + 1]]
-        low = np.searchsorted(size[own], np.ceil(size[others] * similarity - 1e-6), side="left")
-        high = np.searchsorted(size[own], np.floor(size[others] / similarity + 1e-6), side="right")
-        yield from ranges(others, low, high, own)
-
-
-def _remaining(docs: DataFrame, nodes: DataFrame, text: str, width: int, similarity: float) -> list[DataFrame]:
-    """Tables (a, b): all pairs of nodes (node, comp, digest) of different components that can have the similarity."""
-    spark = docs.sparkSession
-    n, weights = parts(spark), spark.sparkContext.broadcast(_heavy(docs, text, width))
-
-    def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            tokens, sizes = [], []
-            for t in batch.column(1).cast(pa.binary()).to_pylist():
+def _meetings(group: np.ndarray, size: np.ndarray, similarity: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """All pairs of rows of one group whose sizes allow the similarity, once each, in blocks of AT_ONCE."""
+    order = np.lexsort((size, group))
+    g, s = group[order], size[order]
+    edges = np.flatnonzero(np.concatenate((np.ones(min(1, len(g)), bool), g[1:] != g[:-1])))
+    rank = np.repeat(np.arange(len(edges)), np.diff(np.append(edges, len(g))))
+    wide = int(s.max(initial=0)) + 2
+    stop = np.searchsorted(rank * wide + s, rank * wide + np.minimum(np.floor(s / similarity + 1e-6).astype(np.int64), wide - 1), side="right")
+    n = np.maximum(stop - np.arange(len(g)) - 1, 0)
+    ends = np.cumsum(n)
+    total = int(ends[-1]) if len(ends) else 0
+    for at in range(0, total, AT_ONCE):  # places of all pairs in a row
+        place = np.arange(at, min(at + AT_ONCE, total))
+        row = np.searchsorted(ends, place, side="right")
+        yield order[row], order[row + 1 + place - (ends[row] - n[row])]
+
+
+def _open_pairs(group: np.ndarray, side: np.ndarray, node: np.ndarray, comp: np.ndarray, size: np.ndarray, sketches: np.ndarray, similarity: float, forest: bool) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs (a < b) of nodes of a group and of different components that sizes and sketches leave open; or a forest of the most similar ones.
+
+    side: in groups of two blocks, which one a row is of; pairs of one block are left out there. -1: a group of one block.
+    """
+    held = np.array([], np.int64), np.array([], np.int64), np.array([])
+    for x, y in _meetings(group, size, similarity):
+        keep = (comp[x] != comp[y]) & ((side[x] < 0) | (side[x] != side[y]))
+        x, y = x[keep], y[keep]
+        differ = np.bitwise_count(sketches[x] ^ sketches[y]).sum(axis=1, dtype=np.int64)
+        both = size[x] + size[y]
+        keep = (both - differ) * (1 + similarity) >= 2 * similarity * both - 1e-6
+        x, y, cost = x[keep], y[keep], (differ / both)[keep]
+        a, b = np.minimum(node[x], node[y]), np.maximum(node[x], node[y])
+        if forest:
+            a, b, cost = (np.concatenate(z) for z in zip(held, (a, b, cost), strict=True))
+            kept = span(a, b, cost)
+            held = a[kept], b[kept], cost[kept]
+        elif len(a):
+            pairs = np.unique(np.stack((a, b), axis=1), axis=0)
+            yield pairs[:, 0], pairs[:, 1]
+    if len(held[0]):
+        yield held[:2]
+
+
+def _prefixes(docs: DataFrame, text: str, width: int, similarity: float, weights: np.ndarray) -> DataFrame:
+    """(digest, tokens, sketch) for each row with words: the hashes of which sets of that similarity share one."""
+    known = docs.sparkSession.sparkContext.broadcast(weights)  # COUNTERS numbers
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches):
+            digest, tokens, sketches = [], [], []
+            for d, t in zip(batch.column(0).to_pylist(), batch.column(1).cast(pa.binary()).to_pylist(), strict=True):
                 h = np.unique(shingle_hashes(t or b"", width))
-                order = np.lexsort((h, weights.value[(h % COUNTERS).astype(np.int64)]))
-                tokens.append(h[order[: len(h) - int(np.ceil(similarity * len(h) - 1e-6)) + 1]].tobytes() if len(h) else b"")
-                sizes.append(len(h))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(tokens, pa.binary()), pa.array(sizes, pa.int64())], ["digest", "tokens", "size"])
-
-    def emit(part: int):
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                h = [np.frombuffer(x, np.uint64) for x in batch.column(3).to_pylist()]
-                keep = [np.flatnonzero((x >> np.uint64(32)) % SLICES == part) for x in h]
-                many = [len(k) for k in keep]
-                node, comp, size = (np.repeat(batch.column(i).to_numpy(zero_copy_only=False), many) for i in range(3))
-                token = np.concatenate([x[k] for x, k in zip(h, keep, strict=True)] or [np.array([], np.uint64)])
-                place = np.concatenate([*keep, np.array([], np.int64)])
-                for i in range(0, len(token), 1 << 16):
-                    s = slice(i, i + (1 << 16))
-                    yield pa.RecordBatch.from_arrays([pa.array(x[s]) for x in (token.view(np.int64), node, comp, size << 32 | place)], ["token", "node", "comp", "at"])
-
-        return run
-
-    def work(token: np.ndarray, node: np.ndarray, comp: np.ndarray, at: np.ndarray) -> Iterator[pa.RecordBatch]:
-        size, left = at >> 32, (at >> 32) - (at & (2**32 - 1))
-        for x, y in _meetings(token, comp, size, similarity):
-            # where a pair of that similarity meets first, at most the rest of the shorter tail is common
-            keep = (comp[x] != comp[y]) & (np.minimum(left[x], left[y]) * (1 + similarity) >= similarity * (size[x] + size[y]) - 1e-6)
-            x, y = x[keep], y[keep]
-            pairs = np.unique(np.stack((np.minimum(node[x], node[y]), np.maximum(node[x], node[y])), axis=1), axis=0)
-            yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["a", "b"])
-
-    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+                if len(h):
+                    order = np.lexsort((h, known.value[(h % COUNTERS).astype(np.int64)]))
+                    digest.append(d)
+                    tokens.append(h[order[: len(h) - int(np.ceil(similarity * len(h) - 1e-6)) + 1]].view(np.int64))
+                    sketches.append(sketch(h))
+            yield pa.RecordBatch.from_arrays([pa.array(digest, pa.string()), pa.array(tokens, pa.list_(pa.int64())), pa.array(sketches, pa.binary())], ["digest", "tokens", "sketch"])
+
+    return docs.select(_digest(text).alias("digest"), text).mapInArrow(run, "digest string, tokens array<long>, sketch binary")
+
+
+def _dealt(shared: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Rows (token, left, right, side) with what is known of their nodes, sorted by group: a token's pieces meet two by two."""
+    rows = shared.join(nodes, "node").withColumn("piece", F.pmod(F.xxhash64("node"), F.col("pieces")).cast("int"))
+    meets = F.transform(F.sequence(F.lit(0), F.col("pieces") - 1), lambda j: F.struct(F.least("piece", j).alias("left"), F.greatest("piece", j).alias("right")))
+    rows = rows.select("token", "node", "comp", "size", "sketch", "piece", F.explode(meets).alias("m"))
+    rows = rows.select("token", "m.left", "m.right", F.when(F.col("m.left") == F.col("m.right"), -1).otherwise(F.col("piece")).alias("side"), "node", "comp", "size", "sketch")
+    place = ["token", "left", "right"]
+    return rows.repartition(parts(shared.sparkSession), *place).sortWithinPartitions(*place)
+
+
+def _open(shared: DataFrame, nodes: DataFrame, similarity: float, forest: bool) -> DataFrame:
+    """(a, b) for shared (token, node, pieces) and nodes (node, comp, size, sketch)."""
+
+    def work(rows: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+        token, left, right, side, node, comp, size, sketches = rows
+        new = np.concatenate(([True], (token[1:] != token[:-1]) | (left[1:] != left[:-1]) | (right[1:] != right[:-1])))
+        for a, b in _open_pairs(np.cumsum(new), side, node, comp, size, sketches, similarity, forest):
+            yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         waiting: list[list[np.ndarray]] = []
-        size, last = 0, None
-        for batch in batches:
-            cols = [batch.column(i).to_numpy(zero_copy_only=False) for i in range(4)]
-            if not len(cols[0]):
-                continue
-            waiting.append(cols)
-            size += len(cols[0])
-            if size >= 1 << 17 and cols[0][-1] != last:
-                last = cols[0][-1]  # this token may go on
+        count = 0
+        for batch in slices(batches, ROWS):
+            cols = [batch.column(i).to_numpy(zero_copy_only=False) for i in range(7)]
+            waiting.append([*cols, np.frombuffer(b"".join(batch.column(7).to_pylist()), np.uint64).reshape(-1, SKETCH // 64)])
+            count += batch.num_rows
+            if count >= ROWS:  # a group has at most about 2 * BLOCK rows, and the last one may go on
                 rows = [np.concatenate(c) for c in zip(*waiting, strict=True)]
-                cut = int(np.flatnonzero(rows[0] != last)[-1]) + 1 if rows[0][0] != last else 0
+                same = (rows[0] == rows[0][-1]) & (rows[1] == rows[1][-1]) & (rows[2] == rows[2][-1])
+                cut = int(np.flatnonzero(~same)[-1]) + 1 if not same.all() else 0
                 if cut:
-                    yield from work(*(r[:cut] for r in rows))
-                waiting, size = [[r[cut:] for r in rows]], len(rows[0]) - cut
-        if size:
-            yield from work(*(np.concatenate(c) for c in zip(*waiting, strict=True)))
-
-    cut = store(docs.select(_digest(text).alias("digest"), text).mapInArrow(first, "digest string, tokens binary, size long"), "first")
-    once = cut.groupBy("digest").agg(F.first("tokens").alias("tokens"), F.first("size").alias("size"))
-    of = store(nodes.join(once, "digest").select("node", "comp", "size", "tokens"), "tokens")
-    discard(cut)
-    out = []
-    for part in range(SLICES):
-        small_batches(spark)
-        dealt = of.repartition(n).mapInArrow(emit(part), "token long, node long, comp long, at long")
-        dealt = dealt.repartition(n, "token").sortWithinPartitions("token")
-        out.append(store(dealt.mapInArrow(meet, "a long, b long").distinct(), f"rest{part}"))
-    discard(of)
-    return out
+                    yield from work([r[:cut] for r in rows])
+                waiting, count = [[r[cut:] for r in rows]], len(rows[0]) - cut
+        if count:
+            yield from work([np.concatenate(c) for c in zip(*waiting, strict=True)])
+
+    return _dealt(shared, nodes).mapInArrow(run, "a long, b long")
+
+
+class _Verifier:
+    """Compares shingle sets exactly. A set is made from its text when a pair first asks for it, and kept as a table."""
+
+    def __init__(self, docs: DataFrame, nodes: DataFrame, key: str, text: str, width: int, similarity: float):
+        self.texts = docs.select(F.col(key).alias("key"), F.col(text).alias("text"), _digest(text).alias("digest"))
+        self.nodes, self.width, self.similarity = nodes.select("node", F.col("least").alias("of_key"), F.col("digest").alias("of_digest")), width, similarity
+        self.tables: list[DataFrame] = []
+
+    def alike(self, pairs: DataFrame) -> DataFrame:
+        """The pairs (a, b) of nodes that have the similarity."""
+        width, similarity = self.width, self.similarity
+
+        def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in slices(batches):
+                raw = batch.column(1).cast(pa.binary()).to_pylist()
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([np.unique(shingle_hashes(t or b"", width)).tobytes() for t in raw], pa.binary())], ["node", "hashes"])
+
+        def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in slices(batches):
+                keep = []
+                for i in range(batch.num_rows):
+                    x, y = (np.frombuffer(batch.column(c)[i].as_py(), np.uint64) for c in (2, 3))
+                    both = len(np.intersect1d(x, y, assume_unique=True))
+                    if both >= similarity * (len(x) + len(y) - both) - 1e-9:
+                        keep.append(i)
+                yield batch.select(["a", "b"]).take(pa.array(keep, pa.int64()))
+
+        pairs = store(pairs.distinct(), "pairs")
+        wanted = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
+        for t in self.tables:
+            wanted = wanted.join(t.select("node"), "node", "left_anti")
+        wanted = store(wanted.join(self.nodes, "node"), "wanted")
+        found = self.texts.join(wanted, F.col("key").eqNullSafe(F.col("of_key")) & (F.col("digest") == F.col("of_digest"))).select("node", "text")
+        self.tables.append(store(found.mapInArrow(sets, "node long, hashes binary").dropDuplicates(["node"]), "sets"))
+        known = self.tables[0]
+        for t in self.tables[1:]:
+            known = known.union(t)
+        both = pairs.join(known.toDF("a", "left"), "a").join(known.toDF("b", "right"), "b").select("a", "b", "left", "right")
+        out = store(both.mapInArrow(compare, "a long, b long"), "alike")
+        for t in (pairs, wanted):
+            discard(t)
+        return out
+
+    def close(self) -> None:
+        for t in self.tables:
+            discard(t)
 
 
 def groups(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int = WIDTH, similarity: float = SIMILARITY) -> tuple[DataFrame, DataFrame]:
     """Rows (key, digest) of docs, and nodes (digest, component, least) of their distinct texts; a component's texts are a group of near duplicates.
 
-    Texts without words, null ones included, are alike only if they are equal as text; null counts as empty.
+    Texts without words, null ones included, are alike only if they are equal as text; null counts as empty. Ties and repeated
+    rows fall on one node; an empty table gives empty ones. Other columns, whatever their names, aren't read.
     """
-    spark, words = docs.sparkSession, 1 + (TABLES + 1) // 2
-    small_batches(spark)
     kind = docs.schema[key].dataType.simpleString()
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            raw = batch.column(2).cast(pa.binary()).to_pylist()
-            hashes = [shingle_hashes(t or b"", width) for t in raw]
-            signs = [signature(h, words).view(np.int64).tolist() for h in hashes]
-            same = [md5(np.unique(h).tobytes()).hexdigest() if len(h) else None for h in hashes]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(signs, pa.list_(pa.int64())), pa.array(same, pa.string())], ["key", "digest", "words", "set"])
-
-    rows = docs.select(F.col(key).alias("key"), _digest(text).alias("digest"), F.col(text).alias("text"))
-    rows = store(rows.mapInArrow(sign, f"key {kind}, digest string, words array<long>, set string"), "rows")
-    nodes = rows.groupBy("digest").agg(F.min("key").alias("least"), F.first("words").alias("words"), F.first("set").alias("set"))
+        names, types = ["key", "digest", "fp", "size", "set", "counter", "n"], [pa.int64(), pa.int64(), pa.string(), pa.list_(pa.int64()), pa.list_(pa.int64())]
+        seen, key_type = np.zeros(COUNTERS, np.int64), pa.null()
+        for batch in slices(batches):
+            made = []
+            for t in batch.column(2).cast(pa.binary()).to_pylist():
+                h = np.unique(shingle_hashes(t or b"", width))
+                np.add.at(seen, (h % COUNTERS).astype(np.int64), 1)
+                made.append((int(np.array([fingerprint(h)], np.uint64).view(np.int64)[0]), len(h), md5(h.tobytes()).hexdigest() if len(h) else None, None, None))
+            key_type = batch.column(0).type
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *(pa.array(list(c), t) for c, t in zip(zip(*made, strict=True), types, strict=True))], names)
+        mean = seen.mean()
+        at = np.flatnonzero(seen > mean + 4 * mean**0.5 + 4)
+        if len(at):  # one more row for the task's counters
+            yield pa.RecordBatch.from_arrays([pa.nulls(1, key_type), pa.nulls(1, pa.string()), *(pa.array([v], t) for v, t in zip((None, None, None, at.tolist(), seen[at].tolist()), types, strict=True))], names)
+
+    source = docs.select(F.col(key).alias("key"), _digest(text).alias("digest"), F.col(text).alias("text"))
+    signed = store(source.mapInArrow(sign, f"key {kind}, digest string, fp long, size long, set string, counter array<long>, n array<long>"), "signed")
+    weights, rows = _weights(signed.where("counter IS NOT NULL")), signed.where("digest IS NOT NULL")
+    nodes = rows.groupBy("digest").agg(F.min("key").alias("least"), F.first("fp").alias("fp"), F.first("size").alias("size"), F.first("set").alias("set"))
     nodes = store(nodes.withColumn("node", F.monotonically_increasing_id()), "nodes")
 
     # texts of one shingle set are alike; the first stands for them
-    sets_ = nodes.where("set IS NOT NULL").groupBy("set").agg(F.min("node").alias("first"))
+    sets_ = store(nodes.where("set IS NOT NULL").groupBy("set").agg(F.min("node").alias("first")), "firsts")
     of_set = nodes.join(sets_, "set")
     sure = store(of_set.where("node <> first").select(F.col("node").alias("a"), F.col("first").alias("b")), "sure")
-    full = store(of_set.where("node = first").drop("set", "first"), "full")
-    groups_ = None
-
-    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            raw = batch.column(1).cast(pa.binary()).to_pylist()
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([np.unique(shingle_hashes(t or b"", width)).tobytes() for t in raw], pa.binary())], ["node", "hashes"])
-
-    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            keep = []
-            for i in range(batch.num_rows):
-                x, y = (np.frombuffer(batch.column(c)[i].as_py(), np.uint64) for c in (2, 3))
-                both = len(np.intersect1d(x, y, assume_unique=True))
-                if both >= similarity * (len(x) + len(y) - both):
-                    keep.append(i)
-            yield batch.select(["a", "b"]).take(pa.array(keep, pa.int64()))
-
-    texts = docs.select(F.col(key).alias("key"), F.col(text).alias("text"), _digest(text).alias("digest"))
-    hashed, kept_sets = None, []
-    for tables in (*ROUNDS, None):
-        comp = F.col("node").alias("comp")
-        known = full.select("node", "words", comp)
-        if groups_ is not None:
-            known = full.join(groups_.toDF("of", "comp"), F.col("node") == F.col("of"), "left").select("node", "words", F.coalesce("comp", "node").alias("comp"), "digest")
-        known = store(known, "known")
-        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(1 << 16))
-        tried = [store(_candidates(known, t), f"pairs{t}") for t in tables] if tables else _remaining(docs, known.select("node", "comp", "digest"), text, width, similarity)
-        pairs = tried[0]
-        for t in tried[1:]:
-            pairs = pairs.union(t)
-        pairs = store(pairs.distinct(), "pairs")
-        for t in [*tried, known]:
+    full = store(of_set.where("node = first").select("node", "digest", "least", "fp", "size"), "full")
+    check = _Verifier(docs, full, key, text, width, similarity)
+
+    def merged(before: DataFrame, pairs: DataFrame) -> DataFrame:
+        """All links so far."""
+        alike = check.alike(pairs)
+        out = store(before.union(alike), "sure")
+        for t in (before, alike):
             discard(t)
-        small_batches(spark)
-        wanted = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
-        if hashed is not None:
-            wanted = wanted.join(hashed.select("node"), "node", "left_anti")
-        # a table of its own, so that few wanted texts are found without a shuffle of all
-        wanted = store(wanted.join(full, "node").select("node", F.col("least").alias("of_key"), F.col("digest").alias("of_digest")), "wanted")
-        found = texts.join(wanted if hashed is not None else wanted.hint("merge"), F.col("key").eqNullSafe(F.col("of_key")) & (F.col("digest") == F.col("of_digest"))).select("node", "text")
-        more = store(found.mapInArrow(sets, "node long, hashes binary").dropDuplicates(["node"]), "sets")
-        hashed = more if hashed is None else hashed.union(more)
-        both = pairs.join(hashed.toDF("a", "left"), "a").join(hashed.toDF("b", "right"), "b").select("a", "b", "left", "right")
-        before, sure = sure, store(sure.union(both.mapInArrow(compare, "a long, b long")), "sure")
-        for t in (before, pairs, wanted):
+        return out
+
+    def grouped(sure: DataFrame) -> DataFrame:
+        """(of, comp) of the nodes that aren't their own component."""
+        return store(components(sure).toDF("of", "comp"), "groups")
+
+    # 1. balls
+    by_fp = store(full.groupBy("fp").agg(F.min("node").alias("first")), "by_fp")
+    near = store(links(by_fp.select("fp"), RADIUS, forest=_fingerprint_forest), "near")
+    equal = full.join(by_fp, "fp").where("node <> first").select(F.col("node").alias("a"), F.col("first").alias("b"))
+    ends = [by_fp.toDF(f"{c}_fp", c) for c in "ab"]
+    close = near.toDF("a_fp", "b_fp").join(ends[0], "a_fp").join(ends[1], "b_fp").select("a", "b")
+    sure = merged(sure, equal.union(close))
+    for t in (by_fp, near):
+        discard(t)
+
+    # 2. the rest
+    cut = store(_prefixes(docs, text, width, similarity, weights), "prefixes")
+    once = cut.groupBy("digest").agg(F.first("tokens").alias("tokens"), F.first("sketch").alias("sketch"))
+    of = store(full.select("node", "digest", "size").join(once, "digest").drop("digest"), "tokens")
+    discard(cut)
+    shared = None
+    for forest in (True, False):
+        comp = grouped(sure)
+        known = of.join(comp, F.col("node") == F.col("of"), "left").withColumn("comp", F.coalesce("comp", "node"))
+        if shared is None:
+            token = W.partitionBy("token")
+            met = known.select(F.explode("tokens").alias("token"), "node", "comp").repartition(parts(docs.sparkSession), "token")
+            met = met.withColumns({"low": F.min("comp").over(token), "high": F.max("comp").over(token), "n": F.count("*").over(token)}).where("low < high")
+            shared = store(met.select("token", "node", F.ceil(F.col("n") / BLOCK).cast("int").alias("pieces")), "shared")
+        pairs = store(_open(shared, known.select("node", "comp", "size", "sketch"), similarity, forest), "open")
+        sure = merged(sure, pairs)
+        for t in (comp, pairs):
             discard(t)
-        kept_sets.append(more)
-        groups_ = components(sure)
-    of = nodes.join(groups_.toDF("of", "component"), F.col("node") == F.col("of"), "left").select("digest", F.coalesce("component", "node").alias("component"), "least")
-    out = store(of, "groups")
-    for t in (*kept_sets, sure, full, nodes):
+    comp = grouped(sure)
+    found = nodes.join(comp, F.col("node") == F.col("of"), "left").select("digest", F.coalesce("comp", "node").alias("component"), "least")
+    out = store(found, "groups")
+    check.close()
+    for t in (comp, sure, shared, of, full, sets_, nodes):
         discard(t)
-    return rows, out
+    return rows.select("key", "digest"), out
 
 
 def dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", **options) -> DataFrame:
     """docs without all but one row of each group of near duplicates: the one with the smallest key (null last), then the smallest MD5 of its text.
 
-    Of rows that are repeated with key and text, one stays. An empty table gives none.
+    Of rows that are repeated with key and text, one stays. Null texts count as empty. An empty table gives none. Columns may have any names.
     """
     rows, of = groups(docs, key, text, **options)
     first = F.struct(F.col("least").isNull(), "least", "digest")
     best = of.groupBy("component").agg(F.min(first)["digest"].alias("digest"), F.min(first)["least"].alias("best")).select(F.col("digest").alias("d"), "best")
     counted = rows.groupBy("key", "digest").agg(F.count("*").alias("n"))
-    judged = store(counted.join(best, (F.col("digest") == F.col("d")) & F.col("key").eqNullSafe(F.col("best")), "left").select(F.col("key").alias("j_key"), F.col("digest").alias("j_digest"), F.col("d").isNotNull().alias("stays"), "n"), "judged")
-    of_row = F.col(key).eqNullSafe(F.col("j_key")) & (_digest(text) == F.col("j_digest"))
-    single = docs.join(judged.where("NOT stays OR n > 1").hint("merge"), of_row, "left_anti")
-    repeated = docs.join(judged.where("stays AND n > 1"), of_row, "left_semi").withColumn("_digest", _digest(text)).dropDuplicates([key, "_digest"]).drop("_digest")
-    return single.union(repeated)
+    stays = (F.col("digest") == F.col("d")) & F.col("key").eqNullSafe(F.col("best"))
+    judged = store(counted.join(best, stays, "left").select(F.col("key").alias("j_key"), F.col("digest").alias("j_digest"), F.col("d").isNotNull().alias("stays"), "n"), "judged")
+    whole = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), F.col(key).alias("key"), _digest(text).alias("digest"))
+    same = F.col("key").eqNullSafe(F.col("j_key")) & (F.col("digest") == F.col("j_digest"))
+    single = whole.join(judged.where("NOT stays OR n > 1"), same, "left_anti")
+    repeated = whole.join(judged.where("stays AND n > 1"), same, "left_semi").dropDuplicates(["key", "digest"])
+    return single.union(repeated).select("row.*")

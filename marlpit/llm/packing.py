@@ -18,7 +18,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import small_batches, table
+from .common import slices, table
 from .tokens import default_vocabulary, encoder
 
 TOKENS, SEGMENTS = 1024, 256
@@ -129,7 +129,6 @@ def pack(
     Null and empty texts are an end id alone; repeated keys are packed as rows of their own; the same input
     partitions give the same sequences. An empty table gives none.
     """
-    small_batches(rows.sparkSession)
     path, limit = vocabulary or default_vocabulary(), loss_tokens or tokens
     kind = rows.schema[key].dataType.simpleString()
 
@@ -155,7 +154,7 @@ def pack(
             out.clear()
             return batch
 
-        for batch in batches:
+        for batch in slices(batches):
             key_type = batch.schema.field(0).type
             for k, t, bears in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
                 if parts is None:

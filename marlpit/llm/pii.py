@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import small_batches, table
+from .common import slices, table
 
 BASE = ("email", "ip", "card", "phone")
 KINDS = (*BASE, "iban", "ssn", "login")
@@ -135,12 +135,11 @@ def find_spans(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Data
 
     Null and empty texts have an empty list. Repeated rows and null keys keep their rows; other columns are dropped.
     """
-    small_batches(docs.sparkSession)
     kind = docs.schema[key].dataType.simpleString()
     entry = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             spans = [[{"kind": KINDS[k], "start": a, "end": b} for a, k, b in spans_of(t or "")] for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(spans, entry)], ["key", "spans"])
 
@@ -149,11 +148,10 @@ def find_spans(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Data
 
 def redact(docs: DataFrame, text: str = "text") -> DataFrame:
     """The same rows and columns, with personal data in `text` replaced by placeholders such as <EMAIL>. Null texts stay null."""
-    small_batches(docs.sparkSession)
     at = docs.columns.index(text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             texts = [None if t is None else redacted(t) for t in batch.column(at).to_pylist()]
             yield batch.set_column(at, batch.schema.field(at), pa.array(texts, batch.schema.field(at).type))
 

@@ -10,7 +10,7 @@ is kept, so a group of n near copies gives about n links and none between differ
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import combinations
 from math import comb
 
@@ -19,11 +19,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import parts, small_batches, store, table
+from .common import parts, slices, store, table
 from .graph import components
 
 BITS, RADIUS, SEED = 64, 4, 42
+#: By so many bits a prefix grows that has too many rows for a task.
+STEP = 8
 CHUNK = 1 << 16
+#: Makes pairs that connect the same from the pairs found in a task.
+Forest = Callable[[np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray]]
 
 
 def shingle_hashes(raw: bytes, width: int, seed: int = SEED) -> np.ndarray:
@@ -54,11 +58,10 @@ def fingerprint(hashes: np.ndarray) -> int:
 
 def fingerprints(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int = 4, seed: int = SEED) -> DataFrame:
     """key and fp (the fingerprint's bits as a signed long) of each row; null texts count as empty, whose fingerprint is zero."""
-    small_batches(docs.sparkSession)
     kind = docs.schema[key].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             raw = batch.column(1).cast(pa.binary()).to_pylist()
             fps = np.array([fingerprint(shingle_hashes(t or b"", width, seed)) for t in raw], np.uint64)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps.view(np.int64))], ["key", "fp"])
@@ -96,7 +99,7 @@ def _forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return nodes[moved], nodes[root[moved]]
 
 
-def meet(base: np.ndarray, owner: np.ndarray, flips: np.ndarray, low: list[np.ndarray], radius: int, at_once: int = 1 << 22) -> tuple[np.ndarray, np.ndarray]:
+def meet(base: np.ndarray, owner: np.ndarray, flips: np.ndarray, low: list[np.ndarray], radius: int, at_once: int = 1 << 22, forest: Forest | None = None) -> tuple[np.ndarray, np.ndarray]:
     """Links between owners whose rows reach the same variant: base with as many further low flips as the half radius leaves."""
     half = len(low) - 1
     pieces, owners = [], []
@@ -142,13 +145,14 @@ def meet(base: np.ndarray, owner: np.ndarray, flips: np.ndarray, low: list[np.nd
         return np.array([], np.uint64), np.array([], np.uint64)
     a, b = np.concatenate(left), np.concatenate(right)
     near = np.bitwise_count(a ^ b) <= radius
-    return _forest(a[near], b[near])
+    return (forest or _forest)(a[near], b[near])
 
 
-def links(fps: DataFrame, radius: int = RADIUS, prefix: int | None = None, chunk_rows: int = 1 << 17) -> DataFrame:
-    """(a, b): pairs of fingerprints that connect all fingerprints within `radius` (even) bits of each other.
+def links(fps: DataFrame, radius: int = RADIUS, prefix: int | None = None, chunk_rows: int = 1 << 17, most_rows: int = 1 << 20, forest: Forest | None = None) -> DataFrame:
+    """(a, b), a stored table: pairs of fingerprints that connect all fingerprints within `radius` (even) bits of each other.
 
-    fps has one column of distinct fingerprints, as signed longs.
+    fps has one column of distinct fingerprints, as signed longs. Rows of a prefix that has more than `most_rows` aren't held
+    in a task: they pass through it, get the flips of the next STEP bits and meet again at the longer prefix.
     """
     if radius % 2 or not 0 <= radius <= 8:
         raise ValueError("radius must be even, at most 8")
@@ -157,46 +161,91 @@ def links(fps: DataFrame, radius: int = RADIUS, prefix: int | None = None, chunk
     prefix = prefix or prefix_bits(fps.count())
     low_bits = BITS - prefix
     high = masks(range(low_bits, BITS), half)
-    flips_of = np.concatenate([np.full(len(m), i) for i, m in enumerate(high)])
     flat, low = np.concatenate(high), masks(range(low_bits), half)
     assert sum(len(high[i]) * len(np.concatenate(low[: half - i + 1])) for i in range(half + 1)) == sum(comb(BITS, i) for i in range(half + 1))
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            all_fp = batch.column(0).to_numpy(zero_copy_only=False).view(np.uint64)
-            for i in range(0, len(all_fp), 2048):
-                fp = all_fp[i : i + 2048]
-                base = (fp[:, None] ^ flat[None, :]).ravel()
-                yield pa.RecordBatch.from_arrays([pa.array((base >> np.uint64(low_bits)).view(np.int64)), pa.array(base.view(np.int64)), pa.array(np.tile(np.arange(len(flat), dtype=np.int32), len(fp)))], ["prefix", "base", "mask"])
-
-    def collide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def work(rows: list[np.ndarray]) -> pa.RecordBatch:
-            base, mask = rows
+        for batch in slices(batches, 2048):
+            fp = batch.column(0).to_numpy(zero_copy_only=False).view(np.uint64)
+            base = (fp[:, None] ^ flat[None, :]).ravel()
+            yield pa.RecordBatch.from_arrays([pa.array(base.view(np.int64)), pa.array(np.tile(np.arange(len(flat), dtype=np.int32), len(fp)))], ["base", "mask"])
+
+    def further(bits: int, low_bits: int):
+        """Rows (base, owner) with further flips of the next bits, as many as the half radius leaves."""
+        more = masks(range(low_bits, low_bits + bits), half)
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in slices(batches, 2048):
+                base, owner = (batch.column(i).to_numpy(zero_copy_only=False).view(np.uint64) for i in range(2))
+                used = np.bitwise_count(base ^ owner)
+                for u in range(half + 1):
+                    own, mask = np.flatnonzero(used == u), np.concatenate(more[: half - u + 1])
+                    out = [(base[own][:, None] ^ mask[None, :]).ravel(), np.repeat(owner[own], len(mask))]
+                    yield pa.RecordBatch.from_arrays([pa.array(x.view(np.int64)) for x in out], ["base", "owner"])
+
+        return run
+
+    def collide(low_bits: int, low: list[np.ndarray], masked: bool):
+        def row(base: np.ndarray, other: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
             base = base.view(np.uint64)
-            a, b = meet(base, base ^ flat[mask], flips_of[mask], low, radius)
-            return pa.RecordBatch.from_arrays([pa.array(a.view(np.int64)), pa.array(b.view(np.int64))], ["a", "b"])
-
-        waiting: list[list[np.ndarray]] = []
-        size = 0
-        for batch in batches:
-            waiting.append([batch.column(i).to_numpy(zero_copy_only=False) for i in range(2)])
-            size += batch.num_rows
-            if size >= chunk_rows:
-                base, mask = (np.concatenate(c) for c in zip(*waiting, strict=True))
-                keys = base.view(np.uint64) >> np.uint64(low_bits)
-                cut = int(np.flatnonzero(keys != keys[-1])[-1]) + 1 if keys[0] != keys[-1] else 0  # the last prefix may go on
-                if cut:
-                    yield work([base[:cut], mask[:cut]])
-                waiting, size = [[base[cut:], mask[cut:]]], len(base) - cut
-        if size:
-            yield work([np.concatenate(c) for c in zip(*waiting, strict=True)])
-
-    with_batches = 1 << 16
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(with_batches))
-    rows = fps.toDF("fp").repartition(n, "fp").mapInArrow(emit, "prefix long, base long, mask int")
-    key = F.shiftrightunsigned("base", low_bits)
-    dealt = rows.select("base", "mask").repartition(n, key).sortWithinPartitions(key)
-    return dealt.mapInArrow(collide, "a long, b long").distinct()
+            return base, base ^ flat[other] if masked else other.view(np.uint64)
+
+        def found(a: np.ndarray, b: np.ndarray, hot: bool) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(a.view(np.int64)), pa.array(b.view(np.int64)), pa.array(np.full(len(a), hot))], ["a", "b", "hot"])
+
+        def work(base: np.ndarray, other: np.ndarray) -> pa.RecordBatch:
+            base, owner = row(base, other)
+            return found(*meet(base, owner, np.bitwise_count(base ^ owner), low, radius, forest=forest), False)
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            waiting: list[list[np.ndarray]] = []
+            size, hot = 0, None  # hot: a prefix whose rows pass through
+            for batch in batches:
+                cols = [batch.column(i).to_numpy(zero_copy_only=False) for i in range(2)]
+                if not len(cols[0]):
+                    continue
+                if hot is not None:
+                    through = int(np.searchsorted(cols[0].view(np.uint64) >> np.uint64(low_bits) != hot, True))
+                    if through:
+                        yield found(*row(*(c[:through] for c in cols)), True)
+                    cols = [c[through:] for c in cols]
+                    if not len(cols[0]):
+                        continue
+                    hot = None
+                waiting.append(cols)
+                size += len(cols[0])
+                keys = cols[0].view(np.uint64) >> np.uint64(low_bits)
+                whole = keys[0] == keys[-1] and (len(waiting) == 1 or waiting[0][0].view(np.uint64)[0] >> np.uint64(low_bits) == keys[-1])
+                if size >= chunk_rows and not whole:
+                    base, other = (np.concatenate(c) for c in zip(*waiting, strict=True))
+                    keys = base.view(np.uint64) >> np.uint64(low_bits)
+                    cut = int(np.flatnonzero(keys != keys[-1])[-1]) + 1  # the last prefix may go on
+                    yield work(base[:cut], other[:cut])
+                    waiting, size = [[base[cut:], other[cut:]]], len(base) - cut
+                if size > most_rows and low_bits:  # now one prefix only
+                    hot = keys[-1]
+                    for part in waiting:
+                        yield found(*row(*part), True)
+                    waiting, size = [], 0
+            if size:
+                yield work(*(np.concatenate(c) for c in zip(*waiting, strict=True)))
+
+        return run
+
+    rows = fps.toDF("fp").repartition(n, "fp").mapInArrow(emit, "base long, mask int")
+    out, masked = None, True
+    while True:
+        key = F.shiftrightunsigned("base", low_bits) if low_bits else F.col("base")
+        dealt = rows.repartition(n, key).sortWithinPartitions(key)
+        table_ = store(dealt.mapInArrow(collide(low_bits, low, masked), "a long, b long, hot boolean"), "meetings")
+        own = table_.where("NOT hot").select("a", "b")
+        out = own if out is None else out.union(own)
+        if not low_bits or not table_.where("hot").limit(1).count():
+            return out.distinct()
+        bits = min(STEP, low_bits)
+        low_bits -= bits
+        low, masked = masks(range(low_bits), half), False
+        rows = table_.where("hot").select("a", "b").repartition(n).mapInArrow(further(bits, low_bits), "base long, owner long")
 
 
 def cluster(fps: DataFrame, radius: int = RADIUS) -> DataFrame:

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import small_batches, table
+from .common import slices, table
 
 END_OF_TEXT = "<|endoftext|>"
 RULES = ("first", "last", "most", "split")
@@ -114,13 +114,12 @@ def count_tokens(docs: DataFrame, fields: list[str] | None = None, key: str = "d
     """
     if rule not in RULES:
         raise ValueError(f"rule must be one of {RULES}")
-    small_batches(docs.sparkSession)
     path, names = vocabulary or default_vocabulary(), list(fields or [text])
     kind = docs.schema[key].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = encoder(path)
-        for batch in batches:
+        for batch in slices(batches):
             cols: list[list] = [[] for _ in range(7)]
             values = [batch.column(i + 1).to_pylist() for i in range(len(names))]
             for k, *texts in zip(batch.column(0).to_pylist(), *values, strict=True):

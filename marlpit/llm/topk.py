@@ -89,8 +89,6 @@ def search(rows: DataFrame, queries: str, key: str = "vec_id", vector: str = "em
     the commonest in a sample. The pivots are fitted on at most SAMPLE rows; every row is indexed. An empty table gives none.
     """
     spark, n_parts = rows.sparkSession, parts(rows.sparkSession)
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(CELL))
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(16 << 20))
     v = F.col(vector)
     usable = valid_or_zero(v)
     whole = F.transform(v, lambda x: F.floor(x.cast("double") * F.lit(float(scale))))
@@ -204,7 +202,6 @@ def search(rows: DataFrame, queries: str, key: str = "vec_id", vector: str = "em
                 if out:
                     yield pa.RecordBatch.from_arrays([pa.array(list(c), pa.int64()) for c in zip(*out, strict=True)], ["query_row", "query_id", "score", "key"])
 
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "4")  # rows are whole cells
     asked = store(index.mapInArrow(ask, index_schema), "asked")
     both = index.withColumn("asking", F.lit(False)).unionByName(asked.withColumn("asking", F.lit(True)))
     both = both.select("cell", "piece", "asking", *arrays).repartition(n_parts, "cell", "piece").sortWithinPartitions("cell", "piece", "asking")

@@ -20,7 +20,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import setting, shared_dir, small_batches, table
+from .common import setting, shared_dir, slices, table
 
 #: Fixed values of the seekable format.
 SKIPPABLE, SEEKABLE = 0x184D2A5E, 0x8F92EAB1
@@ -130,7 +130,6 @@ def write_bundles(pages: DataFrame, path: str, key: str = "page_id", url: str =
     other, and payloads that only null keys have are all responses. An empty table gives no bundle. Other columns are ignored.
     """
     spark = pages.sparkSession
-    small_batches(spark)
     kind = pages.schema[key].dataType.simpleString()
     rows = pages.select(F.col(key).alias("page"), F.col(url).alias("url"), F.coalesce(payload, F.lit("")).alias("payload"))
     known = revisits(pages, key, payload, least_bytes)
@@ -145,7 +144,7 @@ def write_bundles(pages: DataFrame, path: str, key: str = "page_id", url: str =
             index = pa.array([bundle.index], pa.list_(pa.struct([("record_id", pa.string()), ("frame", pa.int32()), ("offset", pa.int64()), ("length", pa.int64())])))
             return pa.RecordBatch.from_arrays([pa.array([f"{task:06d}-{n:06d}.warc.zst"]), pa.array([content], pa.binary()), index], ["bundle", "content", "index"])
 
-        for batch in batches:
+        for batch in slices(batches):
             payloads = batch.column(2).cast(pa.binary())
             for i, (page, address, first) in enumerate(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(3).to_pylist(), strict=True)):
                 bundle.add(*record(page, address, payloads[i].as_py(), first))
@@ -219,7 +218,6 @@ def export_files(spark: SparkSession, path: str, folder: str) -> None:
 def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = f"{shared_dir(spark)}/warc-{uuid.uuid4().hex}"
     write_bundles(table(spark, sf_dir, "pages"), path)
-    small_batches(spark, 4)  # bundles are large rows
     records = read_bundles(spark, path, payloads=False)
     page = F.when(F.col("page") != "null", F.col("page")).cast("long")
     responses = records.where("record_type = 'response'").groupBy(F.col("page").alias("of"), F.col("digest").alias("of_digest")).agg(F.max("payload_bytes").alias("n"))

@@ -57,8 +57,8 @@ def test_links_find_every_group(spark):
     fps = sorted({*fps, *(ball ^ (1 << i) for i in range(64)), *(ball ^ (1 << i) ^ (1 << j) for i in range(0, 64, 3) for j in range(i))})
     want = roots(len(fps), [(i, j) for i in range(len(fps)) for j in range(i) if bin(fps[i] ^ fps[j]).count("1") <= 4])
     signed = np.array(fps, np.uint64).view(np.int64).tolist()
-    for prefix, chunk in ((20, 1 << 17), (9, 300)):
-        got = links(spark.createDataFrame([(x,) for x in signed], "fp long"), prefix=prefix, chunk_rows=chunk).collect()
+    for prefix, chunk, most in ((20, 1 << 17, 1 << 20), (9, 300, 1 << 20), (9, 300, 500), (60, 300, 20)):  # the last two split hot prefixes
+        got = links(spark.createDataFrame([(x,) for x in signed], "fp long"), prefix=prefix, chunk_rows=chunk, most_rows=most).collect()
         at = {x: i for i, x in enumerate(signed)}
         assert roots(len(fps), [(at[r.a], at[r.b]) for r in got]) == want
 
