@@ -1,10 +1,11 @@
 from collections import defaultdict
+from hashlib import md5
 from math import comb
 
 import pytest
 from pyspark.sql import functions as F
 
-from marlpit.llm.mixing import draws, hypergeometric, mix, split_tree, targets, words, write_shards
+from marlpit.llm.mixing import draws, hypergeometric, in_order, mix, plan, shard_count, split_tree, targets, words, write_shards
 
 
 def reshared(sizes, weights=(5, 2, 1)):
@@ -78,3 +79,75 @@ def test_empty_and_shards(spark, tmp_path):
     assert draws(docs(spark).where("text is null")).count() == 1
     write_shards(mix(docs(spark), shards=2), f"file://{tmp_path}/m")
     assert {r.mix_shard for r in spark.read.parquet(f"file://{tmp_path}/m").collect()} == {0, 1}
+
+
+def quotas_by_hand(quotas, shards, seed=7):
+    """The tree node by node, with whole numbers."""
+    nodes = {1: list(quotas)}
+    for _ in range(shards.bit_length() - 1):
+        below = {}
+        for node, q in nodes.items():
+            rest, drawn, left = sum(q), sum(q) // 2, []
+            for i, marked in enumerate(q, 1):
+                u = int(md5(f"{seed}:{node}:{i}".encode()).hexdigest()[:13], 16) / 2**52
+                under, whole = 0, comb(rest, drawn)
+                for k in range(max(0, drawn + marked - rest), min(marked, drawn) + 1):
+                    under += comb(marked, k) * comb(rest - marked, drawn - k)
+                    if under / whole >= u:
+                        break
+                left.append(k)
+                rest, drawn = rest - marked, drawn - k
+            below |= {2 * node: left, 2 * node + 1: [a - b for a, b in zip(q, left, strict=True)]}
+        nodes = below
+    return [nodes[n] for n in sorted(nodes)]
+
+
+def test_draws_go_where_the_tree_says(spark, monkeypatch):
+    """From the query's column back to blocks, and from there to the splitting tree made by hand."""
+    monkeypatch.setattr("marlpit.llm.mixing.BLOCK_WORDS", 50)
+    rows = [(i, f"s{i % 3}", " ".join(["w"] * (1 + i * 13 % 90))) for i in range(900)]
+    table = spark.createDataFrame(rows, "doc_id long, source string, text string")
+    made, shards = plan(table, shards=8)
+    known = {r.source: r for r in made.collect()}
+    order = sorted(known.values(), key=lambda r: r["rank"])
+    by_hand = quotas_by_hand([r.draws for r in order], 8)
+    assert shards == 8 and [[b - a for a, b in zip([0, *r.ends[:-1]], r.ends, strict=True)] for r in order] == [list(c) for c in zip(*by_hand, strict=True)]
+    assert len({tuple(q) for q in by_hand}) > 1  # a constant split would give equal shards
+    got = draws(table, shards=8).collect()
+    for r in got:
+        s = known[r.source]
+        block = int(md5(f"7:{r.doc_id}".encode()).hexdigest()[:15], 16) % s.blocks
+        assert all(d.shard == sum(e <= d.epoch * s.blocks + block for e in s.ends) for d in r.mix_draws)
+    assert {d.shard for r in got for d in r.mix_draws} == set(range(8))
+
+
+def test_shards_follow_the_hypergeometric_law(spark):
+    """Over many seeds, a source's quota in a shard has the mean and variance of a draw of that shard's size."""
+    quotas = [120, 30, 50]
+    root = spark.createDataFrame([(quotas,)], "quotas array<bigint>")
+    trees = split_tree(root, 4, seed=0)
+    for seed in range(1, 24):
+        trees = trees.union(split_tree(root, 4, seed=seed))
+    found = [r.quotas for r in trees.collect()]
+    assert all(sum(q) == 50 for q in found)
+    for i, marked in enumerate(quotas):
+        values = [q[i] for q in found]
+        p = marked / 200
+        variance = 50 * p * (1 - p) * 150 / 199
+        mean = sum(values) / len(values)
+        assert mean == pytest.approx(50 * p) and 0.6 < sum((v - mean) ** 2 for v in values) / len(values) / variance < 1.5
+
+
+def test_own_output_and_too_many_sources(spark):
+    once = draws(docs(spark), shards=2)
+    assert draws(once, shards=2).columns == once.columns and mix(mix(docs(spark), shards=2), shards=2).columns == mix(docs(spark), shards=2).columns
+    assert shard_count(3, 10) == 32 and shard_count(3, 10**6) == 8192 and shard_count(1 << 17, 10**9) == 32
+    with pytest.raises(ValueError, match="sources"):
+        shard_count((1 << 17) + 1, 5)
+
+
+def test_order_of_the_mix(spark):
+    rows = in_order(mix(docs(spark), shards=4)).withColumn("task", F.spark_partition_id()).withColumn("n", F.monotonically_increasing_id()).collect()
+    for task in {r.task for r in rows}:
+        own = sorted((r for r in rows if r.task == task), key=lambda r: r.n)
+        assert [(r.mix_shard, r.mix_order) for r in own] == sorted((r.mix_shard, r.mix_order) for r in own)
