@@ -3,8 +3,8 @@
 1. language: documents without a letter, or whose best language has a mean probability under LEAST_SCORE, go.
 2. near_duplicates: of each group of near duplicates (five-word shingles, similarity 0.8) one document stays.
 3. personal_data: spans of personal data become placeholders.
-4. mixing: sources are drawn to their target weights; a document drawn twice is there twice.
-5. packing: documents become pieces of sequences of 1024 tokens.
+4. mixing: sources are drawn to their target weights; a document drawn twice is there twice. Rows come by output shard, shuffled within it.
+5. packing: documents become pieces of sequences of 1024 tokens, in the order of the mix.
 """
 
 from __future__ import annotations
@@ -34,7 +34,7 @@ def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return mixing.mix(docs).select(*docs.columns).withColumn("n_chars", F.length("text").cast("long"))
+    return mixing.in_order(mixing.mix(docs)).select(*docs.columns).withColumn("n_chars", F.length("text").cast("long"))
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
