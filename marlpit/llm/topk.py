@@ -20,8 +20,10 @@ from pyspark.sql import Window as W
 from .common import parts, store, table
 from .cover import farthest_first, valid
 
-K, SAMPLE, PIVOTS, RINGS, CELL, RUN = 5, 2048, 64, 64, 4096, 512
+#: At most PIVOTS * RINGS cells of CELL rows or, in small tables, of about SMALL * sqrt(n). Cells of over 2 * CELL rows are cut.
+K, SAMPLE, PIVOTS, RINGS, CELL, SMALL, RUN = 5, 2048, 64, 64, 4096, 4, 512
 SCALE = 256.0
+MOST_LENGTHS = 256
 NO_KEY = 2**63 - 1
 
 
@@ -81,31 +83,49 @@ def _matrix(column: pa.Array) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).reshape(len(column), -1)
 
 
+def shape(n: int) -> tuple[int, int]:
+    """Pivots and rings of each for n rows."""
+    cells = -(-n // max(1, min(CELL, int(SMALL * n**0.5))))
+    pivots = max(1, min(PIVOTS, int(np.ceil(cells**0.5))))
+    return pivots, max(1, min(RINGS, -(-cells // pivots)))
+
+
 def search(rows: DataFrame, queries: str, key: str = "vec_id", vector: str = "embedding", k: int = K, scale: float = SCALE) -> DataFrame:
     """(query_id, query_row, rank, key, score): the k best rows for each row where the SQL condition `queries` holds, all if there are fewer.
 
     Components become floor(scale * x). Ties go to the smaller key, null keys last. A query's own row is no candidate; other rows with its key are.
-    Vectors that are null, empty or hold null or non-finite components take no part, nor do those of another length than
-    the commonest in a sample. The pivots are fitted on at most SAMPLE rows; every row is indexed. An empty table gives none.
+    Vectors that are null, empty or hold null or non-finite components take no part; those of different lengths don't meet, and
+    there is an index for each length. Vectors so large that a score could leave 64 bits, and more than MOST_LENGTHS lengths, are
+    refused with an error. The pivots are fitted on at most SAMPLE rows; every row is indexed. An empty table gives none.
     """
-    spark, n_parts = rows.sparkSession, parts(rows.sparkSession)
-    v = F.col(vector)
+    spark, v = rows.sparkSession, F.col(vector)
     usable = valid_or_zero(v)
     whole = F.transform(v, lambda x: F.floor(x.cast("double") * F.lit(float(scale))))
     base = rows.where(usable).select(F.coalesce(F.col(key).cast("long"), F.lit(NO_KEY)).alias("key"), F.expr(f"coalesce({queries}, false)").alias("asks"), whole.alias("v"))
     base = store(base.withColumn("row", F.monotonically_increasing_id()).withColumn("dim", F.size("v")), "vectors")
-    sample = base.orderBy(F.xxhash64("v", "key"), "row").select("v", "dim").limit(SAMPLE).collect()  # SAMPLE vectors at most
+    size = F.aggregate("v", F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double"))
+    lengths = base.groupBy("dim").agg(F.count("*").alias("n"), F.max(size).alias("most")).orderBy("dim").limit(MOST_LENGTHS + 1).collect()
+    if len(lengths) > MOST_LENGTHS:
+        raise ValueError(f"vectors have more than {MOST_LENGTHS} lengths")
+    if max((r.most for r in lengths), default=0) >= 2.0**62:
+        raise ValueError("components are so large that a score may not fit 64 bits")
+    found = spark.createDataFrame([], "query_row long, query_id long, score long, key long")
+    for r in lengths:
+        found = found.union(_search_length(base.where(F.col("dim") == r.dim), r.dim, r.n, k))
+    order = W.partitionBy("query_row").orderBy(F.desc("score"), "key")
+    ranked = found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+    return ranked.select("query_id", "query_row", "rank", F.nullif("key", F.lit(NO_KEY)).alias("key"), "score")
+
+
+def _search_length(base: DataFrame, dim: int, n: int, k: int) -> DataFrame:
+    """(query_row, query_id, score, key): what the cells that each query visits offer, over rows (key, row, asks, v) of one length."""
+    n_parts = parts(base.sparkSession)
+    sample = base.orderBy(F.xxhash64("v", "key"), "row").select("v").limit(SAMPLE).collect()  # SAMPLE vectors at most
     out_schema = "query_row long, query_id long, score long, key long"
-    if not sample:
-        return spark.createDataFrame([], "query_id long, query_row long, rank int, key long, score long")
-    dims = [r.dim for r in sample]
-    dim = max(set(dims), key=lambda d: (dims.count(d), d))
-    points = np.array([r.v for r in sample if r.dim == dim], np.float64)
-    base = base.where(F.col("dim") == dim)
-    n = base.count()
-    pivots = points[farthest_first(points, max(1, min(PIVOTS, -(-n // CELL))))]
-    per_pivot = max(1, min(RINGS, -(-n // (CELL * len(pivots)))))
-    gaps = np.linalg.norm(points[:, None] - pivots[None], axis=2) if len(pivots) < 8 else np.stack([np.linalg.norm(points - p, axis=1) for p in pivots], axis=1)
+    points = np.array([r.v for r in sample], np.float64)
+    most, per_pivot = shape(n)
+    pivots = points[farthest_first(points, most)]
+    gaps = np.stack([np.linalg.norm(points - p, axis=1) for p in pivots], axis=1)
     home = gaps.argmin(axis=1)
     edges = np.stack([np.quantile(gaps[home == p, p], np.arange(1, per_pivot) / per_pivot) if (home == p).any() else np.zeros(per_pivot - 1) for p in range(len(pivots))])
 
@@ -205,10 +225,7 @@ def search(rows: DataFrame, queries: str, key: str = "vec_id", vector: str = "em
     asked = store(index.mapInArrow(ask, index_schema), "asked")
     both = index.withColumn("asking", F.lit(False)).unionByName(asked.withColumn("asking", F.lit(True)))
     both = both.select("cell", "piece", "asking", *arrays).repartition(n_parts, "cell", "piece").sortWithinPartitions("cell", "piece", "asking")
-    found = both.mapInArrow(answer, out_schema)
-    order = W.partitionBy("query_row").orderBy(F.desc("score"), "key")
-    ranked = found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
-    return ranked.select("query_id", "query_row", "rank", F.nullif("key", F.lit(NO_KEY)).alias("key"), "score")
+    return both.mapInArrow(answer, out_schema)
 
 
 def valid_or_zero(vector):

@@ -1,9 +1,10 @@
 """URL filters: host-suffix and path-prefix expressions, joined to rules on short hash prefixes.
 
 A rule is (host, path, verdict). It fits a URL whose host is the rule's or a subdomain of it and whose path starts
-with the rule's path. Each distinct URL is expanded into the expressions that could name a rule (only suffix lengths
-and prefix lengths that occur among the rules), the expressions meet the rules by an equi-join on the first
-`PREFIX_HEX` hex digits of their SHA-256, full digests are then compared, and the longest rule wins.
+with the rule's path. Each distinct URL is expanded into its host's suffixes (of the label counts that occur among the
+rules); those that are hosts of rules are followed by the path's prefixes (of the lengths that the host's rules have).
+Both meet the rules by an equi-join on the first `PREFIX_HEX` hex digits of their SHA-256, full digests are then
+compared, and the longest rule wins.
 """
 
 from __future__ import annotations
@@ -11,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import store, table
 
 PREFIX_HEX = 8
 RULES = [("org", "/", "allow"), ("example.org", "/es/", "block"), ("example.org", "/en/1", "block"), ("com", "/fr/", "allow"), ("com", "/de/", "block")]
@@ -32,39 +33,46 @@ def rules_frame(spark: SparkSession, rules: list[tuple[str, str, str]]) -> DataF
     return spark.createDataFrame(rules, "host string, path string, verdict string")
 
 
-def lengths_of(rules: DataFrame, most: int = 4096) -> tuple[list[int], list[int]]:
-    """Label counts and path lengths that occur among rules. There are at most `most` of either, since a longer rule host or path is refused."""
-    labels, lengths = F.size(F.split("host", r"\.")), F.length("path")
-    row = rules.agg(F.collect_set(labels), F.collect_set(lengths), F.max(labels), F.max(lengths)).first()
-    if max(row[2] or 0, row[3] or 0) > most:
+def _short(digest: str):
+    return F.substring(digest, 1, PREFIX_HEX)
+
+
+def _known(rules: DataFrame, most: int) -> tuple[DataFrame, DataFrame, list[int]]:
+    """Rules by the digest of their expression, hosts by their digest with the path lengths that occur, and label counts; at most `most` labels or path characters."""
+    rules = rules.where("host IS NOT NULL AND path IS NOT NULL")
+    labels = F.size(F.split("host", r"\."))
+    row = rules.agg(F.collect_set(labels), F.max(labels), F.max(F.length("path"))).first()
+    if max(row[1] or 0, row[2] or 0) > most:
         raise ValueError(f"a rule has more than {most} labels or path characters")
-    return sorted(row[0]), sorted(row[1])
+    text = F.concat("host", "path")
+    known = rules.groupBy(text.alias("rule")).agg(F.max("verdict").alias("verdict")).withColumn("full", F.sha2("rule", 256))
+    hosts = rules.groupBy("host").agg(F.sort_array(F.collect_set(F.length("path"))).alias("lengths")).withColumn("host_full", F.sha2("host", 256))
+    return store(known.withColumn("short", _short("full")), "rules"), store(hosts.select("host_full", "lengths", _short("host_full").alias("host_short")), "hosts"), sorted(row[0])
 
 
-def judge(pages: DataFrame, rules: DataFrame, default: str = DEFAULT, url: str = "url") -> DataFrame:
+def judge(pages: DataFrame, rules: DataFrame, default: str = DEFAULT, url: str = "url", most: int = 4096) -> DataFrame:
     """Adds host, path, rule and verdict to pages, one row out for each row in.
 
     Null URLs and URLs without `://` have empty host and path, fit no rule, and get `default`. Equal rules with other
-    verdicts: `block` wins. Repeated rows and URLs each keep their row. Input columns named host, path, rule or verdict
-    are replaced. An empty table, or empty rules, gives the same columns.
+    verdicts: `block` wins; rules with a null host or path fit nothing. Repeated rows and URLs each keep their row. Input
+    columns named host, path, rule or verdict are replaced. An empty table, or empty rules, gives the same columns.
     """
     pages = pages.drop(*[c for c in ("host", "path", "rule", "verdict") if c != url and c in pages.columns])
-    labels, lengths = lengths_of(rules)
+    known, hosts, labels = _known(rules, most)
     host, path = host_path(F.col("u"))
-    urls = pages.select(F.col(url).alias("u")).where(F.col("u").isNotNull()).distinct().select("u", host.alias("h"), path.alias("p"))
+    urls = pages.select(F.col(url).alias("u")).where(F.instr(url, "://") > 0).distinct().select("u", host.alias("h"), path.alias("p"))
     parted = urls.withColumn("l", F.split("h", r"\."))
     suffix = F.array(*[F.when(F.size("l") >= n, F.array_join(F.slice("l", F.greatest(F.size("l") - (n - 1), F.lit(1)), n), ".")) for n in labels] or [F.lit(None).cast("string")])
-    prefix = F.array(*[F.when(F.length("p") >= n, F.substring("p", 1, n)) for n in lengths] or [F.lit(None).cast("string")])
-    pairs = F.flatten(F.transform(F.array_compact(suffix), lambda s: F.transform(F.array_compact(prefix), lambda q: F.concat(s, q))))
-    expressions = parted.select("u", F.explode(pairs).alias("e")).select("u", F.sha2("e", 256).alias("digest"))
-    expressions = expressions.withColumn("short", F.substring("digest", 1, PREFIX_HEX))
-    text = F.concat("host", "path")
-    known = rules.groupBy(text.alias("rule")).agg(F.max("verdict").alias("verdict")).withColumn("full", F.sha2("rule", 256))
-    known = known.withColumn("short", F.substring("full", 1, PREFIX_HEX))
+    # first the host's suffixes meet the rules' hosts, and only a host that has rules is followed by the path's prefixes
+    suffixes = parted.select("u", "p", F.explode(F.array_compact(suffix)).alias("s")).withColumn("d", F.sha2("s", 256))
+    met = suffixes.withColumn("host_short", _short("d")).join(hosts, "host_short").where(F.col("d") == F.col("host_full"))
+    prefixes = F.transform(F.filter("lengths", lambda n: n <= F.length("p")), lambda n: F.concat("s", F.substring(F.col("p"), F.lit(1), n)))
+    expressions = met.select("u", F.explode(prefixes).alias("e")).withColumn("digest", F.sha2("e", 256)).withColumn("short", _short("digest"))
     hits = expressions.join(known, "short").where(F.col("digest") == F.col("full"))
     best = hits.groupBy("u").agg(F.max(F.struct(F.length("rule").alias("n"), "rule", "verdict")).alias("best")).select(F.col("u").alias("best_u"), "best")
+    best = store(best, "best")  # a plain table, so that the rows of a hot URL can be split
     h, p = host_path(F.col(url))
-    joined = pages.join(best, F.col(url) == F.col("best_u"), "left")
+    joined = pages.join(best, F.when(F.instr(url, "://") > 0, F.col(url)) == F.col("best_u"), "left")
     return joined.select(*pages.columns, h.alias("host"), p.alias("path"), F.col("best.rule").alias("rule"), F.coalesce("best.verdict", F.lit(default)).alias("verdict"))
 
 

@@ -14,20 +14,23 @@ import struct
 import uuid
 from collections.abc import Iterator
 from pathlib import Path
+from urllib.parse import quote, unquote
 
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import setting, shared_dir, slices, table
+from .common import discard, setting, shared_dir, slices, store, table
 
 #: Fixed values of the seekable format.
 SKIPPABLE, SEEKABLE = 0x184D2A5E, 0x8F92EAB1
 FRAME_BYTES, BUNDLE_BYTES = 256 << 10, 4 << 20
 DATE = "2024-01-01T00:00:00Z"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
-HTTP = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n\r\n"
+HTTP = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: %d\r\n\r\n"
+#: Stands for a null key in record ids; a key's own star is encoded.
+NO_KEY = "*"
 INDEX = "array<struct<record_id:string,frame:int,offset:long,length:long>>"
 
 
@@ -35,22 +38,28 @@ def base32_sha1(payload: bytes) -> str:
     return base64.b32encode(hashlib.sha1(payload).digest()).decode()
 
 
-def record_id(page: object, digest: str) -> str:
-    return f"urn:page:{'null' if page is None else page}:{digest}"
+def record_id(page: object, digest: str, copy: str = "") -> str:
+    """An id from the percent-encoded key and the payload's digest; copy tells apart rows that have both in common."""
+    return f"urn:page:{NO_KEY if page is None else quote(str(page), safe='')}:{digest}{copy and ':'}{copy}"
+
+
+def page_of(name: str) -> str | None:
+    key = name.split(":")[2]
+    return None if key == NO_KEY else unquote(key)
 
 
 def _clean(value: str) -> str:
     return "".join(c if c > "\x20" and c != "\x7f" else f"%{ord(c):02X}" for c in value)
 
 
-def record(page: object, url: str | None, payload: bytes, first: object) -> tuple[str, bytes]:
-    """(id, bytes) of a record; a revisit of page `first` unless that is None."""
+def record(page: object, url: str | None, payload: bytes, first: object, copy: str = "") -> tuple[str, bytes]:
+    """(id, bytes) of a record; a revisit of page `first` unless that is None. Its HTTP head has the full payload's length either way."""
     digest = base32_sha1(payload)
-    name = record_id(page, digest)
+    name = record_id(page, digest, copy)
     head = ["WARC/1.1", f"WARC-Type: {'response' if first is None else 'revisit'}", f"WARC-Record-ID: <{name}>", f"WARC-Date: {DATE}", f"WARC-Target-URI: {_clean(url or '') or name}", f"WARC-Payload-Digest: sha1:{digest}"]
     if first is not None:
         head += [f"WARC-Refers-To: <{record_id(first, digest)}>", f"WARC-Profile: {PROFILE}"]
-    block = HTTP + (payload if first is None else b"")
+    block = HTTP % len(payload) + (payload if first is None else b"")
     head += ["Content-Type: application/http; msgtype=response", f"Content-Length: {len(block)}"]
     return name, "\r\n".join(head).encode() + b"\r\n\r\n" + block + b"\r\n\r\n"
 
@@ -115,11 +124,19 @@ def frame_of(bundle: bytes, entry: tuple[int, int, int]) -> bytes:
 
 
 def revisits(pages: DataFrame, key: str = "page_id", payload: str = "html", least_bytes: int = 0) -> DataFrame:
-    """(key, digest, first) of the rows whose payload another row with a smaller key has too; narrow, distinct rows."""
+    """(k, digest, first, copies), a stored table of narrow rows: keys whose payload a smaller key has too, with the smallest; and those that
+    have one payload in several rows (copies > 1; first is null if theirs is the smallest key).
+    """
     body = F.coalesce(payload, F.lit(""))
-    narrow = pages.select(F.col(key).alias("k"), F.sha1(F.encode(body, "UTF-8")).alias("digest"), F.octet_length(body).alias("n")).where(F.col("n") >= least_bytes)
-    firsts = narrow.groupBy("digest").agg(F.min("k").alias("first"), F.count("*").alias("copies")).where("copies > 1 AND first IS NOT NULL").drop("copies")
-    return narrow.join(firsts, "digest").where(~F.col("k").eqNullSafe(F.col("first"))).select("k", "digest", "first").distinct()
+    narrow = pages.select(F.col(key).alias("k"), F.sha1(F.encode(body, "UTF-8")).alias("digest"), F.octet_length(body).alias("n"))
+    narrow = store(narrow.groupBy("k", "digest", "n").agg(F.count("*").alias("copies")), "keys")
+    firsts = narrow.where(F.col("n") >= least_bytes).groupBy("digest").agg(F.min("k").alias("first"), F.count("*").alias("keys")).where("keys > 1 AND first IS NOT NULL")
+    firsts = store(firsts.select(F.col("digest").alias("of"), "first"), "firsts")  # a plain table, so that the keys of a hot payload can be split
+    found = narrow.join(firsts, F.col("digest") == F.col("of"), "left").withColumn("first", F.when(~F.col("k").eqNullSafe(F.col("first")), F.col("first")))
+    out = store(found.where("first IS NOT NULL OR copies > 1").select("k", "digest", "first", "copies"), "revisits")
+    for t in (narrow, firsts):
+        discard(t)
+    return out
 
 
 def write_bundles(pages: DataFrame, path: str, key: str = "page_id", url: str = "url", payload: str = "html", least_bytes: int = 0, frame_bytes: int = FRAME_BYTES, bundle_bytes: int = BUNDLE_BYTES) -> None:
@@ -127,17 +144,19 @@ def write_bundles(pages: DataFrame, path: str, key: str = "page_id", url: str =
 
     Null payloads are empty. Of rows with equal payloads of at least `least_bytes` bytes, those with the smallest key
     are responses (several if that key is repeated) and the others revisit it; a null key counts as larger than any
-    other, and payloads that only null keys have are all responses. An empty table gives no bundle. Other columns are ignored.
+    other, and payloads that only null keys have are all responses. Rows with key and payload in common get record ids with
+    an ending of their own, while a revisit names the id without one. Keys may be of any type and hold any character. An empty
+    table gives no bundle. Other columns are ignored.
     """
     spark = pages.sparkSession
     kind = pages.schema[key].dataType.simpleString()
     rows = pages.select(F.col(key).alias("page"), F.col(url).alias("url"), F.coalesce(payload, F.lit("")).alias("payload"))
     known = revisits(pages, key, payload, least_bytes)
     digest = F.sha1(F.encode("payload", "UTF-8"))
-    rows = rows.join(known, F.col("page").eqNullSafe(F.col("k")) & (digest == F.col("digest")), "left").select("page", "url", "payload", F.col("first").cast(kind))
+    rows = rows.join(known, F.col("page").eqNullSafe(F.col("k")) & (digest == F.col("digest")), "left").select("page", "url", "payload", F.col("first").cast(kind), F.coalesce("copies", F.lit(1)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        task, n, bundle = TaskContext.get().partitionId(), 0, Bundle(frame_bytes)
+        task, n, seen, bundle = TaskContext.get().partitionId(), 0, 0, Bundle(frame_bytes)
 
         def row() -> pa.RecordBatch:
             content = bundle.finish()
@@ -146,8 +165,9 @@ def write_bundles(pages: DataFrame, path: str, key: str = "page_id", url: str =
 
         for batch in slices(batches):
             payloads = batch.column(2).cast(pa.binary())
-            for i, (page, address, first) in enumerate(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(3).to_pylist(), strict=True)):
-                bundle.add(*record(page, address, payloads[i].as_py(), first))
+            for i, (page, address, first, copies) in enumerate(zip(*(batch.column(c).to_pylist() for c in (0, 1, 3, 4)), strict=True)):
+                seen += copies > 1
+                bundle.add(*record(page, address, payloads[i].as_py(), first, f"{task}-{seen}" if copies > 1 else ""))
                 if len(bundle.content) >= bundle_bytes:
                     yield row()
                     n, bundle = n + 1, Bundle(frame_bytes)
@@ -158,12 +178,14 @@ def write_bundles(pages: DataFrame, path: str, key: str = "page_id", url: str =
         out = rows.mapInArrow(run, f"bundle string, content binary, index {INDEX}")
         # few rows to a row group: readers hold a group's bundles at once
         out.write.option("compression", "none").option("parquet.enable.dictionary", "false").option("parquet.block.row.count.limit", "2").parquet(path)
+    discard(known)
 
 
 def read_bundles(spark: SparkSession, path: str, payloads: bool = True) -> DataFrame:
-    """A row for each record of a table of bundles: record_id, page, digest, record_type, refers_to (a page), target, payload_bytes (null for revisits), and payload.
+    """A row for each record of a table of bundles: record_id, page, digest, record_type, refers_to (a page), target, payload_bytes (of the full payload), and payload (null for revisits).
 
-    Goes from frame to frame by the seek table and stops with an error where a response's payload doesn't have its digest.
+    Goes from frame to frame by the seek table and stops with an error where a response's payload doesn't have its digest or length.
+    A null key reads back as null, an empty payload as an empty one.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -177,11 +199,12 @@ def read_bundles(spark: SparkSession, path: str, payloads: bool = True) -> DataF
                     while at < len(data):
                         head, block, at = parse(data, at)
                         name, kind, digest = head["WARC-Record-ID"][1:-1], head["WARC-Type"], head["WARC-Payload-Digest"][5:]
-                        body = block[block.index(b"\r\n\r\n") + 4 :]
-                        if kind == "response" and base32_sha1(body) != digest:
+                        stop = block.index(b"\r\n\r\n")
+                        body, size = block[stop + 4 :], int(block[block.index(b"Content-Length: ") + 16 : stop])
+                        if kind == "response" and (base32_sha1(body) != digest or len(body) != size):
                             raise ValueError(f"{name}: the payload doesn't have its digest")
-                        first = head.get("WARC-Refers-To", "")[1:-1].split(":")
-                        out.append((name, name.split(":")[2], digest, kind, first[2] if len(first) > 1 else None, head["WARC-Target-URI"], len(body) if kind == "response" else None, *([body if kind == "response" else None] if payloads else [])))
+                        first = head.get("WARC-Refers-To", "")[1:-1]
+                        out.append((name, page_of(name), digest, kind, page_of(first) if first else None, head["WARC-Target-URI"], size, *([body if kind == "response" else None] if payloads else [])))
                     yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(zip(*out, strict=True), types, strict=True)], names)
 
     schema = "record_id string, page string, digest string, record_type string, refers_to string, target string, payload_bytes long" + (", payload binary" if payloads else "")
@@ -189,9 +212,14 @@ def read_bundles(spark: SparkSession, path: str, payloads: bool = True) -> DataF
 
 
 def fetch(spark: SparkSession, path: str, ids: DataFrame) -> DataFrame:
-    """record_id and data (the record's bytes) for the ids asked for, by the index: one frame is decompressed for each."""
+    """record_id and data (the record's bytes) for the ids asked for, by the index: one frame is decompressed for each.
+
+    Ids that are null, repeated or in no bundle give no row of their own; ids without any give an empty table. Only bundles that hold a
+    wanted record are opened; they are found by a join whose small side Spark broadcasts by its size on disk.
+    """
     hits = spark.read.parquet(path).select("bundle", F.explode("index").alias("e")).select("bundle", "e.*").join(ids.select("record_id").distinct(), "record_id")
-    wanted = hits.groupBy("bundle").agg(F.collect_list(F.struct("record_id", "frame", "offset", "length")).alias("wanted"))
+    wanted = hits.groupBy("bundle").agg(F.collect_list(F.struct("record_id", "frame", "offset", "length")).alias("wanted"))  # a bundle's records at most
+    wanted = store(wanted, "wanted")
     both = spark.read.parquet(path).select("bundle", "content").join(wanted, "bundle").select("content", "wanted")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -205,7 +233,7 @@ def fetch(spark: SparkSession, path: str, ids: DataFrame) -> DataFrame:
 
 
 def export_files(spark: SparkSession, path: str, folder: str) -> None:
-    """Writes the bundles as .warc.zst files to a folder that all executors mount."""
+    """Writes the bundles, with the bytes they have, as .warc.zst files to a folder that all executors mount. An empty table gives an empty folder."""
 
     def save(rows) -> None:
         for r in rows:
@@ -219,10 +247,7 @@ def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = f"{shared_dir(spark)}/warc-{uuid.uuid4().hex}"
     write_bundles(table(spark, sf_dir, "pages"), path)
     records = read_bundles(spark, path, payloads=False)
-    page = F.when(F.col("page") != "null", F.col("page")).cast("long")
-    responses = records.where("record_type = 'response'").groupBy(F.col("page").alias("of"), F.col("digest").alias("of_digest")).agg(F.max("payload_bytes").alias("n"))
-    resolved = records.join(responses, (F.col("refers_to") == F.col("of")) & (F.col("digest") == F.col("of_digest")), "left")
-    return resolved.select(page.alias("page_id"), F.coalesce("payload_bytes", "n").alias("payload_bytes"), F.col("digest").alias("payload_digest"), "record_type", F.col("refers_to").cast("long").alias("refers_to"))
+    return records.select(F.col("page").cast("long").alias("page_id"), "payload_bytes", F.col("digest").alias("payload_digest"), "record_type", F.col("refers_to").cast("long").alias("refers_to"))
 
 
 OP6_SQL = """

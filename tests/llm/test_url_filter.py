@@ -29,3 +29,10 @@ def test_many_rules_and_none(spark):
     pages = spark.createDataFrame([(i, f"http://x.h{i % 60}.net/{'ab'[i % 2] * (i % 11)}") for i in range(500)], "page_id long, url string")
     assert sorted((r.page_id, r.rule, r.verdict) for r in judge(pages, rules_frame(spark, rules)).fillna("-", ["rule"]).collect()) == [(i, brute(u, rules)[2] or "-", brute(u, rules)[3]) for i, u in pages.collect()]
     assert {r.verdict for r in judge(pages, rules_frame(spark, []), "block").collect()} == {"block"} and judge(pages.limit(0), rules_frame(spark, rules)).count() == 0
+
+
+def test_one_url_in_most_rows_and_null_rules(spark):
+    pages = spark.range(3000).selectExpr("id AS page_id", "CASE WHEN id % 3 = 0 THEN NULL WHEN id % 3 = 1 THEN 'http://a.example.org/es/' ELSE concat('http://com/de/', id) END AS url")
+    rules = rules_frame(spark, RULES).union(spark.createDataFrame([(None, "/", "block"), ("org", None, "block")], "host string, path string, verdict string"))
+    got = judge(pages, rules).groupBy("rule", "verdict").count().collect()
+    assert sorted(map(repr, ((r.rule, r.verdict, r["count"]) for r in got))) == sorted(map(repr, [(None, "allow", 1000), ("example.org/es/", "block", 1000), ("com/de/", "block", 1000)]))

@@ -25,7 +25,9 @@ def test_round_trip(spark, tmp_path):
     pages = spark.createDataFrame(ROWS, "page_id long, url string, html string, digest string").repartition(3)
     path = f"file://{tmp_path}/t"
     write_bundles(pages, path, frame_bytes=200, bundle_bytes=300)
-    got = sorted((r.page, r.digest, r.record_type, r.refers_to or "") for r in read_bundles(spark, path).collect())
+    rows = read_bundles(spark, path).collect()
+    got = sorted((r.page or "null", r.digest, r.record_type, r.refers_to or "") for r in rows)
+    assert len({r.record_id for r in rows}) == len(rows) and all(r.payload_bytes == len((h or "").encode()) for r in rows for _, _, h, _ in ROWS if base32_sha1((h or "").encode()) == r.digest)
     d = lambda s: base32_sha1(s.encode())
     want = [("1", d("same"), "response", "")] * 2 + [("2", d("same"), "revisit", "1")] * 2 + [("3", d(""), "response", ""), ("4", d(""), "revisit", "3"), ("5", d("é" * 400_000), "response", ""), ("null", d("same"), "revisit", "1"), ("null", d("alone"), "response", "")]
     assert got == sorted(want)
@@ -38,3 +40,22 @@ def test_round_trip(spark, tmp_path):
     assert spark.read.parquet(f"{path}2").count() and read_bundles(spark, f"{path}2").where("record_type = 'revisit'").count() == 0
     write_bundles(pages.limit(0), f"{path}3")
     assert read_bundles(spark, f"{path}3").count() == 0
+
+
+def test_keys_of_any_text(spark, tmp_path):
+    keys = ["a:b", "k\r\nX: y", "null", None, "*", "%2A", "", "é/ü?", "a"]
+    pages = spark.createDataFrame([(k, "http://u", f"page {i % 3}") for i, k in enumerate(keys)], "page_id string, url string, html string")
+    write_bundles(pages, f"file://{tmp_path}/t")
+    rows = read_bundles(spark, f"file://{tmp_path}/t").collect()
+    assert sorted(map(repr, (r.page for r in rows))) == sorted(map(repr, keys)) and len({r.record_id for r in rows}) == len(keys)
+    least = {p: min(k for i, k in enumerate(keys) if i % 3 == p and k is not None) for p in range(3)}
+    for r in rows:
+        first = least[keys.index(r.page) % 3]
+        assert (r.refers_to, r.record_type) == ((None, "response") if r.page == first else (first, "revisit"))
+
+
+def test_one_payload_in_most_rows(spark, tmp_path):
+    pages = spark.range(4000).selectExpr("id AS page_id", "'http://u' AS url", "CASE WHEN id % 4 > 0 THEN NULL ELSE concat('p', id) END AS html")
+    write_bundles(pages, f"file://{tmp_path}/t")
+    rows = read_bundles(spark, f"file://{tmp_path}/t", payloads=False)
+    assert rows.where("refers_to = '1' AND record_type = 'revisit' AND payload_bytes = 0").count() == 2999 and rows.where("record_type = 'response'").count() == 1001
