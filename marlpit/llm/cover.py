@@ -217,6 +217,15 @@ def _matrix(column: pa.Array) -> np.ndarray:
     return flat.reshape(len(column), -1)
 
 
+def _copies(home: np.ndarray, own_chunk: np.ndarray, chunks: np.ndarray, goes: np.ndarray) -> Iterator[tuple[np.ndarray, int | np.ndarray, int | np.ndarray, bool]]:
+    """Rows with the home and chunk that they go to: all to their own, then the guests of each chunk."""
+    yield np.arange(len(home)), home, own_chunk, False
+    for h in range(goes.shape[1]):
+        rows = np.flatnonzero(goes[:, h])
+        for k in range(int(chunks[rows, h].max(initial=0))):
+            yield rows[(chunks[rows, h] > k) & ((home[rows] != h) | (own_chunk[rows] < k))], h, k, True
+
+
 def near_duplicates(rows: DataFrame, key: str = "vec_id", vector: str = "embedding", label: str = "label", threshold: float = THRESHOLD) -> DataFrame:
     """One row for each row: key, n_links (rows of its label with cosine >= threshold, itself left out) and component (the smallest key reached).
 
@@ -238,6 +247,7 @@ def near_duplicates(rows: DataFrame, key: str = "vec_id", vector: str = "embeddi
         centres[d] = points[farthest_first(points, CENTRES)]
 
     sizes = nodes.groupBy("label", "dim").agg(F.least(F.lit(CENTRES), F.ceil(F.count("*") / HOME)).cast("int").alias("used"))
+    sizes = store(sizes, "sizes")  # a plain table, so that a hot label's vectors can be split
     placed = nodes.join(sizes, ["label", "dim"])
 
     def homes(v: np.ndarray, used: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -281,18 +291,22 @@ def near_duplicates(rows: DataFrame, key: str = "vec_id", vector: str = "embeddi
                 later = np.arange(width)[None, :] > home[:, None]
                 goes = later & (gap <= radius + reach + SLACK) & (apart <= radius + radius[np.arange(len(home)), home][:, None] + reach + SLACK) & (bisector <= reach + 1e-6)
                 own_chunk = ((node.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(33)).astype(np.int64) % np.maximum(1, chunks[np.arange(len(home)), home])
-                at, to_home, to_chunk, guest = [np.arange(len(home))], [home], [own_chunk], [np.zeros(len(home), bool)]
                 goes[np.arange(len(home)), home] = True
-                for h in range(width):
-                    rows_h = np.flatnonzero(goes[:, h])
-                    for k in range(int(chunks[rows_h, h].max(initial=0))):
-                        r = rows_h[(chunks[rows_h, h] > k) & ((home[rows_h] != h) | (own_chunk[rows_h] < k))]
-                        at, to_home, to_chunk, guest = [*at, r], [*to_home, np.full(len(r), h)], [*to_chunk, np.full(len(r), k)], [*guest, np.ones(len(r), bool)]
-                at = np.concatenate(at)
-                taken = part.take(pa.array(at))
-                out = [taken.column(0), taken.column(1), pa.array(np.concatenate(to_home).astype(np.int32)), pa.array(np.concatenate(to_chunk).astype(np.int32)), pa.array(np.concatenate(guest)), taken.column(3), taken.column(4), taken.column(2)]
-                for i in range(0, len(at), HOME):
-                    yield pa.RecordBatch.from_arrays([x[i : i + HOME] for x in out], ["label", "dim", "home", "chunk", "guest", "node", "mult", "v"])
+                waiting, size = [], 0
+                for at, h, k, is_guest in _copies(home, own_chunk, chunks, goes):
+                    waiting.append((at, np.broadcast_to(h, len(at)), np.broadcast_to(k, len(at)), np.full(len(at), is_guest)))
+                    size += len(at)
+                    if size >= HOME:  # copies are made as they leave, at most about two times HOME at once
+                        yield placed_rows(part, waiting)
+                        waiting, size = [], 0
+                if size:
+                    yield placed_rows(part, waiting)
+
+    def placed_rows(part: pa.RecordBatch, waiting: list[tuple[np.ndarray, ...]]) -> pa.RecordBatch:
+        at, to_home, to_chunk, guest = (np.concatenate(c) for c in zip(*waiting, strict=True))
+        taken = part.take(pa.array(at))
+        out = [taken.column(0), taken.column(1), pa.array(to_home.astype(np.int32)), pa.array(to_chunk.astype(np.int32)), pa.array(guest), taken.column(3), taken.column(4), taken.column(2)]
+        return pa.RecordBatch.from_arrays(out, ["label", "dim", "home", "chunk", "guest", "node", "mult", "v"])
 
     v_kind = nodes.schema["v"].dataType.simpleString()
     joined = nodes.join(stats, ["label", "dim"]).select("label", "dim", "v", "node", "mult", "used", "homes").repartition(n_parts)
@@ -340,8 +354,8 @@ def near_duplicates(rows: DataFrame, key: str = "vec_id", vector: str = "embeddi
     dealt = met.repartition(n_parts, *place).sortWithinPartitions(*place, "guest", "node")
     links = store(dealt.mapInArrow(link, "a long, n long, b long"), "links")
     counts = links.where("n IS NOT NULL").groupBy(F.col("a").alias("of")).agg(F.sum("n").alias("n"))
-    linked = components(links.where("b IS NOT NULL").select("a", "b"))
-    groups = nodes.select("node", "least").join(linked, "node").groupBy("component").agg(F.min("least").alias("c"))
+    linked = store(components(links.where("b IS NOT NULL").select("a", "b")), "linked")
+    groups = store(nodes.select("node", "least").join(linked, "node").groupBy("component").agg(F.min("least").alias("c")), "groups")
     labels = linked.join(groups, "component").select(F.col("node").alias("in_group"), "c")
     summed = nodes.join(counts, nodes.node == F.col("of"), "left").join(labels, nodes.node == F.col("in_group"), "left")
     summed = summed.select(F.col("label").alias("l"), F.col("v").alias("w"), (F.coalesce("n", F.lit(0)) + F.col("mult") - 1).alias("n_links"), F.coalesce("c", "least").alias("component"))

@@ -20,9 +20,12 @@ def _large_star(edges: DataFrame, least: DataFrame) -> DataFrame:
     return _both_ways(edges).where("v > u").join(least, "u").select(F.col("v").alias("a"), F.col("m").alias("b")).distinct()
 
 
-def _small_star(edges: DataFrame) -> DataFrame:
+def _small_least(edges: DataFrame) -> DataFrame:
+    return edges.groupBy("a").agg(F.min("b").alias("m"))
+
+
+def _small_star(edges: DataFrame, least: DataFrame) -> DataFrame:
     # every edge here has a > b
-    least = edges.groupBy("a").agg(F.min("b").alias("m"))
     return edges.join(least, "a").select(F.when(F.col("b") == F.col("m"), F.col("a")).otherwise(F.col("b")).alias("a"), F.col("m").alias("b")).distinct()
 
 
@@ -39,10 +42,13 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     for _ in range(most_rounds):
         if not before[0]:
             break
-        least = store(_least(now), "least")  # a plain table: its exchange, and so the edges of a hot node, can be split
-        new = store(_small_star(_large_star(now, least)), "edges")
-        discard(now)
-        discard(least)
+        # plain tables: their exchanges, and so the edges of a hot node, can be split
+        least = store(_least(now), "least")
+        large = store(_large_star(now, least), "large")
+        small = store(_small_least(large), "small")
+        new = store(_small_star(large, small), "edges")
+        for t in (now, least, large, small):
+            discard(t)
         now, after = new, mark(new)
         if after == before:
             break

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import parts, slices, store, table
+from .common import discard, parts, slices, store, table
 from .graph import components
 
 BITS, RADIUS, SEED = 64, 4, 42
@@ -255,11 +255,15 @@ def cluster(fps: DataFrame, radius: int = RADIUS) -> DataFrame:
     """
     known = store(fps, "fingerprints")
     nodes = store(known.groupBy("fp").agg(F.min("key").alias("least")), "nodes")
-    linked = components(store(links(nodes.select("fp"), radius), "links"))
-    groups = nodes.join(linked, nodes.fp == linked.node).groupBy("component").agg(F.min("least").alias("c"))
+    found = store(links(nodes.select("fp"), radius), "links")
+    linked = store(components(found), "linked")
+    # plain tables: their exchanges, and so the rows of a hot component or fingerprint, can be split
+    groups = store(nodes.join(linked, nodes.fp == linked.node).groupBy("component").agg(F.min("least").alias("c")), "groups")
     labels = linked.join(groups, "component").select(F.col("node").alias("node_fp"), "c")
     named = nodes.join(labels, nodes.fp == F.col("node_fp"), "left").select(F.col("fp").alias("of"), F.coalesce("c", "least").alias("component"))
-    named = store(named, "named")  # a plain table: its exchange, and so a hot fingerprint's rows, can be split
+    named = store(named, "named")
+    for t in (nodes, found, linked, groups):
+        discard(t)
     return known.join(named, known.fp == F.col("of")).select("key", "fp", "component")
 
 
