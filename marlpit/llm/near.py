@@ -10,7 +10,8 @@
    First a spanning forest of the most similar pairs is compared exactly and merged; then all pairs that still are open.
 
 A hash that many texts share is dealt to pairs of blocks of at most BLOCK texts, so no task holds all of them, and pairs
-are made AT_ONCE at a time and leave a task only if the sketch leaves them open.
+are made AT_ONCE at a time and leave a task only if the sketch leaves them open. For the exact comparison, texts that pairs
+connect meet in one task if their sets have at most GROUP_BYTES; else each pair brings its sets.
 """
 
 from __future__ import annotations
@@ -31,7 +32,7 @@ from .simhash import RADIUS, _forest, fingerprint, links, shingle_hashes
 WIDTH, SIMILARITY = 5, 0.8
 #: Hashes are counted in COUNTERS counters of which the HEAVY largest set the order of a text's hashes, common ones last.
 COUNTERS, HEAVY = 1 << 20, 1 << 16
-SKETCH, BLOCK, AT_ONCE, ROWS = 2048, 2048, 1 << 17, 1 << 15
+SKETCH, BLOCK, AT_ONCE, ROWS, GROUP_BYTES = 2048, 2048, 1 << 17, 1 << 15, 32 << 20
 
 
 def _digest(text: str | Column) -> Column:
@@ -195,13 +196,27 @@ class _Verifier:
                 raw = batch.column(1).cast(pa.binary()).to_pylist()
                 yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([np.unique(shingle_hashes(t or b"", width)).tobytes() for t in raw], pa.binary())], ["node", "hashes"])
 
+        def same(x: bytes, y: bytes) -> bool:
+            x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
+            both = len(np.intersect1d(x, y, assume_unique=True))
+            return both >= similarity * (len(x) + len(y) - both) - 1e-9
+
         def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in slices(batches):
+                keep = [i for i in range(batch.num_rows) if same(batch.column(2)[i].as_py(), batch.column(3)[i].as_py())]
+                yield batch.select(["a", "b"]).take(pa.array(keep, pa.int64()))
+
+        def compare_together(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            group, held = None, {}
+            for batch in slices(batches):
+                of, a, b = (batch.column(i).to_pylist() for i in range(3))
                 keep = []
                 for i in range(batch.num_rows):
-                    x, y = (np.frombuffer(batch.column(c)[i].as_py(), np.uint64) for c in (2, 3))
-                    both = len(np.intersect1d(x, y, assume_unique=True))
-                    if both >= similarity * (len(x) + len(y) - both) - 1e-9:
+                    if of[i] != group:
+                        group, held = of[i], {}
+                    if b[i] is None:
+                        held[a[i]] = batch.column(3)[i].as_py()
+                    elif same(held[a[i]], held[b[i]]):
                         keep.append(i)
                 yield batch.select(["a", "b"]).take(pa.array(keep, pa.int64()))
 
@@ -215,9 +230,21 @@ class _Verifier:
         known = self.tables[0]
         for t in self.tables[1:]:
             known = known.union(t)
-        both = pairs.join(known.toDF("a", "left"), "a").join(known.toDF("b", "right"), "b").select("a", "b", "left", "right")
-        out = store(both.mapInArrow(compare, "a long, b long"), "alike")
-        for t in (pairs, wanted):
+        # what the pairs connect meets in one place, so that each set travels once; where that is much, each pair brings its two sets
+        of = store(components(pairs).toDF("node", "of"), "of")
+        big = store(of.join(known, "node").groupBy("of").agg(F.sum(F.octet_length("hashes")).alias("bytes")).where(F.col("bytes") > GROUP_BYTES).select(F.col("of").alias("big")), "big")
+        placed = pairs.join(of, F.col("a") == F.col("node")).select("of", "a", "b")
+        few = lambda df: df.join(big, F.col("of") == F.col("big"), "left_anti")
+        rows = few(known.join(of, "node")).select("of", F.col("node").alias("a"), F.lit(None).cast("long").alias("b"), "hashes")
+        rows = rows.union(few(placed).select("of", "a", "b", F.lit(None).cast("binary")))
+        rows = rows.repartition(parts(pairs.sparkSession), "of").sortWithinPartitions("of", F.col("b").asc_nulls_first())
+        out = rows.mapInArrow(compare_together, "a long, b long")
+        if big.limit(1).count():
+            rest = placed.join(big, F.col("of") == F.col("big"), "left_semi").select("a", "b")
+            both = rest.join(known.toDF("a", "left"), "a").join(known.toDF("b", "right"), "b").select("a", "b", "left", "right")
+            out = out.union(both.mapInArrow(compare, "a long, b long"))
+        out = store(out, "alike")
+        for t in (pairs, wanted, of, big):
             discard(t)
         return out
 

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import discard, parts, slices, store, table
-from .graph import components
+from .graph import _forest, components
 
 BITS, RADIUS, SEED = 64, 4, 42
 #: By so many bits a prefix grows that has too many rows for a task.
@@ -79,26 +79,6 @@ def prefix_bits(n: int) -> int:
     return max(20, min(40, 20 + max(0, int(n).bit_length() - 27)))
 
 
-def _forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs (node, root) that connect what the pairs (a, b) connect."""
-    nodes, both = np.unique(np.concatenate((a, b)), return_inverse=True)
-    x, y = both[: len(a)], both[len(a) :]
-    root = np.arange(len(nodes))
-    while True:
-        rx, ry = root[x], root[y]
-        least = root.copy()
-        np.minimum.at(least, rx, ry)
-        np.minimum.at(least, ry, rx)
-        least = np.minimum(least, least[root])
-        while not np.array_equal(least, least[least]):
-            least = least[least]
-        if np.array_equal(least, root):
-            break
-        root = least
-    moved = root != np.arange(len(nodes))
-    return nodes[moved], nodes[root[moved]]
-
-
 def meet(base: np.ndarray, owner: np.ndarray, flips: np.ndarray, low: list[np.ndarray], radius: int, at_once: int = 1 << 22, forest: Forest | None = None) -> tuple[np.ndarray, np.ndarray]:
     """Links between owners whose rows reach the same variant: base with as many further low flips as the half radius leaves."""
     half = len(low) - 1

@@ -134,8 +134,9 @@ def test_span_connects_at_the_least_cost():
 
 
 def test_blocks_of_a_common_hash(spark, monkeypatch):
-    """One phrase in all texts, whose hash is dealt to pairs of small blocks, must not lose a pair."""
+    """One phrase in all texts, whose hash is dealt to pairs of small blocks, must not lose a pair; nor must sets too many for a task."""
     monkeypatch.setattr("marlpit.llm.near.BLOCK", 8)
+    monkeypatch.setattr("marlpit.llm.near.GROUP_BYTES", 4000)
     rng = random.Random(5)
     word = lambda: "".join(rng.choices("abcdefgh", k=5))
     texts, phrase = [], [word() for _ in range(30)]

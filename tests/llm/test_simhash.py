@@ -84,5 +84,6 @@ def test_components(spark):
     rng = random.Random(1)
     edges = [(rng.randrange(300), rng.randrange(300)) for _ in range(170)] + [(i, i + 1) for i in range(1000, 1100)] + [(2000, i) for i in range(2001, 2100)] + [(4, 4)]
     want = roots(2200, edges)
-    got = {r.node: r.component for r in components(spark.createDataFrame([*edges, (None, 3)], "a long, b long")).collect()}
-    assert got == {n: want[n] for e in edges for n in e if e[0] != e[1]}
+    for most in (0, 1 << 18):  # by rounds, and by one task
+        got = {r.node: r.component for r in components(spark.createDataFrame([*edges, (None, 3)], "a long, b long"), at_once=most).collect()}
+        assert got == {n: want[n] for e in edges for n in e if e[0] != e[1]}
