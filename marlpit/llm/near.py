@@ -5,7 +5,7 @@
 2. At a similarity of 0.8 two fingerprints differ in about ten bits, and balls of half of ten bits have 8 million
    variants. So a second step is complete by another bound: sets of similarity t share one of the first
    s - ceil(t s) + 1 of their s hashes in any common order. Texts of different groups that share such a hash meet, and
-   a sketch (a bit for each hash value modulo SKETCH that occurs an odd number of times) rules a pair out where even the
+   a sketch (a bit for each value of the hashes, modulo its size, that occurs an odd number of times) rules a pair out where even the
    least possible difference of the sets is too large: two sketches never differ in more bits than the sets in hashes.
    First a spanning forest of the most similar pairs is compared exactly and merged; then all pairs that still are open.
 
@@ -32,7 +32,7 @@ from .simhash import RADIUS, _forest, fingerprint, links, shingle_hashes
 WIDTH, SIMILARITY = 5, 0.8
 #: Hashes are counted in COUNTERS counters of which the HEAVY largest set the order of a text's hashes, common ones last.
 COUNTERS, HEAVY = 1 << 20, 1 << 16
-SKETCH, BLOCK, AT_ONCE, ROWS, GROUP_BYTES = 2048, 2048, 1 << 17, 1 << 15, 32 << 20
+SKETCH, SKETCH_AT_ONCE, BLOCK, AT_ONCE, ROWS, GROUP_BYTES = (512, 16384), 16 << 20, 2048, 1 << 17, 1 << 15, 32 << 20
 
 
 def _digest(text: str | Column) -> Column:
@@ -40,11 +40,41 @@ def _digest(text: str | Column) -> Column:
 
 
 def sketch(hashes: np.ndarray) -> bytes:
-    """SKETCH bits: which values of the hashes' upper halves, modulo SKETCH, occur an odd number of times."""
-    counts = np.bincount(((hashes >> np.uint64(32)) % np.uint64(SKETCH)).astype(np.int64), minlength=SKETCH)
+    """Which values of the hashes' upper halves, modulo the number of bits, occur an odd number of times; as many bits as hashes or up to twice as many, within SKETCH."""
+    bits = min(max(1 << max(0, len(hashes) - 1).bit_length(), SKETCH[0]), SKETCH[1])
+    counts = np.bincount(((hashes >> np.uint64(32)) % np.uint64(bits)).astype(np.int64), minlength=bits)
     return np.packbits((counts & 1).astype(np.uint8)).tobytes()
 
 
+class Sketches:
+    """Sketches of several sizes, a matrix for each size; a larger one folds onto half its size."""
+
+    def __init__(self, rows: list[bytes]):
+        self.bytes = np.array([len(x) for x in rows], np.int64)
+        self.at, self.matrix = {}, {}
+        for n in np.unique(self.bytes):
+            small, large = np.flatnonzero(self.bytes == n), np.flatnonzero(self.bytes == 2 * n)
+            parts_ = [np.frombuffer(b"".join(rows[i] for i in small), np.uint64).reshape(len(small), -1)]
+            if len(large):
+                both = np.frombuffer(b"".join(rows[i] for i in large), np.uint64).reshape(len(large), 2, -1)
+                parts_.append(both[:, 0] ^ both[:, 1])
+            place = np.full(len(rows), -1)
+            place[np.concatenate((small, large))] = np.arange(len(small) + len(large))
+            self.at[int(n)], self.matrix[int(n)] = place, np.concatenate(parts_)
+
+    def differ(self, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+        """Bits that differ, for pairs of rows; 0 where one sketch is more than twice as large as the other."""
+        out, size = np.zeros(len(x), np.int64), np.minimum(self.bytes[x], self.bytes[y])
+        size[np.maximum(self.bytes[x], self.bytes[y]) > 2 * size] = 0
+        for n, matrix in self.matrix.items():
+            which = np.flatnonzero(size == n)
+            step = max(1, SKETCH_AT_ONCE // n)
+            for i in range(0, len(which), step):
+                w = which[i : i + step]
+                out[w] = np.bitwise_count(matrix[self.at[n][x[w]]] ^ matrix[self.at[n][y[w]]]).sum(axis=1, dtype=np.int64)
+        return out
+
+
 def span(a: np.ndarray, b: np.ndarray, cost: np.ndarray) -> np.ndarray:
     """Which of the pairs (a, b) make a spanning forest of the least cost, as indices; by rounds of each tree's cheapest pair."""
     order = np.lexsort((b, a, cost))
@@ -96,7 +126,7 @@ def _meetings(group: np.ndarray, size: np.ndarray, similarity: float) -> Iterato
         yield order[row], order[row + 1 + place - (ends[row] - n[row])]
 
 
-def _open_pairs(group: np.ndarray, side: np.ndarray, node: np.ndarray, comp: np.ndarray, size: np.ndarray, sketches: np.ndarray, similarity: float, forest: bool) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+def _open_pairs(group: np.ndarray, side: np.ndarray, node: np.ndarray, comp: np.ndarray, size: np.ndarray, sketches: Sketches, similarity: float, forest: bool) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Pairs (a < b) of nodes of a group and of different components that sizes and sketches leave open; or a forest of the most similar ones.
 
     side: in groups of two blocks, which one a row is of; pairs of one block are left out there. -1: a group of one block.
@@ -105,7 +135,7 @@ def _open_pairs(group: np.ndarray, side: np.ndarray, node: np.ndarray, comp: np.
     for x, y in _meetings(group, size, similarity):
         keep = (comp[x] != comp[y]) & ((side[x] < 0) | (side[x] != side[y]))
         x, y = x[keep], y[keep]
-        differ = np.bitwise_count(sketches[x] ^ sketches[y]).sum(axis=1, dtype=np.int64)
+        differ = sketches.differ(x, y)
         both = size[x] + size[y]
         keep = (both - differ) * (1 + similarity) >= 2 * similarity * both - 1e-6
         x, y, cost = x[keep], y[keep], (differ / both)[keep]
@@ -153,28 +183,28 @@ def _dealt(shared: DataFrame, nodes: DataFrame) -> DataFrame:
 def _open(shared: DataFrame, nodes: DataFrame, similarity: float, forest: bool) -> DataFrame:
     """(a, b) for shared (token, node, pieces) and nodes (node, comp, size, sketch)."""
 
-    def work(rows: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
-        token, left, right, side, node, comp, size, sketches = rows
+    def work(rows: list[np.ndarray], sketches: list[bytes]) -> Iterator[pa.RecordBatch]:
+        token, left, right, side, node, comp, size = rows
         new = np.concatenate(([True], (token[1:] != token[:-1]) | (left[1:] != left[:-1]) | (right[1:] != right[:-1])))
-        for a, b in _open_pairs(np.cumsum(new), side, node, comp, size, sketches, similarity, forest):
+        for a, b in _open_pairs(np.cumsum(new), side, node, comp, size, Sketches(sketches), similarity, forest):
             yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         waiting: list[list[np.ndarray]] = []
-        count = 0
+        count, held = 0, []
         for batch in slices(batches, ROWS):
-            cols = [batch.column(i).to_numpy(zero_copy_only=False) for i in range(7)]
-            waiting.append([*cols, np.frombuffer(b"".join(batch.column(7).to_pylist()), np.uint64).reshape(-1, SKETCH // 64)])
+            waiting.append([batch.column(i).to_numpy(zero_copy_only=False) for i in range(7)])
+            held += batch.column(7).to_pylist()
             count += batch.num_rows
             if count >= ROWS:  # a group has at most about 2 * BLOCK rows, and the last one may go on
                 rows = [np.concatenate(c) for c in zip(*waiting, strict=True)]
                 same = (rows[0] == rows[0][-1]) & (rows[1] == rows[1][-1]) & (rows[2] == rows[2][-1])
                 cut = int(np.flatnonzero(~same)[-1]) + 1 if not same.all() else 0
                 if cut:
-                    yield from work([r[:cut] for r in rows])
-                waiting, count = [[r[cut:] for r in rows]], len(rows[0]) - cut
+                    yield from work([r[:cut] for r in rows], held[:cut])
+                waiting, held, count = [[r[cut:] for r in rows]], held[cut:], len(rows[0]) - cut
         if count:
-            yield from work([np.concatenate(c) for c in zip(*waiting, strict=True)])
+            yield from work([np.concatenate(c) for c in zip(*waiting, strict=True)], held)
 
     return _dealt(shared, nodes).mapInArrow(run, "a long, b long")
 

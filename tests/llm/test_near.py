@@ -2,7 +2,7 @@ import random
 
 import numpy as np
 
-from marlpit.llm.near import _meetings, dedup, groups, sketch, span
+from marlpit.llm.near import Sketches, _meetings, dedup, groups, sketch, span
 
 
 def shingles(text):
@@ -106,10 +106,14 @@ def test_meetings_against_all_pairs():
 
 def test_sketch_never_exceeds_the_difference():
     rng = np.random.default_rng(2)
-    for n in (0, 1, 10, 300, 5000):
-        both, a, b = (np.unique(rng.integers(0, 2**63, m).astype(np.uint64)) for m in (n, n // 3 + 1, n // 5))
-        x, y = (np.frombuffer(sketch(np.union1d(both, z)), np.uint64) for z in (a, b))
-        assert np.bitwise_count(x ^ y).sum() <= len(np.setxor1d(np.union1d(both, a), np.union1d(both, b)))
+    sets = [np.unique(rng.integers(0, 2**63, n).astype(np.uint64)) for n in (1, 10, 300, 520, 1000, 5000, 40000)]
+    sets += [np.union1d(s[: len(s) * 9 // 10], rng.integers(0, 2**63, len(s) // 5).astype(np.uint64)) for s in sets]
+    made = Sketches([sketch(s) for s in sets])
+    x, y = (z.ravel() for z in np.meshgrid(np.arange(len(sets)), np.arange(len(sets))))
+    differ = made.differ(x, y)
+    assert all(d <= len(np.setxor1d(sets[i], sets[j])) for d, i, j in zip(differ, x, y, strict=True))
+    near = (np.maximum(made.bytes[x], made.bytes[y]) <= 2 * np.minimum(made.bytes[x], made.bytes[y])) & (x != y)
+    assert (differ[near] > 0).all()
 
 
 def test_span_connects_at_the_least_cost():
