@@ -213,8 +213,9 @@ class _Verifier:
     """Compares shingle sets exactly. A set is made from its text when a pair first asks for it, and kept as a table."""
 
     def __init__(self, docs: DataFrame, nodes: DataFrame, key: str, text: str, width: int, similarity: float):
-        self.texts = docs.select(F.col(key).alias("key"), F.col(text).alias("text"), _digest(text).alias("digest"))
-        self.nodes, self.width, self.similarity = nodes.select("node", F.col("least").alias("of_key"), F.col("digest").alias("of_digest")), width, similarity
+        # rows are found by their key and 64 bits of their digest, so that few wanted ones are a small table that can be broadcast
+        self.texts = docs.select(F.col(key).alias("key"), F.col(text).alias("text"), F.xxhash64(_digest(text)).alias("mark"))
+        self.nodes, self.width, self.similarity = nodes.select("node", F.col("least").alias("of_key"), F.xxhash64("digest").alias("of_mark")), width, similarity
         self.tables: list[DataFrame] = []
 
     def alike(self, pairs: DataFrame) -> DataFrame:
@@ -255,7 +256,7 @@ class _Verifier:
         for t in self.tables:
             wanted = wanted.join(t.select("node"), "node", "left_anti")
         wanted = store(wanted.join(self.nodes, "node"), "wanted")
-        found = self.texts.join(wanted, F.col("key").eqNullSafe(F.col("of_key")) & (F.col("digest") == F.col("of_digest"))).select("node", "text")
+        found = self.texts.join(wanted, F.col("key").eqNullSafe(F.col("of_key")) & (F.col("mark") == F.col("of_mark"))).select("node", "text")
         self.tables.append(store(found.mapInArrow(sets, "node long, hashes binary").dropDuplicates(["node"]), "sets"))
         known = self.tables[0]
         for t in self.tables[1:]:
