@@ -46,7 +46,7 @@ def query_window(text: Column, terms: Column, width: int) -> Column:
 def cut_table(markdown: Column, terms: Column, rows: int) -> Column:
     """A pipe table's head and at most `rows` rows: those with a query term first, all in their order."""
     lines = F.split(markdown, "\n")
-    body = F.transform(F.slice(lines, 3, 1_000_000), lambda r, i: F.struct(F.when(F.exists(terms, lambda t: F.lower(r).contains(t)), 0).otherwise(1).alias("far"), i.alias("i"), r.alias("r")))
+    body = F.transform(F.slice(lines, F.lit(3), F.size(lines)), lambda r, i: F.struct(F.when(F.exists(terms, lambda t: F.lower(r).contains(t)), 0).otherwise(1).alias("far"), i.alias("i"), r.alias("r")))
     kept = F.array_sort(F.transform(F.slice(F.array_sort(body), 1, rows), lambda x: F.struct(x["i"], x["r"])))
     return F.array_join(F.concat(F.slice(lines, 1, 2), F.transform(kept, lambda x: x["r"])), "\n")
 

@@ -77,11 +77,14 @@ def title_guess(text: Column, stem: Column) -> Column:
 
 def summary(text: Column, most: int = 700, least: int = 180) -> Column:
     """At most `most` characters, cut at the last `. ` if that is at `least` or later."""
-    flat = squeeze(text)
-    head = F.substring(flat, 1, most)
-    cut = F.length(head) - F.instr(F.reverse(head), " .") - 1
-    at = F.when((F.instr(F.reverse(head), " .") > 0) & (cut >= least), cut).otherwise(most)
-    return F.when(F.length(flat) <= most, flat).otherwise(F.trim(F.substring(head, F.lit(1), at)))
+
+    def cut(flat: Column) -> Column:
+        head = F.substring(flat, 1, most)
+        stop = F.length(head) - F.instr(F.reverse(head), " .") - 1
+        at = F.when((F.instr(F.reverse(head), " .") > 0) & (stop >= least), stop).otherwise(most)
+        return F.when(F.length(flat) <= most, flat).otherwise(F.trim(F.substring(head, F.lit(1), at)))
+
+    return F.element_at(F.transform(F.array(squeeze(text)), cut), 1)
 
 
 def card_language(text: Column) -> Column:
@@ -90,9 +93,8 @@ def card_language(text: Column) -> Column:
 
 def topic_tags(haystack: Column, most: int = 12) -> Column:
     """Tags in rule order, of those with a pattern that occurs in the lower-cased haystack."""
-    low = F.lower(haystack)
-    found = [F.when(reduce(lambda a, b: a | b, [low.rlike(p) for p in patterns]), tag) for tag, patterns in fixed.TOPIC_RULES.items()]
-    return F.slice(F.array_compact(F.array(*found)), 1, most)
+    tags = lambda low: F.slice(F.array_compact(F.array(*[F.when(low.rlike("|".join(patterns)), tag) for tag, patterns in fixed.TOPIC_RULES.items()])), 1, most)
+    return F.element_at(F.transform(F.array(F.lower(haystack)), tags), 1)  # bound, so that the text is lowered once
 
 
 def project_tags(haystack: Column) -> Column:
@@ -102,8 +104,16 @@ def project_tags(haystack: Column) -> Column:
     return F.array_compact(F.array(F.when(has("project_plan", "local ai agent", "lancedb"), "local_ai_agent"), F.when(has("speech emotion", "multimodal", "ser"), "ser_research")))
 
 
+def haystack(filename: Column, text: Column) -> Column:
+    """The file name and the squeezed text as one, as they are and lower-cased; bound once for the rules that read them."""
+    return F.element_at(F.transform(F.array(F.concat_ws(" ", filename, squeeze(text))), lambda h: F.struct(h.alias("cased"), F.lower(h).alias("low"))), 1)
+
+
 def doc_type(filename: Column, text: Column, tags: Column) -> Column:
-    low = F.lower(F.concat_ws(" ", filename, squeeze(text)))
+    return doc_type_of(filename, haystack(filename, text)["low"], tags)
+
+
+def doc_type_of(filename: Column, low: Column, tags: Column) -> Column:
     paper = low.contains("abstract") & (low.contains("references") | low.contains("introduction"))
     technical = low.contains("lancedb") | F.array_contains(tags, "rag") | F.array_contains(tags, "agent")
     return F.when(low.contains("project_plan"), "project_plan").when(technical, "technical_plan").when(paper, "research_paper").when(F.lower(filename).endswith(".md"), "markdown_note").otherwise("document")
@@ -150,6 +160,18 @@ def shingles(text: Column, width: int = 5) -> Column:
     return F.coalesce(F.element_at(F.transform(F.array(words), cut), 1), none)
 
 
+def shingle_hashes(text: Column, width: int = 5) -> Column:
+    """Distinct 64-bit hashes of the runs of `width` lower-cased words; each word is hashed once. Shorter and null texts give none."""
+    none = F.array().cast("array<bigint>")
+
+    def cut(h: Column) -> Column:
+        starts = F.sequence(F.lit(1), F.greatest(F.size(h) - (width - 1), F.lit(1)))
+        return F.when(F.size(h) >= width, F.array_distinct(F.transform(starts, lambda i: F.xxhash64(*[F.get(h, i + (k - 1)) for k in range(width)])))).otherwise(none)
+
+    hashes = F.transform(F.regexp_extract_all(F.lower(text), F.lit(WORD), F.lit(0)), lambda w: F.xxhash64(w))
+    return F.coalesce(F.element_at(F.transform(F.array(hashes), cut), 1), none)
+
+
 def first_words(text: Column, most: int) -> Column:
     """The first words of a text, joined by spaces."""
     return F.array_join(F.slice(F.split(F.trim(text), r"\s+"), 1, most), " ")

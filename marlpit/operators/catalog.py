@@ -30,36 +30,38 @@ def importance(tags: Column, kind: Column, n_words: Column) -> Column:
 def cards(docs: DataFrame, filename: Column, key: str = "doc_id", column: str = "text") -> DataFrame:
     """A card for each document: title, type, language, summary, tags, keywords, importance."""
     body, name = F.col(column), F.col("filename")
-    base = docs.withColumn("filename", filename)
-    hay = F.concat_ws(" ", name, text.squeeze(body))
-    made = base.select(key, "filename", text.title_guess(body, F.regexp_replace(name, r"\.[^.]+$", "")).alias("title"), text.card_language(body).alias("language"), text.summary(body).alias("summary"), text.topic_tags(hay).alias("topic_tags"), text.project_tags(hay).alias("project_tags"), F.size(F.split(body, r"\s+")).alias("n_words"), body.alias("_b"))
-    made = made.withColumn("doc_type", text.doc_type(name, F.col("_b"), F.col("topic_tags"))).drop("_b")
+    # few bytes, much work: dealt once by key, on which the counts of keywords and the join stay in place
+    dealt = docs.withColumn("filename", filename).select(key, "filename", column).repartition(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), key)
+    made = dealt.select(key, "filename", text.title_guess(body, F.regexp_replace(name, r"\.[^.]+$", "")).alias("title"), text.card_language(body).alias("language"), text.summary(body).alias("summary"), text.haystack(name, body).alias("_h"), F.size(F.split(body, r"\s+")).alias("n_words"))
+    made = made.select(key, "filename", "title", "language", "summary", text.topic_tags(F.col("_h.cased")).alias("topic_tags"), text.project_tags(F.col("_h.cased")).alias("project_tags"), "n_words", "_h")
+    made = made.withColumn("doc_type", text.doc_type_of(name, F.col("_h.low"), F.col("topic_tags"))).drop("_h")
     made = made.withColumn("importance", importance(F.col("topic_tags"), F.col("doc_type"), F.col("n_words")))
-    return made.join(keywords(docs, key, column), key)
+    return made.join(keywords(dealt, key, column), key)
 
 
-def similarity(a: str, b: str) -> float:
-    """0.82 for a substring either way, else the ratio of matching blocks."""
-    a, b = (a or "").lower(), (b or "").lower()
-    if a and b and a != b and (a in b or b in a):
-        return 0.82
-    return SequenceMatcher(None, a, b).ratio()
+EXACT = 0.98
 
 
-def _bound(a: str, b: str) -> float:
-    """What similarity() of two names is at most, rounded like scores."""
-    a, b = a.lower(), b.lower()
-    if a in b or b in a:
+def similarity(query: str, name: str) -> float:
+    """0.82 if the query is part of the name, else the ratio of matching blocks; without case and outer white space."""
+    a, b = query.lower().strip(), name.lower().strip()
+    return 0.82 if a in b else SequenceMatcher(None, a, b).ratio()
+
+
+def _bound(query: str, name: str) -> float:
+    """What similarity() is at most, rounded like scores."""
+    a, b = query.lower().strip(), name.lower().strip()
+    if a in b:
         return 1.0
     both = SequenceMatcher(None, a, b)
     return round(min(both.real_quick_ratio(), both.quick_ratio()), 6)
 
 
-def fuzzy_names(names: DataFrame, queries: DataFrame, name: str, query: str, key: str, least: float = 0.45, most: int = 5, sure: float = 0.96) -> DataFrame:
-    """(query, key, score, rank, resolved): names at least `least` similar. A single name at `sure` or more resolves the query.
+def fuzzy_names(names: DataFrame, queries: DataFrame, name: str, query: str, key: str, least: float = 0.45, most: int = 5, sure: float = 0.96, path: str | None = None) -> DataFrame:
+    """(query, key, score, rank, resolved): names (or, if given, paths) equal to the query, at EXACT; if there are none, names at least `least` similar.
 
-    Every name is scored with every query. Only the ratio of matching blocks is left out where its upper bounds, by lengths
-    and by common characters, are under `least`. Null names and queries match nothing.
+    A single name at `sure` or more resolves the query. Every name is scored with every query. Only the ratio of matching blocks is
+    left out where its upper bounds, by lengths and by common characters, are under `least`. Null names and queries match nothing.
     """
 
     @F.pandas_udf("double")
@@ -67,8 +69,11 @@ def fuzzy_names(names: DataFrame, queries: DataFrame, name: str, query: str, key
         return pd.Series([round(similarity(x, y), 6) if _bound(x, y) >= least else -1.0 for x, y in zip(a, b, strict=True)], dtype="float64")
 
     asked = queries.where(F.col(query).isNotNull()).select(query).distinct()
-    dealt = names.where(F.col(name).isNotNull()).select(key, name).repartition(names.sparkSession.sparkContext.defaultParallelism)
-    scored = dealt.crossJoin(asked).withColumn("score", score(F.col(name), F.col(query))).where(F.col("score") >= least)
+    equal = (F.col(name) == F.col(query)) | (F.coalesce(F.col("_path") == F.col(query), F.lit(False)) if path else F.lit(False))
+    kept = names.where(F.col(name).isNotNull()).select(key, name, *([F.col(path).alias("_path")] if path else []))
+    dealt = kept.repartition(names.sparkSession.sparkContext.defaultParallelism)
+    scored = dealt.crossJoin(asked).withColumn("_equal", equal).withColumn("score", F.when(F.col("_equal"), EXACT).otherwise(score(F.col(query), F.col(name)))).where(F.col("score") >= least)
+    scored = scored.withColumn("_any", F.max("_equal").over(W.partitionBy(query))).where(F.col("_equal") | ~F.col("_any"))
     w = W.partitionBy(query).orderBy(F.desc("score"), key)
     sures = F.sum(F.when(F.col("score") >= sure, 1).otherwise(0)).over(W.partitionBy(query))
     ranked = scored.withColumns({"rank": F.row_number().over(w), "resolved": (sures == 1) & (F.col("score") >= sure)})

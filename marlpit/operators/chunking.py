@@ -158,7 +158,7 @@ def tables_of(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataF
     lines = F.split("markdown", "\n")
     above = F.split(F.expr(f"substring_index(`{text}`, markdown, 1)"), "\n")
     near = F.filter(F.transform(F.slice(F.reverse(above), 2, 3), F.trim), lambda x: x.rlike(TABLE_CAPTION))
-    rows = F.filter(F.slice(lines, 3, 1_000_000), lambda r: F.size(cells(r)) > 0)
+    rows = F.filter(F.slice(lines, F.lit(3), F.size(lines)), lambda r: F.size(cells(r)) > 0)
     return found.select(key, "table_index", "markdown", F.size(rows).alias("n_rows"), F.size(cells(F.element_at(lines, 1))).alias("n_columns"), F.try_element_at(near, F.lit(1)).alias("caption"))
 
 

@@ -39,7 +39,7 @@ def table_claims(tables: DataFrame, key: str, markdown: str = "markdown") -> Dat
     """(key, claim_index, subject, metric, value, percent) for each number under a metric's column; the first cell of a row is its subject."""
     lines = F.split(markdown, "\n")
     cells = lambda row: F.transform(F.split(F.regexp_replace(F.trim(row), r"^\||\|$", ""), r"\|"), F.trim)
-    rows = tables.select(key, cells(F.element_at(lines, 1)).alias("head"), F.posexplode(F.slice(lines, 3, 1_000_000)).alias("r", "row"))
+    rows = tables.select(key, cells(F.element_at(lines, 1)).alias("head"), F.posexplode(F.slice(lines, F.lit(3), F.size(lines))).alias("r", "row"))
     rows = rows.select(key, "r", F.element_at(cells(F.col("row")), 1).alias("subject"), F.posexplode(F.arrays_zip(F.col("head").alias("h"), cells(F.col("row")).alias("c"))).alias("i", "x"))
     name, number, unit = F.regexp_extract("x.h", rf"(?i)\b({_names})\b", 1), F.regexp_extract("x.c", rf"({_number})", 1), F.regexp_extract("x.c", r"(%)", 1)
     out = rows.where("i > 0").select(key, (F.col("r") * 1000 + F.col("i")).alias("claim_index"), "subject", canonical_metric(name).alias("metric"), canonical_value(number, F.lit("")).alias("value"), ((unit == "%") | F.col("x.h").contains("%")).alias("percent"))

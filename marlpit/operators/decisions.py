@@ -8,31 +8,66 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from ..functions import fixed
+from ..functions.text import squeeze
 
-def _has(text: Column, words: list[str]) -> Column:
-    return F.lower(text).rlike(r"(?<![\p{L}\p{N}])(?:" + "|".join(words) + r")(?![\p{L}\p{N}])")
 
+def words(alternatives: list[str]) -> str:
+    """A pattern of whole words, of any script and case."""
+    return r"(?iuU)(?<!\w)(?:" + "|".join(alternatives) + r")(?!\w)"
 
-def route(text: Column) -> Column:
-    """social, structured or retrieval."""
-    social = (F.size(F.split(F.trim(text), r"\s+")) <= 6) & _has(text, ["hello", "hi", "hey", "thanks", "thank you", "bye", "good morning"])
-    structured = _has(text, ["how many", "list all", "count", "which files", "what files"])
-    return F.when(F.trim(text) == "", "social").when(social, "social").when(structured, "structured").otherwise("retrieval")
+
+def _has(text: Column, markers: list[str]) -> Column:
+    return reduce(lambda a, b: a | b, [text.contains(m) for m in markers])
+
+
+def normal(text: Column) -> Column:
+    return squeeze(F.lower(F.coalesce(text, F.lit(""))))
+
+
+def comparison(text: Column) -> Column:
+    """Whether a question compares: by a cue, by `vs`, or by a choice that is judged soon after."""
+    low = normal(text)
+    choice = words(fixed.CHOICE_WORDS) + rf"(?s:.{{0,{fixed.CHOICE_REACH}}})" + words(fixed.CHOICE_JUDGEMENTS)
+    return low.rlike(words(fixed.COMPARISON_CUES)) | low.rlike(r"(?i)(?<![a-z0-9])vs\.?(?![a-z0-9])") | low.rlike(choice)
+
+
+def route(text: Column, focused: Column) -> Column:
+    """What decides a turn's route without a model, else null: social and casual turns, questions for a facet of a named or focused document."""
+    task, low = F.coalesce(text, F.lit("")), normal(text)
+    social = task.rlike(r"(?iuU)^\s*(?:" + "|".join(fixed.SOCIAL_ACTS) + r")(?:\s*[!.…]+)?\s*$")
+    named = task.rlike(r"(?iuU)(?<!\w)" + fixed.DOCUMENT_REFERENCE) | task.rlike(r"(?iuU)(?<!\w)" + fixed.DOCUMENT_FILE + r"(?!\w)")
+    facet, compares = task.rlike(words(fixed.DOCUMENT_FACETS)), comparison(text)
+    about = named | facet | task.rlike(words(fixed.DOCUMENT_ANALYSES)) | task.rlike(words(fixed.DOCUMENT_VISUALS)) | compares
+    casual = ~focused & ~about & low.rlike(r"(?iuU)^(?:" + "|".join(fixed.CASUAL_STARTS) + r")\b")
+    structured = F.when(named, "explicit_structured_document_request").when(focused, "focused_structured_document_followup")
+    return F.when(social, "deterministic_social_acknowledgement").when(casual, "deterministic_casual_chat").when(facet & ~compares, structured)
 
 
 def intent(text: Column) -> Column:
-    """comparison, summary, explanation, lookup or answer, by the first that fits."""
-    rules = [("comparison", ["compare", "versus", "vs", "difference", "better"]), ("summary", ["summary", "summarize", "overview"]), ("explanation", ["explain", "why", "how"]), ("lookup", ["what", "which", "when", "who", "where"])]
-    return F.coalesce(*[F.when(_has(text, words), name) for name, words in rules], F.lit("answer"))
+    """infer_structure, compare, example, simplify, elaborate or direct_answer, by the first that fits."""
+    low = normal(text)
+    fits = {name: _has(low, markers) for name, markers in fixed.INTENT_MARKERS}
+    fits["compare"] = fits["compare"] | comparison(text)
+    return F.coalesce(*[F.when(fit, name) for name, fit in fits.items()], F.lit("direct_answer"))
 
 
 def depth(text: Column) -> Column:
-    return F.when(_has(text, ["detail", "detailed", "deep", "thorough"]), "deep").when(_has(text, ["brief", "short", "quick"]), "brief").otherwise("normal")
+    """detailed, brief or normal."""
+    return F.coalesce(*[F.when(_has(normal(text), markers), name) for name, markers in fixed.DEPTH_MARKERS], F.lit("normal"))
+
+
+def resumes(text: Column) -> Column:
+    """Whether a turn goes back to a document."""
+    low = normal(text)
+    return low.rlike(words(fixed.RESUME_WORDS)) & low.rlike(words(fixed.RESUMED_DOCUMENTS))
 
 
 def follow_up(text: Column) -> Column:
-    """Whether a turn leans on the one before: it is short or points back."""
-    return (F.size(F.split(F.trim(text), r"\s+")) <= 3) | _has(text, ["it", "that", "this", "they", "those", "these", "also", "more"])
+    """Whether a turn leans on the one before: it resumes a document, has a marker or metric, or is short without a mixed-case name or PDF."""
+    low = normal(text)
+    topic = F.coalesce(text, F.lit("")).rlike(r"(?U)\b[A-Za-z]*[A-Z][A-Za-z]*[A-Z][A-Za-z]*\b|\.pdf\b")
+    return resumes(text) | _has(low, fixed.FOLLOW_UP_MARKERS) | low.rlike(words(fixed.FOLLOW_UP_METRICS)) | ((F.length(low) <= fixed.FOLLOW_UP_LENGTH) & ~topic)
 
 
 def entities(text: Column, most: int = 8) -> Column:
@@ -40,9 +75,11 @@ def entities(text: Column, most: int = 8) -> Column:
     return F.slice(F.array_distinct(F.filter(F.regexp_extract_all(text, F.lit(r"[\p{Lu}][\p{L}\p{N}_-]+"), F.lit(0)), lambda w: F.length(w) >= 3)), 1, most)
 
 
-def budgets(rows: DataFrame, table: DataFrame, default: int = 5500) -> DataFrame:
-    """rows with the context budget of their intent and depth."""
-    return rows.join(table, ["intent", "depth"], "left").withColumn("budget", F.coalesce("budget", F.lit(default)))
+def budgets(rows: DataFrame, intent: str = "intent", depth: str = "depth") -> DataFrame:
+    """rows with the six context limits of their intent and depth."""
+    kind = F.when((F.col(depth) == "detailed") | F.col(intent).isin(fixed.DETAILED_INTENTS), "detailed").when(F.col(depth) == "brief", "brief").otherwise("normal")
+    names = list(fixed.CONTEXT_LIMITS["normal"])
+    return rows.withColumns({n: F.coalesce(*[F.when(kind == k, F.lit(limits[n])) for k, limits in fixed.CONTEXT_LIMITS.items()]) for n in names})
 
 
 def best_table(scored: DataFrame, by: str, key: str) -> DataFrame:

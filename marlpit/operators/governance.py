@@ -2,37 +2,44 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import fixed
 
-LABELLED = r"(?i)((?<![\w-])[\"']?(?:[a-z0-9]+[-_])*(?:" + "|".join(fixed.SECRET_LABELS) + r")[\"']?\s*[:=]\s*)(?:\"[^\"'\r\n]*\"|'[^\"'\r\n]*'|[^\s,;&#}\]\r\n\"'][^\s,;&#}\]\r\n]*)"
+def _rules() -> list[tuple[str, str, list[str], str | None]]:
+    """(pattern, replacement, cues, pattern of what is replaced if not all) of each rule in order: header lines, shapes of secrets, labelled secrets, local paths.
+
+    A rule's pattern occurs only in texts that hold one of its cues. A labelled value that is a mark already counts, but stays.
+    """
+    mark = fixed.SECRET_MARK
+    shapes = [(p, f"{kept}{mark}" + ("@" if "://" in p and kept else ""), cues, None) for (p, kept), cues in zip(fixed.SECRET_SHAPES, fixed.SECRET_CUES, strict=True)]
+    unmarked = rf"(?iu)({fixed.SECRET_LABEL})(?![\"']?\[REDACTED_){fixed.SECRET_VALUE}"
+    return [
+        (fixed.HEADER_LINE, f"$1{mark}", ["authorization", "cookie"], None), *shapes,
+        (fixed.LABELLED_SECRET, f"$1$2{mark}$2", fixed.SECRET_LABEL_CUES, unmarked), (fixed.LOCAL_PATH, fixed.PATH_MARK, ["/users/", "/home/", "/private/", ":\\users\\"], None),
+    ]
 
 
-def redact(text: Column) -> tuple[Column, Column]:
-    """The text without secrets and local paths, and how many were replaced, rule by rule: header lines, shapes of secrets, labelled secrets, paths."""
-    mark = fixed.SECRET_MARK.replace("$", "\\$")
-    rules = [(fixed.HEADER_LINE, f"$1{mark}"), *[(p, f"{kept}{mark}" + ("@" if "://" in p and kept else "")) for p, kept in fixed.SECRET_SHAPES], (LABELLED, f"$1{mark}"), (fixed.LOCAL_PATH, fixed.PATH_MARK)]
-    count = F.lit(0)
-    for pattern, replacement in rules:
-        count = count + F.regexp_count(text, F.lit(pattern))
-        text = F.regexp_replace(text, pattern, replacement)
-    return text, count
+def _low(text: Column) -> Column:
+    """Lower case, also of the two characters outside ASCII that equal a letter of it when case is ignored."""
+    return F.lower(F.translate(text, "\u017f\u212a", "sk"))
 
 
 def redact_table(rows: DataFrame, column: str) -> DataFrame:
-    """rows with `column` redacted and n_redacted; each rule's text is a column of its own, so that none is evaluated twice."""
-    mark = fixed.SECRET_MARK
-    rules = [(fixed.HEADER_LINE, f"$1{mark}"), *[(p, f"{kept}{mark}" + ("@" if "://" in p and kept else "")) for p, kept in fixed.SECRET_SHAPES], (LABELLED, f"$1{mark}"), (fixed.LOCAL_PATH, fixed.PATH_MARK)]
-    # counts come from the marks that each rule adds: a rule only runs where its cue occurs
-    out = rows.withColumn("n_redacted", F.lit(0))
-    for pattern, replacement in rules:
-        hit = F.regexp_count(F.col(column), F.lit(pattern))
-        out = out.withColumn("_n", hit)
-        out = out.withColumn(column, F.when(F.col("_n") > 0, F.regexp_replace(F.col(column), pattern, replacement)).otherwise(F.col(column)))
-        out = out.withColumn("n_redacted", F.col("n_redacted") + F.coalesce("_n", F.lit(0))).drop("_n")
-    return out
+    """rows with `column` redacted and n_redacted, rule by rule; null texts stay null with none redacted.
+
+    A rule's pattern only runs on texts with one of its cues. Each rule's text is a column of its own, so that none is evaluated twice.
+    """
+    out = rows.withColumns({"n_redacted": F.lit(0), "_low": _low(F.col(column))})
+    for pattern, replacement, cues, changed in _rules():
+        cued = reduce(lambda a, b: a | b, [F.contains("_low", F.lit(c)) for c in cues])
+        out = out.withColumn("_n", F.when(cued, F.regexp_count(F.col(column), F.lit(pattern))).otherwise(0))
+        done = F.regexp_replace(F.col(column), changed or pattern, replacement)
+        out = out.withColumns({column: F.when(F.col("_n") > 0, done).otherwise(F.col(column)), "n_redacted": F.col("n_redacted") + F.coalesce("_n", F.lit(0))}).drop("_n")
+    return out.drop("_low")
 
 
 def denied_key(name: Column) -> Column:

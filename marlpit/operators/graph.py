@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from ..functions.text import shingles
+from ..functions.text import shingle_hashes
 
 
 def degrees(edges: DataFrame, a: str = "src", b: str = "dst") -> DataFrame:
@@ -17,12 +17,15 @@ def degrees(edges: DataFrame, a: str = "src", b: str = "dst") -> DataFrame:
 def connected(edges: DataFrame, nodes: DataFrame | None = None, a: str = "src", b: str = "dst", most_rounds: int = 50) -> DataFrame:
     """(node, component): every node with the smallest it reaches, by passing labels on and skipping ahead; isolated nodes are their own.
 
-    Each round is a checkpoint in the shared folder.
+    Each round is a checkpoint in the shared folder, which spark.checkpoint.dir names; a temporary one is made in local mode only.
     """
     spark = edges.sparkSession
     if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
+        import re
         import tempfile
 
+        if not re.fullmatch(r"local(\[[^\[]*\])?", spark.sparkContext.master):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="marlpit-"))
     both = edges.select(F.col(a).alias("u"), F.col(b).alias("v")).where("u <> v")
     both = both.union(both.select("v", "u")).distinct().checkpoint()
@@ -68,12 +71,14 @@ def offsets(parents: DataFrame, doc: str, order: str, content: str = "content",
 
 def containment(chunks: DataFrame, parents: DataFrame, doc: str, chunk_key: str, parent_key: str, width: int = 5) -> DataFrame:
     """(doc, chunk, parent, score): shared shingles over the smaller set's size, by an equi-join on shingle hashes."""
-    sets = lambda df, k: df.select(doc, k, F.explode(F.transform(shingles(F.col("content"), width), lambda s: F.xxhash64(s))).alias("s"))
-    a, b = sets(chunks, chunk_key), sets(parents, parent_key)
-    size = lambda df, k, n: df.groupBy(doc, k).agg(F.count("*").alias(n))
-    both = a.join(b, [doc, "s"]).groupBy(doc, chunk_key, parent_key).agg(F.count("*").alias("both"))
-    both = both.join(size(a, chunk_key, "na"), [doc, chunk_key]).join(size(b, parent_key, "nb"), [doc, parent_key])
-    return both.select(doc, chunk_key, parent_key, F.round(F.col("both") / F.least("na", "nb"), 6).alias("score"))
+
+    def sets(df: DataFrame, k: str, n: str) -> DataFrame:
+        hashed = df.select(doc, k, shingle_hashes(F.col("content"), width).alias("_set"))
+        return hashed.select(doc, k, F.size("_set").alias(n), F.explode("_set").alias("s"))
+
+    a, b = sets(chunks, chunk_key, "na"), sets(parents, parent_key, "nb")
+    both = a.join(b, [doc, "s"]).groupBy(doc, chunk_key, parent_key).agg(F.count("*").alias("both"), F.first(F.least("na", "nb")).alias("n"))
+    return both.select(doc, chunk_key, parent_key, F.round(F.col("both") / F.col("n"), 6).alias("score"))
 
 
 def clear_winner(scored: DataFrame, partition: list[str], key: str, least: float = 0.55, margin: float = 0.05) -> DataFrame:

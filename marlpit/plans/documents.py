@@ -218,7 +218,7 @@ def w17_section_carry(spark, sf_dir):
 def h41_redaction(spark, sf_dir):
     d = docs(spark, sf_dir)
     k = F.col("doc_id") % 5
-    tail = F.when(k == 0, " api_key=abc123XYZ end").when(k == 1, " Bearer abcdefghijkl done").when(k == 2, " https://u:pw@host/x").otherwise(" nothing")
+    tail = F.when(k == 3, " password=\"it's-hunter2\" api_key=\"abc123 x").when(k == 0, " api_key=abc123XYZ end").when(k == 1, " Bearer abcdefghijkl done").when(k == 2, " https://u:pw@host/x").otherwise(" nothing")
     return governance.redact_table(d.select("doc_id", F.concat("text", tail).alias("text")), "text")
 
 
@@ -272,8 +272,8 @@ def d20_ocr_gate(spark, sf_dir):
 @query("k10_fuzzy_names")
 def k10_fuzzy_names(spark, sf_dir):
     p = table(spark, sf_dir, "part")
-    asked = p.groupBy("p_brand").agg(F.min("p_name").alias("n")).select(F.expr("substring(n, 1, length(n) - 2)").alias("asked"))
-    return catalog.fuzzy_names(p.select("p_partkey", "p_name").dropDuplicates(["p_name"]), asked, "p_name", "asked", "p_partkey")
+    asked = p.groupBy("p_brand").agg(F.min("p_name").alias("n")).select(F.expr("CASE WHEN p_brand LIKE '%3' THEN n ELSE substring(n, 1, length(n) - 2) END").alias("asked"))
+    return catalog.fuzzy_names(p.select("p_partkey", "p_name"), asked, "p_name", "asked", "p_partkey")
 
 
 @query("j15_catalog_merge", "WITH c AS (SELECT doc_id AS id, row_number() OVER (ORDER BY n_chars DESC, doc_id) AS r FROM documents QUALIFY r <= 20), f AS (SELECT c_custkey AS id, row_number() OVER (ORDER BY c_acctbal DESC, c_custkey) AS r FROM customer QUALIFY r <= 20), a AS (SELECT id, 1.0::DOUBLE / (60 + r) + 0.15 + 0.05 * 0.5 AS s FROM c UNION ALL SELECT id, 1.0::DOUBLE / (60 + r) + 0.05 FROM f) SELECT id, round(sum(s), 9) AS score FROM a GROUP BY id")

@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions import fixed
 from ..functions.vectors import squared_distance
-from ..operators import claims, decisions, entities, graph, memory
+from ..operators import claims, decisions, entities, figures, graph, memory
 from ..sources import files
 from ..sources.tables import table
 from ..streaming import windows
@@ -191,22 +192,54 @@ def j19_claim_support(spark, sf_dir):
     return claims.supported(found, proof, ["doc_id", "claim_index"], "0.0000001").select("doc_id", "claim_index", "supported")
 
 
-@query("d6_routes", "SELECT conv_id, turn, CASE WHEN trim(text) = '' OR len(string_split_regex(trim(text), '\\s+')) <= 6 AND regexp_matches(' ' || lower(text) || ' ', '[^\\p{L}\\p{N}](hello|hi|hey|thanks|thank you|bye|good morning)[^\\p{L}\\p{N}]') THEN 'social' WHEN regexp_matches(' ' || lower(text) || ' ', '[^\\p{L}\\p{N}](how many|list all|count|which files|what files)[^\\p{L}\\p{N}]') THEN 'structured' ELSE 'retrieval' END AS route FROM conversations")
-def d6_routes(spark, sf_dir):
-    return table(spark, sf_dir, "conversations").select("conv_id", "turn", decisions.route(F.col("text")).alias("route"))
+#: Ends that make some of the turns ask for something; SQL and queries take them in turn.
+ENDS = ["", " compare with GPT", " ví dụ", " ngắn gọn", " chi tiết hơn", " this or that is better", " BERT vs. GPT in detail, all of it at length", " thế này ", " quay lại tài liệu", " the F1 table of paper-x.pdf", " giải thích kỹ", " pipeline"]
+TURNS = "(SELECT conv_id, turn, role, (CASE WHEN turn % 4 = 3 THEN (['Thanks a lot!', 'hello there', 'bảng kết quả', ' OK ... '])[1 + conv_id % 4] ELSE text || ([" + ", ".join(f"'{e}'" for e in ENDS) + "])[1 + (conv_id + turn) % 12] END) AS text FROM conversations)"
+NORMAL = "trim(regexp_replace(lower(text), '\\s+', ' ', 'g'))"
+
+
+def _turns(spark, sf_dir):
+    acts = F.element_at(F.array(*map(F.lit, ["Thanks a lot!", "hello there", "bảng kết quả", " OK ... "])), (1 + F.col("conv_id") % 4).cast("int"))
+    ends = F.element_at(F.array(*map(F.lit, ENDS)), (1 + (F.col("conv_id") + F.col("turn")) % 12).cast("int"))
+    return table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", F.when(F.col("turn") % 4 == 3, acts).otherwise(F.concat("text", ends)).alias("text"))
+
+
+def _said(patterns, of=NORMAL):
+    """SQL for whole words in a text."""
+    return f"regexp_matches({of}, '(?i)(?:^|[^\\p{{L}}\\p{{N}}_])(?:{'|'.join(patterns)})(?:$|[^\\p{{L}}\\p{{N}}_])')"
 
 
-WORDY = lambda words: "regexp_matches(' ' || lower(text) || ' ', '[^\\p{L}\\p{N}](" + "|".join(words) + ")[^\\p{L}\\p{N}]')"
+def _marked(markers):
+    return "(" + " OR ".join(f"contains({NORMAL}, '{m}')" for m in markers) + ")"
+
+
+_OTHER = "[^\\p{L}\\p{N}_]"
+COMPARES = f"({_said(fixed.COMPARISON_CUES)} OR regexp_matches({NORMAL}, '(?:^|[^a-z0-9])vs\\.?(?:$|[^a-z0-9])') OR regexp_matches({NORMAL}, '(?s)(?:^|{_OTHER})(?:{'|'.join(fixed.CHOICE_WORDS)}){_OTHER}(?:.{{0,94}}{_OTHER})?(?:{'|'.join(fixed.CHOICE_JUDGEMENTS)})(?:$|{_OTHER})'))"
+NAMED = f"(regexp_matches(text, '(?i)(?:^|{_OTHER}){fixed.DOCUMENT_REFERENCE}') OR regexp_matches(text, '(?i)(?:^|{_OTHER}){fixed.DOCUMENT_FILE}(?:$|{_OTHER})'))"
+FACET = _said(fixed.DOCUMENT_FACETS, "text")
+INTENT = "CASE " + " ".join(f"WHEN {_marked(m)}{' OR ' + COMPARES if n == 'compare' else ''} THEN '{n}'" for n, m in fixed.INTENT_MARKERS) + " ELSE 'direct_answer' END"
+DEPTH = "CASE " + " ".join(f"WHEN {_marked(m)} THEN '{n}'" for n, m in fixed.DEPTH_MARKERS) + " ELSE 'normal' END"
+
+
+@query("d6_routes", f"""
+SELECT conv_id, turn, CASE WHEN regexp_matches(text, '(?i)^\\s*(?:{'|'.join(fixed.SOCIAL_ACTS)})(?:\\s*[!.…]+)?\\s*$') THEN 'deterministic_social_acknowledgement'
+  WHEN conv_id % 3 <> 0 AND NOT ({NAMED} OR {FACET} OR {_said(fixed.DOCUMENT_ANALYSES, 'text')} OR {_said(fixed.DOCUMENT_VISUALS, 'text')} OR {COMPARES}) AND regexp_matches({NORMAL}, '(?i)^(?:{'|'.join(fixed.CASUAL_STARTS)})(?:$|{_OTHER})') THEN 'deterministic_casual_chat'
+  WHEN {FACET} AND NOT {COMPARES} THEN CASE WHEN {NAMED} THEN 'explicit_structured_document_request' WHEN conv_id % 3 = 0 THEN 'focused_structured_document_followup' END END AS route
+FROM {TURNS}""")
+def d6_routes(spark, sf_dir):
+    return _turns(spark, sf_dir).select("conv_id", "turn", decisions.route(F.col("text"), F.col("conv_id") % 3 == 0).alias("route"))
 
 
-@query("d7_intents", f"SELECT conv_id, turn, CASE WHEN {WORDY(['compare', 'versus', 'vs', 'difference', 'better'])} THEN 'comparison' WHEN {WORDY(['summary', 'summarize', 'overview'])} THEN 'summary' WHEN {WORDY(['explain', 'why', 'how'])} THEN 'explanation' WHEN {WORDY(['what', 'which', 'when', 'who', 'where'])} THEN 'lookup' ELSE 'answer' END AS intent, CASE WHEN {WORDY(['detail', 'detailed', 'deep', 'thorough'])} THEN 'deep' WHEN {WORDY(['brief', 'short', 'quick'])} THEN 'brief' ELSE 'normal' END AS depth FROM conversations")
+@query("d7_intents", f"SELECT conv_id, turn, {INTENT} AS intent, {DEPTH} AS depth FROM {TURNS}")
 def d7_intents(spark, sf_dir):
-    return table(spark, sf_dir, "conversations").select("conv_id", "turn", decisions.intent(F.col("text")).alias("intent"), decisions.depth(F.col("text")).alias("depth"))
+    return _turns(spark, sf_dir).select("conv_id", "turn", decisions.intent(F.col("text")).alias("intent"), decisions.depth(F.col("text")).alias("depth"))
 
 
-@query("d8_follow_ups", f"SELECT conv_id, turn, len(string_split_regex(trim(text), '\\s+')) <= 3 OR {WORDY(['it', 'that', 'this', 'they', 'those', 'these', 'also', 'more'])} AS follows FROM conversations WHERE role = 'user'")
+@query("d8_follow_ups", f"""
+SELECT conv_id, turn, {_said(fixed.RESUME_WORDS)} AND {_said(fixed.RESUMED_DOCUMENTS)} OR {_marked(fixed.FOLLOW_UP_MARKERS)} OR {_said(fixed.FOLLOW_UP_METRICS)}
+  OR length({NORMAL}) <= 48 AND NOT regexp_matches(text, '(?:^|{_OTHER})[A-Za-z]*[A-Z][A-Za-z]*[A-Z][A-Za-z]*(?:$|{_OTHER})|\\.pdf(?:$|{_OTHER})') AS follows FROM {TURNS}""")
 def d8_follow_ups(spark, sf_dir):
-    return table(spark, sf_dir, "conversations").where("role = 'user'").select("conv_id", "turn", decisions.follow_up(F.col("text")).alias("follows"))
+    return _turns(spark, sf_dir).select("conv_id", "turn", decisions.follow_up(F.col("text")).alias("follows"))
 
 
 NAMES = "list_filter(regexp_extract_all(text, '\\p{Lu}[\\p{L}\\p{N}_-]+'), lambda w: length(w) >= 3)"
@@ -229,10 +262,14 @@ def d12_figure_curation(spark, sf_dir):
     return decisions.curate(f, "two_per_document", "o_custkey", "o_orderstatus").select("o_custkey", "o_orderkey")
 
 
-@query("d15_budget_table", "SELECT o_orderkey, CASE WHEN o_orderstatus = 'F' AND o_orderpriority = '1-URGENT' THEN 9000 WHEN o_orderstatus = 'O' AND o_orderpriority = '5-LOW' THEN 3000 ELSE 5500 END AS budget FROM orders")
+@query("d15_budget_table", f"""
+WITH q AS (SELECT conv_id, turn, {INTENT} AS intent, {DEPTH} AS depth FROM {TURNS}), k AS (SELECT *, CASE WHEN depth = 'detailed' OR intent IN ('elaborate', 'compare', 'infer_structure') THEN 0 WHEN depth = 'brief' THEN 1 ELSE 2 END AS k FROM q)
+SELECT conv_id, turn, intent, depth, ([5, 3, 4])[k + 1] AS max_sources, ([4800, 2700, 3600])[k + 1] AS max_chars, ([1050, 750, 900])[k + 1] AS max_chars_per_source, ([3, 2, 2])[k + 1] AS max_chunks_per_document, 1 AS neighbor_window,
+  ([520, 360, 450])[k + 1] AS max_neighbor_chars, CASE WHEN intent IN ('compare', 'infer_structure') THEN 'hybrid' WHEN intent IN ('direct_answer', 'simplify', 'example') THEN 'local' ELSE 'mix' END AS mode FROM k""")
 def d15_budget_table(spark, sf_dir):
-    rows = table(spark, sf_dir, "orders").select("o_orderkey", F.col("o_orderstatus").alias("intent"), F.col("o_orderpriority").alias("depth"))
-    return decisions.budgets(rows, spark.createDataFrame([("F", "1-URGENT", 9000), ("O", "5-LOW", 3000)], "intent string, depth string, budget int")).select("o_orderkey", "budget")
+    """From a question to its intent and depth, and from these to the context limits and the mode of the graph query."""
+    asked = _turns(spark, sf_dir).select("conv_id", "turn", decisions.intent(F.col("text")).alias("intent"), decisions.depth(F.col("text")).alias("depth"))
+    return decisions.budgets(asked).withColumn("mode", figures.graph_mode(F.col("intent"), F.lit(None).cast("string")))
 
 
 @query("d19_basename_conflicts", "SELECT regexp_replace(lower(regexp_extract(url, '^[^?#]*')), '^.*/', '') AS base, count(DISTINCT page_id) AS documents FROM pages GROUP BY base HAVING count(DISTINCT page_id) > 1")

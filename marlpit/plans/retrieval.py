@@ -107,7 +107,7 @@ def h7_count_tokens(spark, sf_dir):
 WITH q AS (SELECT item_id, {tokens_sql('text', 24)} AS a, {tokens_sql("upper(substr(text, 40))", 24)} AS b FROM benchmark)
 SELECT item_id, round(CASE WHEN len(a) > 0 THEN len(list_intersect(a, b)) / len(a) ELSE 0 END, 6) AS ratio FROM q""")
 def h31_overlap_ratio(spark, sf_dir):
-    a, b = text.search_tokens(F.col("text"), 24), text.search_tokens(F.upper(F.substring("text", 40, 1_000_000)), 24)
+    a, b = text.search_tokens(F.col("text"), 24), text.search_tokens(F.upper(F.substring("text", F.lit(40), F.length("text"))), 24)
     return table(spark, sf_dir, "benchmark").select("item_id", F.round(text.overlap_ratio(a, b), 6).alias("ratio"))
 
 
@@ -293,14 +293,14 @@ c AS (SELECT item_id, sum(least(ta.n, tb.n)) AS shared FROM ta JOIN tb USING (it
 SELECT item_id, round(coalesce(shared, 0) / len(b), 6) AS recall, round(coalesce(2.0::DOUBLE * shared / (len(a) + len(b)), 0), 6) AS f1 FROM p LEFT JOIN c USING (item_id)""")
 def r20_token_f1(spark, sf_dir):
     b = table(spark, sf_dir, "benchmark")
-    pairs = b.select("item_id", F.col("text").alias("prediction"), F.concat(F.substring("text", 30, 1_000_000), F.lit(" the the")).alias("reference"))
+    pairs = b.select("item_id", F.col("text").alias("prediction"), F.concat(F.substring("text", F.lit(30), F.length("text")), F.lit(" the the")).alias("reference"))
     return evals.token_f1(pairs, "item_id")
 
 
 @query("r21_rouge_l")
 def r21_rouge_l(spark, sf_dir):
     b = table(spark, sf_dir, "benchmark")
-    pairs = b.select("item_id", F.col("text").alias("prediction"), F.concat(F.substring("text", 30, 1_000_000), F.lit(" the the")).alias("reference"))
+    pairs = b.select("item_id", F.col("text").alias("prediction"), F.concat(F.substring("text", F.lit(30), F.length("text")), F.lit(" the the")).alias("reference"))
     return evals.rouge_l(pairs, "item_id")
 
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+from bisect import bisect_right
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -19,21 +21,35 @@ def read_stream(spark: SparkSession, path: str, schema, files_per_trigger: int =
 def turn_queue(turns: DataFrame, conversation: str = "conv_id", order: str = "turn") -> DataFrame:
     """(conversation, turn, turn_seq, dirty_through): durable numbers for new turns, one cursor a conversation.
 
-    A turn at or before the last one seen is a replay and gives nothing, so a restarted stream numbers nothing twice.
-    State is two numbers for each conversation.
+    A turn that has its number is a replay and gives nothing, so a restarted stream numbers nothing twice. A turn that arrives
+    late, below others, gets the next number. Null turns and conversations give nothing. State is, for each conversation, the
+    last number and the runs of turns that have one, as a few bounds: one run if turns come without gaps.
     """
 
     def step(key, frames: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-        last, seq = state.get if state.exists else (-1, 0)
-        df = pd.concat(list(frames)).sort_values(order)
-        df = df[df[order] > last].drop_duplicates(order)
-        if len(df):
-            seqs = range(seq + 1, seq + 1 + len(df))
-            last, seq = int(df[order].iloc[-1]), seq + len(df)
-            yield pd.DataFrame({conversation: key[0], order: df[order].to_numpy(), "turn_seq": list(seqs), "dirty_through": seq})
-        state.update((last, seq))
-
-    return turns.select(conversation, order).groupBy(conversation).applyInPandasWithState(step, f"{conversation} long, {order} long, turn_seq long, dirty_through long", "last long, seq long", "append", GroupStateTimeout.NoTimeout)
+        runs, seq = (json.loads(state.get[0]), state.get[1]) if state.exists else ([], 0)
+        starts = [a for a, _ in runs]
+        new = []
+        for turn in sorted({int(t) for df in frames for t in df[order]}):
+            i = bisect_right(starts, turn) - 1
+            if i < 0 or runs[i][1] < turn:
+                new.append(turn)
+        if new:
+            for turn in new:
+                i = bisect_right(starts, turn)
+                if i and runs[i - 1][1] == turn - 1:
+                    runs[i - 1][1] = turn
+                else:
+                    runs.insert(i, [turn, turn])
+                    starts.insert(i, turn)
+                    i += 1
+                if i < len(runs) and runs[i][0] == turn + 1:
+                    runs[i - 1][1] = runs[i][1]
+                    del runs[i], starts[i]
+            yield pd.DataFrame({conversation: key[0], order: new, "turn_seq": range(seq + 1, seq + 1 + len(new)), "dirty_through": seq + len(new)})
+        state.update((json.dumps(runs), seq + len(new)))
+
+    return turns.select(conversation, order).dropna().groupBy(conversation).applyInPandasWithState(step, f"{conversation} long, {order} long, turn_seq long, dirty_through long", "runs string, seq long", "append", GroupStateTimeout.NoTimeout)
 
 
 def upsert_sink(path: str, key: list[str], version: str) -> Callable[[DataFrame, int], None]:
