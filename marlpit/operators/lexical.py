@@ -51,27 +51,40 @@ def score(found: DataFrame, sizes: DataFrame, queries: DataFrame, key: str, quer
 
     Statistics cover all documents; `ranked` (keys) restricts what is scored.
     """
-    wanted = queries.select(query_key, F.explode(F.array_distinct(terms)).alias("term"))
     stats = sizes.agg(F.count("*").alias("n_docs"), F.avg("dl").alias("avgdl"))
-    tf = found.join(wanted.select("term").distinct(), "term", "left_semi")
-    df = tf.groupBy("term").agg(F.count("*").alias("df")).join(stats)  # stats is one row
+    wanted = queries.select(query_key, F.explode(F.array_distinct(terms)).alias("term"))
+    tf = found.join(wanted.select("term").distinct(), "term", "left_semi").join(sizes, key)
+    return _scored(tf, stats, wanted, key, query_key, ranked, k1, b)
+
+
+def _scored(tf: DataFrame, stats: DataFrame, wanted: DataFrame, key: str, query_key: str, ranked: DataFrame | None, k1: float, b: float) -> DataFrame:
+    """score() of rows (key, term, tf, dl) with terms that are asked for; stats is one row."""
+    df = tf.groupBy("term").agg(F.count("*").alias("df")).join(stats)
     idf = F.greatest(F.log((F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5)), F.lit(fixed.BM25_LEAST_IDF))
-    kept = sizes if ranked is None else sizes.join(ranked, key, "left_semi")
-    scored = tf.join(kept, key).join(df.select("term", idf.alias("idf"), "avgdl"), "term")
+    kept = tf if ranked is None else tf.join(ranked, key, "left_semi")
+    scored = kept.join(df.select("term", idf.alias("idf"), "avgdl"), "term")
     part = F.col("idf") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.col("avgdl")))
     return wanted.join(scored, "term").groupBy(query_key, key).agg(F.round(F.sum(part), 6).alias("score"))
 
 
 def bm25(docs: DataFrame, queries: DataFrame, key: str, fields: dict[str, float], query_key: str = "query_id", terms: str = "terms", scope: Column | None = None, k1: float = fixed.BM25_K1, b: float = fixed.BM25_B) -> DataFrame:
-    """score() without an index: postings are made of the queries' terms alone, before they are counted."""
-    vocabulary = queries.select(F.explode(terms).alias("term")).distinct()
+    """score() without an index: texts are tokenized once for each field, into the queries' terms alone and one row for each document's length.
+
+    What is counted of both is one shuffle, which statistics and scores share.
+    """
+    wanted = queries.select(query_key, F.explode(F.array_distinct(terms)).alias("term"))
+    cut = docs.select(key, *[words_of(F.col(f)).alias(f"_w{i}") for i, f in enumerate(fields)])
+    total = sum((F.size(f"_w{i}") * F.lit(float(w)) for i, w in enumerate(fields.values())), F.lit(0.0))
     spread = None
-    for field, weight in fields.items():
-        one = docs.select(key, F.explode(words_of(F.col(field))).alias("term"), F.lit(float(weight)).alias("w")).join(vocabulary, "term", "left_semi")
-        spread = one if spread is None else spread.unionByName(one)
-    found = spread.groupBy(key, "term").agg(F.sum("w").alias("tf"))
+    for i, weight in enumerate(fields.values()):
+        words = F.col(f"_w{i}") if i else F.concat(F.array(F.lit(None).cast("string")), F.col("_w0"))
+        part = cut.select(key, total.alias("dl"), F.explode(words).alias("term"), F.lit(float(weight)).alias("w"))
+        spread = part if spread is None else spread.union(part)
+    vocabulary = wanted.select(F.col("term").alias("known")).distinct().union(queries.sparkSession.range(1).select(F.lit(None).cast("string")))
+    counted = spread.join(vocabulary, F.col("term").eqNullSafe(F.col("known")), "left_semi").groupBy(key, "term").agg(F.sum("w").alias("tf"), F.max("dl").alias("dl"))
+    stats = counted.where("term IS NULL").agg(F.count("*").alias("n_docs"), F.avg("dl").alias("avgdl"))
     ranked = docs.where(scope).select(key) if scope is not None else None
-    return score(found, lengths(docs, key, fields), queries, key, query_key, terms, ranked, k1, b)
+    return _scored(counted.where("term IS NOT NULL"), stats, wanted, key, query_key, ranked, k1, b)
 
 
 def top(scored: DataFrame, k: int, key: str, by: str = "score", partition: str | None = "query_id", ascending: bool = False) -> DataFrame:
