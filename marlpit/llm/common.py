@@ -59,6 +59,18 @@ def discard(df: DataFrame) -> None:
     target.getFileSystem(df.sparkSession._jsc.sc().hadoopConfiguration()).delete(target, True)
 
 
+def clear(spark: SparkSession) -> None:
+    """Deletes all tables that this application has stored; results that still are to be computed read them, so call it when they are written."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(shared_dir(spark))
+    path.getFileSystem(spark._jsc.sc().hadoopConfiguration()).delete(path, True)
+
+
+def own_name(key: str, others: list[str]) -> None:
+    """A key column can't have the name of a column that is added to it."""
+    if key in others:
+        raise ValueError(f"the key column {key} has the name of a result; rename it first")
+
+
 def slices(batches: Iterator[pa.RecordBatch], rows: int = 512) -> Iterator[pa.RecordBatch]:
     """The batches in pieces of at most `rows`, for work whose memory grows with the rows at hand. Spark bounds a batch's bytes itself."""
     for batch in batches:

@@ -18,7 +18,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import slices, table
+from .common import own_name, slices, table
 from .tokens import default_vocabulary, encoder
 
 TOKENS, SEGMENTS = 1024, 256
@@ -127,8 +127,9 @@ def pack(
     conversation, of which those with loss bear it; the end id bears loss if the last part does.
     With `cut` off, rows are never cut, and a row beyond the limits comes alone with a null sequence_id.
     Null and empty texts are an end id alone; repeated keys are packed as rows of their own; the same input
-    partitions give the same sequences. An empty table gives none.
+    partitions give the same sequences. An empty table gives none. Other columns aren't read; a key named like a result is refused.
     """
+    own_name(key, [*(f.split()[0] for f in FIELDS.split(", ")), "input_ids"])
     path, limit = vocabulary or default_vocabulary(), loss_tokens or tokens
     kind = rows.schema[key].dataType.simpleString()
 

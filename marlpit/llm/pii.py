@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import slices, table
+from .common import own_name, slices, table
 
 BASE = ("email", "ip", "card", "phone")
 KINDS = (*BASE, "iban", "ssn", "login")
@@ -135,6 +135,7 @@ def find_spans(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Data
 
     Null and empty texts have an empty list. Repeated rows and null keys keep their rows; other columns are dropped.
     """
+    own_name(key, ["spans"])
     kind = docs.schema[key].dataType.simpleString()
     entry = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32())]))
 

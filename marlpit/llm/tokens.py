@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import slices, table
+from .common import own_name, slices, table
 
 END_OF_TEXT = "<|endoftext|>"
 RULES = ("first", "last", "most", "split")
@@ -111,9 +111,11 @@ def count_tokens(docs: DataFrame, fields: list[str] | None = None, key: str = "d
     encoded as one text, and each field with the separator after it is a section. start and end are code points of
     the encoded text, end exclusive; tokens is a double (whole numbers unless rule is `split`), and the sections' tokens add up to the
     text's. Null texts and fields count as empty; an empty text has one section without tokens. Repeated keys each keep their rows.
+    An empty table gives none. Other columns aren't read; a key named like a result is refused.
     """
     if rule not in RULES:
         raise ValueError(f"rule must be one of {RULES}")
+    own_name(key, ["section", "name", "start", "end", "tokens", "crossing"])
     path, names = vocabulary or default_vocabulary(), list(fields or [text])
     kind = docs.schema[key].dataType.simpleString()
 
