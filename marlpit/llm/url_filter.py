@@ -15,6 +15,8 @@ from pyspark.sql import functions as F
 from .common import store, table
 
 PREFIX_HEX = 8
+#: Judged URLs that may be broadcast; more are joined by a shuffle.
+FEW = 20_000
 RULES = [("org", "/", "allow"), ("example.org", "/es/", "block"), ("example.org", "/en/1", "block"), ("com", "/fr/", "allow"), ("com", "/de/", "block")]
 DEFAULT = "allow"
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -71,6 +73,8 @@ def judge(pages: DataFrame, rules: DataFrame, default: str = DEFAULT, url: str =
     hits = expressions.join(known, "short").where(F.col("digest") == F.col("full"))
     best = hits.groupBy("u").agg(F.max(F.struct(F.length("rule").alias("n"), "rule", "verdict")).alias("best")).select(F.col("u").alias("best_u"), "best")
     best = store(best, "best")  # a plain table, so that the rows of a hot URL can be split
+    if best.limit(FEW + 1).count() > FEW:  # Spark weighs its compressed size, which says little of so many alike
+        best = best.hint("merge")
     h, p = host_path(F.col(url))
     joined = pages.join(best, F.when(F.instr(url, "://") > 0, F.col(url)) == F.col("best_u"), "left")
     return joined.select(*pages.columns, h.alias("host"), p.alias("path"), F.col("best.rule").alias("rule"), F.coalesce("best.verdict", F.lit(default)).alias("verdict"))

@@ -1,3 +1,4 @@
+import math
 import zlib
 
 import numpy as np
@@ -62,3 +63,29 @@ def test_edges(spark):
     assert predict(None, ["abc"]) == (["und"], [0.0]) and {r.lang_pred for r in identify(docs, None).collect()} == {"und"}
     long, short = predict(net, ["der hund und die katze " * 9000, "12"]), predict(net, ["der hund und die katze " * 9000])
     assert long[0][0] == short[0][0] == "de" and train([], []) is None
+
+
+def test_predictions_against_loops():
+    """Filters, pooling and softmax position by position, over every window of a text, weighed by its bytes."""
+    texts = ["der hund und die katze, sehr lang " * 9, "the cat and the dog", "é", "le chat et le chien dans la maison " * 5]
+    net = train(texts * 3, ["de", "en", "fr", "fr"] * 3, epochs=4)
+    assert (net.out != Network.fresh(net.languages, 1).out).any()
+
+    def by_hand(window):
+        e, h = [net.embedding[b] for b in window], []
+        for width, filters, biases in zip(langid.WIDTHS, net.filters, net.biases, strict=True):
+            for k in range(langid.FILTERS):
+                best = max(sum(float(e[p + i][d]) * float(filters[i * langid.DIM + d][k]) for i in range(width) for d in range(langid.DIM)) for p in range(0, langid.WINDOW - width + 1, langid.STRIDE))
+                h.append(max(best + float(biases[k]), 0.0))
+        z = [sum(x * float(w) for x, w in zip(h, net.out[:, c], strict=True)) + float(net.out_bias[c]) for c in range(len(net.languages))]
+        p = [math.exp(v - max(z)) for v in z]
+        return [v / sum(p) for v in p]
+
+    languages, scores = predict(net, texts)
+    for text, language, score in zip(texts, languages, scores, strict=True):
+        raw, total = text.encode(), [0.0] * len(net.languages)
+        for at in range(0, len(raw), langid.WINDOW):
+            piece = raw[at : at + langid.WINDOW]
+            for c, p in enumerate(by_hand(piece.ljust(langid.WINDOW, b"\0"))):
+                total[c] += p * len(piece) / len(raw)
+        assert language == net.languages[max(range(len(total)), key=lambda c: total[c])] and score == pytest.approx(max(total), abs=1e-4)

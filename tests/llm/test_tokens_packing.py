@@ -113,3 +113,39 @@ def test_parts_bear_loss_by_part(spark, reference):
     assert {k: (sum(r.length for r in got if r.conv_id == k), sum(r.loss_tokens for r in got if r.conv_id == k)) for k in want} == want
     for s in {r.sequence_id for r in got}:
         assert sum(r.length for r in got if r.sequence_id == s) <= 64 and sum(r.loss_tokens for r in got if r.sequence_id == s) <= 40
+
+
+@pytest.mark.parametrize("rule", ["first", "last", "most", "split"])
+def test_rules_and_crossing_by_hand(spark, reference, rule):
+    """Each section's tokens from the bytes that every token covers, for tokens over one or more bounds."""
+    rows = [(1, "ab", "cd e", "f"), (2, "hello wor", "ld", "!"), (3, "x ", "", "   y"), (4, "é", "è\U0001f600", "z\n\n"), (5, "", "", ""), (6, None, "un", "believ")]
+    frame = spark.createDataFrame(rows, "doc_id int, a string, b string, c string")
+    got = {(r.doc_id, r.section): (r.name, r.tokens, r.crossing) for r in count_tokens(frame, fields=["a", "b", "c"], rule=rule, separator="").collect()}
+    coder = Encoder(default_vocabulary())
+    crossed = 0
+    for key, *parts in rows:
+        parts = [(p or "").encode() for p in parts]
+        bounds = [(sum(map(len, parts[:i])), sum(map(len, parts[: i + 1]))) for i in range(3)]
+        tokens, crossing, at = [0.0] * 3, [0] * 3, 0
+        for size in coder.lengths[coder.ids(b"".join(parts).decode())].tolist():
+            shares = [max(0, min(at + size, e) - max(at, s)) for s, e in bounds]
+            touched = [i for i in range(3) if shares[i]]
+            if len(touched) > 1:
+                for i in touched:
+                    crossing[i] += 1
+            if rule == "split":
+                tokens = [t + x / size for t, x in zip(tokens, shares, strict=True)]
+            else:
+                tokens[{"first": touched[0], "last": touched[-1], "most": max(touched, key=lambda i: (shares[i], -i))}[rule]] += 1
+            at += size
+        crossed += sum(crossing)
+        for i in range(3):
+            assert got[key, i] == ("abc"[i], pytest.approx(tokens[i]), crossing[i]), (key, i)
+    assert crossed
+
+
+def test_refused_key_names(spark):
+    frame = spark.createDataFrame([(1, "a")], "start int, text string")
+    for operator in (pack, count_tokens):
+        with pytest.raises(ValueError, match="rename"):
+            operator(frame, key="start")
