@@ -2,8 +2,15 @@
 
 from __future__ import annotations
 
+from hashlib import blake2b
+
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+# Fixed value: buckets of the hash embedding.
+HASH_WIDTH = 32
 
 
 def _sum(values: Column) -> Column:
@@ -27,9 +34,15 @@ def squared_distance(a: Column, b: Column) -> Column:
     return _sum(F.zip_with(a, b, lambda x, y: (x.cast("double") - y.cast("double")) * (x.cast("double") - y.cast("double"))))
 
 
-def hash_embedding(tokens: Column, width: int = 32) -> Column:
-    """Counts of tokens by hash bucket, scaled to length 1: a stand-in embedding without a model."""
-    buckets = F.transform(tokens, lambda t: F.pmod(F.xxhash64(t), F.lit(width)))
-    counts = F.transform(F.sequence(F.lit(0), F.lit(width - 1)), lambda i: F.size(F.filter(buckets, lambda b: b == i)).cast("double"))
-    norm = F.sqrt(_sum(F.transform(counts, lambda x: x * x)))
-    return F.transform(counts, lambda x: F.when(norm > 0, x / norm).otherwise(0.0))
+@F.pandas_udf(T.ArrayType(T.DoubleType()))
+def hash_embedding(text: pd.Series) -> pd.Series:
+    """Counts of lower-cased words by BLAKE2b of 4 bytes modulo 32, scaled to length 1: a stand-in embedding without a model. Null texts have no words."""
+
+    def one(t: str | None) -> list[float]:
+        counts = [0.0] * HASH_WIDTH
+        for word in (t or "").lower().split():
+            counts[int.from_bytes(blake2b(word.encode(), digest_size=4).digest(), "big") % HASH_WIDTH] += 1.0
+        norm = sum(x * x for x in counts) ** 0.5
+        return [x / norm for x in counts] if norm else counts
+
+    return text.map(one)

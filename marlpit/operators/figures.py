@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from .ranking import global_rank
+
 from ..functions.more import figure_label
 
 _start = r"(?i)^(?:fig\.?|figure|hình)\s*(\d+)\s*[.:–-]"
@@ -78,8 +80,10 @@ def table_inventory(sources: DataFrame, tables: DataFrame, focus: DataFrame, num
     first = wanted.select("document_id", "table_id", F.lit(0).alias("part"), F.col("place").cast("long").alias("a"), F.col("table_index").cast("long").alias("b"))
     rest = sources.join(wanted.select("table_id"), "table_id", "left_anti")
     rest = rest.where(F.col("table_id").isNull()) if numbers else rest
-    both = first.unionByName(rest.select("document_id", "table_id", F.lit(1).alias("part"), F.col("rank").cast("long").alias("a"), F.lit(0).cast("long").alias("b")))
-    return both.withColumn("place", F.row_number().over(W.partitionBy(F.lit(0)).orderBy("part", "a", "b", "document_id"))).drop("part", "a", "b")
+    rest = rest.select("document_id", "table_id", F.lit(1).alias("part"), F.col("rank").cast("long").alias("a"), F.lit(0).cast("long").alias("b"))
+    many = first.agg(F.count("*").alias("_first"))  # one row
+    after = global_rank(rest, "a", ["b", "document_id"]).join(F.broadcast(many)).withColumn("place", (F.col("place") + F.col("_first")).cast("int")).drop("_first")
+    return global_rank(first, "a", ["b", "document_id"]).unionByName(after).drop("part", "a", "b")
 
 
 def plural_referents(durable: Column, previous: Column, active: Column, explicit_pair: Column) -> Column:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from ..functions.vectors import squared_distance
+from .ranking import global_rank
 
 
 def record_filter(document_ids: list | None = None, file_ids: list | None = None, folder: str | None = None) -> Column:
@@ -45,4 +46,7 @@ def merge_modalities(scored: DataFrame, limits: dict[str, int], key: str = "vec_
 def visual_order(results: DataFrame, key: str = "id", visual: bool = True) -> DataFrame:
     """Figures first if the query is visual, then by distance; with the place."""
     first = F.when(F.lit(visual) & (F.col("kind") == "figure"), 0).otherwise(1)
-    return results.withColumn("place", F.row_number().over(W.partitionBy(F.lit(0)).orderBy(first, "distance", key)))
+    figures = results.where(first == 0).agg(F.count("*").alias("_figures"))  # one row
+    heads = global_rank(results.where(first == 0), "distance", [key])
+    rest = global_rank(results.where(first == 1), "distance", [key]).join(F.broadcast(figures)).withColumn("place", (F.col("place") + F.col("_figures")).cast("int")).drop("_figures")
+    return heads.unionByName(rest)

@@ -409,10 +409,9 @@ def s22_sse_parse(spark, sf_dir):
 
 @query("r9_hash_embedding")
 def r9_hash_embedding(spark, sf_dir):
-    from ..functions.text import search_tokens
     from ..functions.vectors import hash_embedding
 
-    return table(spark, sf_dir, "benchmark").select("item_id", hash_embedding(search_tokens(F.col("text"), None)).alias("embedding"))
+    return table(spark, sf_dir, "benchmark").select("item_id", hash_embedding(F.col("text")).alias("embedding"))
 
 
 @query("r15_visual_order", "WITH f AS (SELECT vec_id, CASE WHEN label = 9 THEN 'figure' ELSE 'text' END AS kind, round(pow(list_distance(list_transform(embedding, lambda x: CAST(x AS DOUBLE)), (SELECT list_transform(embedding, lambda x: CAST(x AS DOUBLE)) FROM embeddings WHERE vec_id = 0)), 2), 5) AS d FROM embeddings) SELECT vec_id, row_number() OVER (ORDER BY CASE WHEN kind = 'figure' THEN 0 ELSE 1 END, d, vec_id) AS place FROM f")
