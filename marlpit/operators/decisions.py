@@ -103,10 +103,40 @@ def figure_gate(width: Column, height: Column, caption: Column, kind: Column) ->
     return F.coalesce((width * height >= 10_000) & (shape <= 12) & ((F.length(F.trim(caption)) > 0) | kind.isin("figure", "chart", "diagram")), F.lit(False))
 
 
-def asset_reasons(width: Column, height: Column, caption: Column) -> Column:
-    """Names of what speaks against an asset."""
-    tests = {"tiny": width * height < 10_000, "sliver": F.greatest(width, height) > 12 * F.least(width, height), "no_caption": F.length(F.trim(F.coalesce(caption, F.lit("")))) == 0}
-    return F.array_compact(F.array(*[F.when(t, n) for n, t in tests.items()]))
+def asset_class(rows: DataFrame, caption: str = "caption", method: str = "method", source: str = "caption_source", kind: str = "asset_type", size: tuple[str, str] = ("width", "height"), box: tuple[str, str, str, str] = ("x0", "y0", "x1", "y1"), page: tuple[str, str] = ("page_width", "page_height"), repeated: str = "repeated") -> DataFrame:
+    """rows with status, asset_kind, confidence and reasons of their visual assets.
+
+    Page renders and tiny rasters are rejected at once; of the rest, what speaks for and against an asset is named in order and the
+    first class that it allows is taken. Null sizes, boxes and pages name nothing; null captions count as empty.
+    """
+    limit, sure = fixed.ASSET_LIMITS, fixed.ASSET_CONFIDENCE
+    low, lower = normal(F.col(caption)), lambda c: F.lower(F.coalesce(F.col(c), F.lit("")))
+    truth = lambda c: F.coalesce(c, F.lit(False))
+    direct, labelled = lower(source).isin(fixed.DIRECT_CAPTIONS), low.rlike(fixed.FIGURE_LABEL)
+    width, height = (F.col(c).cast("double") for c in size)
+    known = truth((width != 0) & (height != 0))
+    x0, y0, x1, y1 = (F.col(c) / F.nullif(F.col(page[i % 2]).cast("double"), F.lit(0.0)) for i, c in enumerate(box))
+    share, middle = (x1 - x0) * (y1 - y0), (y0 + y1) / 2
+    small = known & (width * height < limit["small_area"]) & ~direct
+    tiny_share = truth(share < limit["tiny_share"]) & ~direct
+    margin = truth(((middle < limit["margin"]) | (middle > 1 - limit["margin"])) & (share < limit["margin_share"])) & ~direct
+    again = truth(F.col(repeated) >= 2) & ~direct
+    tests = {"figure_caption": labelled, "direct_caption_anchor": direct, "small_raster_without_direct_caption": small, "tiny_page_area": tiny_share, "header_footer_asset": margin, "repeated_across_pages": again}
+    reasons = F.array_compact(F.array(*[F.when(t, n) for n, t in tests.items()]))
+    lacks = F.when(low.startswith(fixed.EXTRACTED_CAPTION) | (low == ""), "missing_caption_anchor").when(labelled, "unverified_caption_assignment").otherwise("non_figure_caption")
+    rendered = (lower(kind) == "page") | lower(method).isin(fixed.PAGE_METHODS) | low.contains(fixed.PAGE_CAPTION)
+    tiny = known & (F.least(width, height) < limit["tiny_side"])
+    as_ = lambda status, name, share_, why: F.struct(F.lit(status).alias("status"), F.lit(name).alias("asset_kind"), F.lit(sure[share_]).alias("confidence"), why.alias("reasons"))
+    verdict = (
+        F.when(rendered, as_("rejected", "page", "page", F.array(F.lit("page_render_fallback"))))
+        .when(tiny, as_("rejected", "decorative", "decorative", F.array(F.lit("tiny_raster"))))
+        .when(margin | again, as_("rejected", "branding", "branding", reasons))
+        .when(small | tiny_share, as_("needs_review", "panel", "panel", reasons))
+        .when(direct, as_("accepted", "figure", "direct", reasons))
+        .when(labelled & ~lower(source).isin(fixed.GUESSED_CAPTIONS), as_("accepted", "figure", "labelled", reasons))
+        .otherwise(as_("needs_review", "unknown", "unknown", F.array_append(reasons, lacks)))
+    )
+    return rows.withColumn("_v", verdict).select(*rows.columns, "_v.*")
 
 
 def topics(rows: DataFrame, wanted: list[str], tags: str = "tags") -> DataFrame:

@@ -314,9 +314,26 @@ def f6_figure_gate(spark, sf_dir):
     return table(spark, sf_dir, "part").select("p_partkey", decisions.figure_gate(F.col("p_size") * 400, F.lit(40), F.col("p_name"), F.lit("figure")).alias("passes"))
 
 
-@query("f7_asset_reasons", "SELECT p_partkey, list_filter([CASE WHEN p_size * 400 < 10000 THEN 'tiny' END, CASE WHEN greatest(p_size, 400) > 12 * least(p_size, 400) THEN 'sliver' END], lambda x: x IS NOT NULL) AS reasons FROM part")
-def f7_asset_reasons(spark, sf_dir):
-    return table(spark, sf_dir, "part").select("p_partkey", decisions.asset_reasons(F.col("p_size"), F.lit(400), F.col("p_name")).alias("reasons"))
+@query("f7_asset_classes", """
+WITH a AS (SELECT p_partkey, CASE p_partkey % 7 WHEN 0 THEN 'Figure ' || p_size || ': ' || p_name WHEN 1 THEN p_name WHEN 2 THEN 'Visual  fallback of ' || p_name WHEN 3 THEN NULL WHEN 4 THEN 'Hình 3b - ' || p_name WHEN 5 THEN 'figure extracted from page 3' ELSE 'Fig. ' || p_size || '. ' || p_name END AS caption,
+  (['docling_direct', 'page_sequence', 'other', NULL])[1 + p_partkey % 4] AS source, p_size * 20 AS w, 200 AS h, p_size * 2.0::DOUBLE AS y0, p_partkey % 50 = 0 AS page, 1 + CAST(p_partkey % 11 = 0 AS INT) AS again FROM part),
+t AS (SELECT *, trim(regexp_replace(lower(coalesce(caption, '')), '\\s+', ' ', 'g')) AS low, coalesce(source = 'docling_direct', false) AS direct, 60.0::DOUBLE * 40 / (100 * 120) AS share, (y0 / 120 + (y0 + 40) / 120) / 2 AS mid FROM a),
+u AS (SELECT *, regexp_matches(low, '^(fig(ure)?\\.?|hình)\\s*\\d+(\\s*[a-z])?\\s*[.:–-]') AS label, w * h < 25000 AND NOT direct AS small, (mid < 0.09 OR mid > 0.91) AND share < 0.08 AND NOT direct AS margin, again >= 2 AND NOT direct AS rep FROM t),
+v AS (SELECT *, list_filter([CASE WHEN label THEN 'figure_caption' END, CASE WHEN direct THEN 'direct_caption_anchor' END, CASE WHEN small THEN 'small_raster_without_direct_caption' END, CASE WHEN margin THEN 'header_footer_asset' END, CASE WHEN rep THEN 'repeated_across_pages' END], lambda x: x IS NOT NULL) AS why FROM u),
+k AS (SELECT *, CASE WHEN page OR contains(low, 'visual fallback') THEN 1 WHEN w < 32 OR h < 32 THEN 2 WHEN margin OR rep THEN 3 WHEN small THEN 4 WHEN direct THEN 5 WHEN label AND coalesce(source <> 'page_sequence', true) THEN 6 ELSE 7 END AS k FROM v)
+SELECT p_partkey, (['rejected', 'rejected', 'rejected', 'needs_review', 'accepted', 'accepted', 'needs_review'])[k] AS status, (['page', 'decorative', 'branding', 'panel', 'figure', 'figure', 'unknown'])[k] AS asset_kind, ([0.99, 0.98, 0.94, 0.72, 0.95, 0.88, 0.5])[k]::DOUBLE AS confidence,
+  CASE k WHEN 1 THEN ['page_render_fallback'] WHEN 2 THEN ['tiny_raster'] WHEN 7 THEN list_append(why, CASE WHEN starts_with(low, 'figure extracted from page') OR low = '' THEN 'missing_caption_anchor' WHEN label THEN 'unverified_caption_assignment' ELSE 'non_figure_caption' END) ELSE why END AS reasons FROM k""")
+def f7_asset_classes(spark, sf_dir):
+    p, k = table(spark, sf_dir, "part"), F.col("p_partkey")
+    n = F.col("p_size").cast("string")
+    captions = [F.concat(F.lit("Figure "), n, F.lit(": "), "p_name"), F.col("p_name"), F.concat(F.lit("Visual  fallback of "), "p_name"), F.lit(None).cast("string"), F.concat(F.lit("Hình 3b - "), "p_name"), F.lit("figure extracted from page 3"), F.concat(F.lit("Fig. "), n, F.lit(". "), "p_name")]
+    sources_ = F.element_at(F.array(F.lit("docling_direct"), F.lit("page_sequence"), F.lit("other"), F.lit(None).cast("string")), (k % 4 + 1).cast("int"))
+    assets = p.select(
+        "p_partkey", F.coalesce(*[F.when(k % 7 == i, c) for i, c in enumerate(captions)]).alias("caption"), F.when(k % 50 == 0, "Page_Screenshot").alias("method"), sources_.alias("caption_source"), F.lit(None).cast("string").alias("asset_type"),
+        (F.col("p_size") * 20).alias("width"), F.lit(200).alias("height"), F.lit(0.0).alias("x0"), (F.col("p_size") * 2.0).alias("y0"), F.lit(60.0).alias("x1"), (F.col("p_size") * 2.0 + 40).alias("y1"),
+        F.lit(100).alias("page_width"), F.lit(120).alias("page_height"), F.when(k % 11 == 0, 2).otherwise(1).alias("repeated"),
+    )
+    return decisions.asset_class(assets).select("p_partkey", "status", "asset_kind", "confidence", "reasons")
 
 
 @query("j18_panel_groups")
