@@ -57,6 +57,30 @@ def depth(text: Column) -> Column:
     return F.coalesce(*[F.when(_has(normal(text), markers), name) for name, markers in fixed.DEPTH_MARKERS], F.lit("normal"))
 
 
+def wants_visual(text: Column) -> Column:
+    """Whether a question asks for a figure."""
+    rest = F.regexp_replace(normal(text), words(fixed.MODEL_PHRASES), " ")
+    return _has(rest, fixed.VISUAL_MARKERS) | rest.rlike(words(fixed.IMAGE_WORDS))
+
+
+def wants_results(text: Column) -> Column:
+    """Whether a question asks for a table of results."""
+    return _has(normal(text), fixed.RESULT_MARKERS) | normal(text).rlike(words(fixed.RESULT_METRICS))
+
+
+def enriched(text: Column, topic: Column, intent: Column, scoped: Column) -> Column:
+    """A question with anchors of its kind before it, if it has a topic in scope and wants an explanation; else, or if they are there, as it is.
+
+    scoped: whether documents are in focus or the topic is the name of something. Null texts and topics count as empty.
+    """
+    asked, name, low = F.coalesce(text, F.lit("")), F.trim(F.coalesce(topic, F.lit(""))), normal(text)
+    explains = _has(low, fixed.EXPLAIN_MARKERS) | F.coalesce(intent.isin(fixed.EXPLAIN_INTENTS), F.lit(False))
+    results = F.when(low.contains("ablation"), fixed.ANCHORS["ablation"]).when(low.rlike(words([fixed.NUMBERED_TABLE])), fixed.ANCHORS["numbered"]).otherwise(fixed.ANCHORS["results"])
+    anchors = F.concat_ws(" ", name, F.when(wants_results(text), results).when(wants_visual(text), fixed.ANCHORS["visual"]).otherwise(fixed.ANCHORS["model"]))
+    fits = (name != "") & explains & F.coalesce(scoped, F.lit(False)) & ~F.contains(low, F.lower(anchors))
+    return F.when(fits, F.trim(F.concat_ws(" ", anchors, asked))).otherwise(asked)
+
+
 def resumes(text: Column) -> Column:
     """Whether a turn goes back to a document."""
     low = normal(text)

@@ -242,6 +242,20 @@ def d8_follow_ups(spark, sf_dir):
     return _turns(spark, sf_dir).select("conv_id", "turn", decisions.follow_up(F.col("text")).alias("follows"))
 
 
+_NO_MODEL = f"regexp_replace({NORMAL}, '(^|{_OTHER})(?:{'|'.join(fixed.MODEL_PHRASES)})($|{_OTHER})', '\\1 \\2', 'g')"
+
+
+@query("h55_enriched_queries", f"""
+WITH q AS (SELECT conv_id, turn, text, {INTENT} AS intent, {NORMAL} AS low, CASE WHEN conv_id % 5 > 0 THEN 'GPT-' || (conv_id % 7) ELSE ' ' END AS topic,
+  {_marked(fixed.RESULT_MARKERS)} OR {_said(fixed.RESULT_METRICS)} AS results, regexp_matches({_NO_MODEL}, '{'|'.join(m.replace('.', '[.]') for m in fixed.VISUAL_MARKERS)}|(?:^|{_OTHER})(?:hình|hinh)(?:$|{_OTHER})') AS visual, {_said([fixed.NUMBERED_TABLE])} AS numbered, {_marked(["giải thích", "explain", "là gì", "what is", "what''s", "mô tả", "describe", "overview", "tổng quan"])} AS explains FROM {TURNS}),
+a AS (SELECT *, topic || ' ' || CASE WHEN results THEN CASE WHEN contains(low, 'ablation') THEN '{fixed.ANCHORS['ablation']}' WHEN numbered THEN '{fixed.ANCHORS['numbered']}' ELSE '{fixed.ANCHORS['results']}' END WHEN visual THEN '{fixed.ANCHORS['visual']}' ELSE '{fixed.ANCHORS['model']}' END AS anchors FROM q)
+SELECT conv_id, turn, CASE WHEN topic <> ' ' AND conv_id % 4 <> 1 AND (explains OR intent IN ('direct_answer', 'elaborate', 'infer_structure', 'compare')) AND NOT contains(low, lower(anchors)) THEN trim(anchors || ' ' || text) ELSE text END AS enriched FROM a""")
+def h55_enriched_queries(spark, sf_dir):
+    topic = F.when(F.col("conv_id") % 5 > 0, F.concat(F.lit("GPT-"), (F.col("conv_id") % 7).cast("string"))).otherwise(" ")
+    said = F.col("text")
+    return _turns(spark, sf_dir).select("conv_id", "turn", decisions.enriched(said, topic, decisions.intent(said), F.col("conv_id") % 4 != 1).alias("enriched"))
+
+
 NAMES = "list_filter(regexp_extract_all(text, '\\p{Lu}[\\p{L}\\p{N}_-]+'), lambda w: length(w) >= 3)"
 
 

@@ -281,3 +281,17 @@ def test_fuzzy_names_against_brute_force(spark):
     assert scores["ab1cd2ef", 0] == 0.75 and scores["b", 1] == 0.82
     by_path = catalog.fuzzy_names(spark.createDataFrame([(1, "x", "/a/x"), (2, "xy", "/a/xy")], "id long, name string, path string"), spark.createDataFrame([("/a/x",), ("x",)], "asked string"), "name", "asked", "id", path="path")
     assert sorted((r.asked, r.id, r.score, r.resolved) for r in by_path.collect()) == [("/a/x", 1, 0.98, True), ("x", 1, 0.98, True)]
+
+
+def test_enriched_queries(spark):
+    cases = [
+        ("what is it", "ALPHA", "example", True, "ALPHA introduction abstract"), ("what is it", " ", "example", True, "what is it"), ("tell me", "ALPHA", "example", True, "tell me"), ("tell me", "ALPHA", "compare", False, "tell me"),
+        ("show the mô hình", "A1", "direct_answer", True, "A1 introduction"), ("show the hình", "A1", "direct_answer", True, "A1 figure diagram"), ("Table 3 please", "A1", "direct_answer", True, "A1 table results metrics Table 3"),
+        ("ablation table", "A1", "direct_answer", True, "A1 ablation table results"), ("its WER", "A1", "direct_answer", True, "A1 main experimental"), ("access rights", "A1", "direct_answer", True, "A1 introduction"), (None, "A1", "compare", True, "A1 introduction"),
+    ]
+    rows = spark.createDataFrame([(i, *c) for i, c in enumerate(cases)], "i int, t string, topic string, intent string, scoped boolean, starts string")
+    got = rows.orderBy("i").select(decisions.enriched(F.col("t"), F.col("topic"), F.col("intent"), F.col("scoped")).alias("e")).collect()
+    for r, c in zip(got, cases, strict=True):
+        assert r.e.startswith(c[4]) and r.e.endswith(c[0] or "overview"), (r.e, c)
+    again = spark.createDataFrame([(got[0].e,)], "t string").select(decisions.enriched(F.col("t"), F.lit("ALPHA"), F.lit("compare"), F.lit(True)).alias("e")).first().e
+    assert again == got[0].e
