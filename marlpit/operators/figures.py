@@ -16,6 +16,8 @@ _start = r"(?i)^(?:fig\.?|figure|hình)\s*(\d+)\s*[.:–-]"
 ARCHITECTURE_WORDS = ["architecture", "architectural", "kiến trúc", "cấu trúc", "pipeline", "framework", "model overview", "overall model", "sơ đồ tổng thể"]
 QUANTITY_WORDS = ["benchmark", "ablation", "confusion matrix", "kết quả", "so sánh", "accuracy", " acc", " f1", " ccc", "uar"]
 UNSHARED_WORDS = ["của", "cho", "với", "the", "and", "for", "về", "các", "một", "này", "đó", "làm", "sao", "gì", "như", "thế", "tôi", "mình", "bài", "paper", "pdf"]
+# What the number asked for, kinds for an architecture, kinds for numbers, a shared word and a fallback crop add to a figure's score.
+RELEVANCE = {"number": 80, "architecture": 70, "diagram": 50, "other_kind": -15, "quantity": 35, "word": 20, "fallback": -200}
 # Modes of a graph query, and those that an intent asks for.
 GRAPH_MODES = ["local", "global", "hybrid", "naive", "mix"]
 HYBRID_INTENTS, LOCAL_INTENTS = ["compare", "infer_structure"], ["direct_answer", "define", "simplify", "example"]
@@ -58,12 +60,12 @@ def relevance(score: Column, caption: Column, content: Column, kind: Column, wan
     fallback = low.startswith("figure extracted from page") | F.lower(content).startswith("figure extracted from page") | body.contains("visual fallback")
     asked = F.lower(query)
     any_of = lambda words: F.exists(F.array(*map(F.lit, words)), lambda w: asked.contains(w))
-    numbered = F.when(figure_label(caption)["number"] == wanted, 80).otherwise(0)
-    shape = F.when(any_of(ARCHITECTURE_WORDS), F.when(kind == "architecture", 70).when(kind == "diagram", 50).when(kind.isin("chart", "plot", "photo"), -15).otherwise(0)).otherwise(0)
-    counts = F.when(any_of(QUANTITY_WORDS) & kind.isin("chart", "plot", "table"), 35).otherwise(0)
+    numbered = F.when(figure_label(caption)["number"] == wanted, RELEVANCE["number"]).otherwise(0)
+    shape = F.when(any_of(ARCHITECTURE_WORDS), F.when(kind == "architecture", RELEVANCE["architecture"]).when(kind == "diagram", RELEVANCE["diagram"]).when(kind.isin("chart", "plot", "photo"), RELEVANCE["other_kind"]).otherwise(0)).otherwise(0)
+    counts = F.when(any_of(QUANTITY_WORDS) & kind.isin("chart", "plot", "table"), RELEVANCE["quantity"]).otherwise(0)
     words = F.filter(F.regexp_extract_all(asked, F.lit("[a-z0-9à-ỹ]{3,}"), F.lit(0)), lambda w: ~w.isin(UNSHARED_WORDS))
-    shared = F.size(F.filter(words, lambda w: body.contains(w))) * 20
-    return score + F.when(F.coalesce(fallback, F.lit(False)), -200).otherwise(F.coalesce(numbered, F.lit(0)) + shape + counts + shared)
+    shared = F.size(F.filter(words, lambda w: body.contains(w))) * RELEVANCE["word"]
+    return score + F.when(F.coalesce(fallback, F.lit(False)), RELEVANCE["fallback"]).otherwise(F.coalesce(numbered, F.lit(0)) + shape + counts + shared)
 
 
 def table_inventory(sources: DataFrame, tables: DataFrame, focus: DataFrame, numbers: list[int] | None = None) -> DataFrame:
