@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import pyarrow as pa
@@ -198,12 +198,30 @@ def heading_path(lines: DataFrame, key: str, order: str, line: str, deepest: int
     return out.withColumn("heading_path", F.array_compact(F.array(*names))).drop("_l", *names)
 
 
-def merge_overlap(left: str, right: str, least: int = 20, most: int = 600) -> str:
-    """Joins two texts without repeating the longest suffix of one that the other begins with."""
+def overlap(left: str, right: str, least: int = 20, most: int = 600) -> int:
+    """Length of the longest suffix of one text that the other begins with, of `least` to `most` characters; else 0."""
     for n in range(min(most, len(left), len(right)), least - 1, -1):
         if left.endswith(right[:n]):
-            return left + right[n:]
-    return f"{left}\n\n{right}" if left and right else left or right
+            return n
+    return 0
+
+
+def merge_overlap(left: str, right: str, least: int = 20, most: int = 600) -> str:
+    """Joins two texts without repeating an overlap; without one, by a blank line."""
+    return merge_all([left, right], least, most)
+
+
+def merge_all(parts: Iterable[str], least: int = 20, most: int = 600) -> str:
+    """Joins texts in order by their overlaps. Only the end of what is joined is looked at, so the work grows with the texts' length."""
+    out, tail = [], ""
+    for part in parts:
+        if not part:
+            continue
+        n = overlap(tail, part, least, most)
+        new = part[n:] if n or not out else "\n\n" + part
+        out.append(new)
+        tail = (tail + new)[-most:]
+    return "".join(out)
 
 
 def rebuild(chunks: DataFrame, key: str = "doc_id", order: str = "chunk_index", content: str = "content") -> DataFrame:
@@ -211,10 +229,7 @@ def rebuild(chunks: DataFrame, key: str = "doc_id", order: str = "chunk_index",
     kind = chunks.schema[key].dataType.simpleString()
 
     def one(ids, df):
-        text = ""
-        for part in df.sort_values(order)[content]:
-            text = merge_overlap(text, part)
-        return df.head(1).assign(text=text)[[key, "text"]]
+        return df.head(1).assign(text=merge_all(df.sort_values(order)[content]))[[key, "text"]]
 
     return chunks.groupBy(key).applyInPandas(one, f"{key} {kind}, text string")
 

@@ -295,3 +295,20 @@ def test_enriched_queries(spark):
         assert r.e.startswith(c[4]) and r.e.endswith(c[0] or "overview"), (r.e, c)
     again = spark.createDataFrame([(got[0].e,)], "t string").select(decisions.enriched(F.col("t"), F.lit("ALPHA"), F.lit("compare"), F.lit(True)).alias("e")).first().e
     assert again == got[0].e
+
+
+def test_merging_of_many_overlaps():
+    import random
+
+    from marlpit.operators.chunking import merge_all, merge_overlap
+
+    rng = random.Random(6)
+    for _ in range(60):
+        parts, whole = [], ""
+        for _ in range(rng.randint(0, 8)):
+            part = whole[-rng.choice([1, 20, 25, 300]) :] * rng.randint(0, 1) + "".join(rng.choices("ab", k=rng.choice([0, 3, 40, 700])))
+            parts.append(part)
+            n = next((n for n in range(min(600, len(whole), len(part)), 19, -1) if whole.endswith(part[:n])), 0)
+            whole = whole + part[n:] if n else f"{whole}\n\n{part}" if whole and part else whole or part
+        assert merge_all(parts) == whole
+    assert merge_overlap("", "x") == merge_overlap("x", "") == "x"
