@@ -66,6 +66,12 @@ def m7_versioned_items(spark, sf_dir):
     return memory.versions(operations(spark, sf_dir), ["user_id", "k"], "ts", "event_id", "content").drop("k")
 
 
+@query("m8_forgotten", f"WITH {VERSIONS} SELECT user_id, version, valid_to FROM v WHERE status = 'forgotten'")
+def m8_forgotten(spark, sf_dir):
+    items = memory.versions(operations(spark, sf_dir), ["user_id", "k"], "ts", "event_id", "content")
+    return items.where("status = 'forgotten'").select("user_id", "version", "valid_to")
+
+
 @query("f12_as_of", f"WITH {VERSIONS} SELECT user_id, version, status FROM v WHERE valid_from <= TIMESTAMP '2024-01-15' AND (valid_to IS NULL OR valid_to > TIMESTAMP '2024-01-15')")
 def f12_as_of(spark, sf_dir):
     items = memory.versions(operations(spark, sf_dir), ["user_id", "k"], "ts", "event_id", "content")

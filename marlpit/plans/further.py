@@ -267,3 +267,49 @@ def s17_vault_notes(spark, sf_dir):
     order = W.partitionBy("n_regionkey").orderBy(F.col("id").cast("int"))
     edges = n.withColumn("dst", F.lead("id").over(order)).where("dst IS NOT NULL").select(F.col("id").alias("src"), "dst")
     return vault_notes(n.select("id", "label"), edges)
+
+
+@query("a1_totals", "SELECT 'documents' AS name, count(*) AS n FROM documents UNION ALL SELECT 'pages', count(*) FROM pages UNION ALL SELECT 'conversations', count(*) FROM conversations")
+def a1_totals(spark, sf_dir):
+    counts = [table(spark, sf_dir, t).agg(F.lit(t).alias("name"), F.count("*").alias("n")) for t in ("documents", "pages", "conversations")]
+    return counts[0].union(counts[1]).union(counts[2])
+
+
+@query("a4_distinct_conversations", "SELECT role, count(DISTINCT conv_id) AS conversations, CAST(sum(CASE WHEN length(text) > 200 THEN 1 ELSE 0 END) AS BIGINT) AS long_turns FROM conversations GROUP BY role")
+def a4_distinct_conversations(spark, sf_dir):
+    return table(spark, sf_dir, "conversations").groupBy("role").agg(F.countDistinct("conv_id").alias("conversations"), F.sum(F.when(F.length("text") > 200, 1).otherwise(0)).alias("long_turns"))
+
+
+FOLDER = "regexp_extract(url, '^([^?#]*)/[^/?#]*', 1)"
+
+
+@query("f4_folder", f"SELECT page_id FROM pages WHERE {FOLDER} IN (SELECT min({FOLDER}) FROM pages WHERE {FOLDER} <> '')")
+def f4_folder(spark, sf_dir):
+    """Pages of one folder, by equality on the folder."""
+    p = table(spark, sf_dir, "pages").select("page_id", F.regexp_extract("url", r"^([^?#]*)/[^/?#]*", 1).alias("folder"))
+    one = p.where("folder <> ''").agg(F.min("folder").alias("wanted"))
+    return p.join(one, F.col("folder") == F.col("wanted")).select("page_id")
+
+
+@query("f20_focus_scope", "SELECT vec_id, 'focused' AS mode FROM embeddings WHERE label IN (SELECT label FROM embeddings WHERE vec_id % 97 = 0) UNION ALL SELECT vec_id, 'open' FROM embeddings")
+def f20_focus_scope(spark, sf_dir):
+    e = table(spark, sf_dir, "embeddings").select("vec_id", "label")
+    focus = e.where("vec_id % 97 = 0")
+    runs = [(focus, "focused"), (None, "open"), (focus.where("false"), "empty")]
+    out = [entities.within(e, s, "label").select("vec_id", F.lit(m).alias("mode")) for s, m in runs]
+    return out[0].union(out[1]).union(out[2])
+
+
+@query("o3_collection_scopes", "SELECT doc_id, 'both' AS mode FROM documents WHERE lang = 'de' AND n_chars > 500 UNION ALL SELECT doc_id, 'forced' FROM documents WHERE lang = 'de' UNION ALL SELECT doc_id, 'members' FROM documents WHERE n_chars > 500")
+def o3_collection_scopes(spark, sf_dir):
+    d = table(spark, sf_dir, "documents")
+    forced, members = d.where("lang = 'de'").select("doc_id"), d.where("n_chars > 500").select("doc_id")
+    runs = [(forced, members, "both"), (forced, None, "forced"), (None, members, "members"), (forced.where("false"), members, "empty")]
+    out = [entities.collection_scope(a, b, "doc_id").select("doc_id", F.lit(m).alias("mode")) for a, b, m in runs]
+    return out[0].union(out[1]).union(out[2]).union(out[3])
+
+
+@query("w2_rrf_terms", "SELECT doc_id, round(1.0::DOUBLE / (60 + row_number() OVER (PARTITION BY lang ORDER BY n_chars DESC, doc_id)), 9) AS term FROM documents")
+def w2_rrf_terms(spark, sf_dir):
+    ranked = fusion.with_rank(table(spark, sf_dir, "documents").select("doc_id", "lang", "n_chars"), "n_chars", "doc_id", ["lang"])
+    return ranked.select("doc_id", F.round(fusion.rrf_term(F.col("rank")), 9).alias("term"))
