@@ -1 +1 @@
-"""Ten operators that prepare training data, each a function from DataFrames to DataFrames."""
+"""Twelve operators that prepare training data, each a function from DataFrames to DataFrames."""
