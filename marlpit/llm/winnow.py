@@ -4,10 +4,13 @@ A window is `span` consecutive words of a benchmark item. The fingerprint of a w
 keeps one fingerprint for each run of windows that share it: at most one for each window, about two for `span - k + 2` words. A text that holds
 a window holds its fingerprint, so every shared span of `span` words or more is found:
 
-1. fingerprints of all texts meet those of all items by an equi-join; texts and windows stay behind;
-2. in texts with a fingerprint in common, the runs' windows are cut out again and joined to the items' windows, words for words;
+1. the items' fingerprints set bits in a map of fixed size, which every task holds: runs whose bit is unset are dropped where they are;
+2. windows of the runs that are left are joined to the items' windows on the fingerprint and words for words, whether few or many are left;
 3. windows that occur become spans of words, and the sets of items that hold them become item lists.
 
+Texts are never shuffled. The map has MAP_BITS bits, so its size doesn't grow; with W windows in the benchmark, about W / MAP_BITS of the
+other runs stay until the join.
+
 An item of fewer than `span` words is one window; such windows are found by the same steps with their own length, with as many k-grams as fit.
 """
 
@@ -20,6 +23,8 @@ from pyspark.sql import functions as F
 from .common import store, table
 
 SPAN, GRAM = 10, 5
+#: 1 MB, as 64-bit words.
+MAP_BITS = 1 << 23
 #: What stands between words: ASCII but for digits and letters.
 SEPARATOR = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -65,17 +70,37 @@ def _fingerprints(rows: DataFrame, sizes: list[int], gram: int) -> DataFrame:
     return rows
 
 
+def _slot(mark: Column) -> Column:
+    """The map's word for a fingerprint; its bit there is the fingerprint's last six bits."""
+    return F.shiftrightunsigned(mark, 64 - (MAP_BITS // 64 - 1).bit_length()).cast("int")
+
+
+def _map(marks: DataFrame) -> Column:
+    """The bits of all fingerprints as a constant array: MAP_BITS // 64 numbers, whatever the benchmark."""
+    words_ = marks.groupBy(_slot(F.col("mark")).cast("long").alias("id")).agg(F.bit_or(F.expr("shiftleft(1L, cast(mark & 63 AS int))")).alias("bits"))
+    full = marks.sparkSession.range(MAP_BITS // 64).join(words_, "id", "left").select(F.struct("id", F.coalesce("bits", F.lit(0)).alias("bits")).alias("x"))
+    text = full.agg(F.array_join(F.transform(F.array_sort(F.collect_list("x")), lambda x: x["bits"].cast("string")), ",")).first()[0]
+    return F.split(F.lit(text), ",").cast("array<bigint>")
+
+
 def _starts(size: int) -> Column:
     """The windows whose fingerprint is not that of the window before."""
     least = F.col(f"_least{size}")
     return F.filter(_up_to(F.size(least) - 1), lambda i: (i == 0) | (F.get(least, i) != F.get(least, i - 1)))
 
 
-def _runs(size: int) -> Column:
-    """(size, fingerprint, first window, number of windows) of each run of windows with one fingerprint."""
+def _runs(size: int, known: Column) -> Column:
+    """(size, fingerprint, first window, number of windows) of each run of windows with one fingerprint that the map knows."""
     least, starts = F.col(f"_least{size}"), F.col(f"_starts{size}")
     end = lambda j: F.coalesce(F.get(starts, j + 1), F.size(least))
-    return F.transform(starts, lambda i, j: F.struct(F.lit(size).alias("size"), F.get(least, i).alias("mark"), i.alias("start"), (end(j) - i).alias("n")))
+    runs = F.transform(starts, lambda i, j: F.struct(F.lit(size).alias("size"), F.get(least, i).alias("mark"), i.alias("start"), (end(j) - i).alias("n")))
+    return F.filter(runs, lambda r: F.getbit(F.get(known, _slot(r["mark"])), r["mark"].bitwiseAND(63).cast("int")) == 1)
+
+
+def _cut_out(run: Column) -> Column:
+    """(size, mark, start, window) of a run's windows, in lower case."""
+    window = lambda i: F.array_join(F.transform(F.slice("_w", i + 1, run["size"]), lowered), " ")
+    return F.transform(F.sequence(run["start"], run["start"] + run["n"] - 1), lambda i: F.struct(run["size"].alias("size"), run["mark"].alias("mark"), i.alias("start"), window(i).alias("window")))
 
 
 def _item_windows(items: DataFrame, span: int, gram: int) -> tuple[DataFrame, list[int]]:
@@ -111,19 +136,14 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", te
     sets = store(sets, "windows")
     members = store(found.where("item IS NOT NULL").join(sets, ["size", "mark", "window"]).select("set", "item").distinct(), "members")
 
-    cut = docs.withColumn("_w", words(F.col("text"))).withColumn("_h", _hashes("_w")).select("k", "t", "_h")
+    same = F.col("k").eqNullSafe(F.col("k2")) & F.col("t").eqNullSafe(F.col("t2"))
+    cut = docs.withColumn("_w", words(F.col("text"))).withColumn("_h", _hashes("_w")).select("k", "t", "_w", "_h")
     cut = _fingerprints(cut, sizes, gram)
     for size in sizes:
         cut = cut.withColumn(f"_starts{size}", _starts(size))
-    runs = F.concat(*[_runs(size) for size in sizes]) if sizes else F.lit(None).cast("array<struct<size:int,mark:bigint,start:int,n:int>>")
-    shared = cut.select("k", "t", F.explode(runs).alias("x")).select("k", "t", "x.*")
-    shared = store(shared.join(sets.select("size", "mark").distinct(), ["size", "mark"], "left_semi"), "shared")
-
-    here = shared.groupBy("k", "t").agg(F.collect_set(F.struct("size", "mark", "start", "n")).alias("runs"))
-    same = F.col("k").eqNullSafe(F.col("k2")) & F.col("t").eqNullSafe(F.col("t2"))
-    texts = docs.join(here.withColumnsRenamed({"k": "k2", "t": "t2"}), same).select("k", "t", "runs", F.transform(words(F.col("text")), lowered).alias("_w"))
-    window = lambda r, i: F.struct(r["size"].alias("size"), r["mark"].alias("mark"), i.alias("start"), F.array_join(F.slice("_w", i + 1, r["size"]), " ").alias("window"))
-    tried = texts.select("k", "t", F.explode(F.flatten(F.transform("runs", lambda r: F.transform(F.sequence(r["start"], r["start"] + r["n"] - 1), lambda i: window(r, i))))).alias("x")).select("k", "t", "x.*")
+    marked = _map(sets)
+    runs = F.concat(*[_runs(size, marked) for size in sizes]) if sizes else F.lit(None).cast("array<struct<size:int,mark:bigint,start:int,n:int>>")
+    tried = cut.select("k", "t", F.explode(F.flatten(F.transform(runs, _cut_out))).alias("x")).select("k", "t", "x.*")
     hits = store(tried.join(sets, ["size", "mark", "window"]).select("k", "t", "start", (F.col("start") + F.col("size")).alias("end"), "set").distinct(), "hits")
 
     before = W.partitionBy("k", "t").orderBy("start", "end").rowsBetween(W.unboundedPreceding, -1)
