@@ -47,7 +47,7 @@ class Piece:
 
 
 class Packer:
-    """Bins of pieces, from a window of at most `window` waiting pieces. Pieces that fit no bin and can't be cut come alone, marked False."""
+    """Bins of pieces, from a window of `window` waiting pieces, or of as many more as it takes to reach a limit. Pieces that fit no bin and can't be cut come alone, marked False."""
 
     def __init__(self, tokens: int, segments: int, loss: int, cut: bool, window: int = 512):
         if min(tokens, segments, loss) < 1:
@@ -55,13 +55,16 @@ class Packer:
         self.capacity = np.array([tokens, segments, loss], np.float64)
         self.cut, self.window = cut, window
         self.waiting: list[Piece] = []
-        self.demands = np.zeros((2 * window + 2, 3))
+        self.demands = np.zeros((2 * window + min(tokens, segments) + 2, 3))
+        self.held = np.zeros(3)
 
     def _put(self, piece: Piece) -> None:
         self.demands[len(self.waiting)] = len(piece.ids), 1, piece.bearing()
+        self.held += self.demands[len(self.waiting)]
         self.waiting.append(piece)
 
     def _take(self, i: int) -> Piece:
+        self.held -= self.demands[i]
         piece, last = self.waiting[i], self.waiting.pop()
         if last is not piece:
             self.waiting[i] = last
@@ -83,7 +86,7 @@ class Packer:
             yield [piece], True
         elif len(piece.ids):
             self._put(piece)
-        while len(self.waiting) >= self.window:
+        while len(self.waiting) >= self.window and (self.held >= self.capacity).any():
             yield self.fill(), True
 
     def fill(self) -> list[Piece]:
@@ -179,4 +182,5 @@ def pack(
 
 
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pack(table(spark, sf_dir, "documents")).drop("loss_tokens")
+    # tokens alone limit a sequence: each has at least one
+    return pack(table(spark, sf_dir, "documents"), segments=TOKENS).drop("loss_tokens")

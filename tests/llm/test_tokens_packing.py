@@ -98,6 +98,18 @@ def test_limits_hold_together_without_cuts():
         assert fits == (tokens <= 100 and loss <= 30) and (len(b) <= 4 if fits else len(b) == 1)
 
 
+def test_tiny_pieces_fill_sequences():
+    rng = np.random.default_rng(5)
+    for most in (1, 3):  # single ids as those of empty texts, and a few
+        packer, bins = Packer(1024, 1024, 1024, cut=True, window=512), []
+        sizes = rng.integers(1, most + 1, 20_000)
+        for i, n in enumerate(sizes.tolist()):
+            bins += packer.add(Piece(i, 0, np.zeros(n, np.uint32), None, n))
+        bins += packer.drain()
+        filled = [sum(len(p.ids) for p in b) for b, _ in bins]
+        assert sum(filled) == sizes.sum() and len(bins) == -(-int(sizes.sum()) // 1024)
+
+
 def test_cuts_respect_the_loss_limit():
     packer, loss = Packer(50, 8, 10, cut=True, window=4), np.tile([True, False, False], 70)
     bins = [*packer.add(Piece(0, 0, np.arange(210, dtype=np.uint32), loss, 210)), *packer.drain()]
