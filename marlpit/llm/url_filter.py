@@ -15,8 +15,6 @@ from pyspark.sql import functions as F
 from .common import store, table
 
 PREFIX_HEX = 8
-#: Judged URLs that may be broadcast; more are joined by a shuffle.
-FEW = 20_000
 RULES = [("org", "/", "allow"), ("example.org", "/es/", "block"), ("example.org", "/en/1", "block"), ("com", "/fr/", "allow"), ("com", "/de/", "block")]
 DEFAULT = "allow"
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -57,7 +55,8 @@ def judge(pages: DataFrame, rules: DataFrame, default: str = DEFAULT, url: str =
 
     Null URLs and URLs without `://` have empty host and path, fit no rule, and get `default`. Equal rules with other
     verdicts: `block` wins; rules with a null host or path fit nothing. Repeated rows and URLs each keep their row. Input
-    columns named host, path, rule or verdict are replaced. An empty table, or empty rules, gives the same columns.
+    columns named host, path, rule or verdict are replaced; others keep their names and values, whatever they are. An empty table, or empty
+    rules, gives the same columns.
     """
     pages = pages.drop(*[c for c in ("host", "path", "rule", "verdict") if c != url and c in pages.columns])
     known, hosts, labels = _known(rules, most)
@@ -71,13 +70,13 @@ def judge(pages: DataFrame, rules: DataFrame, default: str = DEFAULT, url: str =
     prefixes = F.transform(F.filter("lengths", lambda n: n <= F.length("p")), lambda n: F.concat("s", F.substring(F.col("p"), F.lit(1), n)))
     expressions = met.select("u", F.explode(prefixes).alias("e")).withColumn("digest", F.sha2("e", 256)).withColumn("short", _short("digest"))
     hits = expressions.join(known, "short").where(F.col("digest") == F.col("full"))
-    best = hits.groupBy("u").agg(F.max(F.struct(F.length("rule").alias("n"), "rule", "verdict")).alias("best")).select(F.col("u").alias("best_u"), "best")
-    best = store(best, "best")  # a plain table, so that the rows of a hot URL can be split
-    if best.limit(FEW + 1).count() > FEW:  # Spark weighs its compressed size, which says little of so many alike
-        best = best.hint("merge")
-    h, p = host_path(F.col(url))
-    joined = pages.join(best, F.when(F.instr(url, "://") > 0, F.col(url)) == F.col("best_u"), "left")
-    return joined.select(*pages.columns, h.alias("host"), p.alias("path"), F.col("best.rule").alias("rule"), F.coalesce("best.verdict", F.lit(default)).alias("verdict"))
+    best = hits.groupBy("u").agg(F.max(F.struct(F.length("rule").alias("n"), "rule", "verdict")).alias("best")).select(F.col("u").alias("_u"), F.col("best.rule").alias("_rule"), F.col("best.verdict").alias("_verdict"))
+    # a plain table, so that the rows of a hot URL can be split. Its compressed size says little of so many alike: it is never broadcast
+    best = store(best, "best").hint("merge")
+    h, p = host_path(F.col("_row.url"))
+    rows = pages.select(F.struct(F.struct("*").alias("kept"), F.col(url).alias("url")).alias("_row"), F.when(F.instr(url, "://") > 0, F.col(url)).alias("_at"))
+    joined = rows.join(best, F.col("_at") == F.col("_u"), "left").select(F.col("_row.kept").alias("_kept"), h.alias("_h"), p.alias("_p"), "_rule", F.coalesce("_verdict", F.lit(default)).alias("_v"))
+    return joined.select("_kept.*", F.col("_h").alias("host"), F.col("_p").alias("path"), F.col("_rule").alias("rule"), F.col("_v").alias("verdict"))
 
 
 def op4_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:

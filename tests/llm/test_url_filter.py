@@ -36,3 +36,11 @@ def test_one_url_in_most_rows_and_null_rules(spark):
     rules = rules_frame(spark, RULES).union(spark.createDataFrame([(None, "/", "block"), ("org", None, "block")], "host string, path string, verdict string"))
     got = judge(pages, rules).groupBy("rule", "verdict").count().collect()
     assert sorted(map(repr, ((r.rule, r.verdict, r["count"]) for r in got))) == sorted(map(repr, [(None, "allow", 1000), ("example.org/es/", "block", 1000), ("com/de/", "block", 1000)]))
+
+
+def test_helper_names_are_free(spark):
+    names = ["best", "best_u", "u", "h", "p", "_u", "_rule", "_verdict", "_row", "_at", "_kept", "_h", "_p", "_v", "kept", "short", "full", "digest", "l", "s", "d", "e", "lengths"]
+    pages = spark.createDataFrame([(i, u, *[f"{n}{i}" for n in names]) for i, u in enumerate(URLS)], "page_id long, url string, " + ", ".join(f"`{n}` string" for n in names))
+    got = judge(pages, rules_frame(spark, RULES))
+    assert got.columns == ["page_id", "url", *names, "host", "path", "rule", "verdict"]
+    assert sorted(map(repr, map(tuple, got.collect()))) == sorted(repr((i, u, *[f"{n}{i}" for n in names], *brute(u, RULES))) for i, u in enumerate(URLS))
