@@ -13,7 +13,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
@@ -24,6 +24,7 @@ from .cover import farthest_first, valid
 K, SAMPLE, PIVOTS, RINGS, CELL, SMALL, RUN = 5, 2048, 64, 64, 4096, 4, 512
 SCALE = 256.0
 MOST_LENGTHS = 256
+MOST_SCORE = 2.0**62
 NO_KEY = 2**63 - 1
 
 
@@ -95,8 +96,8 @@ def search(rows: DataFrame, queries: str, key: str = "vec_id", vector: str = "em
 
     Components become floor(scale * x). Ties go to the smaller key, null keys last. A query's own row is no candidate; other rows with its key are.
     Vectors that are null, empty or hold null or non-finite components take no part; those of different lengths don't meet, and
-    there is an index for each length. Vectors so large that a score could leave 64 bits, and more than MOST_LENGTHS lengths, are
-    refused with an error. The pivots are fitted on at most SAMPLE rows; every row is indexed. An empty table gives none.
+    there is an index for each length. Vectors so large that the score of a query and a candidate could leave 64 bits, and more than
+    MOST_LENGTHS lengths, are refused with an error; a large vector that only meets small ones is not. The pivots are fitted on at most SAMPLE rows; every row is indexed. An empty table gives none.
     """
     spark, v = rows.sparkSession, F.col(vector)
     usable = valid_or_zero(v)
@@ -104,10 +105,10 @@ def search(rows: DataFrame, queries: str, key: str = "vec_id", vector: str = "em
     base = rows.where(usable).select(F.coalesce(F.col(key).cast("long"), F.lit(NO_KEY)).alias("key"), F.expr(f"coalesce({queries}, false)").alias("asks"), whole.alias("v"))
     base = store(base.withColumn("row", F.monotonically_increasing_id()).withColumn("dim", F.size("v")), "vectors")
     size = F.aggregate("v", F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double"))
-    lengths = base.groupBy("dim").agg(F.count("*").alias("n"), F.max(size).alias("most")).orderBy("dim").limit(MOST_LENGTHS + 1).collect()
+    lengths = base.groupBy("dim").agg(F.count("*").alias("n"), F.max(size).alias("most"), F.max(F.when(F.col("asks"), size)).alias("asked")).orderBy("dim").limit(MOST_LENGTHS + 1).collect()
     if len(lengths) > MOST_LENGTHS:
         raise ValueError(f"vectors have more than {MOST_LENGTHS} lengths")
-    if max((r.most for r in lengths), default=0) >= 2.0**62:
+    if any(r.most * (r.asked or 0.0) >= MOST_SCORE**2 and _largest(base.where(F.col("dim") == r.dim), size) >= MOST_SCORE for r in lengths):
         raise ValueError("components are so large that a score may not fit 64 bits")
     found = spark.createDataFrame([], "query_row long, query_id long, score long, key long")
     for r in lengths:
@@ -117,6 +118,12 @@ def search(rows: DataFrame, queries: str, key: str = "vec_id", vector: str = "em
     return ranked.select("query_id", "query_row", "rank", F.nullif("key", F.lit(NO_KEY)).alias("key"), "score")
 
 
+def _largest(base: DataFrame, size: Column) -> float:
+    """What the score of a query and another row is at most, by the product of their norms: the two largest queries and rows decide."""
+    norms = base.select("row", "asks", F.sqrt(size).alias("norm")).orderBy(F.desc("norm"))
+    return max((q.norm * x.norm for q in norms.where("asks").limit(2).collect() for x in norms.limit(2).collect() if q.row != x.row), default=0.0)
+
+
 def _search_length(base: DataFrame, dim: int, n: int, k: int) -> DataFrame:
     """(query_row, query_id, score, key): what the cells that each query visits offer, over rows (key, row, asks, v) of one length."""
     n_parts = parts(base.sparkSession)

@@ -64,6 +64,16 @@ def test_large_scores_are_exact_or_refused(spark):
             search(spark.createDataFrame([(0, [x] * 8), (1, [x] * 8)], "vec_id long, embedding array<double>"), "vec_id % 50 = 0")
 
 
+def test_large_vectors_that_meet_small_ones(spark):
+    rows = [(i, [0.5 + i, -1.0]) for i in range(120)]
+    for large in (1, 50):  # a candidate, and a query, whose product with itself leaves 64 bits
+        mixed = [(i, [3e9, 1.0] if i == large else v) for i, v in rows]
+        frame = spark.createDataFrame(mixed, "vec_id long, embedding array<double>")
+        assert sorted(repr((r.query_id, r["rank"], r.key, r.score)) for r in search(frame, "vec_id % 50 = 0").collect()) == brute(mixed)
+    with pytest.raises(ValueError, match="64 bits"):
+        search(spark.createDataFrame([(i, [3e9, 1.0] if i in (1, 50) else v) for i, v in rows], "vec_id long, embedding array<double>"), "vec_id % 50 = 0")
+
+
 def test_session_settings_stay(spark):
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
     before = spark.conf.get(key)
