@@ -1,4 +1,4 @@
-"""Connected components by alternating large-star and small-star rounds; a list of at most AT_ONCE edges is done by one task."""
+"""Connected components: each task contracts the edges it reads to a forest, and large-star and small-star rounds in turn join the forests."""
 
 from __future__ import annotations
 
@@ -11,8 +11,6 @@ from pyspark.sql import functions as F
 
 from .common import discard, store
 
-AT_ONCE = 1 << 18
-
 
 def _forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Pairs (node, root) that connect what the pairs (a, b) connect."""
@@ -34,12 +32,23 @@ def _forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return nodes[moved], nodes[root[moved]]
 
 
-def _at_once(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    held = [[batch.column(i).to_numpy(zero_copy_only=False) for i in range(2)] for batch in batches if batch.num_rows]
+#: Edges that a task contracts at a time.
+HELD = 1 << 22
+
+
+def _contract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Edges (node, root) that connect what a task's edges connect, in pieces of HELD edges and what was left of those before."""
+    held: list[tuple[np.ndarray, np.ndarray]] = []
+    for batch in batches:
+        held.append(tuple(batch.column(i).to_numpy(zero_copy_only=False) for i in range(2)))
+        if sum(len(a) for a, _ in held) > HELD:
+            forest = _forest(*(np.concatenate(c) for c in zip(*held, strict=True)))
+            if len(forest[0]) > HELD // 2:  # nearly a forest before: hand it on
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in forest], ["a", "b"])
+                forest = forest[0][:0], forest[1][:0]
+            held = [forest]
     if held:
-        node, root = _forest(*(np.concatenate(c) for c in zip(*held, strict=True)))
-        first = np.unique(root)
-        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate((node, first))), pa.array(np.concatenate((root, first)))], ["node", "component"])
+        yield pa.RecordBatch.from_arrays([pa.array(c) for c in _forest(*(np.concatenate(c) for c in zip(*held, strict=True)))], ["a", "b"])
 
 
 def _both_ways(edges: DataFrame) -> DataFrame:
@@ -63,17 +72,17 @@ def _small_star(edges: DataFrame, least: DataFrame) -> DataFrame:
     return edges.join(least, "a").select(F.when(F.col("b") == F.col("m"), F.col("a")).otherwise(F.col("b")).alias("a"), F.col("m").alias("b")).distinct()
 
 
-def components(edges: DataFrame, most_rounds: int = 60, at_once: int = AT_ONCE) -> DataFrame:
+def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     """(node, component): the smallest node that each node of an edge list (a, b) reaches.
 
     Edges have no direction; loops, nulls and repeated edges are ignored. Every round is a written table, and the
-    last is one star for each component. An empty list gives an empty table.
+    last is one star for each component. Whole numbers are contracted task by task first, so that a hot node's edges are few in
+    each. An empty list gives an empty table.
     """
     clean = edges.toDF("x", "y").where("x <> y").select(F.greatest("x", "y").alias("a"), F.least("x", "y").alias("b")).distinct()
+    if all(t == "bigint" for _, t in clean.dtypes):
+        clean = clean.mapInArrow(_contract, "a long, b long")
     now = store(clean, "edges")
-    whole_numbers = all(t == "bigint" for _, t in now.dtypes)
-    if whole_numbers and now.limit(at_once + 1).count() <= at_once:
-        return now.coalesce(1).mapInArrow(_at_once, "node long, component long")
     mark = lambda df: tuple(df.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
     before = mark(now)
     for _ in range(most_rounds):

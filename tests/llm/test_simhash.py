@@ -1,8 +1,10 @@
 import random
 
 import numpy as np
+import pyarrow as pa
 import xxhash
 
+from marlpit.llm import graph
 from marlpit.llm.graph import components
 from marlpit.llm.simhash import _forest, cluster, fingerprint, fingerprints, links, masks, meet, shingle_hashes
 
@@ -80,10 +82,21 @@ def test_clusters_of_documents(spark):
     assert cluster(fingerprints(spark.createDataFrame([], "doc_id long, text string"))).count() == 0
 
 
-def test_components(spark):
+def test_components(spark, monkeypatch):
     rng = random.Random(1)
     edges = [(rng.randrange(300), rng.randrange(300)) for _ in range(170)] + [(i, i + 1) for i in range(1000, 1100)] + [(2000, i) for i in range(2001, 2100)] + [(4, 4)]
     want = roots(2200, edges)
-    for most in (0, 1 << 18):  # by rounds, and by one task
-        got = {r.node: r.component for r in components(spark.createDataFrame([*edges, (None, 3)], "a long, b long"), at_once=most).collect()}
+    for kind, held, parts in (("long", 1 << 22, 1), ("long", 1 << 22, 7), ("long", 20, 3), ("int", 20, 3)):  # forests of one task, of several, in pieces; rounds alone
+        monkeypatch.setattr(graph, "HELD", held)
+        got = {r.node: r.component for r in components(spark.createDataFrame([*edges, (None, 3)], f"a {kind}, b {kind}").repartition(parts)).collect()}
         assert got == {n: want[n] for e in edges for n in e if e[0] != e[1]}
+    assert components(spark.createDataFrame([(1, 1)], "a long, b long")).count() == 0
+
+
+def test_contraction_keeps_connections(monkeypatch):
+    monkeypatch.setattr(graph, "HELD", 30)
+    rng = np.random.default_rng(2)
+    edges = rng.integers(0, 400, (500, 2))
+    batches = [pa.RecordBatch.from_arrays([pa.array(edges[i : i + 17, 0]), pa.array(edges[i : i + 17, 1])], ["a", "b"]) for i in range(0, 500, 17)]
+    out = [(x, y) for b in graph._contract(iter(batches)) for x, y in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True)]
+    assert all(x > y for x, y in out) and roots(400, out) == roots(400, edges.tolist())
