@@ -57,6 +57,53 @@ def supported(claims: DataFrame, evidence: DataFrame, claim_key: list[str], tole
     return claims.join(hits, claim_key, "left").withColumn("supported", F.coalesce("_ok", F.lit(False))).drop("_ok")
 
 
+#: Subjects that stand for whoever a document proposes, and for whom it compares with.
+PROPOSED, BASELINE = "__proposed__", "__baseline__"
+
+
+def _owned(answer: Column, evidence: Column, identity: Column) -> Column:
+    """Whether the subjects of a claim are those of an evidence, whose document has the names `identity`."""
+    has = lambda x, name: F.array_contains(x, name)
+    within = lambda x, y: F.size(F.array_except(x, y)) == 0
+    rest = F.array_except(answer, identity)
+    proposed = within(F.array_remove(rest, PROPOSED), evidence) & (has(evidence, PROPOSED) | F.arrays_overlap(evidence, identity))
+    named = F.when(F.size(rest) > 0, within(rest, evidence)).otherwise(F.arrays_overlap(evidence, identity) | has(evidence, PROPOSED))
+    nobody = ~has(evidence, BASELINE) & (has(evidence, PROPOSED) | F.when(F.size(identity) > 0, F.arrays_overlap(evidence, identity)).otherwise(F.size(evidence) == 0))
+    return F.when(has(answer, PROPOSED), proposed).when(F.size(answer) > 0, named).otherwise(nobody)
+
+
+def supported_by(claims: DataFrame, evidence: DataFrame, claim_key: list[str]) -> DataFrame:
+    """claims with `supported`: some evidence has the metric, the value (a fraction and its percentage are equal), all the claim's qualifiers, and its subjects.
+
+    Both have metric, value, percent, qualifiers and subjects; evidence also has identity, the names of its own document. Qualifiers only
+    count where both sides have some. Null arrays count as empty, null metrics and values support nothing; claims that share a key are one, and
+    claims with a null key stay unsupported.
+
+    One equi-join: values meet as they are or a hundredfold, qualifiers as an inverted list, of which a claim looks up the one that is rarest in the
+    evidence. What meets is tested for containment, and evidence that says the same is there once.
+    """
+    names = ["qualifiers", "subjects"]
+    sets = lambda c: F.array_sort(F.array_distinct(F.array_compact(F.coalesce(F.col(c), F.array().cast("array<string>")))))
+    number = F.col("value").cast("decimal(38,10)")
+    e = evidence.where("metric IS NOT NULL AND value IS NOT NULL").select("metric", number.alias("value"), F.coalesce("percent", F.lit(False)).alias("percent"), *[sets(n).alias(f"e_{n}") for n in names], sets("identity").alias("identity")).distinct()
+    c = claims.where("metric IS NOT NULL AND value IS NOT NULL").select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(claim_key)], "metric", number.alias("value"), F.coalesce("percent", F.lit(False)).alias("percent"), *[sets(n).alias(n) for n in names])
+    uses = e.select(F.explode("e_qualifiers").alias("q")).groupBy("q").agg(F.count("*").alias("n"))
+    looked = c.where("size(qualifiers) > 0").select("qualifiers", F.explode("qualifiers").alias("q")).distinct().join(uses, "q", "left")
+    rarest = looked.groupBy("qualifiers").agg(F.min(F.struct(F.coalesce("n", F.lit(0)), "q"))["q"].alias("rarest"))
+    any_, none = F.struct(F.lit(0).alias("kind"), F.lit("").alias("q")), F.struct(F.lit(1).alias("kind"), F.lit("").alias("q"))
+    of = lambda q: F.struct(F.lit(2).alias("kind"), q.alias("q"))
+    listed = e.withColumn("token", F.explode(F.concat(F.array(any_), F.when(F.size("e_qualifiers") == 0, F.array(none)).otherwise(F.transform("e_qualifiers", of)))))
+    same = lambda v, p: F.struct(v.cast("decimal(38,10)").alias("value"), p.alias("percent"))
+    v, p = F.col("value"), F.col("percent")
+    values = F.array_distinct(F.array(same(v, p), same(v, ~p), same(v * 100, ~p), same(v / 100, ~p)))
+    tokens = F.when(F.size("qualifiers") == 0, F.array(any_)).otherwise(F.array(none, of(F.col("rarest"))))
+    asked = c.join(rarest, "qualifiers", "left").withColumn("x", F.explode(values)).withColumn("token", F.explode(tokens)).select(*[f"_k{i}" for i in range(len(claim_key))], "metric", "x.*", "token", *names)
+    fits = (F.size("e_qualifiers") == 0) | (F.size(F.array_except("qualifiers", "e_qualifiers")) == 0)
+    hits = asked.join(listed, ["metric", "value", "percent", "token"]).where(fits & _owned(F.col("subjects"), F.col("e_subjects"), F.col("identity")))
+    hits = hits.select(*[F.col(f"_k{i}").alias(k) for i, k in enumerate(claim_key)]).distinct().withColumn("_ok", F.lit(True))
+    return claims.join(hits, claim_key, "left").withColumn("supported", F.coalesce("_ok", F.lit(False))).drop("_ok")
+
+
 def without_unsupported(lines: DataFrame, bad: DataFrame, key: str, line: str = "line", claim: str = "sentence") -> DataFrame:
     """Answer lines without those of which an unsupported claim is a prefix, or the other way round."""
     b = bad.select(F.col(key).alias("_k"), F.trim(claim).alias("_c")).distinct()

@@ -94,9 +94,70 @@ def follow_up(text: Column) -> Column:
     return resumes(text) | _has(low, fixed.FOLLOW_UP_MARKERS) | low.rlike(words(fixed.FOLLOW_UP_METRICS)) | ((F.length(low) <= fixed.FOLLOW_UP_LENGTH) & ~topic)
 
 
+def _compounds(low: Column) -> Column:
+    """Labels of the known names of several words that a lower-cased text with single spaces has, in the order of the list."""
+    return F.array_distinct(F.array_compact(F.array(*[F.when(low.rlike("(?U)" + p), label) for p, label in fixed.COMPOUND_NAMES])))
+
+
+def is_name(word: Column) -> Column:
+    """Whether a word names something: a known name, a PDF, an acronym, letters with digits, mixed case, or parts joined by underscores; no common word or metric."""
+    w = F.trim(word)
+    low, compact = F.lower(w), F.regexp_replace(w, "[_-]", "")
+    known = reduce(lambda a, b: a | b, [low.rlike("(?U)" + p) for p, _ in fixed.COMPOUND_NAMES]) | low.endswith(".pdf")
+    acronym = w.rlike(r"\A[A-Z][A-Z0-9]*(?:[-_][A-Z0-9]+)*\z") & (F.length(compact) >= 2)
+    mixed = (w.rlike("[A-Za-z]") & w.rlike(r"(?U)\d") & (F.length(compact) >= 3)) | w.rlike("[a-z][A-Z]") | (w.contains("_") & (F.length(compact) >= 4))
+    return (F.length(w) >= 3) & ~low.isin(*fixed.UNNAMED_WORDS, *fixed.UNNAMED_METRICS) & (known | acronym | mixed)
+
+
 def entities(text: Column, most: int = 8) -> Column:
-    """Capitalised and mixed-case names in order of first use."""
-    return F.slice(F.array_distinct(F.filter(F.regexp_extract_all(text, F.lit(r"[\p{Lu}][\p{L}\p{N}_-]+"), F.lit(0)), lambda w: F.length(w) >= 3)), 1, most)
+    """Names in order of first use, distinct without case, and after them the labels of known names of several words; at most `most`. Null has none."""
+    own = F.coalesce(text, F.lit(""))
+    words_ = F.regexp_extract_all(own, F.lit(rf"(?U)\b{fixed.NAME_WORD}\b"), F.lit(0))
+    found = F.concat(F.filter(words_, lambda w: ~F.lower(w).isin(*fixed.QUESTION_WORDS) & is_name(w)), F.filter(_compounds(normal(own)), is_name))
+    first = F.slice(F.array_distinct(F.transform(found, F.lower)), 1, most)
+    return F.transform(first, lambda low: F.get(F.filter(found, lambda w: F.lower(w) == low), F.lit(0)))
+
+
+def targets(text: Column) -> Column:
+    """Whether a turn names the document it wants: a name after a noun for documents or a numbered table, or a PDF."""
+    own = F.coalesce(text, F.lit(""))
+    after = lambda before: F.exists(F.regexp_extract_all(own, F.lit(rf"(?iuU)(?<!\w){before}({fixed.NAME_WORD})(?!\w)"), F.lit(1)), is_name)
+    return after(fixed.TARGET_NOUNS) | after(fixed.TARGET_TABLES) | own.rlike(rf"(?iU)(?<!\w){fixed.DOCUMENT_FILE}(?!\w)")
+
+
+def mentioned(name: Column, text: Column) -> Column:
+    """Whether a text has a name, without case, or its letters and digits alone."""
+    low, key = F.lower(F.coalesce(text, F.lit(""))), F.trim(F.lower(name))
+    compact = lambda c: F.regexp_replace(c, "[^a-z0-9]+", "")
+    return (key != "") & (low.contains(key) | ((compact(key) != "") & compact(low).contains(compact(key))))
+
+
+def topic_switch(text: Column, history: Column) -> Column:
+    """Whether a turn leaves the topic of the turns before it (`history`: their text, null without any).
+
+    A turn that resumes a document doesn't. One that names the document it wants does, and one with a name that the history lacks; known
+    names of several words are in the history under any of their spellings. Without a history, a name and a word for turning do.
+    """
+    names = entities(text)
+    said = F.array_join(F.concat(F.array(F.coalesce(history, F.lit(""))), _compounds(normal(history))), " ")
+    fresh = F.exists(names, lambda n: ~mentioned(n, said))
+    turns = normal(text).rlike(r"(?U)\b(?:" + "|".join(fixed.SWITCH_WORDS) + r")\b")
+    return ~resumes(text) & (targets(text) | F.when(F.coalesce(history, F.lit("")) != "", fresh).otherwise(turns & (F.size(names) > 0)))
+
+
+def recent(turns: DataFrame, conversation: str = "conv_id", order: str = "turn", role: str = "role", text: str = "text", messages: int = 6, chars: int = 1600) -> DataFrame:
+    """turns with `history`: the lines `role: text` of the last messages before, oldest first, up to the newest that would pass `chars`; null without any."""
+    flat = squeeze(F.coalesce(text, F.lit("")))
+    lines = turns.withColumn("_line", F.when(flat != "", F.concat(F.coalesce(role, F.lit("message")), F.lit(": "), flat)))
+    w = W.partitionBy(conversation).orderBy(order).rowsBetween(-messages, -1)
+    state = F.struct(F.lit(0).alias("used"), F.array().cast("array<string>").alias("kept"))
+
+    def add(s: Column, line: Column) -> Column:
+        used = s["used"] + F.length(line)
+        return F.struct(used.alias("used"), F.when(used <= chars, F.array_prepend(s["kept"], line)).otherwise(s["kept"]).alias("kept"))
+
+    kept = F.aggregate(F.reverse("_all"), state, add, lambda s: s["kept"])
+    return lines.withColumn("_all", F.collect_list("_line").over(w)).withColumn("history", F.nullif(F.array_join(kept, "\n"), F.lit(""))).drop("_line", "_all")
 
 
 def budgets(rows: DataFrame, intent: str = "intent", depth: str = "depth") -> DataFrame:

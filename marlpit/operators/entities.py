@@ -6,7 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from ..functions.text import fold_accents
+from ..functions import fixed
+from ..functions.text import ACCENTED, PLAIN, fold_accents
 
 FILENAME, TITLE, KEYWORD = 3, 2, 1
 
@@ -33,19 +34,142 @@ def aliases(catalog: DataFrame, key: str = "document_id", most_words: int = 8) -
     return rows.withColumn("_n", best).where("_n = 1").drop("_n")
 
 
+_FOLDED = [(a, p) for a, p in zip(ACCENTED, PLAIN, strict=True) if a not in "đøł"]
+
+
+def search_words(text: Column) -> Column:
+    """Words of a-z and 0-9 without the marks of Latin letters, ß as ss; letters that aren't a plain one with a mark, such as đ, part words."""
+    low = F.translate(F.replace(F.lower(F.coalesce(text, F.lit(""))), F.lit("ß"), F.lit("ss")), "".join(a for a, _ in _FOLDED), "".join(p for _, p in _FOLDED))
+    return F.regexp_extract_all(low, F.lit("[a-z0-9]+"), F.lit(0))
+
+
+def _among(word: Column, words: list[str]) -> Column:
+    return word.isin(*words)
+
+
+def _distinctive(words: Column) -> Column:
+    """Whether words of a file name are a phrase to remember it by: three with one that tells something, or four, neither beginning nor ending in a small word."""
+    long_enough = (F.size(words) >= 3) & (F.length(F.array_join(words, "")) >= 12)
+    ends = ~_among(F.get(words, F.lit(0)), fixed.GRAMMATICAL) & ~_among(F.element_at(words, -1), fixed.GRAMMATICAL)
+    tells = F.exists(words, lambda w: ~_among(w, fixed.GRAMMATICAL + fixed.GENERIC_NAMES)) | (F.size(words) >= 4)
+    return F.when(F.size(words) > 0, long_enough & ends & tells).otherwise(False)
+
+
+def _safe(words: Column, short: Column) -> Column:
+    """Whether words may name a document: not too short, not generic; with `short`, three letters will do, and any six of several words."""
+    compact = F.array_join(words, "")
+    enough = (F.length(compact) >= F.when(short, 3).otherwise(4)) & ~_among(compact, fixed.GENERIC_NAMES)
+    several = (short & (F.length(compact) >= 6)) | F.exists(words, lambda w: (F.length(w) >= 3) & ~_among(w, fixed.GENERIC_NAMES))
+    return (F.size(words) > 0) & enough & ((F.size(words) == 1) | several)
+
+
+def _capitals(word: Column) -> Column:
+    return F.length(F.regexp_replace(word, "[^A-Z]+", ""))
+
+
+def catalog_aliases(catalog: DataFrame, key: str = "document_id") -> DataFrame:
+    """(key, alias, width, strength, source): the names by which a question may mean a document.
+
+    catalog: key, filename, title, title_guess, keywords (an array). From the file name come its whole stem, tokens that look like identifiers,
+    identifiers with the modifiers that follow them (whole, and without those that people leave out), and phrases of three words and more; titles;
+    and keywords that look like names and are backed by file name or titles. Each is also there written as one word. Of equal aliases of a
+    document the strongest counts, then the first made. Nulls count as empty; documents without names have no row.
+    """
+    own = lambda c: F.coalesce(F.col(c), F.lit(""))
+    stem = F.trim(F.regexp_replace(F.regexp_extract(own("filename"), r"([^/]*)$", 1), r"(?<=.)\.[^.]*$", ""))
+    rows = catalog.select(F.col(key).alias("_k"), stem.alias("_stem"), F.trim(own("title")).alias("_t1"), F.trim(own("title_guess")).alias("_t2"), F.coalesce("keywords", F.array().cast("array<string>")).alias("_kw"))
+    rows = rows.withColumns({"_tokens": F.regexp_extract_all("_stem", F.lit("[A-Za-z0-9]+"), F.lit(0)), "_words": search_words(F.col("_stem")), "_context": F.concat_ws(" ", "_stem", "_t1", "_t2")})
+    made = lambda raw, short, source: F.struct(raw.alias("raw"), F.lit(short).alias("short"), F.lit(source).alias("source"))
+    weak = fixed.WEAK_KEYWORDS + fixed.GENERIC_NAMES
+
+    def identifier(t: Column) -> Column:
+        looks = t.rlike("[0-9]") | (_capitals(t) >= 2)
+        return (F.length(t) >= 3) & (F.length(F.regexp_replace(t, "[^A-Za-z]+", "")) >= 2) & looks & ((t != F.upper(t)) | ~t.rlike("[A-Z]") | (F.length(t) <= 6)) & ~_among(F.lower(t), weak)
+
+    def compounds(t: Column, i: Column) -> Column:
+        """An identifier with 1 to 4 of the modifiers that come after it, and with those that matter."""
+        after = F.transform(F.slice("_tokens", i + 2, 4), F.lower)
+        stop = F.array_position(F.transform(after, lambda w: ~_among(w, fixed.COMPOUND_TAILS)), True)
+        tail = F.when(stop > 0, F.slice(after, 1, F.greatest(stop.cast("int") - 1, F.lit(0)))).otherwise(after)
+        whole = F.transform(F.when(F.size(tail) > 0, F.sequence(F.lit(1), F.size(tail))).otherwise(F.array().cast("array<int>")), lambda n: F.concat_ws(" ", F.lower(t), F.slice(tail, 1, n)))
+        matter = F.filter(tail, lambda w: ~_among(w, fixed.REMOVABLE_TAILS))
+        short = F.when(F.size(matter) > 0, F.array(F.concat_ws(" ", F.lower(t), matter))).otherwise(F.array().cast("array<string>"))
+        fits = (F.length(t) >= 3) & (_capitals(t) >= 2) & ~_among(F.lower(t), weak)
+        return F.when(fits, F.concat(whole, short)).otherwise(F.array().cast("array<string>"))
+
+    n = F.size("_words")
+    starts = F.when(n >= 3, F.sequence(F.lit(1), n - 2)).otherwise(F.array().cast("array<int>"))
+    phrase = lambda a, b: F.struct(F.slice("_words", a, b - a + 1).alias("w"), (b == n).alias("last"))
+    phrases = F.filter(F.flatten(F.transform(starts, lambda a: F.transform(F.sequence(a + 2, n), lambda b: phrase(a, b)))), lambda p: _distinctive(p["w"]))
+    source = lambda p: F.when(p["last"], "filename_phrase_tail").otherwise("filename_phrase")
+
+    compact_context, context_words = F.regexp_replace(F.lower("_context"), "[^a-z0-9]+", ""), search_words(F.col("_context"))
+    initials = F.array_join(F.transform(F.filter(context_words, lambda w: ~_among(w, fixed.GRAMMATICAL)), lambda w: F.substring(w, 1, 1)), "")
+
+    def names(keyword: Column) -> Column:
+        w = search_words(keyword)
+        one, compact = F.get(w, F.lit(0)), F.array_join(w, "")
+        heads = F.concat(one, F.array_join(F.transform(F.slice(w, 2, F.greatest(F.size(w), F.lit(1))), lambda x: F.substring(x, 1, 1)), ""))
+        several = F.contains(compact_context, compact) | ((F.length(heads) >= 3) & F.array_contains(context_words, heads))
+        single = ~_among(one, weak) & (F.length(one) <= 12) & F.when(one.rlike("[0-9]"), F.contains(compact_context, one)).otherwise(F.length(one).between(3, 10) & F.contains(initials, one))
+        return (F.length(compact) >= 3) & F.when(F.size(w) >= 2, several).otherwise(single)
+
+    found = F.concat(
+        F.when(F.col("_stem") != "", F.array(made(F.col("_stem"), True, "filename"))).otherwise(F.array().cast("array<struct<raw:string,short:boolean,source:string>>")),
+        F.transform(F.filter("_tokens", identifier), lambda t: made(t, True, "filename_token")),
+        F.transform(F.flatten(F.transform("_tokens", compounds)), lambda c: made(c, True, "filename_compound")),
+        F.transform(phrases, lambda p: F.struct(F.array_join(p["w"], " ").alias("raw"), F.lit(False).alias("short"), source(p).alias("source"))),
+        F.transform(F.filter(F.array("_t1", "_t2"), lambda t: t != ""), lambda t: made(t, False, "title")),
+        F.transform(F.filter(F.transform("_kw", F.trim), lambda k: F.coalesce(k != "", F.lit(False)) & names(k)), lambda k: made(k, False, "keyword")),
+    )
+    each = rows.select("_k", F.posexplode(found).alias("_i", "x")).select("_k", "_i", "x.*").withColumn("words", search_words(F.col("raw")))
+    free = F.col("source").startswith("filename_phrase") & _distinctive(F.col("words"))
+    strength = F.coalesce(*[F.when(F.col("source") == s, v) for s, v in fixed.ALIAS_STRENGTH.items()])
+    safe = each.withColumns({"_free": free, "strength": strength}).where(F.col("_free") | _safe(F.col("words"), F.col("short")))
+    joined = F.array(F.array_join("words", ""))
+    both = safe.select("_k", "_i", "strength", "source", F.array_join("words", " ").alias("alias"), F.size("words").alias("width"))
+    both = both.union(safe.where((F.size("words") > 1) & (F.col("_free") | _safe(joined, F.col("short")))).select("_k", "_i", "strength", "source", F.array_join("words", ""), F.lit(1)))
+    best = both.groupBy("_k", "alias", "width").agg(F.max(F.struct("strength", (-F.col("_i")).alias("i"), "source")).alias("b"))
+    return best.select(F.col("_k").alias(key), "alias", "width", "b.strength", "b.source")
+
+
 def unique_aliases(found: DataFrame, key: str = "document_id") -> DataFrame:
     """Aliases that name one document only."""
     owned = found.groupBy("alias").agg(F.countDistinct(key).alias("owners"))
     return found.join(owned.where("owners = 1").select("alias"), "alias", "left_semi")
 
 
+# How long an alias's last word must be for a longer word of a query to count as its inflection, alone and after others; whose aliases this holds for.
+LEAST_PREFIX, LEAST_LAST_PREFIX = 12, 4
+PREFIX_SOURCES = ("filename", "filename_tail", "filename_phrase_tail")
+
+
 def mentions(queries: DataFrame, found: DataFrame, query: str = "query_id", text: str = "text", key: str = "document_id", most_words: int = 8) -> DataFrame:
-    """(query, alias, start, end, strength, owners): aliases that are word sequences of the query, by an equi-join on its word n-grams; the first place counts."""
+    """(query, alias, start, end, strength, owners): aliases that are word sequences of the query; the first place counts.
+
+    An alias of a file name also fits where the query's last word goes on after the alias's last one (PREFIX_SOURCES, LEAST_PREFIX). Both are
+    equi-joins on the query's word n-grams: on the whole n-gram, and on the words before the last with the first letters of the last.
+    """
     words = name_words(F.col(text))
     spans = queries.select(query, words.alias("w")).select(query, "w", F.explode(F.sequence(F.lit(1), F.greatest(F.size("w"), F.lit(1)))).alias("start"))
     spans = spans.select(query, "w", "start", F.explode(F.sequence(F.lit(1), F.lit(most_words))).alias("width")).where(F.col("start") + F.col("width") - 1 <= F.size("w"))
     grams = spans.select(query, F.expr("array_join(slice(w, start, width), ' ')").alias("alias"), "start", "width")
-    grams = grams.groupBy(query, "alias").agg(F.min("start").alias("start"), F.first("width").alias("n"))
+    named = found.where(F.col("source").isin(*PREFIX_SOURCES)).select("alias").distinct() if "source" in found.columns else found.select("alias").where("false")
+
+    def halves(rows: DataFrame, alias: str, least: int) -> DataFrame:
+        """rows with the words before the last, the last word, and its first letters as far as all must agree."""
+        last = F.substring_index(alias, " ", -1)
+        return rows.withColumns({"_head": F.substring(F.col(alias), F.lit(1), F.length(alias) - F.length(last)), "_last": last, "_first": F.substring(last, 1, least)}).where(F.length("_last") >= least)
+
+    longer = None
+    for alone, least in ((True, LEAST_PREFIX), (False, LEAST_LAST_PREFIX)):
+        stored = halves(named.where(F.col("alias").contains(" ") != F.lit(alone)), "alias", least).select("_head", "_first", F.col("alias").alias("_alias"), F.col("_last").alias("_stem"))
+        asked = halves(grams.where((F.col("width") == 1) == F.lit(alone)), "alias", least)
+        fits = asked.join(stored, ["_head", "_first"]).where(F.col("_last").startswith(F.col("_stem")) & (F.length("_last") > F.length("_stem")))
+        fits = fits.select(query, F.col("_alias").alias("alias"), "start", "width")
+        longer = fits if longer is None else longer.union(fits)
+    exact = grams.join(found.select("alias").distinct(), "alias", "left_semi").select(query, "alias", "start", "width")
+    grams = exact.union(longer).groupBy(query, "alias").agg(F.min("start").alias("start"), F.first("width").alias("n"))
     owned = found.groupBy("alias").agg(F.array_sort(F.collect_set(key)).alias("owners"), F.max("strength").alias("strength"))
     return grams.join(owned, "alias").select(query, "alias", (F.col("start") - 1).alias("start"), (F.col("start") - 1 + F.col("n")).alias("end"), "strength", "owners")
 

@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import logging
+from collections.abc import Callable, Iterator
 from functools import reduce
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
@@ -64,6 +67,65 @@ def boost(query: Column, haystack: Column, content: Column, kind: Column, channe
     )
 
 
+def rerank_each(candidates: DataFrame, k: int, first: int, query: str = "query_id", base: str = "score", place: str = "place", cosine: str = "cosine", key: str = "id", weight: float = 0.35) -> DataFrame:
+    """rerank() for the ranked list of each query, ties in the order of `place`: (query, key, rerank_score, rank)."""
+    n = F.count("*").over(W.partitionBy(query))
+    changes, head = n > k, F.col(place) <= first
+    scored = candidates.withColumns({"rerank_score": F.round(F.when(changes & head, F.col(base) + weight * F.coalesce(cosine, F.lit(0.0))).otherwise(F.col(base)), 6), "_changes": changes, "_head": head})
+    within = F.row_number().over(W.partitionBy(query, "_head").orderBy(F.desc("rerank_score"), place))
+    kept = scored.withColumn("_in", within).where(~F.col("_changes") | ~F.col("_head") | (F.col("_in") <= k))
+    order = W.partitionBy(query).orderBy(F.when(F.col("_changes"), F.lit(0)).otherwise(F.col(place)), F.desc("rerank_score"), F.desc("_head"), place)
+    return kept.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select(query, key, "rerank_score", "rank")
+
+
+#: What cross_rerank() has loaded in this Python worker, by name.
+_MODELS: dict[str, Callable] = {}
+
+
+def _cut(query: str, text: str, most: int) -> tuple[str, str]:
+    """Both texts within `most` words together, words taken from the end of the longer one."""
+    q, t = query.split(), text.split()
+    kept = min(len(q), max(most // 2, most - len(t)))
+    return " ".join(q[:kept]), " ".join(t[: most - kept])
+
+
+def cross_rerank(candidates: DataFrame, model: str, load: Callable[[], Callable], k: int, first: int = 20, most_words: int = 512, batch: int = 64, query: str = "query_id", asked: str = "text", content: str = "content", base: str = "score", place: str = "place", key: str = "id") -> DataFrame:
+    """(query, key, rerank_score, backend, rank): each query's k best by a model that reads question and text together.
+
+    `load` gives a function from a list of pairs to their scores; each Python worker calls it once for each name `model`. The first candidates by `place` are
+    scored, in batches, and the k best of them ordered with the others, which keep their own score. If the model can't be loaded, or fails on a
+    pair of a query, that query keeps the order that it had (backend `base`). Null texts count as empty.
+    """
+    kinds = {c: candidates.schema[c].dataType.simpleString() for c in (query, key)}
+    head = candidates.where(F.col(place) <= first).select(query, key, F.coalesce(asked, F.lit("")).alias("_q"), F.coalesce(content, F.lit("")).alias("_t"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in batches:
+            out: list[float | None] = []
+            pairs = [_cut(q, t, most_words) for q, t in zip(rows.column(2).to_pylist(), rows.column(3).to_pylist(), strict=True)]
+            for i in range(0, len(pairs), batch):
+                part = pairs[i : i + batch]
+                try:
+                    if model not in _MODELS:
+                        _MODELS[model] = load()
+                    out += [float(x) for x in _MODELS[model](part)]
+                except Exception as e:  # noqa: BLE001 - a model of the user's: its failure gives the order without it
+                    logging.getLogger(__name__).warning("%s failed: %s", model, e)
+                    out += [None] * (i + len(part) - len(out))
+            yield pa.RecordBatch.from_arrays([rows.column(0), rows.column(1), pa.array(out, pa.float64())], [query, key, "_s"])
+
+    parts = candidates.sparkSession.sparkContext.defaultParallelism
+    scored = head.repartition(parts, query, key).mapInArrow(run, f"{query} {kinds[query]}, {key} {kinds[key]}, _s double")
+    told = candidates.select(query, key, base, place).join(scored.withColumn("_head", F.lit(True)), [query, key], "left")
+    sound = F.min(F.when(F.col("_head"), F.col("_s").isNotNull().cast("int")).otherwise(1)).over(W.partitionBy(query)) == 1
+    told = told.withColumns({"_sound": sound, "_head": F.coalesce("_head", F.lit(False))}).withColumn("rerank_score", F.round(F.when(F.col("_sound") & F.col("_head"), F.col("_s")).otherwise(F.col(base)), 6))
+    within = F.row_number().over(W.partitionBy(query, "_head").orderBy(F.desc("rerank_score"), place))
+    kept = told.withColumn("_in", within).where(~F.col("_sound") | ~F.col("_head") | (F.col("_in") <= k))
+    order = W.partitionBy(query).orderBy(F.when(F.col("_sound"), F.lit(0)).otherwise(F.col(place)), F.desc("rerank_score"), F.desc("_head"), place)
+    backend = F.when(~F.col("_sound"), "base").when(F.col("_head"), "cross_encoder").otherwise("first_stage_tail")
+    return kept.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select(query, key, "rerank_score", backend.alias("backend"), "rank")
+
+
 def rerank(candidates: DataFrame, k: int, first: int, base: str = "score", cosine: str = "cosine", key: str = "id", weight: float = 0.35) -> DataFrame:
     """Adds weight * cosine to the first candidates and orders them anew; of the rest, tail rows come in by their own score.
 

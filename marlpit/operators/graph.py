@@ -104,11 +104,21 @@ def resolve_documents(chunks: DataFrame, documents: DataFrame) -> DataFrame:
     return first.where("x.n = 1").select("chunk_id", "x.document_id", by.alias("by"))
 
 
+#: Height of a strip, in the boxes' units.
+STRIP = 128
+
+
 def panels(boxes: DataFrame, page: list[str], gap: float = 24, share: float = 0.5) -> DataFrame:
-    """Pairs (a, b) of boxes of a page that overlap by `share` on one axis and are at most `gap` apart on the other."""
+    """Pairs (a, b) of boxes of a page that overlap by `share` on one axis and are at most `gap` apart on the other.
+
+    Such boxes are at most `gap` apart from top to bottom, so only those in a common strip of the page meet: boxes, the gap added, are cut into strips of
+    STRIP, and a pair is kept in the first it shares. A page of many small boxes so makes few pairs.
+    """
+    strip = lambda y: F.floor(y / F.lit(float(STRIP)))
     cols = ["box_id", "x0", "y0", "x1", "y1"]
-    left, right = (boxes.select(*page, *[F.col(c).alias(f"{p}_{c}") for c in cols]) for p in "ab")
-    both = left.join(right, page).where("a_box_id < b_box_id")  # a page has few boxes
+    cut = boxes.withColumn("_s", F.explode(F.sequence(strip(F.col("y0")), strip(F.greatest("y0", "y1") + F.lit(float(gap))))))
+    left, right = (cut.select(*page, "_s", *[F.col(c).alias(f"{p}_{c}") for c in cols]) for p in "ab")
+    both = left.join(right, [*page, "_s"]).where((F.col("a_box_id") < F.col("b_box_id")) & (F.col("_s") == strip(F.greatest("a_y0", "b_y0"))))
     size = lambda p, q: F.least(f"a_{q}", f"b_{q}") - F.greatest(f"a_{p}", f"b_{p}")
     wide = lambda p, q: F.least(F.col(f"a_{q}") - F.col(f"a_{p}"), F.col(f"b_{q}") - F.col(f"b_{p}"))
     beside = (size("y0", "y1") >= share * wide("y0", "y1")) & (-size("x0", "x1") <= gap)

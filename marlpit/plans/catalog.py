@@ -1,3 +1,3 @@
 """All query modules; importing this registers them."""
 
-from . import conversation, documents, figures, further, jobs, relations, retrieval  # noqa: F401
+from . import conversation, documents, figures, further, jobs, matching, relations, retrieval  # noqa: F401

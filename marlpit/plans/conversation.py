@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import text
 from ..operators import context, memory, mutations
 from ..sources.tables import table
+from ..streaming import folding
 from .registry import query
 
 
@@ -358,3 +359,23 @@ def a11_fingerprint(spark, sf_dir):
 @query("s24_additive_migration", "SELECT c_custkey, CAST(NULL AS VARCHAR) AS note, c_name FROM customer")
 def s24_additive_migration(spark, sf_dir):
     return mutations.migrate(table(spark, sf_dir, "customer").select("c_custkey", "c_name"), {"c_name": "string", "note": "string"})
+
+
+@query("t4_debounced_folds", """
+WITH e AS (SELECT user_id, ts, event_type <> 'view' AS d, CASE WHEN ts - lag(ts) OVER w < INTERVAL 2 HOUR THEN 0 ELSE 1 END AS opens FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)),
+s AS (SELECT user_id, ts, d, sum(opens) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS k FROM e), f AS (SELECT user_id, k, max(ts) + INTERVAL 2 HOUR AS fold_at, count(*) FILTER (d) AS coalesced FROM s GROUP BY ALL HAVING count(*) FILTER (d) > 0)
+SELECT user_id, fold_at, sum(coalesced) OVER (PARTITION BY user_id ORDER BY k)::BIGINT AS through, coalesced FROM f""")
+def t4_debounced_folds(spark, sf_dir):
+    """Events as turns, of which views only defer."""
+    e = table(spark, sf_dir, "events").withColumn("dirty", F.col("event_type") != "view")
+    return folding.debounced(e, 7200, "user_id", "ts").withColumn("fold_at", F.col("fold_at").cast("timestamp_ntz"))
+
+
+@query("t5_retry_times", """
+WITH e AS (SELECT event_id, user_id, ts, event_type = 'error' AS failed, sum(CASE WHEN event_type = 'error' THEN 0 ELSE 1 END) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS k FROM events WHERE event_type IN ('error', 'purchase')),
+a AS (SELECT *, row_number() OVER (PARTITION BY user_id, k ORDER BY ts, event_id) AS attempt FROM e WHERE failed)
+SELECT user_id, ts, attempt, ts + least(60, 2 * pow(2, attempt - 1))::INTEGER * INTERVAL 1 SECOND AS next_attempt_at FROM a""")
+def t5_retry_times(spark, sf_dir):
+    """Errors as failed folds, purchases as successful ones."""
+    e = table(spark, sf_dir, "events").where("event_type IN ('error', 'purchase')").withColumn("failed", F.col("event_type") == "error")
+    return folding.retries(e, "user_id", "ts", order="event_id").withColumns({"next_attempt_at": F.col("next_attempt_at").cast("timestamp_ntz")})

@@ -5,12 +5,12 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from ..functions import more, text
+from ..functions import fixed, more, text
 from ..operators import entities, evals, fusion, governance, hybrid, lexical, memory, vector
 from ..sources.tables import table
 from .registry import query
 from .relations import parents
-from .retrieval import tokens_sql
+from .retrieval import BENCH, HAS, bm25_sql, tokens_sql
 
 VEC = "list_transform(embedding, lambda x: CAST(x AS DOUBLE))"
 FIRST = f"(SELECT {VEC} FROM embeddings WHERE vec_id = 0)"
@@ -313,3 +313,44 @@ def o3_collection_scopes(spark, sf_dir):
 def w2_rrf_terms(spark, sf_dir):
     ranked = fusion.with_rank(table(spark, sf_dir, "documents").select("doc_id", "lang", "n_chars"), "n_chars", "doc_id", ["lang"])
     return ranked.select("doc_id", F.round(fusion.rrf_term(F.col("rank")), 9).alias("term"))
+
+
+_ASKED_TEXT = "text || (['', ' what is it', ' multimodal', ' the table of results', ' audio-visual'])[1 + item_id % 5]"
+_BM25 = bm25_sql("SELECT doc_id, text FROM documents", {"text": 1.0}, k=20).replace(f"({BENCH})", f"(SELECT item_id AS query_id, {tokens_sql('text', 10)} AS terms FROM (SELECT item_id, {_ASKED_TEXT} AS text FROM benchmark))")
+
+
+def _topics_sql(asked, tags, shown):
+    has = lambda x, words: "(" + " OR ".join(f"contains({x}, '{w}')" for w in words) + ")"
+    return " AND ".join(f"(NOT {has(asked, fixed.TOPIC_ASKED[t])} OR list_contains({tags}, '{t}') OR {has(shown, fixed.TOPIC_SHOWN[t])})" for t in fixed.TOPIC_ASKED)
+
+
+@query("r10_hybrid_reranked", f"""
+WITH ch AS (SELECT doc_id AS id, doc_id % 50 AS document_id, (['text', 'text', 'table', 'figure'])[1 + doc_id % 4] AS kind, text AS content, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS e FROM documents LEFT JOIN embeddings ON vec_id = doc_id),
+cd AS (SELECT vec_id % 50 AS document_id, arg_min(list_transform(embedding, lambda x: CAST(x AS DOUBLE)), vec_id) AS e, CASE WHEN vec_id % 50 % 3 = 0 THEN ['multimodal_fusion'] ELSE [] END AS tags, CASE WHEN vec_id % 50 % 7 = 0 THEN 'audio visual fusion' ELSE '' END AS shown FROM embeddings GROUP BY vec_id % 50),
+q AS (SELECT item_id AS query_id, {_ASKED_TEXT} AS text, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS q FROM benchmark JOIN embeddings ON vec_id = item_id * 2),
+nc AS (SELECT query_id, document_id, {_topics_sql("replace(lower(text), '-', ' ')", "tags", "shown")} AS fits, row_number() OVER (PARTITION BY query_id ORDER BY round(pow(list_distance(e, q), 2), 6), document_id) AS r FROM q, cd QUALIFY r <= 20),
+kc AS (SELECT * FROM (SELECT *, bool_or(fits) OVER (PARTITION BY query_id) AS any_fits FROM nc) WHERE fits OR NOT any_fits QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY r) <= 10),
+nv AS (SELECT query_id, id, kind, round(pow(list_distance(e, q), 2), 6) AS d FROM kc JOIN ch USING (document_id) JOIN q USING (query_id) WHERE e IS NOT NULL QUALIFY row_number() OVER (PARTITION BY query_id, kind ORDER BY d, id) <= CASE kind WHEN 'text' THEN 20 ELSE 10 END),
+vr AS (SELECT query_id, id, row_number() OVER (PARTITION BY query_id ORDER BY d, CASE kind WHEN 'text' THEN 0 WHEN 'table' THEN 1 ELSE 2 END, id) AS vector_rank FROM nv),
+lx AS ({_BM25}), bo AS (SELECT query_id, id, max(v) AS vector_rank, max(l) AS lexical_rank FROM (SELECT query_id, id, vector_rank AS v, NULL AS l FROM vr UNION ALL SELECT query_id, doc_id, NULL, rank FROM lx SEMI JOIN q USING (query_id)) GROUP BY query_id, id),
+tl AS (SELECT bo.*, kind, content, e, text, q, {tokens_sql('text', 24)} AS a, {tokens_sql('content', 24)} AS b, contains(lower(text), 'what is') OR contains(lower(text), 'explain') AS explains FROM bo JOIN ch USING (id) JOIN q USING (query_id)),
+sc AS (SELECT query_id, id, vector_rank, lexical_rank, e, q, round(coalesce(1.0::DOUBLE / (60 + vector_rank), 0) + coalesce(1.0::DOUBLE / (60 + lexical_rank), 0) + CASE WHEN len(a) > 0 THEN len(list_intersect(a, b)) / len(a) ELSE 0 END * 0.012::DOUBLE
+  + CASE WHEN explains AND {HAS('lower(content)', fixed.EXPLANATORY_CONTENT)} THEN 0.028 ELSE 0 END - CASE WHEN explains AND {HAS('lower(content)', fixed.CLOSING_CONTENT)} THEN 0.012 ELSE 0 END
+  + CASE WHEN kind = 'figure' AND {HAS('lower(text)', fixed.FIGURE_WORDS)} THEN 0.018 ELSE 0 END + CASE WHEN kind = 'table' AND {HAS('lower(text)', fixed.TABLE_WORDS)} THEN 0.014 ELSE 0 END
+  + CASE WHEN vector_rank IS NOT NULL AND lexical_rank IS NOT NULL THEN 0.004 ELSE 0 END + CASE WHEN lexical_rank = 1 THEN 0.002 ELSE 0 END, 9) AS score FROM tl),
+pl AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vector_rank NULLS LAST, lexical_rank, id) AS place FROM sc QUALIFY place <= 24),
+hd AS (SELECT *, count(*) OVER (PARTITION BY query_id) > 5 AS changes, place <= 20 AS head, CASE WHEN e IS NULL THEN 0 ELSE round(list_cosine_similarity(e, q), 6) END AS cosine FROM pl),
+rs AS (SELECT *, round(CASE WHEN changes AND head THEN score + 0.35::DOUBLE * cosine ELSE score END, 6) AS rerank_score FROM hd),
+wi AS (SELECT * FROM rs QUALIFY NOT changes OR NOT head OR row_number() OVER (PARTITION BY query_id, head ORDER BY rerank_score DESC, place) <= 5)
+SELECT query_id, id, score, vector_rank, lexical_rank, place, rerank_score, row_number() OVER (PARTITION BY query_id ORDER BY CASE WHEN changes THEN 0 ELSE place END, rerank_score DESC, head DESC, place) AS rank FROM wi QUALIFY rank <= 5""")
+def r10_hybrid_reranked(spark, sf_dir):
+    """All stages for all benchmark questions that have a vector; chunks are documents, of which those with a vector are found by it, too."""
+    e = table(spark, sf_dir, "embeddings")
+    at = lambda names, n: F.element_at(F.array(*map(F.lit, names)), (1 + n).cast("int"))
+    k = F.col("doc_id")
+    chunks = table(spark, sf_dir, "documents").join(e.select("vec_id", "embedding"), k == F.col("vec_id"), "left").select(k.alias("id"), (k % 50).alias("document_id"), at(["text", "text", "table", "figure"], k % 4).alias("kind"), F.col("text").alias("content"), "embedding")
+    d = F.col("document_id")
+    cards = e.groupBy((F.col("vec_id") % 50).alias("document_id")).agg(F.min_by("embedding", "vec_id").alias("embedding")).withColumns({"topic_tags": F.when(d % 3 == 0, F.array(F.lit("multimodal_fusion"))).otherwise(F.array().cast("array<string>")), "text": F.when(d % 7 == 0, "audio visual fusion").otherwise("")})
+    asked = table(spark, sf_dir, "benchmark").join(e.select("vec_id", "embedding"), F.col("item_id") * 2 == F.col("vec_id"))
+    asked = asked.select(F.col("item_id").alias("query_id"), F.concat("text", at(["", " what is it", " multimodal", " the table of results", " audio-visual"], F.col("item_id") % 5)).alias("text"), F.col("embedding").alias("q"))
+    return hybrid.search_each(chunks, cards, asked, 5)

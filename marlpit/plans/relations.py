@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import fixed
+from ..functions import text as text_functions
 from ..functions.vectors import squared_distance
 from ..operators import claims, decisions, entities, figures, graph, memory
 from ..sources import files
@@ -256,12 +257,50 @@ def h55_enriched_queries(spark, sf_dir):
     return _turns(spark, sf_dir).select("conv_id", "turn", decisions.enriched(said, topic, decisions.intent(said), F.col("conv_id") % 4 != 1).alias("enriched"))
 
 
-NAMES = "list_filter(regexp_extract_all(text, '\\p{Lu}[\\p{L}\\p{N}_-]+'), lambda w: length(w) >= 3)"
+#: Turns in plain letters, where DuckDB's word ends are those of any script.
+_FROM, _TO = text_functions.ACCENTED + text_functions.ACCENTED.upper() + "ß", text_functions.PLAIN + text_functions.PLAIN.upper() + "s"
+PLAIN_TURNS = f"(SELECT conv_id, turn, role, translate(text, '{_FROM}', '{_TO}') AS text FROM {TURNS})"
 
 
-@query("d9_named_entities", f"SELECT conv_id, turn, list_slice(list_filter({NAMES}, lambda w, i: list_position({NAMES}, w) = i), 1, 8) AS names FROM conversations")
+def _plain_turns(spark, sf_dir):
+    return _turns(spark, sf_dir).withColumn("text", F.translate("text", _FROM, _TO))
+
+
+def _is_name(w):
+    low = [f"regexp_matches(lower({w}), '{p}')" for p, _ in fixed.COMPOUND_NAMES]
+    compact = f"length(regexp_replace({w}, '[_-]', '', 'g'))"
+    return (
+        f"(length({w}) >= 3 AND NOT lower({w}) IN ({', '.join(repr(x) for x in fixed.UNNAMED_WORDS + fixed.UNNAMED_METRICS)}) AND ({' OR '.join(low)} OR ends_with(lower({w}), '.pdf')"
+        f" OR regexp_full_match({w}, '[A-Z][A-Z0-9]*(?:[-_][A-Z0-9]+)*') AND {compact} >= 2 OR regexp_matches({w}, '[A-Za-z]') AND regexp_matches({w}, '[0-9]') AND {compact} >= 3 OR regexp_matches({w}, '[a-z][A-Z]') OR contains({w}, '_') AND {compact} >= 4))"
+    )
+
+
+_SPOKEN = f"list_filter(regexp_extract_all(text, '\\b{fixed.NAME_WORD}\\b'), lambda w: NOT lower(w) IN ({', '.join(repr(x) for x in fixed.QUESTION_WORDS)}) AND {_is_name('w')})"
+_LABELS = "list_distinct(list_filter([" + ", ".join(f"CASE WHEN regexp_matches({NORMAL}, '{p}') THEN '{label}' END" for p, label in fixed.COMPOUND_NAMES) + "], lambda x: x IS NOT NULL))"
+_NAMES = f"""
+t AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS nth FROM {PLAIN_TURNS}), w AS (SELECT conv_id, turn, list_concat({_SPOKEN}, list_sort({_LABELS})) AS ws FROM t),
+u AS (SELECT conv_id, turn, unnest(ws) AS name, unnest(range(len(ws))) AS i FROM w), f AS (SELECT conv_id, turn, arg_min(name, i) AS name, min(i) AS i FROM u GROUP BY conv_id, turn, lower(name)),
+n AS (SELECT conv_id, turn, list_slice(list(name ORDER BY i), 1, 8) AS names FROM f GROUP BY conv_id, turn)"""
+
+
+@query("d9_named_entities", f"WITH {_NAMES} SELECT conv_id, turn, coalesce(names, []) AS names FROM t LEFT JOIN n USING (conv_id, turn)")
 def d9_named_entities(spark, sf_dir):
-    return table(spark, sf_dir, "conversations").select("conv_id", "turn", decisions.entities(F.col("text")).alias("names"))
+    return _plain_turns(spark, sf_dir).select("conv_id", "turn", decisions.entities(F.col("text")).alias("names"))
+
+
+_HAS = "(contains(lower(said), lower(x)) OR regexp_replace(lower(x), '[^a-z0-9]+', '', 'g') <> '' AND contains(regexp_replace(lower(said), '[^a-z0-9]+', '', 'g'), regexp_replace(lower(x), '[^a-z0-9]+', '', 'g')))"
+_TARGETS = f"len(list_filter(list_concat(regexp_extract_all(text, '(?i)(?:^|[^a-zA-Z0-9_])(?:bai(?:\\s+bao)?|paper|file|document|tai\\s+lieu)\\s+(?:cua\\s+)?({fixed.NAME_WORD})(?:$|[^a-zA-Z0-9_])', 1), regexp_extract_all(text, '(?i)(?:^|[^a-zA-Z0-9_])(?:bang|table)\\s*(?:so\\s*)?#?\\s*\\d+\\s+(?:(?:cua|trong)\\s+)?(?:bai\\s+|paper\\s+)?({fixed.NAME_WORD})(?:$|[^a-zA-Z0-9_])', 1)), lambda w: {_is_name('w')})) > 0 OR regexp_matches(text, '(?i)(?:^|[^a-zA-Z0-9_]){fixed.DOCUMENT_FILE}(?:$|[^a-zA-Z0-9_])')"
+_PLAIN_SAID = lambda words: _said([str(w).translate(str.maketrans(_FROM, _TO)) for w in words])
+
+
+@query("d8_topic_switches", f"""
+WITH {_NAMES}, l AS (SELECT conv_id, nth, role || ': ' || trim(regexp_replace(text, '\\s+', ' ', 'g')) AS line FROM t WHERE trim(regexp_replace(text, '\\s+', ' ', 'g')) <> ''),
+h AS (SELECT t.conv_id, t.turn, l.nth, line, sum(length(line)) OVER (PARTITION BY t.conv_id, t.turn ORDER BY l.nth DESC) AS used FROM t JOIN l ON t.conv_id = l.conv_id AND l.nth BETWEEN t.nth - 6 AND t.nth - 1),
+b AS (SELECT conv_id, turn, string_agg(line, chr(10) ORDER BY nth) AS history FROM h WHERE used <= 1600 GROUP BY ALL),
+s AS (SELECT conv_id, turn, history, text, coalesce(names, []) AS names, array_to_string(list_concat([coalesce(history, '')], list_sort({_LABELS.replace('lower(text)', "lower(coalesce(history, ''))")})), ' ') AS said FROM t LEFT JOIN b USING (conv_id, turn) LEFT JOIN n USING (conv_id, turn))
+SELECT conv_id, turn, NOT ({_PLAIN_SAID(fixed.RESUME_WORDS)} AND {_said(['paper', 'bai(?: bao| nghien cuu| luc nay| vua roi| truoc)?', 'tai lieu', 'document', 'pdf', 'nghien cuu'])}) AND ({_TARGETS} OR CASE WHEN history IS NOT NULL THEN len(list_filter(names, lambda x: NOT {_HAS})) > 0 ELSE {_PLAIN_SAID(fixed.SWITCH_WORDS)} AND len(names) > 0 END) AS switches FROM s""")
+def d8_topic_switches(spark, sf_dir):
+    return decisions.recent(_turns(spark, sf_dir)).select("conv_id", "turn", decisions.topic_switch(F.col("text"), F.col("history")).alias("switches"))
 
 
 @query("d10_best_table", "WITH s AS (SELECT o_custkey, o_orderkey, CAST(round(o_totalprice / 50000) AS INT) AS score FROM orders), r AS (SELECT *, row_number() OVER w AS n, lead(score) OVER w AS nx FROM s WINDOW w AS (PARTITION BY o_custkey ORDER BY score DESC, o_orderkey)) SELECT o_custkey, o_orderkey FROM r WHERE n = 1 AND score > 0 AND (nx IS NULL OR nx < score)")

@@ -15,7 +15,7 @@ STOP = "[" + ", ".join(f"'{w}'" for w in fixed.SEARCH_STOPWORDS) + "]"
 
 def tokens_sql(column: str, most: int) -> str:
     words = f"list_filter(list_transform(regexp_extract_all(lower({column}), '[\\p{{L}}\\p{{N}}_]+'), lambda w: trim(w, '._-')), lambda w: length(w) >= 2 AND NOT list_contains({STOP}, w))"
-    return f"list_slice(list_filter({words}, lambda w, i: list_position({words}, w) = i), 1, {most})"
+    return f"coalesce((SELECT list(w ORDER BY i) FROM (SELECT w, min(i) AS i FROM (SELECT unnest({words}) AS w, unnest(range(len({words}))) AS i) GROUP BY w ORDER BY i LIMIT {most})), [])"
 
 
 BENCH = f"SELECT item_id AS query_id, {tokens_sql('text', 10)} AS terms FROM benchmark"
@@ -113,6 +113,14 @@ def h31_overlap_ratio(spark, sf_dir):
 
 VEC = "list_transform(embedding, lambda x: CAST(x AS DOUBLE))"
 FIRST = f"(SELECT {VEC} FROM embeddings WHERE vec_id = 0)"
+#: Each query with each row.
+PAIRS = f"p AS (SELECT q.vec_id AS query_id, r.vec_id, r.label, q.e AS a, r.e AS b FROM (SELECT vec_id, {VEC} AS e FROM embeddings WHERE vec_id % 20 = 0) q, (SELECT vec_id, label, {VEC} AS e FROM embeddings) r)"
+
+
+def asked_vectors(spark, sf_dir):
+    """All vectors, and those whose id is divisible by 20 as queries."""
+    rows = table(spark, sf_dir, "embeddings")
+    return rows, rows.where("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"))
 
 
 def _first(spark, sf_dir):
@@ -120,34 +128,34 @@ def _first(spark, sf_dir):
     return rows, rows.where("vec_id = 0").select(F.col("embedding").alias("q"))
 
 
-@query("r6_knn_l2", f"SELECT vec_id, round(pow(list_distance({VEC}, {FIRST}), 2), 5) AS distance FROM embeddings WHERE label IN (0, 1, 2, 3) ORDER BY distance, vec_id LIMIT 10")
+@query("r6_knn_l2", f"WITH {PAIRS} SELECT query_id, vec_id, round(pow(list_distance(a, b), 2), 5) AS distance, row_number() OVER (PARTITION BY query_id ORDER BY round(pow(list_distance(a, b), 2), 5), vec_id) AS rank FROM p WHERE label IN (0, 1, 2, 3) QUALIFY rank <= 10")
 def r6_knn_l2(spark, sf_dir):
-    rows, q = _first(spark, sf_dir)
-    return vector.nearest(rows, q, "vec_id", "embedding", 10, F.col("label").isin(0, 1, 2, 3), 5)
+    rows, asked = asked_vectors(spark, sf_dir)
+    return vector.nearest_each(rows, asked, "vec_id", "embedding", 10, "l2", F.col("label").isin(0, 1, 2, 3), 5).withColumnRenamed("score", "distance")
 
 
-@query("r7_cosine_topk", f"SELECT vec_id, round(list_cosine_similarity({VEC}, {FIRST}), 5) AS score FROM embeddings WHERE vec_id <> 0 ORDER BY score DESC, vec_id LIMIT 10")
+@query("r7_cosine_topk", f"WITH {PAIRS} SELECT query_id, vec_id, round(list_cosine_similarity(a, b), 5) AS score, row_number() OVER (PARTITION BY query_id ORDER BY round(list_cosine_similarity(a, b), 5) DESC, vec_id) AS rank FROM p WHERE vec_id <> query_id QUALIFY rank <= 10")
 def r7_cosine_topk(spark, sf_dir):
-    rows, q = _first(spark, sf_dir)
-    scored = rows.where("vec_id <> 0").join(q).select("vec_id", F.round(vectors.cosine(F.col("embedding"), F.col("q")), 5).alias("score"))
-    return lexical.top(scored, 10, "vec_id", partition=None)
+    rows, asked = asked_vectors(spark, sf_dir)
+    return vector.nearest_each(rows, asked, "vec_id", "embedding", 10, "cosine", None, 5, own=False)
 
 
-@query("r8_dot_topk", f"SELECT vec_id, round(list_inner_product({VEC}, {FIRST}), 5) AS score FROM embeddings ORDER BY score DESC, vec_id LIMIT 10")
+@query("r8_dot_topk", f"WITH {PAIRS} SELECT query_id, vec_id, round(list_inner_product(a, b), 5) AS score, row_number() OVER (PARTITION BY query_id ORDER BY round(list_inner_product(a, b), 5) DESC, vec_id) AS rank FROM p QUALIFY rank <= 10")
 def r8_dot_topk(spark, sf_dir):
-    rows, q = _first(spark, sf_dir)
-    return lexical.top(rows.join(q).select("vec_id", F.round(vectors.dot(F.col("embedding"), F.col("q")), 5).alias("score")), 10, "vec_id", partition=None)
+    rows, asked = asked_vectors(spark, sf_dir)
+    return vector.nearest_each(rows, asked, "vec_id", "embedding", 10, "dot", None, 5)
 
 
 @query("k3_merged_modalities", f"""
-SELECT vec_id, modality, distance FROM (
-  SELECT vec_id, CASE WHEN label < 4 THEN 'text' WHEN label < 7 THEN 'table' ELSE 'figure' END AS modality, round(pow(list_distance({VEC}, {FIRST}), 2), 5) AS distance FROM embeddings)
-QUALIFY row_number() OVER (PARTITION BY modality ORDER BY distance, vec_id) <= CASE modality WHEN 'text' THEN 20 ELSE 10 END""")
+WITH {PAIRS}, m AS (SELECT query_id, vec_id, CASE WHEN label < 4 THEN 'text' WHEN label < 7 THEN 'table' ELSE 'figure' END AS modality, round(pow(list_distance(a, b), 2), 5) AS distance FROM p),
+k AS (SELECT * FROM m QUALIFY row_number() OVER (PARTITION BY query_id, modality ORDER BY distance, vec_id) <= CASE modality WHEN 'text' THEN 20 ELSE 10 END)
+SELECT query_id, vec_id, modality, distance, row_number() OVER (PARTITION BY query_id ORDER BY distance, vec_id) AS place FROM k""")
 def k3_merged_modalities(spark, sf_dir):
-    rows, q = _first(spark, sf_dir)
+    rows, asked = asked_vectors(spark, sf_dir)
     kind = F.when(F.col("label") < 4, "text").when(F.col("label") < 7, "table").otherwise("figure")
-    scored = rows.join(q).select("vec_id", kind.alias("modality"), F.round(vectors.squared_distance(F.col("embedding"), F.col("q")), 5).alias("distance"))
-    return vector.merge_modalities(scored, {"text": vector.adaptive_k(5)["text"], "table": vector.adaptive_k(5)["table"], "figure": vector.adaptive_k(5)["figure"]})
+    limits = {m: vector.adaptive_k(5)[m] for m in ("text", "table", "figure")}
+    near = vector.nearest_each(rows.withColumn("modality", kind), asked, "vec_id", "embedding", max(limits.values()), "l2", None, 5, by="modality").withColumnRenamed("score", "distance")
+    return fusion.with_rank(vector.merge_modalities(near.drop("rank"), limits, query="query_id"), "distance", "vec_id", ["query_id"], ascending=True, name="place")
 
 
 RANKINGS = """
@@ -331,3 +339,29 @@ def j25_label_join(spark, sf_dir):
 @query("a24_candidate_recall", f"WITH {RUN} SELECT round(avg(CASE WHEN rank <= 20 THEN 1.0 ELSE 0.0 END), 6) AS recall FROM rel JOIN rn USING (query_id, id)")
 def a24_candidate_recall(spark, sf_dir):
     return evals.candidate_recall(*run_and_relevant(spark, sf_dir), 20)
+
+
+def word_overlap():
+    """A stand-in for a cross-encoder: the share of the question's distinct words that the text has, squashed."""
+    import numpy as np
+
+    def score(pairs):
+        sets = [(set(q.lower().split()), set(t.lower().split())) for q, t in pairs]
+        return 1 / (1 + np.exp(-np.array([4 * len(q & t) / max(1, len(q)) - 2 for q, t in sets])))
+
+    return score
+
+
+@query("r13_cross_encoder", f"""
+WITH b AS ({bm25_sql("SELECT doc_id, text FROM documents", {"text": 1.0}, k=30)}), h AS (SELECT query_id, b.doc_id, score, rank AS place, list_distinct(list_filter(string_split_regex(lower(q.text), '\\s+'), lambda w: w <> '')) AS qw,
+  list_slice(list_filter(string_split_regex(lower(d.text), '\\s+'), lambda w: w <> ''), 1, 512 - least(len(list_filter(string_split_regex(q.text, '\\s+'), lambda w: w <> '')), greatest(256, 512 - len(list_filter(string_split_regex(d.text, '\\s+'), lambda w: w <> ''))))) AS dw
+  FROM b JOIN benchmark q ON q.item_id = query_id JOIN documents d ON d.doc_id = b.doc_id),
+s AS (SELECT query_id, doc_id, place, place <= 20 AS head, round(CASE WHEN place <= 20 THEN 1 / (1 + exp(-(4 * len(list_intersect(qw, dw)) / greatest(1, len(qw)) - 2))) ELSE score END, 6) AS rerank_score FROM h),
+w AS (SELECT * FROM s QUALIFY NOT head OR row_number() OVER (PARTITION BY query_id, head ORDER BY rerank_score DESC, place) <= 8)
+SELECT query_id, doc_id, rerank_score, CASE WHEN head THEN 'cross_encoder' ELSE 'first_stage_tail' END AS backend, row_number() OVER (PARTITION BY query_id ORDER BY rerank_score DESC, head DESC, place) AS rank FROM w QUALIFY rank <= 8""")
+def r13_cross_encoder(spark, sf_dir):
+    """The 30 documents with the best BM25 for each benchmark question, the first 20 of them reordered."""
+    docs, asked = table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), "text")
+    found = lexical.top(lexical.bm25(docs, bench_queries(spark, sf_dir), "doc_id", {"text": 1.0}), 30, "doc_id").withColumnRenamed("rank", "place")
+    told = found.join(docs.withColumnRenamed("text", "content"), "doc_id").join(asked, "query_id")
+    return fusion.cross_rerank(told, "word_overlap", word_overlap, 8, key="doc_id")

@@ -6,10 +6,11 @@ import io
 import json
 import re
 import zipfile
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from xml.etree import ElementTree
 
 import pandas as pd
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -144,7 +145,10 @@ def vault_notes(nodes: DataFrame, edges: DataFrame) -> DataFrame:
 
 
 def publish(df: DataFrame, path: str, least_rows: int = 1) -> None:
-    """Writes to a staging folder, checks the rows, writes a manifest, and moves the table into place in one rename."""
+    """Writes to a staging folder, checks the rows, moves the table into place and writes a manifest.
+
+    The old table is moved away first, so a reader between the two renames finds none; publish_version() has no such moment.
+    """
     spark = df.sparkSession
     hadoop = spark._jvm.org.apache.hadoop.fs.Path
     fs = hadoop(path).getFileSystem(spark._jsc.sc().hadoopConfiguration())
@@ -163,6 +167,51 @@ def publish(df: DataFrame, path: str, least_rows: int = 1) -> None:
     spark.createDataFrame([(path, rows)], "path string, rows long").write.mode("overwrite").json(f"{path}.manifest")
 
 
+MANIFEST_SCHEMA = "version long, name string, rows long"
+
+
+def _manifest(spark: SparkSession, path: str) -> DataFrame:
+    try:
+        return spark.read.schema(MANIFEST_SCHEMA).json(f"{path}/manifest")
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return spark.createDataFrame([], MANIFEST_SCHEMA)
+
+
+def publish_version(tables: DataFrame | dict[str, DataFrame], path: str, least_rows: int = 1, checks: Callable[[dict[str, DataFrame]], list[str]] | None = None) -> int:
+    """Writes tables side by side as a new version under `path`, checks them, and makes them visible together; returns the version.
+
+    Each is written to `<path>/<name>/version=<n>` and counted as it stands there; `checks` may name further faults of what was written. Only then
+    one row for each table is added to the manifest, in one write. published() reads the largest version in it, so that readers see the old tables or
+    the new ones whole, at every moment and after a crash; what a failed version left is overwritten by the next try. One writer at a time.
+    """
+    named = tables if isinstance(tables, dict) else {"table": tables}
+    spark = next(iter(named.values())).sparkSession
+    version = (_manifest(spark, path).agg(F.max("version")).first()[0] or 0) + 1
+    written, rows = {}, {}
+    for name, df in named.items():
+        place = f"{path}/{name}/version={version}"
+        df.write.mode("overwrite").parquet(place)
+        written[name] = spark.read.schema(df.schema).parquet(place)
+        rows[name] = written[name].count()
+        if rows[name] < least_rows:
+            raise ValueError(f"{name}: {rows[name]} rows, at least {least_rows} expected")
+    if faults := checks(written) if checks else []:
+        raise ValueError("; ".join(faults))
+    spark.createDataFrame([(version, n, r) for n, r in rows.items()], MANIFEST_SCHEMA).coalesce(1).write.mode("append").json(f"{path}/manifest")
+    return version
+
+
+def published(spark: SparkSession, path: str, name: str = "table", version: int | None = None) -> DataFrame:
+    """A table as last published, or as of a version: a reader of several tables asks for one version of all."""
+    known = _manifest(spark, path).where(F.col("name") == name)
+    last = known.where(F.col("version") <= version if version is not None else F.lit(True)).agg(F.max("version")).first()[0]
+    if last is None:
+        raise ValueError(f"{path} has no published {name}")
+    return spark.read.parquet(f"{path}/{name}/version={last}")
+
+
 def sse_frame(event: Column, data: Column) -> Column:
     """One server-sent event as text."""
     return F.concat(F.lit("event: "), event, F.lit("\ndata: "), data, F.lit("\n\n"))
