@@ -289,8 +289,8 @@ def d9_named_entities(spark, sf_dir):
 
 
 _HAS = "(contains(lower(said), lower(x)) OR regexp_replace(lower(x), '[^a-z0-9]+', '', 'g') <> '' AND contains(regexp_replace(lower(said), '[^a-z0-9]+', '', 'g'), regexp_replace(lower(x), '[^a-z0-9]+', '', 'g')))"
-_TARGETS = f"len(list_filter(list_concat(regexp_extract_all(text, '(?i)(?:^|[^a-zA-Z0-9_])(?:bai(?:\\s+bao)?|paper|file|document|tai\\s+lieu)\\s+(?:cua\\s+)?({fixed.NAME_WORD})(?:$|[^a-zA-Z0-9_])', 1), regexp_extract_all(text, '(?i)(?:^|[^a-zA-Z0-9_])(?:bang|table)\\s*(?:so\\s*)?#?\\s*\\d+\\s+(?:(?:cua|trong)\\s+)?(?:bai\\s+|paper\\s+)?({fixed.NAME_WORD})(?:$|[^a-zA-Z0-9_])', 1)), lambda w: {_is_name('w')})) > 0 OR regexp_matches(text, '(?i)(?:^|[^a-zA-Z0-9_]){fixed.DOCUMENT_FILE}(?:$|[^a-zA-Z0-9_])')"
-_PLAIN_SAID = lambda words: _said([str(w).translate(str.maketrans(_FROM, _TO)) for w in words])
+_BEFORE = lambda nouns: f"regexp_extract_all(text, '(?i)(?:^|[^a-zA-Z0-9_]){nouns}({fixed.NAME_WORD})(?:$|[^a-zA-Z0-9_])', 1)"
+_TARGETS = f"len(list_filter(list_concat({_BEFORE(fixed.TARGET_NOUNS)}, {_BEFORE(fixed.TARGET_TABLES)}), lambda w: {_is_name('w')})) > 0 OR regexp_matches(text, '(?i)(?:^|[^a-zA-Z0-9_]){fixed.DOCUMENT_FILE}(?:$|[^a-zA-Z0-9_])')"
 
 
 @query("d8_topic_switches", f"""
@@ -298,9 +298,9 @@ WITH {_NAMES}, l AS (SELECT conv_id, nth, role || ': ' || trim(regexp_replace(te
 h AS (SELECT t.conv_id, t.turn, l.nth, line, sum(length(line)) OVER (PARTITION BY t.conv_id, t.turn ORDER BY l.nth DESC) AS used FROM t JOIN l ON t.conv_id = l.conv_id AND l.nth BETWEEN t.nth - 6 AND t.nth - 1),
 b AS (SELECT conv_id, turn, string_agg(line, chr(10) ORDER BY nth) AS history FROM h WHERE used <= 1600 GROUP BY ALL),
 s AS (SELECT conv_id, turn, history, text, coalesce(names, []) AS names, array_to_string(list_concat([coalesce(history, '')], list_sort({_LABELS.replace('lower(text)', "lower(coalesce(history, ''))")})), ' ') AS said FROM t LEFT JOIN b USING (conv_id, turn) LEFT JOIN n USING (conv_id, turn))
-SELECT conv_id, turn, NOT ({_PLAIN_SAID(fixed.RESUME_WORDS)} AND {_said(['paper', 'bai(?: bao| nghien cuu| luc nay| vua roi| truoc)?', 'tai lieu', 'document', 'pdf', 'nghien cuu'])}) AND ({_TARGETS} OR CASE WHEN history IS NOT NULL THEN len(list_filter(names, lambda x: NOT {_HAS})) > 0 ELSE {_PLAIN_SAID(fixed.SWITCH_WORDS)} AND len(names) > 0 END) AS switches FROM s""")
+SELECT conv_id, turn, NOT ({_said(fixed.RESUME_WORDS)} AND {_said(fixed.RESUMED_DOCUMENTS)}) AND ({_TARGETS} OR CASE WHEN history IS NOT NULL THEN len(list_filter(names, lambda x: NOT {_HAS})) > 0 ELSE {_said(fixed.SWITCH_WORDS)} AND len(names) > 0 END) AS switches FROM s""")
 def d8_topic_switches(spark, sf_dir):
-    return decisions.recent(_turns(spark, sf_dir)).select("conv_id", "turn", decisions.topic_switch(F.col("text"), F.col("history")).alias("switches"))
+    return decisions.recent(_plain_turns(spark, sf_dir)).select("conv_id", "turn", decisions.topic_switch(F.col("text"), F.col("history")).alias("switches"))
 
 
 @query("d10_best_table", "WITH s AS (SELECT o_custkey, o_orderkey, CAST(round(o_totalprice / 50000) AS INT) AS score FROM orders), r AS (SELECT *, row_number() OVER w AS n, lead(score) OVER w AS nx FROM s WINDOW w AS (PARTITION BY o_custkey ORDER BY score DESC, o_orderkey)) SELECT o_custkey, o_orderkey FROM r WHERE n = 1 AND score > 0 AND (nx IS NULL OR nx < score)")
