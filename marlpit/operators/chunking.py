@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
+from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -21,6 +22,12 @@ def tokens(text: str) -> list[str]:
     return _token.findall(text)
 
 
+@lru_cache(maxsize=4096)
+def n_tokens(text: str) -> int:
+    """How many tokens a block has; blocks are asked for theirs when they are cut, packed and put out."""
+    return len(tokens(text))
+
+
 def section_title(block: str) -> str | None:
     """The title that a block's first line is, if it is one."""
     line = block.strip().split("\n", 1)[0].strip()
@@ -60,7 +67,7 @@ def units(text: str, most: int) -> list[tuple[str, str | None]]:
     out, section = [], None
     for block in blocks(text):
         section = section_title(block) or section
-        if len(tokens(block)) <= most:
+        if n_tokens(block) <= most:
             out.append((block, section))
         else:
             out += [(x, section) for x in _runs([s.strip() for s in _sentence_end.split(" ".join(block.split())) if s.strip()], most)]
@@ -79,7 +86,7 @@ def parents(found: list[tuple[str, str | None]], most: int) -> list[Parent]:
     out: list[Parent] = []
     size = 0
     for text, section in found:
-        n = len(tokens(text))
+        n = n_tokens(text)
         now = out[-1] if out else None
         if now is None or size + n > most or (section and now.section and plain(section) != plain(now.section)):
             out.append(now := Parent([], None))
@@ -105,7 +112,7 @@ def children(parent: Parent, most: int, overlap: int) -> list[str]:
     held: list[str] = []
     size = 0
     for text, _ in parent.units:
-        n = len(tokens(text))
+        n = n_tokens(text)
         if held and size + n > most:
             out.append("\n\n".join(held))
             before = tail(out[-1], overlap)
@@ -122,14 +129,14 @@ def chunk(docs: DataFrame, key: str = "doc_id", text: str = "text", most: int =
     names = ["key", "chunk_index", "parent_index", "section", "content", "n_tokens", "parent_content"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (got.slice(i, 64) for got in batches for i in range(0, got.num_rows, 64)):  # each child brings its parent's text
             rows = []
             for k, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 at = 0
                 for p, parent in enumerate(parents(units(t or "", most), parent_most)):
                     whole = "\n\n".join(u for u, _ in parent.units)
                     for child in children(parent, most, overlap):
-                        rows.append((k, at, p, parent.section, child, len(tokens(child)), whole))
+                        rows.append((k, at, p, parent.section, child, n_tokens(child), whole))
                         at += 1
             types = [batch.schema.field(0).type, pa.int32(), pa.int32(), pa.string(), pa.string(), pa.int32(), pa.string()]
             yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(types)], names)

@@ -4,6 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
+
+from ..functions import fixed
+from ..functions.text import fold_accents
 
 #: Names under which a metric may be written.
 METRICS = {"accuracy": ["accuracy", "acc"], "f1": ["f1", "f1-score", "macro-f1"], "precision": ["precision"], "recall": ["recall"], "ccc": ["ccc", "concordance"], "war": ["war"], "uar": ["uar"], "wer": ["wer"], "auc": ["auc", "auroc"], "mae": ["mae"], "rmse": ["rmse"], "bleu": ["bleu"]}
@@ -46,6 +50,100 @@ def table_claims(tables: DataFrame, key: str, markdown: str = "markdown") -> Dat
     return out.where(F.col("metric").isNotNull() & F.col("value").isNotNull())
 
 
+_known = {x.replace("-", " ").lower(): m for m, names in fixed.METRIC_NAMES.items() for x in names}
+_metric = r"(?i)(?<![\w-])(" + "|".join(r"[\s_-]+".join(x.split()) for x in sorted(_known, key=lambda x: (-len(x), x))) + r")(?![\w-])"
+
+
+def metric_of(cell: Column) -> Column:
+    """The metric that a table's cell names, by any of its names; null without one."""
+    name = F.regexp_replace(F.lower(F.regexp_extract(cell, _metric, 1)), r"[\s_-]+", " ")
+    of = {m: [x for x, of in _known.items() if of == m] for m in fixed.METRIC_NAMES}
+    return F.when(fold_accents(F.trim(cell)).rlike(fixed.MILLIONS_HEADER), "parameters").otherwise(F.coalesce(*[F.when(name.isin(*names), m) for m, names in of.items()]))
+
+
+def _dimension(word: Column) -> Column:
+    return F.coalesce(*[F.when(word.isin(*names), d) for d, names in fixed.DIMENSIONS.items()])
+
+
+def qualifier_of(cell: Column) -> Column:
+    """What a cell qualifies values by: its words joined by dashes, a dimension by its name; null for general words and without letters."""
+    words = F.trim(F.regexp_replace(fold_accents(cell), r"[^a-z0-9]+", " "))
+    return F.coalesce(_dimension(words), F.when(words.rlike("[a-z]") & ~words.isin(*fixed.GENERIC_QUALIFIERS), F.replace(words, F.lit(" "), F.lit("-"))))
+
+
+def _numbers(cell: Column) -> Column:
+    """Numbers of a cell as (value, unit, percent), without years and references in brackets. A comma is a decimal point, as in a point that an extractor took apart."""
+    plain = F.regexp_replace(cell, r"\[\s*\d+(?:\s*[,;–-]\s*\d+)*\s*\]", " ")
+    found = F.regexp_extract_all(plain, F.lit(fixed.METRIC_NUMBER), F.lit(0))
+    group = lambda m, i: F.regexp_extract(m, fixed.METRIC_NUMBER, i)
+    point = lambda m: F.replace(F.regexp_replace(group(m, 1), r"\s", ""), F.lit(","), F.lit("."))
+    each = F.transform(found, lambda m: F.struct(point(m).try_cast("decimal(28,8)").alias("value"), F.lower(group(m, 2)).alias("unit"), (group(m, 3) == "%").alias("percent")))
+    year = lambda n: (n["unit"] == "") & ~n["percent"] & (n["value"] == F.floor(n["value"])) & n["value"].between(1900, 2100)
+    return F.filter(each, lambda n: n["value"].isNotNull() & ~year(n))
+
+
+def grid_claims(tables: DataFrame, key: str, markdown: str = "markdown") -> DataFrame:
+    """(key, claim_index, metric, value, percent, subject, qualifiers) of the values of pipe tables, whatever their headers say.
+
+    The head is the row above the first rule, else the first that names a metric. Three layouts, for each head of a table:
+
+    - columns: a metric heads its column; dimensions in the head qualify it. A later row of metrics without numbers is a new head.
+    - rows: a column of metrics and columns of values; the metric is the row's.
+    - sections: one metric in the whole head, and rows of one label (alone, or in every cell) above those with numbers. The metric is the whole table's, and
+      section and column qualify it.
+
+    Units are a percent sign in cell or head, k, m and b in the cell, and millions in the head of parameters. The subject is the cell of
+    the column headed model (method, system and so on), else the row's first cell that has letters and is neither metric nor value. A column's
+    cell that names metrics itself gives these. Tables without a head, rows that are empty and null tables give nothing.
+    """
+    first = lambda cells, test: F.array_position(F.transform(cells, test), True).cast("int") - 1
+    lines = tables.select(F.col(key).alias("_k"), F.posexplode(F.split(markdown, r"\r?\n")).alias("_r", "_line")).where(F.length("_line") - F.length(F.replace("_line", F.lit("|"), F.lit(""))) >= 2)
+    rows = lines.withColumn("cells", F.transform(F.split(F.regexp_replace(F.trim("_line"), r"^\||\|$", ""), r"\|"), lambda c: F.trim(F.regexp_replace(c, "[*`~]", ""))))
+    rows = rows.withColumn("filled", F.filter("cells", lambda c: F.regexp_replace(c, r"[\s:|_-]", "") != ""))
+    rows = rows.withColumns({"rule": (F.size(F.filter("cells", lambda c: c != "")) > 0) & F.forall(F.filter("cells", lambda c: c != ""), lambda c: c.rlike(r"\A:?-{3,}:?\z")), "metrics": F.transform("cells", metric_of), "counted": F.exists("cells", lambda c: F.size(_numbers(c)) > 0)})
+    named = F.exists("metrics", lambda m: m.isNotNull())
+    label = F.when((F.size(F.array_distinct("filled")) == 1) & ~F.col("counted") & ~named, qualifier_of(F.get("filled", F.lit(0))))
+    table_, order = W.partitionBy("_k"), W.partitionBy("_k").orderBy("_r")
+    rows = rows.withColumns({"named": named, "label": label, "nth": F.row_number().over(order), "general": F.exists("cells", lambda c: fold_accents(c).rlike(fixed.METRIC_HEADER))})
+    ruled = F.min(F.when(F.col("rule"), F.col("nth"))).over(table_)
+    rows = rows.withColumn("top", F.when(ruled > 1, ruled - 1).otherwise(F.min(F.when(F.col("named") | F.col("general"), F.col("nth"))).over(table_))).where("nth >= top AND NOT rule")
+    is_head = (F.col("nth") == F.col("top")) | (F.col("named") & ~F.col("counted"))
+    so_far = order.rowsBetween(W.unboundedPreceding, 0)
+    rows = rows.withColumn("is_head", is_head).withColumns({
+        "head": F.last(F.when(F.col("is_head"), F.struct("nth", "cells", "metrics")), ignorenulls=True).over(so_far),
+        "section": F.last(F.when(~F.col("is_head") & F.col("label").isNotNull(), F.struct("nth", "label")), ignorenulls=True).over(so_far),
+    })
+    rows = rows.withColumn("section", F.when(F.col("section.nth") > F.col("head.nth"), F.col("section.label")))
+    of_head = W.partitionBy("_k", "head.nth")
+    by_metric, by_value = first("head.cells", lambda c: fold_accents(c).rlike(fixed.METRIC_HEADER)), lambda c: fold_accents(c).rlike(fixed.VALUE_HEADER)
+    only = F.size(F.filter("head.metrics", lambda m: m.isNotNull())) == 1
+    at = first("head.metrics", lambda m: m.isNotNull())
+    rows = rows.withColumns({"m": by_metric, "at": at, "model": first("head.cells", lambda c: fold_accents(c).rlike(fixed.MODEL_HEADER)), "sections": only & (F.max(F.col("section").isNotNull()).over(of_head))})
+    layout = F.when((F.col("m") >= 0) & F.exists("head.cells", by_value), "rows").when(F.col("sections"), "sections").otherwise("columns")
+    rows = rows.withColumn("layout", layout).where(~F.col("is_head") & (F.col("label").isNull() | (F.col("layout") != "sections")))
+    cell = rows.select("_k", "nth", "cells", "head", "section", "m", "at", "model", "layout", F.posexplode("cells").alias("c", "cell")).withColumns({"top_cell": F.get("head.cells", F.col("c")), "of_column": F.get("head.metrics", F.col("c"))})
+    metric = F.when(F.col("layout") == "rows", F.when((F.col("c") != F.col("m")) & by_value(F.col("top_cell")), metric_of(F.get("cells", F.col("m"))))).when(F.col("layout") == "sections", F.when((F.col("c") != F.col("at")) & F.col("section").isNotNull() & qualifier_of(F.col("top_cell")).isNotNull(), F.get("head.metrics", F.col("at")))).otherwise(F.col("of_column"))
+    cell = cell.withColumn("metric", metric).where("metric IS NOT NULL")
+
+    # a cell with names of its own is cut before each of them
+    inline = (F.col("layout") == "columns") & metric_of(F.col("cell")).isNotNull()
+    pieces = F.when(inline, F.filter(F.split("cell", "(?=" + _metric.replace("(?i)", "(?i:", 1) + "))"), lambda p: metric_of(p).isNotNull())).otherwise(F.array("cell"))
+    cell = cell.withColumn("inline", inline).select("*", F.posexplode(pieces).alias("p", "piece")).withColumn("metric", F.when(F.col("inline"), metric_of(F.col("piece"))).otherwise(F.col("metric")))
+    cell = cell.select("*", F.posexplode(_numbers(F.when(F.col("inline"), F.regexp_replace("piece", _metric, " ")).otherwise(F.col("piece")))).alias("q", "n"))
+
+    head_of = F.when(F.col("layout") == "sections", F.concat_ws(" ", F.get("head.cells", F.col("at")), "top_cell")).when(F.col("layout") == "rows", F.concat_ws(" ", "top_cell", F.get("cells", F.col("m")))).otherwise(F.coalesce("top_cell", F.lit("")))
+    millions = (F.col("n.unit") == "") & (F.col("metric") == "parameters") & fold_accents(F.trim("top_cell")).rlike(fixed.MILLIONS_HEADER)
+    factor = F.when(F.col("n.unit") == "k", 1_000).when((F.col("n.unit") == "m") | millions, 1_000_000).when(F.col("n.unit") == "b", 1_000_000_000).otherwise(1)
+    outside = F.transform("cells", lambda x, i: F.when(x.rlike(r"\p{L}") & F.get("head.metrics", i).isNull() & metric_of(x).isNull() & ~F.coalesce(by_value(F.get("head.cells", i)), F.lit(False)), x))
+    subject = F.when(F.col("layout") == "sections", F.get("cells", F.col("at"))).when(F.col("model") >= 0, F.get("cells", F.col("model"))).otherwise(F.get(F.array_compact(outside), F.lit(0)))
+    words = F.split(F.lower(F.concat_ws(" ", "top_cell", F.when(F.col("inline"), F.col("piece")))), "[^a-z]+")
+    dimensions = F.array_distinct(F.array_compact(F.transform(words, _dimension)))
+    qualifiers = F.when(F.col("layout") == "sections", F.array_distinct(F.array("section", qualifier_of(F.col("top_cell"))))).when(F.col("layout") == "columns", F.when(F.col("inline"), F.array_distinct(F.array_compact(F.transform(F.split(F.lower(F.regexp_extract("piece", _metric, 1)), "[^a-z]+"), _dimension)))).otherwise(dimensions)).otherwise(F.array().cast("array<string>"))
+    place = F.row_number().over(W.partitionBy("_k").orderBy("nth", "c", "p", "q")) - 1
+    out = cell.select(F.col("_k").alias(key), place.alias("claim_index"), "metric", (F.col("n.value") * factor).cast("decimal(38,8)").alias("value"), (F.col("n.percent") | F.contains(head_of, F.lit("%"))).alias("percent"), F.nullif(subject, F.lit("")).alias("subject"), qualifiers.alias("qualifiers"))
+    return out
+
+
 def supported(claims: DataFrame, evidence: DataFrame, claim_key: list[str], tolerance: str = "0.005") -> DataFrame:
     """claims with `supported`: some evidence has the metric with an equal value, a fraction and a percentage of it being equal, and the claim's subject where both name one."""
     hundred = lambda v, p: F.when(p, v).otherwise(v * 100)

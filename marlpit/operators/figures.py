@@ -54,6 +54,13 @@ def best_caption(caption: Column, summary_title: Column, from_text: Column) -> C
     return F.when(sound, caption_title(caption)).otherwise(F.coalesce(F.try_element_at(ordered, F.lit(1))["c"], F.lit("Figure")))
 
 
+def low_signal(caption: Column, content: Column) -> Column:
+    """Whether a figure is a page's fallback rather than a picture of something, by its caption or content."""
+    own = lambda c: F.lower(F.trim(F.coalesce(c, F.lit(""))))
+    cap, body = own(caption), own(content)
+    return cap.contains("visual fallback") | body.contains("visual fallback") | cap.startswith("figure extracted from page") | body.startswith("figure extracted from page")
+
+
 def relevance(score: Column, caption: Column, content: Column, kind: Column, wanted: Column, query: Column) -> Column:
     """A figure's score for a query: fallback crops far below, 80 for the number asked for, by kind for what is asked, 20 for each shared word."""
     low, body = F.lower(caption), F.lower(F.concat_ws("\n", caption, content))

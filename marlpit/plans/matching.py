@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import captions, claims, entities
+from ..functions import text
+from ..operators import captions, claims, entities, figures, mutations
+from ..sources import files
 from ..sources.tables import table
 from .registry import query
 
@@ -109,3 +111,98 @@ def h30_catalog_aliases(spark, sf_dir):
     stem = F.concat_ws("_", code, F.lit("based-fusion of the"), F.translate("p_name", " ", "-"), F.lower("p_type"))
     catalog = p.select(F.col("p_partkey").alias("document_id"), F.concat(stem, F.lit(".pdf")).alias("filename"), F.col("p_brand").alias("title"), F.col("p_name").alias("title_guess"), F.array(code, F.lit("dataset"), F.concat(code, F.lit("-Fusion")), F.lit("unrelated words")).alias("keywords"))
     return entities.catalog_aliases(catalog)
+
+
+_SEARCHED = [(a, p) for a, p in zip(text.ACCENTED, text.PLAIN, strict=True) if a not in "đøł"]
+
+
+@query("h29_search_words", f"SELECT doc_id, md5(array_to_string(regexp_extract_all(translate(replace(lower(text), 'ß', 'ss'), '{''.join(a for a, _ in _SEARCHED)}', '{''.join(p for _, p in _SEARCHED)}'), '[a-z0-9]+'), ' ')) AS words FROM documents")
+def h29_search_words(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", F.md5(F.array_join(entities.search_words(F.col("text")), " ")).alias("words"))
+
+
+#: Tables of suppliers in three layouts, by nation.
+@query("h40_grid_claims", """
+WITH s AS (SELECT s_nationkey AS doc_id, s_name, s_suppkey, round(s_acctbal, 2) AS v FROM supplier),
+a AS (SELECT doc_id, 'accuracy' AS metric, v AS value, true AS percent, s_name AS subject, '' AS qualifiers FROM s WHERE doc_id % 3 = 0
+  UNION ALL SELECT doc_id, 'ccc', (s_suppkey % 90 + 10) / 100.0::DOUBLE, false, s_name, 'valence' FROM s WHERE doc_id % 3 = 0
+  UNION ALL SELECT doc_id, CASE s_suppkey % 2 WHEN 0 THEN 'wer' ELSE 'f1' END, v, s_suppkey % 2 = 0, s_name, '' FROM s WHERE doc_id % 3 = 1
+  UNION ALL SELECT doc_id, 'uar', v, false, s_name, 'part-' || (['a', 'b'])[1 + s_suppkey % 2] || ',zero-shot' FROM s WHERE doc_id % 3 = 2)
+SELECT * FROM a WHERE NOT (value = floor(value) AND value BETWEEN 1900 AND 2100 AND NOT (percent AND metric = 'wer'))""")
+def h40_grid_claims(spark, sf_dir):
+    s, k = table(spark, sf_dir, "supplier"), F.col("s_nationkey") % 3
+    number, odd = F.format_string("%.2f", F.round("s_acctbal", 2)), (F.col("s_suppkey") % 2).cast("string")
+    part = F.translate(odd, "01", "ab")
+    line = (
+        F.when(k == 0, F.concat(F.lit("| "), "s_name", F.lit(" | "), number, F.lit(" | ."), (F.col("s_suppkey") % 90 + 10).cast("string"), F.lit(" |")))
+        .when(k == 1, F.concat(F.lit("| "), "s_name", F.when(odd == "0", " | Word error rate | ").otherwise(" | Macro-F1 | "), number, F.when(odd == "0", "% |").otherwise(" |")))
+        .otherwise(F.concat(F.lit("| Part "), part, F.lit(" | Part "), part, F.lit(" |\n| "), "s_name", F.lit(" | "), number, F.lit(" |")))
+    )
+    body = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("s_suppkey", line.alias("x")))), lambda r: r["x"]), "\n")
+    grids = s.groupBy(F.col("s_nationkey").alias("doc_id")).agg(body.alias("body")).withColumn("markdown", F.concat(F.when(F.col("doc_id") % 3 == 0, "| Model | Acc (%) | CCC-V |\n|---|---|---|\n").when(F.col("doc_id") % 3 == 1, "| Name | Metric | Result |\n|---|---|---|\n").otherwise("| UAR | Zero shot |\n|---|---|\n"), "body"))
+    return claims.grid_claims(grids, "doc_id").select("doc_id", "metric", F.col("value").cast("double").alias("value"), "percent", "subject", F.array_join("qualifiers", ",").alias("qualifiers"))
+
+
+@query("h48_quotes", r"""
+WITH q AS (SELECT doc_id, text, CASE doc_id % 4 WHEN 0 THEN translate(substr(text, 11, 60), 'abcdefghijklmnopqrstuvwxyz', 'ABCDEFGHIJKLMNOPQRSTUVWXYZ') WHEN 1 THEN replace(substr(text, 3, 80), ' ', '  -  ') WHEN 2 THEN substr(text, 5, 12) || '!' ELSE substr(text, 7, 30) || 'zzqx' END AS quote FROM documents),
+f AS (SELECT doc_id, lower(trim(regexp_replace(quote, '\s+', ' ', 'g'))) AS a, lower(trim(regexp_replace(text, '\s+', ' ', 'g'))) AS b, regexp_replace(lower(quote), '[^\p{L}\p{N}]+', '', 'g') AS x, regexp_replace(lower(text), '[^\p{L}\p{N}]+', '', 'g') AS y FROM q)
+SELECT doc_id, contains(b, a) OR length(x) >= 24 AND contains(y, x) AS found FROM f""")
+def h48_quotes(spark, sf_dir):
+    d, k = table(spark, sf_dir, "documents"), F.col("doc_id") % 4
+    part = lambda a, n: F.substring("text", a, n)
+    quote = F.when(k == 0, F.translate(part(11, 60), "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ")).when(k == 1, F.replace(part(3, 80), F.lit(" "), F.lit("  -  "))).when(k == 2, F.concat(part(5, 12), F.lit("!"))).otherwise(F.concat(part(7, 30), F.lit("zzqx")))
+    return d.select("doc_id", claims.quoted(quote, F.col("text")).alias("found"))
+
+
+@query("d13_supported_lines", """
+WITH l AS (SELECT doc_id, unnest(range(len(s))) AS i, unnest(s) AS line FROM (SELECT doc_id, split(text, chr(10)) AS s FROM documents)), b AS (SELECT doc_id, trim(CASE i % 2 WHEN 0 THEN substr(line, 1, 25) ELSE line || ' and more' END) AS c FROM l WHERE (doc_id + i) % 5 = 0 AND trim(line) <> '')
+SELECT doc_id, i, md5(line) AS line FROM l WHERE NOT EXISTS (SELECT 1 FROM b WHERE b.doc_id = l.doc_id AND trim(line) <> '' AND (starts_with(trim(line), c) OR starts_with(c, trim(line))))""")
+def d13_supported_lines(spark, sf_dir):
+    """Lines of documents without those that an unsupported claim is a prefix of, or that are one of it."""
+    lines = table(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("i", "line"))
+    said = F.when(F.col("i") % 2 == 0, F.substring("line", 1, 25)).otherwise(F.concat("line", F.lit(" and more")))
+    bad = lines.where(((F.col("doc_id") + F.col("i")) % 5 == 0) & (F.trim("line") != "")).select("doc_id", said.alias("sentence"))
+    return claims.without_unsupported(lines, bad, "doc_id").select("doc_id", F.col("i").cast("long").alias("i"), F.md5("line").alias("line"))
+
+
+@query("d14_accepted_answers", "SELECT user_id, bool_and(value >= 0) AND len(list_filter(['view', 'click'], lambda x: NOT list_contains(list(DISTINCT event_type), x))) = 0 AS accepted FROM events GROUP BY user_id")
+def d14_accepted_answers(spark, sf_dir):
+    """Users as answers: the kinds of their events were checked, views and clicks were asked for."""
+    per = table(spark, sf_dir, "events").groupBy("user_id").agg(F.collect_set("event_type").alias("checked_metrics"), F.bool_and(F.col("value") >= 0).alias("valid")).withColumn("requested_metrics", F.array(F.lit("view"), F.lit("click")))
+    return per.select("user_id", claims.accepted(per).alias("accepted"))
+
+
+@query("s19_replaced_rows", "SELECT o_orderkey, o_orderstatus FROM orders WHERE o_orderkey % 4 > 0 AND o_orderkey % 3 > 0 UNION ALL SELECT o_orderkey, 'new' FROM orders WHERE o_orderkey % 4 = 0")
+def s19_replaced_rows(spark, sf_dir):
+    """Ids of the new rows are deleted before they are added; old rows of other ids stay."""
+    o = table(spark, sf_dir, "orders").select("o_orderkey", "o_orderstatus")
+    return mutations.replace(o.where("o_orderkey % 3 > 0"), o.where("o_orderkey % 4 = 0").withColumn("o_orderstatus", F.lit("new")), ["o_orderkey"])
+
+
+_FALLBACKS = ["Page 3 visual fallback", "Figure extracted from page 4", "Figure 2. A plot", ""]
+
+
+@query("f8_low_signal_figures", f"WITH f AS (SELECT p_partkey, ({_FALLBACKS!r})[1 + p_partkey % 4] AS caption, CASE p_size % 5 WHEN 0 THEN ' FIGURE extracted from page 1' WHEN 1 THEN 'a Visual Fallback of it' ELSE p_name END AS content FROM part) SELECT p_partkey, caption, contains(lower(caption), 'visual fallback') OR contains(lower(content), 'visual fallback') OR starts_with(lower(caption), 'figure extracted from page') OR starts_with(trim(lower(content)), 'figure extracted from page') AS low FROM f")
+def f8_low_signal_figures(spark, sf_dir):
+    caption = F.element_at(F.array(*map(F.lit, _FALLBACKS)), (1 + F.col("p_partkey") % 4).cast("int"))
+    content = F.when(F.col("p_size") % 5 == 0, " FIGURE extracted from page 1").when(F.col("p_size") % 5 == 1, "a Visual Fallback of it").otherwise(F.col("p_name"))
+    return table(spark, sf_dir, "part").select("p_partkey", caption.alias("caption"), figures.low_signal(caption, content).alias("low"))
+
+
+_LABELS = ["Figure 3. x", "fig. no. #4", "FIGURES of", "hình IV", "Table 2", "figurative", " Fig:12b", "Fig"]
+
+
+@query("f19_figure_labels", f"SELECT p_partkey, regexp_matches(label, '(?i)^\\s*(?:fig(?:ure)?\\.?|hình|hinh)\\s*(?:no\\.?\\s*)?[#:]?\\s*(?:\\d+|[ivxlcdm]+)(?:[^\\p{{L}}\\p{{N}}_]|$)') AS is_figure FROM (SELECT p_partkey, ({_LABELS!r})[1 + p_partkey % 8] || CASE WHEN p_size % 2 = 0 THEN ' ' || p_name ELSE '' END AS label FROM part)")
+def f19_figure_labels(spark, sf_dir):
+    label = F.concat(F.element_at(F.array(*map(F.lit, _LABELS)), (1 + F.col("p_partkey") % 8).cast("int")), F.when(F.col("p_size") % 2 == 0, F.concat(F.lit(" "), "p_name")).otherwise(""))
+    return table(spark, sf_dir, "part").select("p_partkey", captions.labels_figure(label).alias("is_figure"))
+
+
+@query("f22_isolated_paths", """
+WITH p AS (SELECT page_id, (['/data/indexes/', '/data/indexes/../', '/data/./indexes//a/../', 'data/indexes/', '/data/indexes/a/../../', '/data/indexes'])[1 + page_id % 6] || coalesce(regexp_extract(url, '://[^/]*/?([^?#]*)', 1), '') AS path FROM pages)
+SELECT page_id, CASE page_id % 6 WHEN 0 THEN regexp_replace(path, '/+$', '') <> '/data/indexes' WHEN 2 THEN regexp_replace(path, '/+$', '') <> '/data/./indexes//a/..' ELSE false END AS ok FROM p""")
+def f22_isolated_paths(spark, sf_dir):
+    """Paths of pages after prefixes that stay in a folder and that leave it."""
+    start = F.element_at(F.array(*map(F.lit, ["/data/indexes/", "/data/indexes/../", "/data/./indexes//a/../", "data/indexes/", "/data/indexes/a/../../", "/data/indexes"])), (1 + F.col("page_id") % 6).cast("int"))
+    path = F.concat(start, F.coalesce(F.regexp_extract("url", "://[^/]*/?([^?#]*)", 1), F.lit("")))
+    return table(spark, sf_dir, "pages").select("page_id", files.isolated(path, "/data/indexes").alias("ok"))

@@ -212,6 +212,17 @@ def published(spark: SparkSession, path: str, name: str = "table", version: int
     return spark.read.parquet(f"{path}/{name}/version={last}")
 
 
+def resolved_path(path: Column) -> Column:
+    """An absolute path without `.`, `..` and empty parts; `..` at the root stays there. Links are not followed."""
+    step = lambda kept, part: F.when(part == "..", F.slice(kept, 1, F.greatest(F.size(kept) - 1, F.lit(0)))).when(part.isin("", "."), kept).otherwise(F.array_append(kept, part))
+    return F.concat(F.lit("/"), F.array_join(F.aggregate(F.split(path, "/"), F.array().cast("array<string>"), step), "/"))
+
+
+def isolated(path: Column, root: str) -> Column:
+    """Whether an absolute path lies below a folder, once `..` is resolved; the folder itself, relative and null paths don't."""
+    return F.coalesce(path.startswith("/") & resolved_path(path).startswith(root.rstrip("/") + "/"), F.lit(False))
+
+
 def sse_frame(event: Column, data: Column) -> Column:
     """One server-sent event as text."""
     return F.concat(F.lit("event: "), event, F.lit("\ndata: "), data, F.lit("\n\n"))

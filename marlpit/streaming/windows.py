@@ -7,6 +7,7 @@ from bisect import bisect_right
 from collections.abc import Callable, Iterator
 
 import pandas as pd
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupStateTimeout
@@ -85,6 +86,63 @@ def outbox_sink(path: str, key: list[str]) -> Callable[[DataFrame, int], None]:
     return write
 
 
+BUCKETS = 64
+
+
+def _touched(batch: DataFrame, key: list[str], buckets: int) -> tuple[DataFrame, list[int]]:
+    """batch with its keys' bucket, and the buckets that occur: at most `buckets`."""
+    placed = batch.withColumn("bucket", F.pmod(F.xxhash64(*key), F.lit(buckets)).cast("int"))
+    return placed, sorted(r[0] for r in placed.select("bucket").distinct().collect())
+
+
+def _there(spark: SparkSession, path: str, schema: str, touched: list[int]) -> DataFrame:
+    """Rows of the touched buckets; none if nothing is there yet."""
+    try:
+        return spark.read.schema(schema).parquet(path).where(F.col("bucket").isin(touched))
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return spark.createDataFrame([], schema)
+
+
+def _ddl(df: DataFrame, *more: str) -> str:
+    return ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema), *more])
+
+
+def bucket_upsert_sink(path: str, key: list[str], version: str, buckets: int = BUCKETS) -> Callable[[DataFrame, int], None]:
+    """A foreachBatch function that keeps the newest row of each key in a table under `path`, partitioned by a bucket of the key.
+
+    A batch reads and rewrites the buckets of its keys alone, so what it costs doesn't grow with the table's age. A row replaces one of an equal or
+    smaller version, so a batch that is replayed, or was cut short while buckets were moved into place, ends in the same table.
+    """
+
+    def write(batch: DataFrame, n: int) -> None:
+        placed, touched = _touched(batch, key, buckets)
+        if touched:
+            before = _there(batch.sparkSession, path, _ddl(batch, "bucket int"), touched)
+            new = upsert(before, placed, key, version)
+            new.repartition("bucket").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(path)
+
+    return write
+
+
+def bucket_outbox_sink(path: str, key: list[str], buckets: int = BUCKETS) -> Callable[[DataFrame, int], None]:
+    """A foreachBatch function that delivers each outbox row once, partitioned by a bucket of the key and the batch.
+
+    Rows that other batches delivered are left out, for which a batch reads the keys in its own buckets; a batch that is replayed overwrites its own
+    partitions, and gives the same rows, since later batches aren't there yet.
+    """
+
+    def write(batch: DataFrame, n: int) -> None:
+        placed, touched = _touched(batch.dropDuplicates(key), key, buckets)
+        if touched:
+            done = _there(batch.sparkSession, path, _ddl(batch.select(*key), "bucket int", "batch long"), touched).where(F.col("batch") != n)
+            fresh = placed.join(done.select(*key), key, "left_anti").withColumn("batch", F.lit(n).cast("long"))
+            fresh.repartition("bucket").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket", "batch").parquet(path)
+
+    return write
+
+
 def run_once(stream: DataFrame, checkpoint: str, sink: Callable[[DataFrame, int], None]) -> None:
     """Processes all that is there and stops."""
     stream.writeStream.foreachBatch(sink).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
