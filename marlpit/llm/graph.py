@@ -1,4 +1,7 @@
-"""Connected components: each task contracts the edges it reads to a forest, and large-star and small-star rounds in turn join the forests."""
+"""Connected components: tasks contract the edges they read to forests, as long as that makes them fewer; large-star and small-star rounds join what is left.
+
+Spark packs a small table's files into few tasks, so forests that fit one task end there; those of a large table meet in the rounds.
+"""
 
 from __future__ import annotations
 
@@ -72,33 +75,45 @@ def _small_star(edges: DataFrame, least: DataFrame) -> DataFrame:
     return edges.join(least, "a").select(F.when(F.col("b") == F.col("m"), F.col("a")).otherwise(F.col("b")).alias("a"), F.col("m").alias("b")).distinct()
 
 
+def _settled(edges: DataFrame) -> bool:
+    """Whether each component is one star: no node has two edges down, and none with one has any up."""
+    ends = edges.select(F.col("a").alias("n"), F.lit(1).alias("down"), F.lit(0).alias("up")).union(edges.select("b", F.lit(0), F.lit(1)))
+    return not ends.groupBy("n").agg(F.sum("down").alias("down"), F.max("up").alias("up")).where("down > 1 OR down = 1 AND up = 1").limit(1).count()
+
+
+def _round(now: DataFrame) -> DataFrame:
+    # plain tables: their exchanges, and so the edges of a hot node, can be split
+    least = store(_least(now), "least")
+    large = store(_large_star(now, least), "large")
+    small = store(_small_least(large), "small")
+    new = store(_small_star(large, small), "edges")
+    for t in (now, least, large, small):
+        discard(t)
+    return new
+
+
 def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     """(node, component): the smallest node that each node of an edge list (a, b) reaches.
 
-    Edges have no direction; loops, nulls and repeated edges are ignored. Every round is a written table, and the
-    last is one star for each component. Whole numbers are contracted task by task first, so that a hot node's edges are few in
-    each. An empty list gives an empty table.
+    Edges have no direction; loops, nulls and repeated edges are ignored. Every step is a written table, and the
+    last is one star for each component. Only whole numbers are contracted, other nodes go through rounds alone. An empty list gives an
+    empty table.
     """
-    clean = edges.toDF("x", "y").where("x <> y").select(F.greatest("x", "y").alias("a"), F.least("x", "y").alias("b")).distinct()
+    clean = edges.toDF("x", "y").where("x <> y").select(F.greatest("x", "y").alias("a"), F.least("x", "y").alias("b"))
+    contract = None
     if all(t == "bigint" for _, t in clean.dtypes):
-        clean = clean.mapInArrow(_contract, "a long, b long")
-    now = store(clean, "edges")
-    mark = lambda df: tuple(df.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
-    before = mark(now)
+        contract = lambda df: df.mapInArrow(_contract, "a long, b long")
+    now = store(contract(clean) if contract else clean.distinct(), "edges")
+    size = now.count()
     for _ in range(most_rounds):
-        if not before[0]:
-            break
-        # plain tables: their exchanges, and so the edges of a hot node, can be split
-        least = store(_least(now), "least")
-        large = store(_large_star(now, least), "large")
-        small = store(_small_least(large), "small")
-        new = store(_small_star(large, small), "edges")
-        for t in (now, least, large, small):
-            discard(t)
-        now, after = new, mark(new)
-        if after == before:
-            break
-        before = after
-    else:
-        raise RuntimeError(f"components did not settle in {most_rounds} rounds")
-    return now.select(F.col("a").alias("node"), F.col("b").alias("component")).union(now.select("b", "b").distinct())
+        while contract:
+            new = store(contract(now), "edges")
+            discard(now)
+            now, before, size = new, size, new.count()
+            if size >= 0.9 * before:
+                break
+        if not size or _settled(now):
+            return now.select(F.col("a").alias("node"), F.col("b").alias("component")).union(now.select("b", "b").distinct())
+        now = _round(now)
+        size = now.count()
+    raise RuntimeError(f"components did not settle in {most_rounds} rounds")
