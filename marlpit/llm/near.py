@@ -10,8 +10,9 @@
    First a spanning forest of the most similar pairs is compared exactly and merged; then all pairs that still are open.
 
 A hash that many texts share is dealt to pairs of blocks of at most BLOCK texts, so no task holds all of them, and pairs
-are made AT_ONCE at a time and leave a task only if the sketch leaves them open. For the exact comparison, texts that pairs
-connect meet in one task if their sets have at most GROUP_BYTES; else each pair brings its sets.
+are made AT_ONCE at a time and leave a task only if the sketch leaves them open. A hash of n texts so makes n * n / (2 * BLOCK) copies of rows and
+n * n / 2 comparisons of sketches. For the exact comparison, sets that pairs connect are cut into slots of about GROUP_BYTES, and two slots with
+a pair meet in one task.
 """
 
 from __future__ import annotations
@@ -23,7 +24,6 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import Window as W
 
 from .common import discard, parts, slices, store
 from .graph import components
@@ -232,11 +232,6 @@ class _Verifier:
             both = len(np.intersect1d(x, y, assume_unique=True))
             return both >= similarity * (len(x) + len(y) - both) - 1e-9
 
-        def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in slices(batches):
-                keep = [i for i in range(batch.num_rows) if same(batch.column(2)[i].as_py(), batch.column(3)[i].as_py())]
-                yield batch.select(["a", "b"]).take(pa.array(keep, pa.int64()))
-
         def compare_together(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             group, held = None, {}
             for batch in slices(batches):
@@ -261,21 +256,19 @@ class _Verifier:
         known = self.tables[0]
         for t in self.tables[1:]:
             known = known.union(t)
-        # what the pairs connect meets in one place, so that each set travels once; where that is much, each pair brings its two sets
+        # what the pairs connect is cut into slots of about GROUP_BYTES of sets, by hash; the pairs of two slots and the sets they need are a block, which
+        # meets in one place. A group of one slot is one block, so that each of its sets travels once.
         of = store(components(pairs).toDF("node", "of"), "of")
-        big = store(of.join(known, "node").groupBy("of").agg(F.sum(F.octet_length("hashes")).alias("bytes")).where(F.col("bytes") > GROUP_BYTES).select(F.col("of").alias("big")), "big")
-        placed = pairs.join(of, F.col("a") == F.col("node")).select("of", "a", "b")
-        few = lambda df: df.join(big, F.col("of") == F.col("big"), "left_anti")
-        rows = few(known.join(of, "node")).select("of", F.col("node").alias("a"), F.lit(None).cast("long").alias("b"), "hashes")
-        rows = rows.union(few(placed).select("of", "a", "b", F.lit(None).cast("binary")))
-        rows = rows.repartition(parts(pairs.sparkSession), "of").sortWithinPartitions("of", F.col("b").asc_nulls_first())
-        out = rows.mapInArrow(compare_together, "a long, b long")
-        if big.limit(1).count():
-            rest = placed.join(big, F.col("of") == F.col("big"), "left_semi").select("a", "b")
-            both = rest.join(known.toDF("a", "left"), "a").join(known.toDF("b", "right"), "b").select("a", "b", "left", "right")
-            out = out.union(both.mapInArrow(compare, "a long, b long"))
-        out = store(out, "alike")
-        for t in (pairs, wanted, of, big):
+        sizes = of.join(known.select("node", F.octet_length("hashes").alias("bytes")), "node").groupBy("of").agg(F.ceil(F.sum("bytes") / GROUP_BYTES).cast("long").alias("slots"))
+        slot = lambda node: F.pmod(F.xxhash64(node), "slots")
+        placed = pairs.join(of, F.col("a") == F.col("node")).join(sizes, "of").withColumns({"_a": slot("a"), "_b": slot("b")})
+        placed = store(placed.select(F.xxhash64("of", F.least("_a", "_b"), F.greatest("_a", "_b")).alias("block"), "of", "a", "b"), "placed")
+        needs = placed.select("block", F.col("a").alias("node")).union(placed.select("block", "b")).distinct()
+        rows = needs.join(known, "node").select("block", F.col("node").alias("a"), F.lit(None).cast("long").alias("b"), "hashes")
+        rows = rows.union(placed.select("block", "a", "b", F.lit(None).cast("binary")))
+        rows = rows.repartition(parts(pairs.sparkSession), "block").sortWithinPartitions("block", F.col("b").asc_nulls_first())
+        out = store(rows.mapInArrow(compare_together, "a long, b long"), "alike")
+        for t in (pairs, wanted, of, placed):
             discard(t)
         return out
 
@@ -353,10 +346,12 @@ def groups(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int
         comp = grouped(sure)
         known = of.join(comp, F.col("node") == F.col("of"), "left").withColumn("comp", F.coalesce("comp", "node"))
         if shared is None:
-            token = W.partitionBy("token")
-            met = known.select(F.explode("tokens").alias("token"), "node", "comp").repartition(parts(docs.sparkSession), "token")
-            met = met.withColumns({"low": F.min("comp").over(token), "high": F.max("comp").over(token), "n": F.count("*").over(token)}).where("low < high")
-            shared = store(met.select("token", "node", F.ceil(F.col("n") / BLOCK).cast("int").alias("pieces")), "shared")
+            # how often a token is there is added up before it is shuffled; its rows then meet that number in a join whose sides can be split
+            met = known.select(F.explode("tokens").alias("token"), "node", "comp")
+            often = met.groupBy("token").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.count("*").alias("n")).where("low < high")
+            often = store(often.select("token", F.ceil(F.col("n") / BLOCK).cast("int").alias("pieces")), "often")
+            shared = store(met.join(often, "token").select("token", "node", "pieces"), "shared")
+            discard(often)
         pairs = store(_open(shared, known.select("node", "comp", "size", "sketch"), similarity, forest), "open")
         sure = merged(sure, pairs)
         for t in (comp, pairs):
