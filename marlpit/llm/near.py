@@ -11,7 +11,7 @@
 
 A hash that many texts share is dealt to pairs of blocks of at most BLOCK texts, so no task holds all of them, and pairs
 are made AT_ONCE at a time and leave a task only if the sketch leaves them open. A hash of n texts so makes n * n / (2 * BLOCK) copies of rows and
-n * n / 2 comparisons of sketches. For the exact comparison, sets that pairs connect are cut into slots of about GROUP_BYTES, and two slots with
+n * n / 2 comparisons of sketches. For the exact comparison, sets that pairs connect are cut into slots of about half of GROUP_BYTES, and two slots with
 a pair meet in one task.
 """
 
@@ -256,10 +256,10 @@ class _Verifier:
         known = self.tables[0]
         for t in self.tables[1:]:
             known = known.union(t)
-        # what the pairs connect is cut into slots of about GROUP_BYTES of sets, by hash; the pairs of two slots and the sets they need are a block, which
-        # meets in one place. A group of one slot is one block, so that each of its sets travels once.
+        # what the pairs connect is cut into slots of about half of GROUP_BYTES of sets, by hash; the pairs of two slots and the sets they need are a block,
+        # which meets in one place. A group of at most two slots is one block, so that each of its sets travels once.
         of = store(components(pairs).toDF("node", "of"), "of")
-        sizes = of.join(known.select("node", F.octet_length("hashes").alias("bytes")), "node").groupBy("of").agg(F.ceil(F.sum("bytes") / GROUP_BYTES).cast("long").alias("slots"))
+        sizes = of.join(known.select("node", F.octet_length("hashes").alias("bytes")), "node").groupBy("of").agg(F.ceil(2 * F.sum("bytes") / GROUP_BYTES).cast("long").alias("slots")).withColumn("slots", F.when(F.col("slots") <= 2, 1).otherwise(F.col("slots")))
         slot = lambda node: F.pmod(F.xxhash64(node), "slots")
         placed = pairs.join(of, F.col("a") == F.col("node")).join(sizes, "of").withColumns({"_a": slot("a"), "_b": slot("b")})
         placed = store(placed.select(F.xxhash64("of", F.least("_a", "_b"), F.greatest("_a", "_b")).alias("block"), "of", "a", "b"), "placed")
