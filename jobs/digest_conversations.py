@@ -84,7 +84,7 @@ def run(spark: SparkSession, conversations: str, to: str, config: dict | None =
     LOG.info("%s: %d conversations with questions read, %d changed, in %d of %d buckets", conversations, took["conversations"], took["changed"], len(work), c["buckets"])
     if work:
         made = digest(numbered(turns.where(F.col("bucket").isin(sorted(work)))))
-        made.repartition("bucket", "conv_id").sortWithinPartitions("bucket", "conv_id", "turn").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(to)
+        made.hint("rebalance", F.col("bucket")).sortWithinPartitions("bucket", "conv_id", "turn").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(to)
         for r in read(spark, to).where(F.col("bucket").isin(sorted(work))).groupBy("bucket").agg(F.count("*").alias("n")).orderBy("bucket").collect():
             LOG.info("%s: bucket %d written, %d questions", to, r.bucket, r.n)
     return took

@@ -89,7 +89,8 @@ def append(docs: DataFrame, path: str, batch: int, key: str, fields: dict[str, f
         counted = spread.groupBy("key", "term").agg(F.sum("w").alias("tf"), F.max("dl").alias("dl"))
         place = F.pmod(F.xxhash64("key"), F.lit(blocks))
         made = counted.select("term", place.alias("block"), "key", "tf", "dl", bucket_of(digits=digits).alias("bucket"), F.lit(batch).cast("long").alias("batch"))
-        _write(made.repartition("bucket", F.pmod(F.xxhash64("term"), F.lit(8))).sortWithinPartitions("bucket", "batch", "term", "block"), f"{path}/postings", ["bucket", "batch"])
+        # dealt by bucket, and a bucket with a term that most documents have is split
+        _write(made.hint("rebalance", F.col("bucket")).sortWithinPartitions("bucket", "batch", "term", "block"), f"{path}/postings", ["bucket", "batch"])
         held = read(spark, path, "postings", kind).where(F.col("batch") == batch)
         summary = held.groupBy("bucket", "batch", "term", "block").agg(F.count("*").alias("n"), F.max("tf").alias("max_tf"), F.min("dl").alias("min_dl"))
         _write(summary.select("term", "block", "n", "max_tf", "min_dl", "bucket", "batch"), f"{path}/blocks", ["bucket", "batch"])

@@ -121,7 +121,7 @@ def bucket_upsert_sink(path: str, key: list[str], version: str, buckets: int = B
         if touched:
             before = _there(batch.sparkSession, path, _ddl(batch, "bucket int"), touched)
             new = upsert(before, placed, key, version)
-            new.repartition("bucket").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(path)
+            new.hint("rebalance", F.col("bucket")).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(path)
 
     return write
 
@@ -138,7 +138,7 @@ def bucket_outbox_sink(path: str, key: list[str], buckets: int = BUCKETS) -> Cal
         if touched:
             done = _there(batch.sparkSession, path, _ddl(batch.select(*key), "bucket int", "batch long"), touched).where(F.col("batch") != n)
             fresh = placed.join(done.select(*key), key, "left_anti").withColumn("batch", F.lit(n).cast("long"))
-            fresh.repartition("bucket").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket", "batch").parquet(path)
+            fresh.hint("rebalance", F.col("bucket")).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket", "batch").parquet(path)
 
     return write
 
