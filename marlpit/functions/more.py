@@ -5,7 +5,9 @@ from __future__ import annotations
 import re
 import unicodedata
 import uuid
+from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -89,15 +91,30 @@ def nfkc_casefold(text: pd.Series) -> pd.Series:
     return text.map(lambda t: None if t is None else unicodedata.normalize("NFKC", t).casefold())
 
 
+#: Characters whose places are held at once, four bytes each; a longer text goes by itself.
+POSITIONS = 1 << 20
+
+
+def _squeezed(text: str | None) -> tuple[str, np.ndarray]:
+    t = text or ""
+    kept = np.ones(len(t), bool)
+    for space in re.finditer(r"\s+", t):
+        outer = space.start() == 0 or space.end() == len(t)
+        kept[space.start() + (not outer) : space.end()] = False
+    return " ".join(t.split()), np.flatnonzero(kept).astype("int32")
+
+
 @F.pandas_udf(T.StructType([T.StructField("flat", T.StringType()), T.StructField("positions", T.ArrayType(T.IntegerType()))]))
-def squeeze_with_positions(text: pd.Series) -> pd.DataFrame:
-    """A text with single spaces, and the place in the original of each of its characters."""
-    flats, places = [], []
-    for t in text:
-        words = list(re.finditer(r"\S+", t or ""))
-        at: list[int] = []
-        for i, w in enumerate(words):
-            at += ([words[i - 1].end()] if i else []) + list(range(w.start(), w.end()))
-        flats.append(" ".join(w[0] for w in words))
-        places.append(at)
-    return pd.DataFrame({"flat": flats, "positions": places})
+def squeeze_with_positions(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+    """A text with single spaces, and the place in the original of each of its characters; rows are handed on before their places take much memory."""
+    for batch in texts:
+        held: list[tuple[str, np.ndarray]] = []
+        size = 0
+        for text in batch:
+            held.append(_squeezed(text))
+            size += len(held[-1][1])
+            if size >= POSITIONS:
+                yield pd.DataFrame(held, columns=["flat", "positions"])
+                held, size = [], 0
+        if held or not len(batch):
+            yield pd.DataFrame(held, columns=["flat", "positions"])

@@ -141,6 +141,22 @@ def test_positions_and_ids_by_hand(spark):
         assert ids[r.doc_id] == str(uuid.uuid5(uuid.NAMESPACE_URL, f"doc:{r.doc_id}"))
 
 
+def test_positions_in_small_frames(spark):
+    import numpy as np
+
+    from marlpit.functions import more
+
+    texts = pd.Series(["  a \n b\u00a0c  ", None, "", *["word  " * 100_000] * 4])
+    frames = list(more.squeeze_with_positions.func(iter([texts, texts[:0]])))
+    assert all(isinstance(x, np.ndarray) and x.dtype == np.int32 for f in frames for x in f.positions)
+    assert max(sum(map(len, f.positions)) for f in frames) < 2 * more.POSITIONS and [f for f in frames if len(f)][1:]
+    whole = pd.concat(frames)
+    assert len(whole) == len(texts) and whole["flat"][:3].tolist() == ["a b c", "", ""] and list(whole.positions.iloc[0]) == [2, 3, 6, 7, 8]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts) if i != 1], "i long, t string").coalesce(1)
+    got = df.select("i", "t", more.squeeze_with_positions("t").alias("s")).select("i", "t", "s.*").collect()
+    assert len(got) == 6 and all(r.flat == " ".join(r.t.split()) and [r.t[p].strip() or " " for p in r.positions] == list(r.flat) for r in got)
+
+
 def test_global_rank(spark):
     from marlpit.operators.ranking import global_rank
 
