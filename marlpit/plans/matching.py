@@ -72,8 +72,8 @@ def j16_inflected_mentions(spark, sf_dir):
     asked = p.select(F.col("p_partkey").alias("query_id"), F.concat(F.lit("what is "), "p_name", end, F.lit(" and "), "p_name", F.lit("x")).alias("text"))
     none = F.array().cast("array<string>")
     catalog = p.select(F.col("p_partkey").alias("document_id"), F.concat(F.translate("p_name", " ", "_"), F.lit(".pdf")).alias("filename"), F.lit("").alias("title"), none.alias("keywords"))
-    found = entities.mentions(asked, entities.aliases(catalog).where("source = 'filename'"))
-    return found.select("query_id", "alias", F.col("start").cast("long").alias("start"), F.col("end").cast("long").alias("end"), F.size("owners").cast("long").alias("n_owners"))
+    found = entities.mentions(asked, entities.aliases(catalog).where("source = 'filename'"), counts=True)
+    return found.select("query_id", "alias", F.col("start").cast("long").alias("start"), F.col("end").cast("long").alias("end"), F.col("n_owners").cast("long").alias("n_owners"))
 
 
 def _bits(n, names):

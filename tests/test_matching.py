@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from marlpit.functions import fixed
 from marlpit.operators import captions, claims, decisions, entities, vector
+from marlpit.plans import catalog, registry  # noqa: F401
 
 HEAD = "| a | b |\n|:---|---|\n| 1 | 2 |"
 
@@ -293,3 +294,22 @@ def test_catalog_aliases(spark):
     for i, r in enumerate(rows):
         assert set(got.get(i, [])) == aliases_of(*r) and len(got.get(i, [])) == len(set(got.get(i, []))), r
     assert sum(map(len, got.values())) > 60
+
+
+def test_mentions_of_names_with_many_owners(spark):
+    """Rows don't bring the owners of their alias, and owners are compared as the general form compares them."""
+    names = [(i, f"{'big' if i % 3 else 'small'} ring {'left' if i % 2 else 'right'}", 3 - i % 2) for i in range(12)] + [(i, "ring", 1 + i % 3) for i in range(0, 12, 2)]
+    names += [(i, "small ring", 2) for i in range(0, 12, 3)] + [(20, "ring left", 3), (1, "big", 1), (2, "big", 2)]
+    names = spark.createDataFrame(names, "document_id int, alias string, strength int").withColumn("source", F.lit("filename"))
+    texts = ["what is big ring left", "small ring right or small ring left", "a ring and a big thing", None, ""]
+    asked = spark.createDataFrame([(i, texts[i % 5]) for i in range(40)], "query_id int, text string")
+    whole, counted = entities.mentions(asked, names), entities.mentions(asked, names, counts=True)
+    both = [whole.withColumn("n_owners", F.size("owners")).drop("owners"), counted]
+    want, got = ({tuple(r.asDict()[c] for c in ("query_id", "alias", "start", "end", "strength", "n_owners")) for r in x.collect()} for x in both)
+    assert want == got and len(got) == counted.count() > 40
+    shown = ["query_id", "alias", "start", "end"]
+    want, got = (sorted(map(tuple, x.select(shown).collect())) for x in (entities.unshadowed(whole), entities.unshadowed(counted, owned=names)))
+    assert want == got and 0 < len(got) < counted.count()
+    for name in ("j16_mentions", "j17_unshadowed", "j16_inflected_mentions"):
+        plan = registry.queries()[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+        assert "collect_set" not in plan
