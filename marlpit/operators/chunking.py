@@ -145,8 +145,8 @@ def chunk(docs: DataFrame, key: str = "doc_id", text: str = "text", most: int =
     return out.withColumnRenamed("key", key)
 
 
-#: A pipe row, a separator row, and pipe rows after it.
-_table = r"(?m)^([^\n]*\|[^\n]*)\n[^\S\n]*\|?[^\S\n]*:?-{3,}:?[^\S\n]*(?:\|[^\S\n]*:?-{3,}:?[^\S\n]*)+\|?[^\S\n]*((?:\n[^\n]*\|[^\n]*)*)"
+#: A pipe row, a separator row, and pipe rows after it; repeats take all they can (++, *+), for else each row of a long table is a call on Java's stack.
+_table = r"(?m)^([^\n]*\|[^\n]*)\n[^\S\n]*\|?[^\S\n]*:?-{3,}:?[^\S\n]*(?:\|[^\S\n]*:?-{3,}:?[^\S\n]*)++\|?[^\S\n]*((?:\n[^\n]*\|[^\n]*)*+)"
 TABLE_CAPTION, FIGURE_CAPTION = r"(?i)^(table|bảng)\s*\d+\s*[.:–-]", r"(?i)^(fig\.?|figure|hình)\s*\d+\s*[.:–-]"
 
 
