@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from ..functions.text import shingle_hashes
+from ..sources.shared import new_folder
 
 
 def degrees(edges: DataFrame, a: str = "src", b: str = "dst") -> DataFrame:
@@ -15,32 +18,37 @@ def degrees(edges: DataFrame, a: str = "src", b: str = "dst") -> DataFrame:
 
 
 def connected(edges: DataFrame, nodes: DataFrame | None = None, a: str = "src", b: str = "dst", most_rounds: int = 50) -> DataFrame:
-    """(node, component): every node with the smallest it reaches, by passing labels on and skipping ahead; isolated nodes are their own.
+    """(node, component): every node with the smallest it reaches; isolated nodes are their own.
 
-    Each round is a checkpoint in the shared folder, which spark.checkpoint.dir names; a temporary one is made in local mode only.
+    Each round hangs nodes on their smallest neighbour, shortens these trees to stars, and goes on with the edges between stars, which are ever fewer.
+    What a round makes is stored in the shared folder, which spark.checkpoint.dir names (a temporary one is made in local mode only), and read from
+    there: a frame that was checkpointed keeps its plan's constraints, which grow with each round.
     """
-    spark = edges.sparkSession
-    if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
-        import re
-        import tempfile
-
-        if not re.fullmatch(r"local(\[[^\[]*\])?", spark.sparkContext.master):
-            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="marlpit-"))
+    to = new_folder(edges.sparkSession, "connected")
+
+    def stored(df: DataFrame, name: str) -> DataFrame:
+        df.write.parquet(f"{to}/{name}")
+        return df.sparkSession.read.schema(df.schema).parquet(f"{to}/{name}")
+
     both = edges.select(F.col(a).alias("u"), F.col(b).alias("v")).where("u <> v")
-    both = both.union(both.select("v", "u")).distinct().checkpoint()
-    seen = both.select(F.col("u").alias("node"))
+    left = stored(both.union(both.select("v", "u")).distinct(), "edges")
+    seen = left.select(F.col("u").alias("node"))
     seen = (seen.union(nodes.select(nodes.columns[0])) if nodes is not None else seen).distinct()
-    labels = seen.withColumn("component", F.col("node")).checkpoint()
-    for _ in range(most_rounds):
-        near = both.join(labels, F.col("v") == F.col("node")).groupBy("u").agg(F.min("component").alias("m"))
-        new = labels.join(near, F.col("node") == F.col("u"), "left").select("node", F.least("component", "m").alias("c"))
-        root = new.select(F.col("node").alias("r"), F.col("c").alias("rc"))
-        jumped = new.join(root, F.col("c") == F.col("r"), "left").select("node", F.least("c", "rc").alias("component")).checkpoint()
-        moved = jumped.join(labels.withColumnRenamed("component", "old"), "node").where("component <> old").limit(1).count()
-        labels = jumped
-        if not moved:
+    labels = stored(seen.withColumn("component", F.col("node")), "labels")
+    for n in range(most_rounds):
+        if left.isEmpty():
             return labels
+        up = stored(left.groupBy("u").agg(F.min("v").alias("v")).select(F.col("u").alias("node"), F.least("u", "v").alias("root")), f"up{n}")
+        for m in range(most_rounds):
+            on = up.select(F.col("root").alias("_node"), F.col("root").alias("_kept")).distinct().join(up.select(F.col("node").alias("_node"), F.col("root").alias("_next")), "_node")
+            if on.where("_next <> _kept").isEmpty():
+                break
+            up = stored(up.join(on, F.col("root") == F.col("_node")).select("node", F.col("_next").alias("root")), f"up{n}_{m}")
+        else:
+            raise RuntimeError(f"trees did not settle in {most_rounds} rounds")
+        at = lambda c, to: up.select(F.col("node").alias(c), F.col("root").alias(to))  # noqa: B023, E731
+        labels = stored(labels.join(at("component", "_root"), "component", "left").select("node", F.coalesce("_root", "component").alias("component")), f"labels{n}")
+        left = stored(left.join(at("u", "_u"), "u").join(at("v", "_v"), "v").select(F.col("_u").alias("u"), F.col("_v").alias("v")).where("u <> v").distinct(), f"edges{n}")
     raise RuntimeError(f"components did not settle in {most_rounds} rounds")
 
 
@@ -119,8 +127,26 @@ def panels(boxes: DataFrame, page: list[str], gap: float = 24, share: float = 0.
     cut = boxes.withColumn("_s", F.explode(F.sequence(strip(F.col("y0")), strip(F.greatest("y0", "y1") + F.lit(float(gap))))))
     left, right = (cut.select(*page, "_s", *[F.col(c).alias(f"{p}_{c}") for c in cols]) for p in "ab")
     both = left.join(right, [*page, "_s"]).where((F.col("a_box_id") < F.col("b_box_id")) & (F.col("_s") == strip(F.greatest("a_y0", "b_y0"))))
-    size = lambda p, q: F.least(f"a_{q}", f"b_{q}") - F.greatest(f"a_{p}", f"b_{p}")
-    wide = lambda p, q: F.least(F.col(f"a_{q}") - F.col(f"a_{p}"), F.col(f"b_{q}") - F.col(f"b_{p}"))
+    return both.where(_near(*[lambda c, p=p: F.col(f"{p}_{c}") for p in "ab"], gap, share)).select(*page, F.col("a_box_id").alias("src"), F.col("b_box_id").alias("dst"))
+
+
+def _near(a: Callable[[str], Column], b: Callable[[str], Column], gap: float, share: float) -> Column:
+    size = lambda p, q: F.least(a(q), b(q)) - F.greatest(a(p), b(p))
+    wide = lambda p, q: F.least(a(q) - a(p), b(q) - b(p))
     beside = (size("y0", "y1") >= share * wide("y0", "y1")) & (-size("x0", "x1") <= gap)
     stacked = (size("x0", "x1") >= share * wide("x0", "x1")) & (-size("y0", "y1") <= gap)
-    return both.where(beside | stacked).select(*page, F.col("a_box_id").alias("src"), F.col("b_box_id").alias("dst"))
+    return beside | stacked
+
+
+def linked_panels(boxes: DataFrame, page: list[str], gap: float = 24, share: float = 0.5) -> DataFrame:
+    """Pairs with the same components as those of panels(): boxes in one place are linked to the smallest of them, which alone meets others.
+
+    Boxes with a side of less than no length may not be linked with their like; such ones meet all by themselves.
+    """
+    place = [*page, "x0", "y0", "x1", "y1"]
+    alike = F.coalesce(_near(F.col, F.col, gap, share), F.lit(False))
+    same = boxes.where(alike)
+    first = same.groupBy(*place).agg(F.min("box_id").alias("_first"))
+    copies = same.join(first, place).where("box_id <> _first").select(*page, F.col("_first").alias("src"), F.col("box_id").alias("dst"))
+    alone = first.select(*place, F.col("_first").alias("box_id")).union(boxes.where(~alike).select(*place, "box_id"))
+    return panels(alone, page, gap, share).union(copies)

@@ -1,4 +1,5 @@
 import datetime
+import random
 import zipfile
 
 import pytest
@@ -312,3 +313,22 @@ def test_merging_of_many_overlaps():
             whole = whole + part[n:] if n else f"{whole}\n\n{part}" if whole and part else whole or part
         assert merge_all(parts) == whole
     assert merge_overlap("", "x") == merge_overlap("x", "") == "x"
+
+
+def test_long_and_wide_pipe_tables(spark):
+    long = "Table 1: all\n| a | b |\n|---|---|\n" + "\n".join(f"| {i} | x |" for i in range(50_000)) + "\nend"
+    wide = "|".join(["", *["c"] * 20_000, ""]) + "\n" + "|".join(["", *["---"] * 20_000, ""]) + "\n| 1 | 2 |"
+    docs = spark.createDataFrame([(1, long), (2, wide), (3, "| a |\n|---|---|\nno")], "doc_id int, text string")
+    got = {r.doc_id: (r.n_rows, r.n_columns, r.caption) for r in chunking.tables_of(docs).collect()}
+    assert got == {1: (50_000, 2, "Table 1: all"), 2: (1, 20_000, None), 3: (0, 1, None)}
+
+
+def test_linked_panels_have_the_components_of_all_pairs(spark):
+    rng = random.Random(4)
+    boxes = [(f"p{i % 3}", i, *((x := float(rng.randrange(4) * 60)), (y := float(rng.randrange(4) * 120)), x + rng.choice([30.0, 30.0, 30.0, -60.0]), y + rng.choice([20.0, 20.0, 20.0, -90.0]))) for i in range(240)]
+    boxes += [(None, 900 + i, 0.0, 0.0, 9.0, 9.0) for i in range(2)] + [("p0", 910 + i, 0.0, None, 9.0, 9.0) for i in range(2)]
+    df = spark.createDataFrame(boxes, "page string, box_id int, x0 double, y0 double, x1 double, y1 double")
+    all_pairs, links = graph.panels(df, ["page"]), graph.linked_panels(df, ["page"])
+    assert links.count() < all_pairs.count() / 2
+    want, got = ({r.node: r.component for r in graph.connected(e, df.select("box_id")).collect()} for e in (all_pairs, links))
+    assert want == got and len(set(got.values())) > 6
