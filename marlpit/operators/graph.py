@@ -78,15 +78,20 @@ def offsets(parents: DataFrame, doc: str, order: str, content: str = "content",
 
 
 def containment(chunks: DataFrame, parents: DataFrame, doc: str, chunk_key: str, parent_key: str, width: int = 5) -> DataFrame:
-    """(doc, chunk, parent, score): shared shingles over the smaller set's size, by an equi-join on shingle hashes."""
+    """(doc, chunk, parent, score): shared shingles over the smaller set's size.
 
-    def sets(df: DataFrame, k: str, n: str) -> DataFrame:
-        hashed = df.select(doc, k, shingle_hashes(F.col("content"), width).alias("_set"))
-        return hashed.select(doc, k, F.size("_set").alias(n), F.explode("_set").alias("s"))
-
-    a, b = sets(chunks, chunk_key, "na"), sets(parents, parent_key, "nb")
-    both = a.join(b, [doc, "s"]).groupBy(doc, chunk_key, parent_key).agg(F.count("*").alias("both"), F.first(F.least("na", "nb")).alias("n"))
-    return both.select(doc, chunk_key, parent_key, F.round(F.col("both") / F.col("n"), 6).alias("score"))
+    Texts are dealt by document, chunks and parents together, and cut into shingles after that: shingles meet where they were made.
+    """
+    one = lambda df, own, k, other, kind: df.select(doc, F.col(k).alias(own), F.lit(None).cast(kind).alias(other), F.lit(own == "_c").alias("_chunk"), "content")
+    kinds = [df.schema[k].dataType for df, k in ((chunks, chunk_key), (parents, parent_key))]
+    both = one(chunks, "_c", chunk_key, "_p", kinds[1]).unionByName(one(parents, "_p", parent_key, "_c", kinds[0]))
+    dealt = both.where(F.col(doc).isNotNull()).repartition(int(chunks.sparkSession.conf.get("spark.sql.shuffle.partitions")), doc)
+    hashed = dealt.select(doc, "_c", "_p", "_chunk", shingle_hashes(F.col("content"), width).alias("_set"))
+    cut = hashed.select(doc, "_c", "_p", "_chunk", F.size("_set").alias("_n"), F.explode("_set").alias("_s"))
+    holding = F.collect_list(F.when(~F.col("_chunk"), F.struct("_p", "_n"))).over(W.partitionBy(doc, "_s"))
+    met = cut.select(doc, "_c", "_n", "_chunk", holding.alias("_h")).where("_chunk").select(doc, "_c", "_n", F.explode("_h").alias("_h"))
+    counted = met.groupBy(doc, "_c", F.col("_h._p").alias("_p")).agg(F.count("*").alias("both"), F.first(F.least("_n", "_h._n")).alias("n"))
+    return counted.select(doc, F.col("_c").alias(chunk_key), F.col("_p").alias(parent_key), F.round(F.col("both") / F.col("n"), 6).alias("score"))
 
 
 def clear_winner(scored: DataFrame, partition: list[str], key: str, least: float = 0.55, margin: float = 0.05) -> DataFrame:

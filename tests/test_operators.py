@@ -332,3 +332,12 @@ def test_linked_panels_have_the_components_of_all_pairs(spark):
     assert links.count() < all_pairs.count() / 2
     want, got = ({r.node: r.component for r in graph.connected(e, df.select("box_id")).collect()} for e in (all_pairs, links))
     assert want == got and len(set(got.values())) > 6
+
+
+def test_containment_deals_texts_and_no_shingles(spark):
+    chunks = spark.createDataFrame([(1, 0, "a b c d e f"), (1, None, "a b c d e"), (2, 0, "a b c d e"), (None, 0, "a b c d e"), (1, 2, None)], "doc int, chunk int, content string")
+    pages = spark.createDataFrame([(1, "x", "a b c d e f g h"), (1, None, "b c d e f"), (None, "y", "a b c d e")], "doc int, page string, content string")
+    found = graph.containment(chunks, pages, "doc", "chunk", "page")
+    assert {tuple(r) for r in found.collect()} == {(1, 0, "x", 1.0), (1, 0, None, 1.0), (1, None, "x", 1.0)}
+    plan = found._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
+    assert plan.count("Exchange") == 1 and "REPARTITION_BY_NUM" in plan
