@@ -146,3 +146,22 @@ def test_versions_appear_together(spark, tmp_path):
         files.publish_version({"cards": frame(7), "items": frame(7).selectExpr("raise_error('lost') AS id")}, path)
     assert both() == (3, 5)
     assert files.publish_version({"cards": frame(9), "items": frame(9)}, path, checks=orphans) == 2 and both() == (9, 9) and both(version=1) == (3, 5)
+
+
+def test_bm25_reads_texts_once_in_bounded_tasks(spark, monkeypatch):
+    from marlpit.operators import lexical
+
+    read = spark.sparkContext.accumulator(0)
+
+    @F.udf("string")
+    def told(x):
+        read.add(1)
+        return x
+
+    docs = spark.range(40).select(F.col("id").alias("doc_id"), told(F.concat(F.lit("alpha beta x"), F.col("id").cast("string"))).alias("text"), F.lit("Beta").alias("title"))
+    asked = spark.createDataFrame([(1, ["alpha", "x7"]), (2, ["beta"])], "query_id long, terms array<string>")
+    rows = lambda: sorted(map(tuple, lexical.bm25(docs, asked, "doc_id", {"title": 2.0, "text": 1.0}, scope=F.col("doc_id") < 30).collect()))
+    want = rows()
+    assert len(want) == 60 and read.value == 40  # statistics and scores share what was counted
+    monkeypatch.setattr(lexical, "PAIRS", 10, raising=False)
+    assert rows() == want and lexical.bm25(docs, asked, "doc_id", {"text": 1.0}).rdd.getNumPartitions() == 8
