@@ -20,12 +20,16 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import fixed
-from .lexical import words_of
+from .lexical import PAIRS, SENT_TERMS, words_of
 
 #: Documents a block.
 BLOCK = 128
 #: Blocks of a query whose documents are scored first, to know how good the k-th best is at least.
 FIRST_BLOCKS = 4
+#: Characters of changed texts that a task of append() tokenizes, about.
+TASK_CHARS = 4_000_000
+#: Pairs of a query and a block that are sent to all tasks at most; with more, blocks are passed over only if no query needs them.
+SENT_BLOCKS = 1_000_000
 TABLES = ("versions", "blocks", "postings")
 
 
@@ -73,19 +77,23 @@ def append(docs: DataFrame, path: str, batch: int, key: str, fields: dict[str, f
     gone = F.coalesce(gone, F.lit(False)) if gone is not None else F.lit(False)
     none = F.coalesce(*[F.col(f).cast("string") for f in fields]).isNull() | gone
     digest = F.when(~none, F.sha2(F.to_json(F.struct(*[F.col(f).alias(f"f{i}") for i, f in enumerate(fields)]), {"ignoreNullFields": "false"}), 256)).otherwise("")
-    marked = docs.where(F.col(key).isNotNull()).select(F.col(key).alias("key"), digest.alias("digest"), none.alias("removed"), *[F.col(f).alias(f"f{i}") for i, f in enumerate(fields)])
+    marked = docs.where(F.col(key).isNotNull()).select(F.col(key).alias("key"), digest.alias("digest"), none.alias("removed"), *[F.col(f).cast("string").alias(f"f{i}") for i, f in enumerate(fields)])
     before = current(read(spark, path, "versions", kind).where(F.col("batch") < batch)).select("key", F.col("digest").alias("old"), F.col("removed").alias("was_removed"))
     # narrow rows decide what changes; texts are met once, by key
-    wanted = marked.groupBy("key").agg(F.max(F.struct("digest", "removed")).alias("m")).select("key", "m.*").join(before, "key", "left")
+    chars = sum((F.coalesce(F.length(f"f{i}"), F.lit(0)) for i in range(len(fields))), F.lit(0)).cast("long")
+    wanted = marked.groupBy("key").agg(F.max(F.struct("digest", "removed", chars.alias("chars"))).alias("m")).select("key", "m.*").join(before, "key", "left")
     wanted = wanted.where(F.when(F.col("removed"), F.coalesce(~F.col("was_removed"), F.lit(False))).otherwise(F.col("old").isNull() | (F.col("old") != F.col("digest"))))
-    wanted = wanted.select("key", "digest").persist()
+    wanted = wanted.select("key", "digest", "removed", "chars").persist()
     try:
-        blocks = -(-max(wanted.count(), 1) // block)
-        new = marked.join(wanted, ["key", "digest"], "left_semi").dropDuplicates(["key"])
-        cut = new.select("key", "digest", "removed", *[F.when(~F.col("removed"), words_of(F.col(f"f{i}").cast("string"))).otherwise(F.array().cast("array<string>")).alias(f"w{i}") for i in range(len(fields))])
-        sized = cut.withColumn("dl", sum((F.size(f"w{i}") * F.lit(float(w)) for i, w in enumerate(fields.values())), F.lit(0.0)))
+        n_new, n_chars = wanted.agg(F.count("*"), F.sum("chars")).first()
+        blocks, tasks = -(-max(n_new, 1) // block), -(-max(n_chars or 0, 1) // TASK_CHARS)
+        # texts are dealt by key to as many tasks as their size asks for, and counted there
+        asked = wanted.where(~F.col("removed")).select("key", F.col("digest").alias("of")).repartition(tasks, "key")
+        new = marked.where(~F.col("removed")).drop("removed").repartition(tasks, "key").join(asked, "key").where("digest = of").dropDuplicates(["key"])
+        cut = new.select("key", *[words_of(F.col(f"f{i}")).alias(f"w{i}") for i in range(len(fields))])
+        total = sum((F.size(f"w{i}") * F.lit(float(w)) for i, w in enumerate(fields.values())), F.lit(0.0))
         uses = F.concat(*[_uses(f"w{i}", float(w)) for i, w in enumerate(fields.values())])
-        spread = sized.select("key", "dl", F.explode(uses).alias("u")).select("key", "dl", "u.*")
+        spread = cut.select("key", total.alias("dl"), uses.alias("u")).select("key", "dl", F.explode_outer("u").alias("u")).select("key", "dl", "u.*").where("term IS NOT NULL")  # outer: else a filter on the words' number would find them again
         counted = spread.groupBy("key", "term").agg(F.sum("w").alias("tf"), F.max("dl").alias("dl"))
         place = F.pmod(F.xxhash64("key"), F.lit(blocks))
         made = counted.select("term", place.alias("block"), "key", "tf", "dl", bucket_of(digits=digits).alias("bucket"), F.lit(batch).cast("long").alias("batch"))
@@ -94,7 +102,9 @@ def append(docs: DataFrame, path: str, batch: int, key: str, fields: dict[str, f
         held = read(spark, path, "postings", kind).where(F.col("batch") == batch)
         summary = held.groupBy("bucket", "batch", "term", "block").agg(F.count("*").alias("n"), F.max("tf").alias("max_tf"), F.min("dl").alias("min_dl"))
         _write(summary.select("term", "block", "n", "max_tf", "min_dl", "bucket", "batch"), f"{path}/blocks", ["bucket", "batch"])
-        _write(sized.select("key", "digest", "dl", "removed", F.lit(batch).cast("long").alias("batch")), f"{path}/versions", ["batch"])
+        sizes = held.groupBy("key").agg(F.max("dl").alias("dl"))  # each posting has its document's length; documents without words have none
+        brought = wanted.select("key", "digest", "removed").join(sizes, "key", "left")
+        _write(brought.select("key", "digest", F.coalesce("dl", F.lit(0.0)).alias("dl"), "removed", F.lit(batch).cast("long").alias("batch")), f"{path}/versions", ["batch"])
     finally:
         wanted.unpersist()
 
@@ -119,11 +129,21 @@ class Plan:
     bounds: DataFrame
     seen: DataFrame
     score: Callable[[str, str], Column]
+    asked: int
+    tasks: int
+    pairs: int
 
-    def scores(self, chosen: DataFrame) -> DataFrame:
-        """(query_key, key, score) of the visible documents in the chosen blocks."""
-        met = self.postings.join(self.weighed, ["bucket", "term"]).join(chosen.select(self.query_key, "batch", "block"), [self.query_key, "batch", "block"], "left_semi")
-        met = met.join(self.seen.select("key", "batch"), ["key", "batch"], "left_semi")
+    def scores(self, chosen: DataFrame, most: int | None = None) -> DataFrame:
+        """(query_key, key, score) of the visible documents in the chosen blocks, of which there are at most `most` in all queries.
+
+        Postings travel once, by document, and meet the queries where they arrive: only a query's sums leave a task.
+        """
+        few = (self.pairs if most is None else min(most, self.pairs)) <= SENT_BLOCKS
+        read = self.postings if few else self.postings.join(chosen.select("batch", "block").distinct(), ["batch", "block"], "left_semi")
+        dealt = read.repartition(self.tasks, "key").join(self.seen.select("key", F.col("batch").alias("_live")).repartition(self.tasks, "key"), "key").where("batch = _live")
+        met = dealt.join(self.weighed, ["bucket", "term"])
+        if few:
+            met = met.join(F.broadcast(chosen.select(self.query_key, "batch", "block")), [self.query_key, "batch", "block"], "left_semi")
         return met.groupBy(self.query_key, "key").agg(F.round(F.sum(self.score("tf", "dl")), 6).alias("score"))
 
     def best(self, scored: DataFrame, k: int) -> DataFrame:
@@ -134,34 +154,38 @@ class Plan:
 
         The k-th best score of the first blocks is what the k-th best of all is at least.
         """
-        floor = self.best(self.scores(self.bounds.where(F.col("place") <= first)), k).where(F.col("rank") == k).select(self.query_key, F.col("score").alias("floor"))
+        floor = self.best(self.scores(self.bounds.where(F.col("place") <= first), first * self.asked), k).where(F.col("rank") == k).select(self.query_key, F.col("score").alias("floor"))
         return self.bounds.join(floor, self.query_key, "left").withColumn("open", F.col("bound") + 1e-5 >= F.coalesce("floor", F.lit(0.0)))
 
 
 def plan(spark: SparkSession, path: str, queries: DataFrame, query_key: str = "query_id", terms: str = "terms", key_type: str = "long", digits: int = 1, k1: float = fixed.BM25_K1, b: float = fixed.BM25_B) -> Plan:
     """Statistics of the visible documents, weights of the queries' terms and bounds of their blocks."""
-    wanted = queries.select(query_key, F.explode(F.array_distinct(terms)).alias("term")).where("term IS NOT NULL").withColumn("bucket", bucket_of(digits=digits))
+    wanted = queries.select(query_key, F.explode(F.array_distinct(terms)).alias("term")).where(F.col("term").isNotNull() & F.col(query_key).isNotNull()).withColumn("bucket", bucket_of(digits=digits))
     buckets = F.broadcast(wanted.select("bucket").distinct())  # 16 ** digits rows at most
     seen = live(spark, path, key_type)
+    n_asked, n_terms = queries.agg(F.count("*"), F.sum(F.size(terms))).first()
+    sent = F.broadcast if (n_terms or 0) <= SENT_TERMS else lambda x: x
+    tasks = max(1, -(-seen.count() * n_asked // PAIRS))
+    n_blocks = read(spark, path, "blocks", key_type).groupBy("batch").agg((F.max("block") + 1).alias("n")).agg(F.sum("n")).first()[0] or 0
     stats = seen.agg(F.count("*").alias("n_docs"), F.avg("dl").alias("avgdl"))
     vocabulary = wanted.select("bucket", "term").distinct()
     known = read(spark, path, "versions", key_type)
-    of_terms = lambda name: read(spark, path, name, key_type).join(buckets, "bucket", "left_semi").join(vocabulary, ["bucket", "term"], "left_semi")
-    blocks = of_terms("blocks").join(known.select("batch").distinct(), "batch", "left_semi")  # finished batches
+    of_terms = lambda name: read(spark, path, name, key_type).join(buckets, "bucket", "left_semi").join(sent(vocabulary), ["bucket", "term"], "left_semi")
+    blocks = of_terms("blocks").join(known.select("batch").distinct(), "batch", "left_semi").where("block IS NOT NULL")  # finished batches; all that read bounds ask for the same rows, and share them
     postings = of_terms("postings")
     # documents that came anew or went: their old postings still count in the blocks
     old = known.select("key", "batch").join(seen.select("key", "batch"), ["key", "batch"], "left_anti")
     over = postings.select("term", "key", "batch").join(old, ["key", "batch"], "left_semi").groupBy("term").agg(F.count("*").alias("over"))
     df = blocks.groupBy("term").agg(F.sum("n").alias("n")).join(over, "term", "left").select("term", (F.col("n") - F.coalesce("over", F.lit(0))).alias("df")).where("df > 0")
     idf = F.greatest(F.log((F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5)), F.lit(fixed.BM25_LEAST_IDF))
-    weighed = wanted.join(df.join(F.broadcast(stats)).select("term", idf.alias("idf"), "avgdl"), "term")  # stats: one row
+    weighed = sent(wanted.join(df.join(F.broadcast(stats)).select("term", idf.alias("idf"), "avgdl"), "term"))  # stats: one row
 
     def score(tf: str, dl: str) -> Column:
         return F.col("idf") * F.col(tf) * (k1 + 1) / (F.col(tf) + k1 * (1 - b + b * F.col(dl) / F.col("avgdl")))
 
     bounds = blocks.join(weighed, ["bucket", "term"]).groupBy(query_key, "batch", "block").agg(F.sum(score("max_tf", "min_dl")).alias("bound"))
     bounds = bounds.withColumn("place", F.row_number().over(W.partitionBy(query_key).orderBy(F.desc("bound"), "batch", "block")))
-    return Plan(query_key, postings, weighed, bounds, seen, score)
+    return Plan(query_key, postings, weighed, bounds, seen, score, n_asked, tasks, n_blocks * n_asked)
 
 
 def search(spark: SparkSession, path: str, queries: DataFrame, k: int, first: int = FIRST_BLOCKS, **options) -> DataFrame:

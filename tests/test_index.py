@@ -108,3 +108,22 @@ def test_spans_equal_windows(spark):
         got = spans.running(frame, ["c"], "t", F.col("n"), "total", width)
         got = spans.beside(spans.beside(got, ["c"], "t", F.col("v"), "after", True, width), ["c"], "t", F.col("v"), "before", False, width)
         assert sorted(map(repr, got.collect())) == sorted(map(repr, want.collect()))
+
+
+def test_texts_are_tokenized_once_in_bounded_tasks(spark, tmp_path, monkeypatch):
+    real, path, plans = index._write, str(tmp_path / "i"), {}
+
+    def write(df, to, by):
+        plans[to.rsplit("/", 1)[1]] = df._jdf.queryExecution().optimizedPlan().toString()
+        real(df, to, by)
+
+    docs = spark.range(60).select(F.col("id").alias("doc"), F.lit("w1").alias("title"), F.concat(F.lit("w2 w3 w"), F.col("id").cast("string")).alias("text"))
+    monkeypatch.setattr(index, "_write", write)
+    monkeypatch.setattr(index, "TASK_CHARS", 100, raising=False)
+    index.append(docs, path, 0, "doc", FIELDS, block=4)
+    assert [n for n, p in plans.items() if "regexp_extract_all" in p] == ["postings"] and len(plans) == 3
+    asked = spark.createDataFrame([(1, ["w2", "w7"]), (2, ["w3", "w1"])], "query_id long, terms array<string>")
+    want = table(index.search(spark, path, asked, 5))
+    monkeypatch.setattr(index, "PAIRS", 10, raising=False)
+    monkeypatch.setattr(index, "SENT_BLOCKS", 0, raising=False)
+    assert table(index.search(spark, path, asked, 5)) == want and len(want) == 10
