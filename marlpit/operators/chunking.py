@@ -207,9 +207,15 @@ def heading_path(lines: DataFrame, key: str, order: str, line: str, deepest: int
 
 def overlap(left: str, right: str, least: int = 20, most: int = 600) -> int:
     """Length of the longest suffix of one text that the other begins with, of `least` to `most` characters; else 0."""
-    for n in range(min(most, len(left), len(right)), least - 1, -1):
-        if left.endswith(right[:n]):
-            return n
+    n = min(most, len(left), len(right))
+    if n < least or least < 1:
+        return next((i for i in range(n, least - 1, -1) if left.endswith(right[:i])), 0)
+    # such a suffix begins with the first `least` characters: their places are tried, from the longest suffix on
+    at = left.find(right[:least], len(left) - n)
+    while at >= 0:
+        if right.startswith(left[at:]):
+            return len(left) - at
+        at = left.find(right[:least], at + 1)
     return 0
 
 
@@ -232,13 +238,17 @@ def merge_all(parts: Iterable[str], least: int = 20, most: int = 600) -> str:
 
 
 def rebuild(chunks: DataFrame, key: str = "doc_id", order: str = "chunk_index", content: str = "content") -> DataFrame:
-    """A document's text from its stored chunks, overlaps merged."""
+    """A document's text from its stored chunks, overlaps merged. Chunks are gathered in order by Spark, and documents merged batch by batch."""
     kind = chunks.schema[key].dataType.simpleString()
 
-    def one(ids, df):
-        return df.head(1).assign(text=merge_all(df.sort_values(order)[content]))[[key, "text"]]
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in (got.slice(i, 64) for got in batches for i in range(0, got.num_rows, 64)):
+            texts = [merge_all(parts) for parts in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string())], ["key", "text"])
 
-    return chunks.groupBy(key).applyInPandas(one, f"{key} {kind}, text string")
+    parts = F.array_sort(F.collect_list(F.struct(F.col(order).isNull().alias("last"), F.col(order).alias("at"), F.col(content).alias("part"))))
+    gathered = chunks.groupBy(F.col(key).alias("key")).agg(F.transform(parts, lambda p: p["part"]).alias("parts"))
+    return gathered.mapInArrow(run, f"key {kind}, text string").withColumnRenamed("key", key)
 
 
 def canonical_text(chunks: DataFrame, key: str = "doc_id") -> DataFrame:

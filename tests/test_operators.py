@@ -341,3 +341,10 @@ def test_containment_deals_texts_and_no_shingles(spark):
     assert {tuple(r) for r in found.collect()} == {(1, 0, "x", 1.0), (1, 0, None, 1.0), (1, None, "x", 1.0)}
     plan = found._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
     assert plan.count("Exchange") == 1 and "REPARTITION_BY_NUM" in plan
+
+
+def test_rebuild_merges_by_batch(spark):
+    rows = [(1, 1, "b" * 30 + "c"), (1, 0, "a" + "b" * 30), (2, 0, "x"), (2, 1, ""), (2, 2, None), (2, 3, "y"), (3, 0, None)]
+    got = chunking.rebuild(spark.createDataFrame(rows, "doc_id long, chunk_index int, content string"))
+    assert {r.doc_id: r.text for r in got.collect()} == {1: "a" + "b" * 30 + "c", 2: "x\n\ny", 3: ""}
+    assert "FlatMapGroups" not in got._jdf.queryExecution().optimizedPlan().toString()  # no call of Python for each document
