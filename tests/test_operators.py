@@ -348,3 +348,10 @@ def test_rebuild_merges_by_batch(spark):
     got = chunking.rebuild(spark.createDataFrame(rows, "doc_id long, chunk_index int, content string"))
     assert {r.doc_id: r.text for r in got.collect()} == {1: "a" + "b" * 30 + "c", 2: "x\n\ny", 3: ""}
     assert "FlatMapGroups" not in got._jdf.queryExecution().optimizedPlan().toString()  # no call of Python for each document
+
+
+def test_project_tags_lower_once(spark):
+    rows = spark.createDataFrame([("The LanceDB plan",), ("A user",), ("Local AI Agent, multimodal",), ("none",), (None,)], "t string").select(text.project_tags(F.col("t")).alias("g"))
+    assert [r.g for r in rows.collect()] == [["local_ai_agent"], ["ser_research"], ["local_ai_agent", "ser_research"], [], []]
+    plan = spark.range(1).select(text.project_tags(F.col("id").cast("string")).alias("g"))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("lower(") == 1
