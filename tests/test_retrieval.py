@@ -2,6 +2,7 @@
 
 import math
 import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -165,3 +166,22 @@ def test_bm25_reads_texts_once_in_bounded_tasks(spark, monkeypatch):
     assert len(want) == 60 and read.value == 40  # statistics and scores share what was counted
     monkeypatch.setattr(lexical, "PAIRS", 10, raising=False)
     assert rows() == want and lexical.bm25(docs, asked, "doc_id", {"text": 1.0}).rdd.getNumPartitions() == 8
+
+
+def test_bm25_counts_words_in_their_rows(spark, monkeypatch):
+    """A row for each document is shuffled, no table of documents and words is made, and listing terms changes no score."""
+    from marlpit.operators import lexical
+
+    rng = random.Random(3)
+    docs = spark.createDataFrame([(i, " ".join(rng.choice(["Alpha", "beta", "gamma", "x_1", "été"]) for _ in range(i % 9)) if i % 7 else None, f"beta x{i}" if i % 3 else None) for i in range(50)], "doc_id long, text string, title string")
+    asked = spark.createDataFrame([(1, ["alpha", "x7", "alpha"]), (2, ["beta", "été"]), (3, ["nowhere"]), (4, [])], "query_id long, terms array<string>")
+    for fields in ({"text": 1.0}, {"title": 2.5, "text": 1.0}):
+        found = lexical.bm25(docs, asked, "doc_id", fields)
+        plan = found._jdf.queryExecution().executedPlan().toString()
+        assert not re.search(r"keys=\[doc_id#\d+L, term|hashpartitioning\(doc_id#\d+L, term", plan)
+        want = {(r.query_id, r.doc_id): r.score for r in lexical.score(lexical.postings(docs, "doc_id", fields), lexical.lengths(docs, "doc_id", fields), asked, "doc_id").collect()}
+        got = {(r.query_id, r.doc_id): r.score for r in found.collect()}
+        assert got == want and len(got) > 40
+        monkeypatch.setattr(lexical, "LISTED_TERMS", 0)
+        assert {(r.query_id, r.doc_id): r.score for r in lexical.bm25(docs, asked, "doc_id", fields).collect()} == want
+        monkeypatch.undo()
