@@ -67,15 +67,15 @@ def boost(query: Column, haystack: Column, content: Column, kind: Column, channe
     )
 
 
-def rerank_each(candidates: DataFrame, k: int, first: int, query: str = "query_id", base: str = "score", place: str = "place", cosine: str = "cosine", key: str = "id", weight: float = 0.35) -> DataFrame:
-    """rerank() for the ranked list of each query, ties in the order of `place`: (query, key, rerank_score, rank)."""
+def rerank_each(candidates: DataFrame, k: int, first: int, query: str = "query_id", base: str = "score", place: str = "place", cosine: str = "cosine", key: str = "id", weight: float = 0.35, also: tuple[str, ...] = ()) -> DataFrame:
+    """rerank() for the ranked list of each query, ties in the order of `place`: (query, key, columns of `also`, rerank_score, rank)."""
     n = F.count("*").over(W.partitionBy(query))
     changes, head = n > k, F.col(place) <= first
     scored = candidates.withColumns({"rerank_score": F.round(F.when(changes & head, F.col(base) + weight * F.coalesce(cosine, F.lit(0.0))).otherwise(F.col(base)), 6), "_changes": changes, "_head": head})
     within = F.row_number().over(W.partitionBy(query, "_head").orderBy(F.desc("rerank_score"), place))
     kept = scored.withColumn("_in", within).where(~F.col("_changes") | ~F.col("_head") | (F.col("_in") <= k))
     order = W.partitionBy(query).orderBy(F.when(F.col("_changes"), F.lit(0)).otherwise(F.col(place)), F.desc("rerank_score"), F.desc("_head"), place)
-    return kept.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select(query, key, "rerank_score", "rank")
+    return kept.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select(query, key, *also, "rerank_score", "rank")
 
 
 #: What cross_rerank() has loaded in this Python worker, by name.
@@ -96,13 +96,16 @@ def cross_rerank(candidates: DataFrame, model: str, load: Callable[[], Callable]
     scored, in batches, and the k best of them ordered with the others, which keep their own score. If the model can't be loaded, or fails on a
     pair of a query, that query keeps the order that it had (backend `base`). Null texts count as empty.
     """
-    kinds = {c: candidates.schema[c].dataType.simpleString() for c in (query, key)}
-    head = candidates.where(F.col(place) <= first).select(query, key, F.coalesce(asked, F.lit("")).alias("_q"), F.coalesce(content, F.lit("")).alias("_t"))
+    kinds = {c: candidates.schema[c].dataType.simpleString() for c in (query, key, base, place)}
+    head = F.coalesce(F.col(place) <= first, F.lit(False))
+    text = lambda c: F.when(head, F.coalesce(c, F.lit("")))
+    read = candidates.select(query, key, base, place, head.alias("_head"), text(asked).alias("_q"), text(content).alias("_t"))  # the others come along, else they would be found again
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in batches:
             out: list[float | None] = []
-            pairs = [_cut(q, t, most_words) for q, t in zip(rows.column(2).to_pylist(), rows.column(3).to_pylist(), strict=True)]
+            mine = rows.filter(rows.column(4))
+            pairs = [_cut(q, t, most_words) for q, t in zip(mine.column(5).to_pylist(), mine.column(6).to_pylist(), strict=True)]
             for i in range(0, len(pairs), batch):
                 part = pairs[i : i + batch]
                 try:
@@ -112,13 +115,14 @@ def cross_rerank(candidates: DataFrame, model: str, load: Callable[[], Callable]
                 except Exception as e:  # noqa: BLE001 - a model of the user's: its failure gives the order without it
                     logging.getLogger(__name__).warning("%s failed: %s", model, e)
                     out += [None] * (i + len(part) - len(out))
-            yield pa.RecordBatch.from_arrays([rows.column(0), rows.column(1), pa.array(out, pa.float64())], [query, key, "_s"])
+            scores = iter(out)
+            each = pa.array([next(scores) if h else None for h in rows.column(4).to_pylist()], pa.float64())
+            yield pa.RecordBatch.from_arrays([*rows.columns[:5], each], [query, key, base, place, "_head", "_s"])
 
     parts = candidates.sparkSession.sparkContext.defaultParallelism
-    scored = head.repartition(parts, query, key).mapInArrow(run, f"{query} {kinds[query]}, {key} {kinds[key]}, _s double")
-    told = candidates.select(query, key, base, place).join(scored.withColumn("_head", F.lit(True)), [query, key], "left")
+    told = read.repartition(parts, query, key).mapInArrow(run, ", ".join(f"`{c}` {t}" for c, t in kinds.items()) + ", _head boolean, _s double")
     sound = F.min(F.when(F.col("_head"), F.col("_s").isNotNull().cast("int")).otherwise(1)).over(W.partitionBy(query)) == 1
-    told = told.withColumns({"_sound": sound, "_head": F.coalesce("_head", F.lit(False))}).withColumn("rerank_score", F.round(F.when(F.col("_sound") & F.col("_head"), F.col("_s")).otherwise(F.col(base)), 6))
+    told = told.withColumn("_sound", sound).withColumn("rerank_score", F.round(F.when(F.col("_sound") & F.col("_head"), F.col("_s")).otherwise(F.col(base)), 6))
     within = F.row_number().over(W.partitionBy(query, "_head").orderBy(F.desc("rerank_score"), place))
     kept = told.withColumn("_in", within).where(~F.col("_sound") | ~F.col("_head") | (F.col("_in") <= k))
     order = W.partitionBy(query).orderBy(F.when(F.col("_sound"), F.lit(0)).otherwise(F.col(place)), F.desc("rerank_score"), F.desc("_head"), place)

@@ -185,3 +185,17 @@ def test_bm25_counts_words_in_their_rows(spark, monkeypatch):
         monkeypatch.setattr(lexical, "LISTED_TERMS", 0)
         assert {(r.query_id, r.doc_id): r.score for r in lexical.bm25(docs, asked, "doc_id", fields).collect()} == want
         monkeypatch.undo()
+
+
+def test_searches_before_a_rerank_are_done_once(spark):
+    """A candidate passes the model's step with its row, and long contents don't travel to meet few candidates."""
+    read = spark.sparkContext.accumulator(0)
+
+    @F.udf("double")
+    def told(x):
+        read.add(1)
+        return x
+
+    rows, frame = ranked(spark)
+    frame = frame.repartition(3).withColumn("score", told("score"))
+    assert len(listed(fusion.cross_rerank(frame, "once-model", lambda: lambda pairs: [0.5 for _ in pairs], 6))) == 5 and read.value == len(rows)
