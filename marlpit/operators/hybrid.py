@@ -58,13 +58,14 @@ def select_documents(cards: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     return kept.withColumn("_n", F.row_number().over(W.partitionBy("query_id").orderBy("rank"))).where(F.col("_n") <= limits["documents"]).select("query_id", "document_id")
 
 
-def search_each(chunks: DataFrame, cards: DataFrame, queries: DataFrame, k: int = 5, scope: DataFrame | None = None, rerank: bool = True, visual: bool = False, first: int = 20) -> DataFrame:
+def search_each(chunks: DataFrame, cards: DataFrame, queries: DataFrame, k: int = 5, scope: DataFrame | None = None, rerank: bool = True, visual: bool = False, first: int = 20, vectors: DataFrame | None = None) -> DataFrame:
     """(query_id, id, score, vector_rank, lexical_rank, place), and with `rerank` rerank_score and rank: the k best chunks of each query.
 
     chunks: id, document_id, kind (text, table, figure), content, embedding; cards: document_id, embedding, topic_tags, text; queries:
     query_id, text, q; scope: (query_id, document_id). With a scope, a query without documents in it gets nothing, and vectors and words are
     ranked in it. Without one, vectors are ranked in the documents that select_documents() finds, or in all if there are no cards; words in all.
     Ranks of both are fused, small boosts added, and the first candidates reordered by their cosine. A chunk without a vector is found by words.
+    vectors (id, embedding): a table of the chunks' vectors, if it is another; chunks' contents then don't travel to meet them.
     """
     limits = vector.adaptive_k(k, visual, rerank)
     places = {m: i for i, m in enumerate(fixed.MODALITIES)}
@@ -75,7 +76,8 @@ def search_each(chunks: DataFrame, cards: DataFrame, queries: DataFrame, k: int
     else:
         chosen = select_documents(cards, queries, k)
         free = queries.join(chosen.select("query_id").distinct(), "query_id", "left_anti")
-    of_kind = chunks.where(F.col("kind").isin(*fixed.MODALITIES))
+    placed = chunks if vectors is None else chunks.select("id", "document_id", "kind").join(vectors.select("id", "embedding"), "id")
+    of_kind = placed.where(F.col("kind").isin(*fixed.MODALITIES))
     distance = F.round(squared_distance(F.col("embedding").cast("array<double>"), F.col("q").cast("array<double>")), 6)
     inside = of_kind.where("embedding IS NOT NULL").join(chosen, "document_id").join(queries.select("query_id", "q"), "query_id").select("query_id", "id", "kind", distance.alias("distance")).where("distance IS NOT NULL")
     most = max(limits[m] for m in fixed.MODALITIES)
@@ -90,7 +92,9 @@ def search_each(chunks: DataFrame, cards: DataFrame, queries: DataFrame, k: int
     spoken = lexical.top(scored, limits["lexical"], "id").select("query_id", "id", F.col("rank").alias("lexical_rank"))
 
     both = v.join(spoken, ["query_id", "id"], "full_outer")
-    told = both.join(chunks.select("id", "kind", "content", "embedding"), "id").join(queries.select("query_id", "text", "q"), "query_id")
+    most = queries.count() * (limits["lexical"] + sum(limits[m] for m in fixed.MODALITIES))
+    told = lexical.beside(both, chunks.select("id", "kind", "content", *(["embedding"] if vectors is None else [])), "id", most).join(queries.select("query_id", "text", "q"), "query_id")
+    told = told if vectors is None else told.join(vectors.select("id", "embedding"), "id", "left")
     channels = F.array_compact(F.array(F.when(F.col("vector_rank").isNotNull(), "vector"), F.when(F.col("lexical_rank").isNotNull(), "lexical")))
     asked, content = F.coalesce("text", F.lit("")), F.coalesce("content", F.lit(""))
     extra = fusion.boost(asked, content, content, F.col("kind"), channels, F.col("lexical_rank"), _any(F.lower(asked), fixed.BOOST_EXPLAIN_MARKERS), F.lit(visual))
@@ -101,5 +105,4 @@ def search_each(chunks: DataFrame, cards: DataFrame, queries: DataFrame, k: int
     ranked = ranked.select("query_id", "id", "score", "vector_rank", "lexical_rank", "place", cos.alias("cosine"))
     if not rerank:
         return ranked.drop("cosine")
-    again = fusion.rerank_each(ranked, k, first)
-    return ranked.drop("cosine").join(again, ["query_id", "id"])
+    return fusion.rerank_each(ranked, k, first, also=("score", "vector_rank", "lexical_rank", "place"))

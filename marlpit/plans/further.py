@@ -348,9 +348,9 @@ def r10_hybrid_reranked(spark, sf_dir):
     e = table(spark, sf_dir, "embeddings")
     at = lambda names, n: F.element_at(F.array(*map(F.lit, names)), (1 + n).cast("int"))
     k = F.col("doc_id")
-    chunks = table(spark, sf_dir, "documents").join(e.select("vec_id", "embedding"), k == F.col("vec_id"), "left").select(k.alias("id"), (k % 50).alias("document_id"), at(["text", "text", "table", "figure"], k % 4).alias("kind"), F.col("text").alias("content"), "embedding")
+    chunks = table(spark, sf_dir, "documents").select(k.alias("id"), (k % 50).alias("document_id"), at(["text", "text", "table", "figure"], k % 4).alias("kind"), F.col("text").alias("content"))
     d = F.col("document_id")
     cards = e.groupBy((F.col("vec_id") % 50).alias("document_id")).agg(F.min_by("embedding", "vec_id").alias("embedding")).withColumns({"topic_tags": F.when(d % 3 == 0, F.array(F.lit("multimodal_fusion"))).otherwise(F.array().cast("array<string>")), "text": F.when(d % 7 == 0, "audio visual fusion").otherwise("")})
     asked = table(spark, sf_dir, "benchmark").join(e.select("vec_id", "embedding"), F.col("item_id") * 2 == F.col("vec_id"))
     asked = asked.select(F.col("item_id").alias("query_id"), F.concat("text", at(["", " what is it", " multimodal", " the table of results", " audio-visual"], F.col("item_id") % 5)).alias("text"), F.col("embedding").alias("q"))
-    return hybrid.search_each(chunks, cards, asked, 5)
+    return hybrid.search_each(chunks, cards, asked, 5, vectors=e.select(F.col("vec_id").alias("id"), "embedding"))

@@ -199,3 +199,12 @@ def test_searches_before_a_rerank_are_done_once(spark):
     rows, frame = ranked(spark)
     frame = frame.repartition(3).withColumn("score", told("score"))
     assert len(listed(fusion.cross_rerank(frame, "once-model", lambda: lambda pairs: [0.5 for _ in pairs], 6))) == 5 and read.value == len(rows)
+
+
+def test_vectors_in_a_table_of_their_own(spark, corpus):
+    chunks, cards, asked = corpus
+    rows = lambda df: sorted(map(str, df.collect()))
+    want = hybrid.search_each(chunks, cards, asked, 4)
+    held = chunks.where("embedding IS NOT NULL").select("id", "embedding").union(chunks.limit(1).selectExpr("9999L", "embedding"))
+    got = hybrid.search_each(chunks.drop("embedding"), cards, asked, 4, vectors=held)
+    assert rows(got) == rows(want) and got.columns == want.columns
