@@ -214,7 +214,7 @@ def h49_requested_numbers(spark, sf_dir):
 @query("h51_positions")
 def h51_positions(spark, sf_dir):
     s = more.squeeze_with_positions(F.col("text"))
-    return table(spark, sf_dir, "documents").select("doc_id", s.alias("s")).select("doc_id", F.length("s.flat").alias("n_flat"), F.element_at("s.positions", -1).alias("last"))
+    return table(spark, sf_dir, "documents").select("doc_id", s.alias("s")).select("doc_id", F.length("s.flat").alias("n_flat"), F.try_element_at("s.positions", F.lit(-1)).alias("last"))
 
 
 @query("h56_citations", "SELECT doc_id, CASE WHEN lang = 'de' THEN 'Table ' || (n_chars % 9) WHEN lang = 'fr' THEN 'Figure ' || (n_chars % 9) WHEN doc_id % 2 = 0 THEN 'p. ' || (doc_id % 100) ELSE substr('document number ' || doc_id || ' of the collection', 1, 32) END AS label FROM documents")

@@ -141,6 +141,12 @@ def test_positions_and_ids_by_hand(spark):
         assert ids[r.doc_id] == str(uuid.uuid5(uuid.NAMESPACE_URL, f"doc:{r.doc_id}"))
 
 
+def test_positions_of_texts_without_any(spark, tmp_path):
+    spark.createDataFrame([(1, "a  b"), (2, ""), (3, " \n "), (4, None), (5, "\nx ")], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = registry.queries()["h51_positions"](spark, str(tmp_path)).collect()
+    assert sorted(map(tuple, got)) == [(1, 3, 3), (2, 0, None), (3, 0, None), (4, 0, None), (5, 1, 1)]
+
+
 def test_positions_in_small_frames(spark):
     import numpy as np
 
