@@ -169,7 +169,7 @@ def w18_structural_chunks(spark, sf_dir):
 
 @query("m10_rebuild_from_chunks")
 def m10_rebuild_from_chunks(spark, sf_dir):
-    return chunking.rebuild(chunking.chunk(docs(spark, sf_dir), overlap=0).drop("parent_content"))
+    return chunking.rebuild(chunking.chunk(docs(spark, sf_dir)).drop("parent_content"))
 
 
 @query("d17_canonical_text")

@@ -350,6 +350,25 @@ def test_rebuild_merges_by_batch(spark):
     assert "FlatMapGroups" not in got._jdf.queryExecution().optimizedPlan().toString()  # no call of Python for each document
 
 
+def test_rebuilt_chunks_overlap(spark, monkeypatch):
+    """m10 merges the overlaps that stored chunks have: its chunks are w18's, and each document comes back without what they repeat."""
+    from marlpit.plans import catalog, registry  # noqa: F401
+
+    run = lambda name: registry.queries()[name](spark, "/root/testdata/sf0.001")
+    texts = {r.doc_id: r.text for r in run("m10_rebuild_from_chunks").collect()}
+    with monkeypatch.context() as m:
+        m.setattr(chunking, "rebuild", lambda chunks: chunks)
+        stored = sorted(run("m10_rebuild_from_chunks").select("doc_id", "chunk_index", "content", "parent_index").collect())
+    assert stored == sorted(run("w18_structural_chunks").select("doc_id", "chunk_index", "content", "parent_index").collect())
+    overlaps = [chunking.overlap(a.content, b.content) for a, b in zip(stored, stored[1:]) if (a.doc_id, a.parent_index) == (b.doc_id, b.parent_index)]
+    assert sum(n > 0 for n in overlaps) > len(overlaps) / 4
+    joined = lambda k: chunking.merge_all([r.content for r in stored if r.doc_id == k])
+    assert len(texts) == 200 and all(joined(k) == t for k, t in texts.items())
+    plain = [(1, "\n\n".join(f"Word{i} one two three. " + " ".join(f"w{i}x{j}" for j in range(90)) + ". A somewhat longer end of block {i}." for i in range(20)))]
+    docs = spark.createDataFrame(plain, "doc_id long, text string")
+    assert chunking.rebuild(chunking.chunk(docs)).first().text == plain[0][1] and chunking.chunk(docs).where("content LIKE 'A somewhat longer end%'").count() > 2
+
+
 def test_project_tags_lower_once(spark):
     rows = spark.createDataFrame([("The LanceDB plan",), ("A user",), ("Local AI Agent, multimodal",), ("none",), (None,)], "t string").select(text.project_tags(F.col("t")).alias("g"))
     assert [r.g for r in rows.collect()] == [["local_ai_agent"], ["ser_research"], ["local_ai_agent", "ser_research"], [], []]
