@@ -2,7 +2,7 @@
 
     versions/batch=n                   a row for each document that batch n brought, changed or removed; written last
     blocks/bucket=b/batch=n            for each term and block of some 128 documents: how many, the most uses, the least length
-    postings/bucket=b/batch=n          (term, block, key, tf, dl)
+    postings/bucket=b/batch=n          (term, block, key, tf, dl); the first of a term and block also has what the block's row says of them
 
 A document's newest version counts, older ones and removed documents are passed over, so a batch only adds partitions and a batch that is
 written again replaces its own. Buckets are the first hex digits of a term's MD5: a search reads those of its terms. What the blocks
@@ -11,9 +11,12 @@ hold bounds the score of every document in them, and blocks that can't reach the
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import hashlib
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
@@ -26,8 +29,10 @@ from .lexical import PAIRS, SENT_TERMS, words_of
 BLOCK = 128
 #: Blocks of a query whose documents are scored first, to know how good the k-th best is at least.
 FIRST_BLOCKS = 4
-#: Characters of changed texts that a task of append() tokenizes, about.
+#: Characters of changed texts that a task of append() tokenizes, about, and of a block at most, about.
 TASK_CHARS = 4_000_000
+#: Postings that append() hands on at once.
+HANDED = 1 << 16
 #: Pairs of a query and a block that are sent to all tasks at most; with more, blocks are passed over only if no query needs them.
 SENT_BLOCKS = 1_000_000
 TABLES = ("versions", "blocks", "postings")
@@ -43,9 +48,10 @@ def read(spark: SparkSession, path: str, name: str, key_type: str = "long") -> D
         "versions": f"key {key_type}, digest string, dl double, removed boolean, batch long",
         "blocks": "term string, block long, n long, max_tf double, min_dl double, bucket string, batch long",
         "postings": f"term string, block long, key {key_type}, tf double, dl double, bucket string, batch long",
+        "noted": "term string, block long, n long, max_tf double, min_dl double, bucket string, batch long",
     }[name]
     try:
-        return spark.read.schema(schema).parquet(f"{path}/{name}")
+        return spark.read.schema(schema).parquet(f"{path}/{'postings' if name == 'noted' else name}")
     except AnalysisException as e:
         if e.getCondition() != "PATH_NOT_FOUND":
             raise
@@ -62,8 +68,49 @@ def current(versions: DataFrame) -> DataFrame:
     return newest.select("key", "v.*")
 
 
-def _uses(words: str, weight: float) -> Column:
-    return F.transform(words, lambda t: F.struct(t.alias("term"), F.lit(weight).alias("w")))
+def _counted(docs: pa.Table, weights: list[float], digits: int) -> pa.Table:
+    """Postings of whole blocks: each document's words counted; a bucket is made once for each word, and a block's row stands with its first posting."""
+    cut = [docs.column(2 + i).combine_chunks() for i in range(len(weights))]
+    dl = sum((np.diff(c.offsets.to_numpy()) * w for c, w in zip(cut, weights, strict=True)), np.zeros(len(docs)))
+    of = np.concatenate([np.repeat(np.arange(len(docs)), np.diff(c.offsets.to_numpy())) for c in cut])
+    terms = pa.concat_arrays([c.flatten() for c in cut]).dictionary_encode()
+    words, uses = max(len(terms.dictionary), 1), np.repeat(weights, [len(c.flatten()) for c in cut])
+    pairs, at = np.unique(of * words + terms.indices.to_numpy(), return_inverse=True)
+    doc, term, tf = pairs // words, pairs % words, np.bincount(at, uses, len(pairs))
+    block = docs.column(0).to_numpy()
+    group = np.unique(block, return_inverse=True)[1][doc] * words + term
+    order = np.argsort(group)
+    new = np.flatnonzero(np.diff(group[order], prepend=-1))  # where another block or term begins
+    first, noted = np.zeros(len(pairs), bool), np.zeros((3, len(pairs)))
+    if len(new):
+        first[order[new]] = True
+        noted[:, order[new]] = np.diff(new, append=len(pairs)), np.maximum.reduceat(tf[order], new), np.minimum.reduceat(dl[doc][order], new)
+    buckets = pa.array([hashlib.md5(t.encode()).hexdigest()[:digits] for t in terms.dictionary.to_pylist()], pa.string())
+    note = lambda x, kind: pa.array(x.astype(kind), mask=~first)
+    columns = [terms.dictionary.take(pa.array(term)), pa.array(block[doc]), docs.column(1).take(pa.array(doc)), pa.array(tf), pa.array(dl[doc]), note(noted[0], "int64"), note(noted[1], "float64"), note(noted[2], "float64"), buckets.take(pa.array(term))]
+    return pa.table(columns, ["term", "block", "key", "tf", "dl", "n", "max_tf", "min_dl", "bucket"])
+
+
+def _postings(cut: DataFrame, weights: list[float], digits: int) -> DataFrame:
+    """Postings of rows (block, key, words of each field), dealt by block. A task holds the documents of a few blocks, and hands on those that are whole."""
+    kind = cut.schema["key"].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            block = batch.column(0).to_numpy()
+            starts = np.flatnonzero(np.diff(block, prepend=held[0].column(0)[0].as_py() if held else block[0]))  # where a block begins, but for one that goes on
+            if len(starts):
+                whole = [*held, batch.slice(0, starts[-1])]
+                yield from _counted(pa.Table.from_batches(whole), weights, digits).to_batches(HANDED)
+                held = []
+            held.append(batch.slice(starts[-1] if len(starts) else 0))
+        if held:
+            yield from _counted(pa.Table.from_batches(held), weights, digits).to_batches(HANDED)
+
+    return cut.sortWithinPartitions("block").mapInArrow(run, f"term string, block long, key {kind}, tf double, dl double, n long, max_tf double, min_dl double, bucket string")
 
 
 def append(docs: DataFrame, path: str, batch: int, key: str, fields: dict[str, float], gone: Column | None = None, digits: int = 1, block: int = BLOCK) -> None:
@@ -86,22 +133,20 @@ def append(docs: DataFrame, path: str, batch: int, key: str, fields: dict[str, f
     wanted = wanted.select("key", "digest", "removed", "chars").persist()
     try:
         n_new, n_chars = wanted.agg(F.count("*"), F.sum("chars")).first()
-        blocks, tasks = -(-max(n_new, 1) // block), -(-max(n_chars or 0, 1) // TASK_CHARS)
-        # texts are dealt by key to as many tasks as their size asks for, and counted there
-        asked = wanted.where(~F.col("removed")).select("key", F.col("digest").alias("of")).repartition(tasks, "key")
-        new = marked.where(~F.col("removed")).drop("removed").repartition(tasks, "key").join(asked, "key").where("digest = of").dropDuplicates(["key"])
-        cut = new.select("key", *[words_of(F.col(f"f{i}")).alias(f"w{i}") for i in range(len(fields))])
-        total = sum((F.size(f"w{i}") * F.lit(float(w)) for i, w in enumerate(fields.values())), F.lit(0.0))
-        uses = F.concat(*[_uses(f"w{i}", float(w)) for i, w in enumerate(fields.values())])
-        spread = cut.select("key", total.alias("dl"), uses.alias("u")).select("key", "dl", F.explode_outer("u").alias("u")).select("key", "dl", "u.*").where("term IS NOT NULL")  # outer: else a filter on the words' number would find them again
-        counted = spread.groupBy("key", "term").agg(F.sum("w").alias("tf"), F.max("dl").alias("dl"))
-        place = F.pmod(F.xxhash64("key"), F.lit(blocks))
-        made = counted.select("term", place.alias("block"), "key", "tf", "dl", bucket_of(digits=digits).alias("bucket"), F.lit(batch).cast("long").alias("batch"))
+        tasks = -(-max(n_chars or 0, 1) // TASK_CHARS)
+        blocks = max(-(-max(n_new, 1) // block), tasks)
+        # texts are dealt by block to as many tasks as their size asks for, meet there what says that they are new, and are counted
+        texts = [f"f{i}" for i in range(len(fields))]
+        asked = wanted.where(~F.col("removed")).select("key", F.lit(True).alias("asked"), F.lit(None).cast("string").alias("digest"), *[F.lit(None).cast("string").alias(t) for t in texts])
+        both = marked.where(~F.col("removed")).select("key", F.lit(False).alias("asked"), "digest", *texts).union(asked)
+        dealt = both.withColumn("block", F.pmod(F.xxhash64("key"), F.lit(blocks))).repartition(tasks, "block")
+        new = dealt.groupBy("block", "key").agg(F.max("asked").alias("asked"), F.max(F.struct("digest", *texts)).alias("t")).where("asked")
+        made = _postings(new.select("block", "key", *[words_of(F.col(f"t.{t}")).alias(f"w{t}") for t in texts]), [float(w) for w in fields.values()], digits).withColumn("batch", F.lit(batch).cast("long"))
         # dealt by bucket, and a bucket with a term that most documents have is split
-        _write(made.hint("rebalance", F.col("bucket")).sortWithinPartitions("bucket", "batch", "term", "block"), f"{path}/postings", ["bucket", "batch"])
-        held = read(spark, path, "postings", kind).where(F.col("batch") == batch)
-        summary = held.groupBy("bucket", "batch", "term", "block").agg(F.count("*").alias("n"), F.max("tf").alias("max_tf"), F.min("dl").alias("min_dl"))
+        _write(made.hint("rebalance", F.col("bucket")).sortWithinPartitions("bucket", "batch"), f"{path}/postings", ["bucket", "batch"])
+        summary = read(spark, path, "noted").where((F.col("batch") == batch) & F.col("n").isNotNull())
         _write(summary.select("term", "block", "n", "max_tf", "min_dl", "bucket", "batch"), f"{path}/blocks", ["bucket", "batch"])
+        held = read(spark, path, "postings", kind).where(F.col("batch") == batch)
         sizes = held.groupBy("key").agg(F.max("dl").alias("dl"))  # each posting has its document's length; documents without words have none
         brought = wanted.select("key", "digest", "removed").join(sizes, "key", "left")
         _write(brought.select("key", "digest", F.coalesce("dl", F.lit(0.0)).alias("dl"), "removed", F.lit(batch).cast("long").alias("batch")), f"{path}/versions", ["batch"])
@@ -141,7 +186,7 @@ class Plan:
         few = (self.pairs if most is None else min(most, self.pairs)) <= SENT_BLOCKS
         read = self.postings if few else self.postings.join(chosen.select("batch", "block").distinct(), ["batch", "block"], "left_semi")
         dealt = read.repartition(self.tasks, "key").join(self.seen.select("key", F.col("batch").alias("_live")).repartition(self.tasks, "key"), "key").where("batch = _live")
-        met = dealt.join(self.weighed, ["bucket", "term"])
+        met = dealt.join(self.weighed, "term")
         if few:
             met = met.join(F.broadcast(chosen.select(self.query_key, "batch", "block")), [self.query_key, "batch", "block"], "left_semi")
         return met.groupBy(self.query_key, "key").agg(F.round(F.sum(self.score("tf", "dl")), 6).alias("score"))
@@ -161,16 +206,16 @@ class Plan:
 def plan(spark: SparkSession, path: str, queries: DataFrame, query_key: str = "query_id", terms: str = "terms", key_type: str = "long", digits: int = 1, k1: float = fixed.BM25_K1, b: float = fixed.BM25_B) -> Plan:
     """Statistics of the visible documents, weights of the queries' terms and bounds of their blocks."""
     wanted = queries.select(query_key, F.explode(F.array_distinct(terms)).alias("term")).where(F.col("term").isNotNull() & F.col(query_key).isNotNull()).withColumn("bucket", bucket_of(digits=digits))
-    buckets = F.broadcast(wanted.select("bucket").distinct())  # 16 ** digits rows at most
+    buckets = [r.bucket for r in wanted.select("bucket").distinct().collect()]  # 16 ** digits at most
     seen = live(spark, path, key_type)
     n_asked, n_terms = queries.agg(F.count("*"), F.sum(F.size(terms))).first()
     sent = F.broadcast if (n_terms or 0) <= SENT_TERMS else lambda x: x
     tasks = max(1, -(-seen.count() * n_asked // PAIRS))
     n_blocks = read(spark, path, "blocks", key_type).groupBy("batch").agg((F.max("block") + 1).alias("n")).agg(F.sum("n")).first()[0] or 0
     stats = seen.agg(F.count("*").alias("n_docs"), F.avg("dl").alias("avgdl"))
-    vocabulary = wanted.select("bucket", "term").distinct()
+    vocabulary = wanted.select("term").distinct()
     known = read(spark, path, "versions", key_type)
-    of_terms = lambda name: read(spark, path, name, key_type).join(buckets, "bucket", "left_semi").join(sent(vocabulary), ["bucket", "term"], "left_semi")
+    of_terms = lambda name: read(spark, path, name, key_type).where(F.col("bucket").isin(buckets)).drop("bucket").join(sent(vocabulary), "term", "left_semi")
     blocks = of_terms("blocks").join(known.select("batch").distinct(), "batch", "left_semi").where("block IS NOT NULL")  # finished batches; all that read bounds ask for the same rows, and share them
     postings = of_terms("postings")
     # documents that came anew or went: their old postings still count in the blocks
@@ -183,7 +228,7 @@ def plan(spark: SparkSession, path: str, queries: DataFrame, query_key: str = "q
     def score(tf: str, dl: str) -> Column:
         return F.col("idf") * F.col(tf) * (k1 + 1) / (F.col(tf) + k1 * (1 - b + b * F.col(dl) / F.col("avgdl")))
 
-    bounds = blocks.join(weighed, ["bucket", "term"]).groupBy(query_key, "batch", "block").agg(F.sum(score("max_tf", "min_dl")).alias("bound"))
+    bounds = blocks.join(weighed, "term").groupBy(query_key, "batch", "block").agg(F.sum(score("max_tf", "min_dl")).alias("bound"))
     bounds = bounds.withColumn("place", F.row_number().over(W.partitionBy(query_key).orderBy(F.desc("bound"), "batch", "block")))
     return Plan(query_key, postings, weighed, bounds, seen, score, n_asked, tasks, n_blocks * n_asked)
 

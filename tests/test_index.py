@@ -127,3 +127,33 @@ def test_texts_are_tokenized_once_in_bounded_tasks(spark, tmp_path, monkeypatch)
     monkeypatch.setattr(index, "PAIRS", 10, raising=False)
     monkeypatch.setattr(index, "SENT_BLOCKS", 0, raising=False)
     assert table(index.search(spark, path, asked, 5)) == want and len(want) == 10
+
+
+def test_blocks_are_made_where_documents_are_counted(spark, tmp_path, monkeypatch):
+    """Blocks' rows come with the postings, over batches of a few rows; they are neither grouped nor shuffled again."""
+    real, path, plans = index._write, str(tmp_path / "i"), {}
+
+    def write(df, to, by):
+        plans[to.rsplit("/", 1)[1]] = df._jdf.queryExecution().executedPlan().toString()
+        real(df, to, by)
+
+    monkeypatch.setattr(index, "_write", write)
+    docs = [(f"k{i}", t, x) for i, t, x in docs_of(90, 5)] + [("n", None, "w1 É_x"), ("o", "w1", None), ("p", "?", "!"), ("k3", "w1 w1", "other"), (None, "w1", "w1")]
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        index.append(spark.createDataFrame(docs, "doc string, title string, text string").repartition(3), path, 0, "doc", FIELDS, block=8)
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert "Exchange" not in plans["blocks"] and "Aggregate" not in plans["blocks"]
+    assert index.check(spark, path, "string").count() == 0
+    got = {(r.key, r.term): (r.tf, r.dl) for r in index.live_postings(spark, path, "string").collect()}
+    want, chosen = {}, {k: (t, x) for k, t, x in docs if k and k != "k3"}
+    k3 = {r.key: r.dl for r in index.live(spark, path, "string").collect()}["k3"]
+    chosen["k3"] = next((t, x) for k, t, x in docs if k == "k3" and 2.0 * len(t.split()) + len(x.split()) == k3)
+    for k, texts in chosen.items():
+        cut = [[w for w in (t or "").lower().split() if w not in "?!"] for t in texts]
+        for w in {w for c in cut for w in c}:
+            want[k, w] = (2.0 * cut[0].count(w) + cut[1].count(w), 2.0 * len(cut[0]) + len(cut[1]))
+    assert got == want and len(spark.read.parquet(f"{path}/blocks").select("block").distinct().collect()) > 8
+    wrong = spark.read.parquet(f"{path}/postings").where("bucket <> substring(md5(term), 1, 1)")
+    assert wrong.count() == 0
