@@ -169,24 +169,22 @@ class Plan:
     """What a search knows before it reads the postings of its candidates."""
 
     query_key: str
-    postings: DataFrame
+    dealt: DataFrame
     weighed: DataFrame
     bounds: DataFrame
-    seen: DataFrame
     score: Callable[[str, str], Column]
     asked: int
-    tasks: int
     pairs: int
 
     def scores(self, chosen: DataFrame, most: int | None = None) -> DataFrame:
         """(query_key, key, score) of the visible documents in the chosen blocks, of which there are at most `most` in all queries.
 
-        Postings travel once, by document, and meet the queries where they arrive: only a query's sums leave a task.
+        Postings travel once for all that asks for them, by document, and meet blocks and queries where they arrive: only a query's sums leave a task.
         """
         few = (self.pairs if most is None else min(most, self.pairs)) <= SENT_BLOCKS
-        read = self.postings if few else self.postings.join(chosen.select("batch", "block").distinct(), ["batch", "block"], "left_semi")
-        dealt = read.repartition(self.tasks, "key").join(self.seen.select("key", F.col("batch").alias("_live")).repartition(self.tasks, "key"), "key").where("batch = _live")
-        met = dealt.join(self.weighed, "term")
+        each = chosen.select("batch", "block").distinct()  # no more than all queries' pairs by their number
+        each = F.broadcast(each) if self.pairs <= SENT_BLOCKS * self.asked else each
+        met = (self.dealt if few else self.dealt.join(each, ["batch", "block"], "left_semi")).join(self.weighed, "term")
         if few:
             met = met.join(F.broadcast(chosen.select(self.query_key, "batch", "block")), [self.query_key, "batch", "block"], "left_semi")
         return met.groupBy(self.query_key, "key").agg(F.round(F.sum(self.score("tf", "dl")), 6).alias("score"))
@@ -217,11 +215,10 @@ def plan(spark: SparkSession, path: str, queries: DataFrame, query_key: str = "q
     known = read(spark, path, "versions", key_type)
     of_terms = lambda name: read(spark, path, name, key_type).where(F.col("bucket").isin(buckets)).drop("bucket").join(sent(vocabulary), "term", "left_semi")
     blocks = of_terms("blocks").join(known.select("batch").distinct(), "batch", "left_semi").where("block IS NOT NULL")  # finished batches; all that read bounds ask for the same rows, and share them
-    postings = of_terms("postings")
-    # documents that came anew or went: their old postings still count in the blocks
-    old = known.select("key", "batch").join(seen.select("key", "batch"), ["key", "batch"], "left_anti")
-    over = postings.select("term", "key", "batch").join(old, ["key", "batch"], "left_semi").groupBy("term").agg(F.count("*").alias("over"))
-    df = blocks.groupBy("term").agg(F.sum("n").alias("n")).join(over, "term", "left").select("term", (F.col("n") - F.coalesce("over", F.lit(0))).alias("df")).where("df > 0")
+    # the visible documents' postings are dealt by document once, for the terms' documents and for all scores
+    dealt = of_terms("postings").where("block IS NOT NULL").repartition(tasks, "key").join(seen.select("key", F.col("batch").alias("_live")).repartition(tasks, "key"), "key").where("batch = _live")
+    used = [F.max(c).alias(f"_{c}") for c in ("tf", "dl", "block")]  # all that scores need, since of fewer columns the optimizer would make another shuffle
+    df = dealt.groupBy("term").agg(F.count("*").alias("df"), *used).where("_tf > 0 AND _dl > 0 AND _block >= 0").select("term", "df")
     idf = F.greatest(F.log((F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5)), F.lit(fixed.BM25_LEAST_IDF))
     weighed = sent(wanted.join(df.join(F.broadcast(stats)).select("term", idf.alias("idf"), "avgdl"), "term"))  # stats: one row
 
@@ -230,7 +227,7 @@ def plan(spark: SparkSession, path: str, queries: DataFrame, query_key: str = "q
 
     bounds = blocks.join(weighed, "term").groupBy(query_key, "batch", "block").agg(F.sum(score("max_tf", "min_dl")).alias("bound"))
     bounds = bounds.withColumn("place", F.row_number().over(W.partitionBy(query_key).orderBy(F.desc("bound"), "batch", "block")))
-    return Plan(query_key, postings, weighed, bounds, seen, score, n_asked, tasks, n_blocks * n_asked)
+    return Plan(query_key, dealt, weighed, bounds, score, n_asked, n_blocks * n_asked)
 
 
 def search(spark: SparkSession, path: str, queries: DataFrame, k: int, first: int = FIRST_BLOCKS, **options) -> DataFrame:
